@@ -181,7 +181,8 @@ def carve(stored: bytes, automaton: ahocorasick.Automaton | None = None) -> list
 
 def to_wav(payload: bytes) -> bytes:
     """One channel of unsigned 8-bit samples; a sample is a byte."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload
+    pad = bytes(len(payload) % 2)
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(payload + pad), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(payload)) + payload + pad
 
 
 def wav_samples(stored: bytes, start: int = 0) -> bytes:
