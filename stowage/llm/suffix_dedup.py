@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .textbytes import BYTE_VALUES, flat, prefix_hash, span_hash
+from .textbytes import BYTE_VALUES, flat, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 200, 32
 #: A gram with more occurrences than this is counted by digest instead of merged.
@@ -84,18 +84,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = flat(batch.column("text"))
-        with np.errstate(over="ignore"):
-            text, _, first, last, gram = anchors(data, offsets)
-        order = np.lexsort((gram, text))
-        text, gram, twice = text[order], gram[order], (last > first)[order] & False
-        new = np.ones(len(gram), dtype=bool)
-        new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
-        n = np.diff(np.concatenate([np.flatnonzero(new), [len(gram)]])) if len(gram) else np.zeros(0, np.int64)
-        rows = text[new]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(gram[new].view(np.int64)), batch.column("doc_id").take(pa.array(rows)), batch.column("tid").take(pa.array(rows)), pa.array(n.astype(np.int32))], ["gram", "doc_id", "tid", "n"]
-        )
+        for row, data, offsets in slices(*flat(batch.column("text"))):
+            with np.errstate(over="ignore"):
+                text, _, _, _, gram = anchors(data, offsets)
+            order = np.lexsort((gram, text))
+            text, gram = text[order], gram[order]
+            new = np.ones(len(gram), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (gram[1:] != gram[:-1])
+            n = np.diff(np.append(np.flatnonzero(new), len(gram)))
+            rows = pa.array(text[new] + row)
+            yield pa.RecordBatch.from_arrays([pa.array(gram[new].view(np.int64)), batch.column("doc_id").take(rows), batch.column("tid").take(rows), pa.array(n.astype(np.int32))], ["gram", "doc_id", "tid", "n"])
 
 
 # --- front-coded runs ---------------------------------------------------------
@@ -304,29 +302,30 @@ def _runs(parts: int):
             return _run_rows(parts_out, blobs, [], [])
 
         for batch in batches:
-            data, offsets = flat(batch.column("text"))
-            with np.errstate(over="ignore"):
-                text, anchor, first, last, gram = anchors(data, offsets)
-                digest = prefix_hash(BYTE_VALUES[data])
-                context = span_hash(digest, first, last + LENGTH).view(np.int64) if len(first) else np.zeros(0, np.int64)
-            raw, ids, tids = data.tobytes(), batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist()
-            some, hot = batch.column("grams"), batch.column("hot")
-            kind = np.zeros(len(gram), dtype=np.int8)
-            bounds = np.searchsorted(text, np.arange(len(ids) + 1))
-            for row in np.unique(text).tolist():
-                a, b = bounds[row], bounds[row + 1]
-                own = gram[a:b].view(np.int64)
-                kind[a:b] = np.isin(own, np.asarray(some[row].values)) + 2 * np.isin(own, np.asarray(hot[row].values))
             hot_rows, hot_blobs = [], []
-            for i in np.flatnonzero(kind).tolist():
-                row, p, s0, s1 = int(text[i]), int(anchor[i]), int(first[i]), int(last[i])
-                place = (ids[row], tids[row], s0 - int(offsets[row]))
-                if kind[i] >= 2:
-                    hot_rows.append((int(context[i]), *place))
-                    hot_blobs.append(raw[s0 : s1 + LENGTH])
-                    continue
-                held[int(gram[i] % np.uint64(parts))].setdefault((raw[p : s1 + LENGTH], raw[s0:p]), []).append(place)
-                size += s1 + LENGTH - s0 + 150
+            for row0, data, offsets in slices(*flat(batch.column("text"))):
+                with np.errstate(over="ignore"):
+                    text, anchor, first, last, gram = anchors(data, offsets)
+                    context = span_hash(prefix_hash(BYTE_VALUES[data]), first, last + LENGTH).view(np.int64)
+                raw = data.tobytes()
+                own = batch.slice(row0, len(offsets) - 1)
+                ids, tids, some, hot = (own.column(c) for c in ("doc_id", "tid", "grams", "hot"))
+                kind = np.zeros(len(gram), dtype=np.int8)
+                bounds = np.searchsorted(text, np.arange(len(offsets)))
+                for row in np.unique(text).tolist():
+                    a, b = bounds[row], bounds[row + 1]
+                    signed = gram[a:b].view(np.int64)
+                    kind[a:b] = np.isin(signed, np.asarray(some[row].values)) + 2 * np.isin(signed, np.asarray(hot[row].values))
+                ids, tids = ids.to_pylist(), tids.to_pylist()
+                for i in np.flatnonzero(kind).tolist():
+                    row, p, s0, s1 = int(text[i]), int(anchor[i]), int(first[i]), int(last[i])
+                    place = (ids[row], tids[row], s0 - int(offsets[row]))
+                    if kind[i] >= 2:
+                        hot_rows.append((int(context[i]), *place))
+                        hot_blobs.append(raw[s0 : s1 + LENGTH])
+                        continue
+                    held[int(gram[i] % np.uint64(parts))].setdefault((raw[p : s1 + LENGTH], raw[s0:p]), []).append(place)
+                    size += s1 + LENGTH - s0 + 150
             if hot_rows:
                 yield _run_rows([], [], hot_rows, hot_blobs)
             if size > RUN_BYTES:
@@ -405,7 +404,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, spans): for each text with a LENGTH-byte string that also starts elsewhere, the byte ranges [a, b) that such strings cover."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    one = keyed.mapInArrow(_grams, "gram long, doc_id long, tid long, n int")
+    one = cut(keyed.mapInArrow(_grams, "gram long, doc_id long, tid long, n int"))
     common = one.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram", (F.col("n") > HOT).alias("is_hot"))
     found = cut(one.join(common, "gram").groupBy("doc_id", "tid").agg(F.collect_set(F.expr("CASE WHEN NOT is_hot THEN gram END")).alias("grams"), F.collect_set(F.expr("CASE WHEN is_hot THEN gram END")).alias("hot")))
     total = found.agg(F.sum(F.size("grams"))).first()[0] or 0

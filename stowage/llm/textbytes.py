@@ -108,7 +108,7 @@ def shingle_sets(column, width: int = 5) -> list[np.ndarray]:
     has the empty set.
     """
     out: list[np.ndarray] = []
-    for data, offsets in _slices(*flat(column)):
+    for _, data, offsets in slices(*flat(column)):
         start, end, counts = words(data, offsets)
         hashes = span_hash(prefix_hash(LOWER_VALUES[data]), start, end)
         shingles = np.zeros(max(0, len(hashes) - width + 1), dtype=np.uint64)
@@ -127,10 +127,10 @@ def shingle_sets(column, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def _slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21):
-    """The batch in runs of whole texts of about `most` bytes, so that temporaries stay small."""
+def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21):
+    """(first text, bytes, offsets) of runs of whole texts of about `most` bytes, so that temporaries stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
-        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        yield i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
