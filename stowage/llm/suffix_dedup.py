@@ -364,16 +364,22 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_spans(hot: DataFrame) -> DataFrame:
-    """(doc_id, tid, a, b) for grams with many occurrences: whole contexts that repeat, and repeated windows of those that don't."""
-    contexts = hot.groupBy("context").agg(F.least(F.count("*"), F.lit(2)).alias("weight"), F.min("run").alias("bytes"))
-    contexts = cut(contexts)
-    places = hot.select("context", "doc_id", "tid", "first", F.octet_length("run").alias("size"))
-    whole = places.join(contexts.where("weight > 1").select("context"), "context").select("doc_id", "tid", F.col("first").alias("a"), (F.col("first") + F.col("size")).alias("b"))
+    """(doc_id, tid, spans) for grams with many occurrences: whole contexts that repeat, and repeated windows of those that don't.
+
+    Windows are summed by digest; one that occurs once names its own context, so
+    a context's repeated windows are those that aren't named.
+    """
+    contexts = cut(hot.groupBy("context").agg(F.least(F.count("*"), F.lit(2)).alias("weight"), F.min("run").alias("bytes")))
     windows = contexts.mapInArrow(_windows, "window long, context long, t long, weight long")
-    twice = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
-    single = windows.where("weight = 1").join(twice, "window").select("context", "t")
-    part = single.join(places, "context").select("doc_id", "tid", (F.col("first") + F.col("t")).alias("a"), (F.col("first") + F.col("t") + LENGTH).alias("b"))
-    return whole.union(part)
+    once = windows.groupBy("window").agg(F.sum("weight").alias("n"), F.min(F.struct("context", "t")).alias("x")).where("n = 1")
+    once = once.groupBy(F.col("x.context").alias("context")).agg(F.collect_list("x.t").alias("once"))
+    every = F.sequence(F.lit(0).cast("long"), F.octet_length("bytes").cast("long") - LENGTH)
+    twice = contexts.join(once, "context", "left").select("context", F.when(F.col("weight") > 1, every).otherwise(F.array_except(every, F.coalesce("once", F.array().cast("array<bigint>")))).alias("t")).where(F.size("t") > 0)
+    first = F.filter("t", lambda x: ~F.array_contains("t", x - 1))
+    last = F.filter("t", lambda x: ~F.array_contains("t", x + 1))
+    runs = twice.select("context", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + LENGTH).alias("b"))).alias("runs"))
+    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    return hot.select("context", "doc_id", "tid", "first").join(runs, "context").select("doc_id", "tid", moved.alias("spans"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,8 +417,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = int(max(8, -(-total // PER_PART)))
     runs = cut(keyed.join(found, ["doc_id", "tid"]).mapInArrow(_runs(parts), _RUN_SCHEMA))
     spans = runs.where("part >= 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge, "doc_id long, tid long, a long, b long")
-    spans = spans.union(_hot_spans(runs.where("part < 0")))
-    return spans.groupBy("doc_id", "tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = spans.select("doc_id", "tid", F.array(F.struct("a", "b")).alias("spans")).union(_hot_spans(runs.where("part < 0")))
+    return spans.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
