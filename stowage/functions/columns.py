@@ -129,7 +129,7 @@ def padded_size(raw: Column) -> Column:
     """Least power of two, 128 at least, whose 127/128 holds raw bytes."""
     need = F.greatest(F.ceil(raw.cast("decimal(20,0)") * 128 / 127).cast("long"), F.lit(128).cast("long"))
     bits = F.length(F.bin(need - 1))
-    return F.shiftleft(F.lit(1).cast("long"), bits)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
 
 
 def tree_height(raw: Column) -> Column:
@@ -137,14 +137,14 @@ def tree_height(raw: Column) -> Column:
 
 
 def padding(raw: Column) -> Column:
-    return F.expr("0") + (padded_size(raw) / 128).cast("long") * 127 - raw
+    return (padded_size(raw) / 128).cast("long") * 127 - raw
 
 
 def parse_size(text: Column) -> Column:
     t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
     value, unit = F.regexp_extract(t, r"^(\d+)\s*([a-z]*)$", 1), F.regexp_extract(t, r"^(\d+)\s*([a-z]*)$", 2)
     shift = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[unit]
-    return F.when(value != "", F.shiftleft(value.try_cast("long"), F.coalesce(shift, F.lit(0))) + F.when(shift.isNull(), F.lit(None)).otherwise(0))
+    return F.when(value != "", F.call_function("shiftleft", value.try_cast("long"), shift))
 
 
 def format_bytes(n: Column) -> Column:
@@ -169,7 +169,7 @@ def format_token(amount: Column) -> Column:
 
 
 def canonical_url(source: Column, cid: Column) -> Column:
-    return F.concat(F.regexp_replace(source, "/+$", ""), F.lit("/ipfs/"), cid, F.lit("?format=car&dag-scope=all&car-dups=n"))
+    return F.concat(F.regexp_replace(source, "/+$", ""), F.lit("/ipfs/"), cid, F.lit("?format=car&dag-scope=all&car-version=1&car-order=dfs&car-dups=n"))
 
 
 def raw_block_url(source: Column, cid: Column) -> Column:
@@ -177,7 +177,7 @@ def raw_block_url(source: Column, cid: Column) -> Column:
 
 
 def relay_url(base: Column, host: Column, cid: Column, piece: Column) -> Column:
-    return F.concat_ws("/", F.regexp_replace(base, "/+$", ""), host, cid, F.lit("piece"), piece)
+    return F.concat_ws("/", F.regexp_replace(base, "/+$", ""), F.lit("r"), host, cid, F.lit("piece"), piece)
 
 
 def pull_source_url(base: Column, relay: Column, url: Column, cid: Column, piece: Column) -> Column:

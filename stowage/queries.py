@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .operators import aggregations, joins, merkle, packing, rows  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
