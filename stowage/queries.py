@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import aggregations, joins, merkle, packing, rows  # noqa: F401
+from .operators import aggregations, dag, intake, joins, lifecycle, merkle, packing, rows, windows  # noqa: F401
+from .plans import jobs  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
+from .streaming import jobs as streaming_jobs  # noqa: F401
