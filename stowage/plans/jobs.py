@@ -68,11 +68,11 @@ def job5(spark, d):
     return fx.pieces(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.sum("raw_size").alias("bytes"))
 
 
-_DONE = "SELECT cid, piece_cid, raw_size, 'https://' || gateway || '/ipfs/' || cid || '?format=car&dag-scope=all&car-version=1&car-order=dfs&car-dups=n' AS url FROM pieces WHERE status = 'done' AND url IS NOT NULL AND gateway = 'src1'"
+_DONE = "SELECT cid, piece_cid, raw_size, 'https://' || gateway || '/ipfs/' || cid || '?format=car&dag-scope=all&car-version=1&car-order=dfs&car-dups=n' AS url FROM pieces WHERE status = 'done' AND url IS NOT NULL AND gateway = 'src5'"
 
 
 def _export(spark, d):
-    p = fx.pieces(spark, d).where("status = 'done' AND url IS NOT NULL AND gateway = 'src1'")
+    p = fx.pieces(spark, d).where("status = 'done' AND url IS NOT NULL AND gateway = 'src5'")
     return p.select("cid", "piece_cid", "raw_size", c.canonical_url(F.concat(F.lit("https://"), "gateway"), F.col("cid")).alias("url"))
 
 
@@ -82,7 +82,7 @@ def src2(spark, d):
     path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     out = _export(spark, d)
     ag.assert_single(out.select(F.regexp_extract("url", "^https://([^/]*)", 1).alias("source")), "source")
-    tables.write_manifest(out, path, {"network": "calibration", "source": "src1"})
+    tables.write_manifest(out, path, {"network": "calibration", "source": "src5"})
     return tables.read_manifest(spark, path).select("cid", "piece_cid", "raw_size", "url", F.col("place").cast("long").alias("place"))
 
 

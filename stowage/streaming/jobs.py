@@ -80,7 +80,7 @@ def _watch(gap_ms: int):
         seen = max(state.get[0] if state.exists else int(rows["ts"].min().timestamp() * 1000), newest)
         state.update((seen,))
         state.setTimeoutTimestamp(max(seen + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"batch": pd.Series([], dtype="int64"), "since": pd.Series([], dtype="datetime64[ns]")})
+        return
 
     return run
 
@@ -107,10 +107,10 @@ def st3(spark, d):
 
 @query("st4_fee_monitor", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, count(*) FILTER (fee >= 200000) AS spikes, max(fee) AS highest FROM fees GROUP BY 1")
 def st4(spark, d):
-    """Fee readings by day; days close once the watermark has passed them, so a last reading far ahead closes them all."""
+    """Fee readings by day; days close once the watermark has passed them, so a last reading far ahead closes them all. The files of this replay arrive in any order, hence the wide watermark."""
     f = fx.fees(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "fee")
-    end = f.agg(F.max("event_id").alias("m"), F.max("ts").alias("t")).select((F.col("m") + 1).alias("event_id"), (F.col("t") + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(-1).cast("decimal(38,0)").alias("fee"))
-    s = as_stream(f.union(end), "event_id").withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.count_if(c.fee_level(F.col("fee")) == "spike").alias("spikes"), F.max("fee").alias("highest"))
+    end = f.agg(F.max("event_id").alias("m"), F.max("ts").alias("t")).select((F.col("m") + 1).alias("event_id"), (F.col("t") + F.expr("INTERVAL 90 DAYS")).alias("ts"), F.lit(-1).cast("decimal(38,0)").alias("fee"))
+    s = as_stream(f.union(end), "event_id").withWatermark("ts", "60 days").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.count_if(c.fee_level(F.col("fee")) == "spike").alias("spikes"), F.max("fee").alias("highest"))
     return drain(s).where("highest >= 0").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "spikes", "highest")
 
 
