@@ -168,7 +168,8 @@ def hub_members(posted: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between texts with different sets, enough of them to join whatever all links join."""
     members = cut(hub_members(postings(reps)))
-    texts = cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    # A merge join whatever the size: what it moves is then in proportion to the input.
+    texts = cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     sizes = members.groupBy("hub").agg(F.count("*").alias("n"))
     with_text = members.join(sizes.where(F.col("n") <= BLOCK), "hub").join(texts, "doc_id").select("hub", "doc_id", "text")
     small = with_text.groupBy("hub").applyInPandas(_small_group(percent), "a long, b long")
