@@ -24,7 +24,11 @@ from ..registry import query
 def as_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
     """df as a stream of files in order, one a trigger."""
     path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    cuts = df.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):  # one after another: files are read in order of their age
+        part = df if low is None else df.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
