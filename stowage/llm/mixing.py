@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import cut
+
 #: Blocks in the whole mix at most: blocks grow with the corpus, the schedule doesn't.
 MAX_BLOCKS = 4096
 #: Documents in a block at least.
@@ -64,14 +66,15 @@ def schedule(shares: DataFrame, max_blocks: int = MAX_BLOCKS, min_block: int = M
     # Time runs in slots: a source adds its share to the pace until it is used up, at `over`.
     slot_at = lambda v: f"aggregate(s, 0D, (acc, y) -> acc + y.share * least({v}, y.over))"
     window = f"named_struct('r', cast(floor({slot_at('k / x.share')} + {_EPS}) as int), 'd', cast(ceil({slot_at('(k + 1) / x.share')} - {_EPS}) as int))"
-    timed = one.withColumn("w", F.expr(f"transform(s, x -> transform(sequence(0, x.blocks - 1), k -> {window}))")).withColumn("slots", F.expr("aggregate(s, 0, (acc, x) -> acc + x.blocks)"))
+    # Tables between the steps: a filter that the optimizer derives from one would otherwise repeat the one before it inside its loops.
+    timed = cut(one.withColumn("w", F.expr(f"transform(s, x -> transform(sequence(0, x.blocks - 1), k -> {window}))")).withColumn("slots", F.expr("aggregate(s, 0, (acc, x) -> acc + x.blocks)")))
     head = "get(w[i], acc.k[i])"
     choice = f"array_min(transform(sequence(0, size(s) - 1), i -> CASE WHEN acc.k[i] < size(w[i]) THEN named_struct('late', {head}.r > t, 'd', {head}.d, 'i', i) END))"
     fold = f"""aggregate(sequence(0, slots - 1),
         named_struct('k', transform(s, x -> 0), 'out', cast(array() as array<int>)),
         (acc, t) -> transform(array({choice}), c -> named_struct('k', transform(acc.k, (n, i) -> n + IF(i = c.i, 1, 0)), 'out', array_append(acc.out, c.i)))[0],
         acc -> acc.out)"""
-    slots = timed.withColumn("order", F.expr(fold)).select("block_size", "s", F.posexplode("order").alias("slot", "i"))
+    slots = cut(timed.select("block_size", "s", F.expr(fold).alias("order"))).select("block_size", "s", F.posexplode("order").alias("slot", "i"))
     by_source = Window.partitionBy("i").orderBy("slot")
     return slots.select(F.expr("s[i].source").alias("source"), (F.row_number().over(by_source) - 1).cast("long").alias("block"), F.col("slot").cast("long"), "block_size")
 
