@@ -348,31 +348,78 @@ def _run_rows(parts: list, blobs: list, hot_rows: list, hot_blobs: list) -> pa.R
     )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window digest, context, offset, weight) for every window of each context."""
-    for batch in batches:
-        data, offsets = flat(batch.column("bytes"))
-        with np.errstate(over="ignore"):
-            counts = np.diff(offsets) - LENGTH + 1
-            row = np.repeat(np.arange(len(counts)), counts)
-            t = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = offsets[row] + t
-            digest = span_hash(prefix_hash(BYTE_VALUES[data]), at, at + LENGTH).view(np.int64)
-        for i in range(0, len(row), 1 << 18):
-            r = pa.array(row[i : i + (1 << 18)])
-            yield pa.RecordBatch.from_arrays([pa.array(digest[i : i + (1 << 18)]), batch.column("context").take(r), pa.array(t[i : i + (1 << 18)]), batch.column("weight").take(r)], ["window", "context", "t", "weight"])
+def _by_part(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """One row for each part, with the values of its entries as lists."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns)], ["part", *names])
+
+
+def _windows(parts: int):
+    """Windows of distinct contexts by part of their digest, each task's own repeats added up: digest, a context and offset that has it, weight (2: more than one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row0, data, offsets in slices(*flat(batch.column("bytes"))):
+                own = batch.slice(row0, len(offsets) - 1)
+                counts = np.diff(offsets) - LENGTH + 1
+                row = np.repeat(np.arange(len(counts)), counts)
+                t = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = offsets[row] + t
+                with np.errstate(over="ignore"):
+                    digest = span_hash(prefix_hash(BYTE_VALUES[data]), at, at + LENGTH).view(np.int64)
+                context, weight = (own.column(c).to_numpy(zero_copy_only=False)[row] for c in ("context", "weight"))
+                yield _by_part(*_summed(digest, context, t, weight, parts))
+
+    return run
+
+
+def _summed(digest: np.ndarray, context: np.ndarray, t: np.ndarray, weight: np.ndarray, parts: int):
+    order = np.argsort(digest, kind="stable")
+    digest = digest[order]
+    first = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]])) if len(digest) else np.zeros(0, np.int64)
+    total = np.minimum(np.add.reduceat(weight[order], first), 2) if len(first) else np.zeros(0, np.int64)
+    digest = digest[first]
+    return digest % parts, [digest, context[order][first], t[order][first], total], ["window", "context", "t", "weight"]
+
+
+def _values(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _once(parts: int):
+    """(part of the context, context, t) of the windows of one part that occur once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, (_, context, t, total), _ = _summed(*(_values(table, c) for c in ("window", "context", "t", "weight")), parts)
+        single = total == 1
+        return pa.Table.from_batches([_by_part(context[single] % parts, [context[single], t[single]], ["context", "t"])])
+
+    return run
+
+
+def _once_of(table: pa.Table) -> pa.Table:
+    batch = _by_part(*(lambda c, t: (np.unique(c, return_inverse=True)[1] if len(c) else c, [c, t], ["context", "once"]))(_values(table, "context"), _values(table, "t")))
+    own = pa.array([x[0].as_py() for x in batch.column("context")], pa.int64())
+    return pa.table({"context": own, "once": batch.column("once")})
 
 
 def _hot_spans(hot: DataFrame) -> DataFrame:
     """(doc_id, tid, spans) for grams with many occurrences: whole contexts that repeat, and repeated windows of those that don't.
 
-    Windows are summed by digest; one that occurs once names its own context, so
-    a context's repeated windows are those that aren't named.
+    Windows are summed by digest, in parts that travel as lists; one that occurs
+    once names its own context, so a context's repeated windows are those that
+    aren't named.
     """
     contexts = cut(hot.groupBy("context").agg(F.least(F.count("*"), F.lit(2)).alias("weight"), F.min("run").alias("bytes")))
-    windows = contexts.mapInArrow(_windows, "window long, context long, t long, weight long")
-    once = windows.groupBy("window").agg(F.sum("weight").alias("n"), F.min(F.struct("context", "t")).alias("x")).where("n = 1")
-    once = once.groupBy(F.col("x.context").alias("context")).agg(F.collect_list("x.t").alias("once"))
+    parts = int(max(8, -(-contexts.count() // PER_PART * 4)))
+    windows = contexts.select("context", F.col("weight").cast("long").alias("weight"), "bytes").mapInArrow(_windows(parts), "part int, window array<long>, context array<long>, t array<long>, weight array<long>")
+    single = windows.groupBy("part").applyInArrow(_once(parts), "part int, context array<long>, t array<long>")
+    once = single.groupBy("part").applyInArrow(_once_of, "context long, once array<long>")
     every = F.sequence(F.lit(0).cast("long"), F.octet_length("bytes").cast("long") - LENGTH)
     twice = contexts.join(once, "context", "left").select("context", F.when(F.col("weight") > 1, every).otherwise(F.array_except(every, F.coalesce("once", F.array().cast("array<bigint>")))).alias("t")).where(F.size("t") > 0)
     first = F.filter("t", lambda x: ~F.array_contains("t", x - 1))
