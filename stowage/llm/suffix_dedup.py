@@ -302,7 +302,7 @@ def _runs(parts: int):
             return _run_rows(parts_out, blobs, [], [])
 
         for batch in batches:
-            hot_rows, hot_blobs = [], []
+            hot_places: dict[tuple[int, int, int], tuple[bytes, list[int]]] = {}
             for row0, data, offsets in slices(*flat(batch.column("text"))):
                 with np.errstate(over="ignore"):
                     text, anchor, first, last, gram = anchors(data, offsets)
@@ -321,13 +321,12 @@ def _runs(parts: int):
                     row, p, s0, s1 = int(text[i]), int(anchor[i]), int(first[i]), int(last[i])
                     place = (ids[row], tids[row], s0 - int(offsets[row]))
                     if kind[i] >= 2:
-                        hot_rows.append((int(context[i]), *place))
-                        hot_blobs.append(raw[s0 : s1 + LENGTH])
+                        hot_places.setdefault((int(context[i]), *place[:2]), (raw[s0 : s1 + LENGTH], []))[1].append(place[2])
                         continue
                     held[int(gram[i] % np.uint64(parts))].setdefault((raw[p : s1 + LENGTH], raw[s0:p]), []).append(place)
                     size += s1 + LENGTH - s0 + 150
-            if hot_rows:
-                yield _run_rows([], [], hot_rows, hot_blobs)
+            if hot_places:
+                yield _run_rows([], [], [(*k, v[1]) for k, v in hot_places.items()], [v[0] for v in hot_places.values()])
             if size > RUN_BYTES:
                 size = 0
                 yield flush()
@@ -336,14 +335,14 @@ def _runs(parts: int):
     return write
 
 
-_RUN_SCHEMA = "part int, run binary, context long, doc_id long, tid long, first long"
+_RUN_SCHEMA = "part int, run binary, context long, doc_id long, tid long, first array<long>"
 
 
 def _run_rows(parts: list, blobs: list, hot_rows: list, hot_blobs: list) -> pa.RecordBatch:
     n, m = len(parts), len(hot_rows)
     more = list(zip(*hot_rows)) or [(), (), (), ()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(parts + [-1] * m, pa.int32()), pa.array(blobs + hot_blobs, pa.binary()), *(pa.array([None] * n + list(x), pa.int64()) for x in more)],
+        [pa.array(parts + [-1] * m, pa.int32()), pa.array(blobs + hot_blobs, pa.binary()), *(pa.array([None] * n + list(x), k) for x, k in zip(more, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))],
         ["part", "run", "context", "doc_id", "tid", "first"],
     )
 
@@ -415,7 +414,7 @@ def _hot_spans(hot: DataFrame) -> DataFrame:
     once names its own context, so a context's repeated windows are those that
     aren't named.
     """
-    contexts = cut(hot.groupBy("context").agg(F.least(F.count("*"), F.lit(2)).alias("weight"), F.min("run").alias("bytes")))
+    contexts = cut(hot.groupBy("context").agg(F.least(F.sum(F.size("first")), F.lit(2)).alias("weight"), F.min("run").alias("bytes")))
     parts = int(max(8, -(-contexts.count() // PER_PART * 4)))
     windows = contexts.select("context", F.col("weight").cast("long").alias("weight"), "bytes").mapInArrow(_windows(parts), "part int, window array<long>, context array<long>, t array<long>, weight array<long>")
     single = windows.groupBy("part").applyInArrow(_once(parts), "part int, context array<long>, t array<long>")
@@ -425,7 +424,7 @@ def _hot_spans(hot: DataFrame) -> DataFrame:
     first = F.filter("t", lambda x: ~F.array_contains("t", x - 1))
     last = F.filter("t", lambda x: ~F.array_contains("t", x + 1))
     runs = twice.select("context", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + LENGTH).alias("b"))).alias("runs"))
-    moved = F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b")))
+    moved = F.flatten(F.transform("first", lambda f: F.transform("runs", lambda r: F.struct((r["a"] + f).alias("a"), (r["b"] + f).alias("b")))))
     return hot.select("context", "doc_id", "tid", "first").join(runs, "context").select("doc_id", "tid", moved.alias("spans"))
 
 
