@@ -13,6 +13,8 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: A host is rejected when its shrunk failure rate, less Z posterior standard deviations, is over this.
 MAX_HOST_RATE, Z = 0.5, 2.0
+#: Digits of the rate that is returned; verdicts use all of it.
+RATE_DIGITS = 6
 #: Hosts up to this many are broadcast to the documents; more are joined by a salted shuffle.
 BROADCAST_HOSTS = 20_000
 SALTS = 32
@@ -88,7 +90,7 @@ def host_verdicts(rules: DataFrame) -> DataFrame:
     a, b = F.col("n_failed") + F.col("mean") * F.col("strength"), F.col("n_docs") - F.col("n_failed") + (1 - F.col("mean")) * F.col("strength")
     mean = a / (a + b)
     error = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", mean.alias("host_rate"), (mean - Z * error > MAX_HOST_RATE).alias("host_rejected"))
+    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", F.round(mean, RATE_DIGITS).alias("host_rate"), (mean - Z * error > MAX_HOST_RATE).alias("host_rejected"))
 
 
 def quality_verdicts(docs: DataFrame, host: str = "source") -> DataFrame:

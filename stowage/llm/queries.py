@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, minhash_dedup, mixing, quality, secrets, suffix_dedup, toxicity
+from . import bpe, chat, html_extract, media, minhash_dedup, mixing, oracle, quality, secrets, suffix_dedup, toxicity
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,4 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL for those that it can express; the others are compared with brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": oracle.QUALITY,
+    "op5_minhash_near_dedup": oracle.NEAR_DUPLICATES,
+    "op8_suffix_array_dedup": oracle.SUFFIXES,
+}
