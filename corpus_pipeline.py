@@ -8,6 +8,8 @@ import public_tokenizers
 from stowage.llm import bpe, minhash_dedup, mixing, secrets, toxicity
 from stowage.llm.common import cut, read
 
+#: Near copies in the corpus are pairs at a Jaccard similarity of 0.8 or more; op5's query has its own 0.85.
+NEAR_PERCENT = 80
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -18,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the least doc_id; repeated rows of it are one document."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

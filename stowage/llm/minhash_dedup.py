@@ -2,8 +2,8 @@
 
 Each text has a MinHash signature over its five-word shingles. Texts are posted
 under (coordinate, value) pairs, rarest pair first: two signatures that agree in
-at least MATCHES of COORDINATES coordinates share a pair among the first
-COORDINATES - MATCHES + 1 of either (prefix merging), so the common pairs, which
+at least m = matches(percent) of COORDINATES coordinates share a pair among the
+first COORDINATES - m + 1 of either (prefix merging), so the common pairs, which
 make the long lists, are mostly skipped. The texts of a list meet at its hub,
 the text whose pairs are the most common, and links are confirmed on full sets.
 """
@@ -11,6 +11,7 @@ the text whose pairs are the most common, and links are confirmed on full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -21,14 +22,25 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut
 from .textbytes import mix, shingle_sets
 
-#: Signature length, and the least agreement of a candidate pair. A pair at a
-#: similarity of 0.85 agrees in fewer than 15 of 32 with a chance below 1e-7.
-COORDINATES, MATCHES = 32, 15
+#: Signature length, and the chance at most with which a pair just at the similarity agrees in too few coordinates.
+COORDINATES, MISS = 32, 1e-7
 #: Linked when 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 85
 #: Groups beyond this many texts are compared in blocks of at most this size.
 BLOCK = 256
 
+
+def matches(percent: int) -> int:
+    """The least agreement of a candidate pair: as many coordinates as a pair at percent misses with a chance below MISS."""
+    p, missed, m = percent / 100, 0.0, 0
+    while m < COORDINATES:
+        missed += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if missed >= MISS:
+            break
+        m += 1
+    return max(m, 1)
+
+
 _XOR = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _MUL = mix(_XOR) | np.uint64(1)
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, pairs array<long>"
@@ -146,8 +158,8 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNED)
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """(pair, doc_id, weight): each text under the rarest of its pairs that a partner must share.
+def postings(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(pair, doc_id, weight): each text under the rarest of its pairs that a partner at percent must share.
 
     A pair that only one text has is passed over but counts towards the prefix,
     so a text with many of its own needs no posting at all.
@@ -155,7 +167,7 @@ def postings(reps: DataFrame) -> DataFrame:
     one = reps.select("doc_id", F.explode("pairs").alias("pair"))
     common = one.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
     own = one.join(common, "pair").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("p"))
-    keep = F.lit(COORDINATES - MATCHES + 1) - (F.lit(COORDINATES) - F.size("p"))
+    keep = F.lit(COORDINATES - matches(percent) + 1) - (F.lit(COORDINATES) - F.size("p"))
     return own.where(keep > 0).select("doc_id", F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("weight"), F.explode(F.slice("p", F.lit(1), keep)).alias("x")).select(F.col("x.pair").alias("pair"), "doc_id", "weight")
 
 
@@ -167,7 +179,7 @@ def hub_members(posted: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between texts with different sets, enough of them to join whatever all links join."""
-    members = cut(hub_members(postings(reps)))
+    members = cut(hub_members(postings(reps, percent)))
     # A merge join whatever the size: what it moves is then in proportion to the input.
     texts = cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     sizes = members.groupBy("hub").agg(F.count("*").alias("n"))
