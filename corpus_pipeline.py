@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from stowage.llm import bpe, minhash_dedup, mixing, secrets, toxicity
@@ -30,13 +31,18 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of the mix; every document stays."""
+    """Documents in the order of the mix, which encode gives back as slot and place; every document stays."""
     return mixing.in_mix_order(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
-    return bpe.encode_digests(docs, VOCABULARY, public_tokenizers.PATTERN)
+    """Token counts and digests of every document that is left, with slot and place, in the order of the mix."""
+    options = mixing.mix_options(docs)
+    if options is None:
+        raise ValueError("the documents aren't mixed: no stage says in which order they go")
+    digests = cut(bpe.encode_digests(docs, VOCABULARY, public_tokenizers.PATTERN))  # a sort reads its input twice
+    placed = digests.join(mixing.order_of(docs, **options), F.col("doc_id").eqNullSafe(F.col("_mix_doc"))).drop("_mix_doc")
+    return placed.orderBy("slot", "place")
 
 
 STAGES = [

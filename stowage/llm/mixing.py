@@ -9,6 +9,8 @@ keeps every source within one block of its share at every point of the mix.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -95,8 +97,25 @@ def mixed(docs: DataFrame, source: str = "source", targets: dict[str, float] | N
     return placed.join(plan, ["source", "block"]).select("doc_id", "source", "block", "slot", "place")
 
 
+def order_of(docs: DataFrame, **options) -> DataFrame:
+    """(_mix_doc, slot, place): the place of each doc_id in the mix; rows of one doc_id have one place, by their least source."""
+    one = docs.groupBy("doc_id").agg(F.min("source").alias("source"))
+    return mixed(one, **options).select(F.col("doc_id").alias("_mix_doc"), "slot", "place")
+
+
 def in_mix_order(docs: DataFrame, **options) -> DataFrame:
-    """docs in the order of the mix: files by ranges of slots, rows by slot and place; every row once, all columns."""
-    where = mixed(docs.select("doc_id", "source").dropDuplicates(["doc_id"]), **options).select(F.col("doc_id").alias("_mix_doc"), F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place"))
+    """docs in the order of the mix: files by ranges of slots, rows by slot and place; every row once, all columns.
+
+    The order doesn't outlast a table of many files, so the column doc_id says
+    in its metadata by which options the rows were mixed; see mix_options.
+    """
+    where = order_of(docs, **options).select("_mix_doc", F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place"))
     joined = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_mix_doc")))
-    return joined.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*docs.columns)
+    placed = joined.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*docs.columns)
+    return placed.withMetadata("doc_id", {"mix": json.dumps(options)})
+
+
+def mix_options(docs: DataFrame) -> dict | None:
+    """The options by which in_mix_order made docs, also after a table was written and read; None if it didn't."""
+    metadata = docs.schema["doc_id"].metadata or {}
+    return json.loads(metadata["mix"]) if "mix" in metadata else None

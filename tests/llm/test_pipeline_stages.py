@@ -3,8 +3,9 @@
 import itertools
 
 import corpus_pipeline
-from stowage.llm import minhash_dedup
-from stowage.llm.common import read
+import pytest
+from stowage.llm import minhash_dedup, mixing
+from stowage.llm.common import cut, read
 
 from .test_operators import brute_sets
 
@@ -42,3 +43,17 @@ def test_near_copies_at_80_percent_go(spark, sf_dir):
 
 def test_matches_follow_the_percent():
     assert [minhash_dedup.matches(p) for p in (50, 80, 85, 100)] == [2, 12, 15, 32]
+
+
+def test_the_mix_reaches_the_result(spark, sf_dir, monkeypatch):
+    docs = read(spark, sf_dir, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = cut(stages["source_mixing"](spark, docs, sf_dir))
+    got = stages["byte_bpe"](spark, mixed, sf_dir).select("doc_id", "slot", "place").collect()
+    want = sorted(mixing.mixed(docs).collect(), key=lambda r: (r.slot, r.place))
+    assert [tuple(r) for r in got] == [(r.doc_id, r.slot, r.place) for r in want]
+    few = cut(mixing.in_mix_order(docs, min_block=1))
+    assert [r.doc_id for r in stages["byte_bpe"](spark, few, sf_dir).collect()] != [r.doc_id for r in want]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("minhash_near_dedup", "byte_bpe")])
+    with pytest.raises(ValueError):
+        corpus_pipeline.run(spark, sf_dir)
