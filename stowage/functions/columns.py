@@ -153,7 +153,9 @@ def format_bytes(n: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
-    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms"))).otherwise(F.concat(F.format_string("%.1f", ms / 1000.0), F.lit("s")))
+    s = ms / 1000.0
+    s = F.when((s * 4) % 2 == 1, s + 0.01).otherwise(s)  # a tie goes up; format_number would take the even digit
+    return F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit("ms"))).otherwise(F.concat(F.call_function("format_number", s, F.lit("0.0")), F.lit("s")))
 
 
 def format_rate(n: Column, ms: Column) -> Column:

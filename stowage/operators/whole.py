@@ -1,0 +1,94 @@
+"""Operators on every row of the tables, where the query that is compared with SQL takes a part of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixtures as fx
+from ..functions import columns as c
+from ..registry import query
+from .aggregations import committed_stats
+from .dag import check_declared, dag_order, dag_stats, dedupe_blocks, missing_blocks
+from .joins import aggregate_assets, gap_fill, verify_blocks
+from .packing import validate_members
+from .windows import stride_sample
+
+
+def _order(spark, d):
+    """The order below each root, which is a parent that is no child."""
+    links = fx.links(spark, d, whole=True)
+    roots = links.select("parent").distinct().join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
+    return dag_order(links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
+
+
+@query("dg1_verify_blocks_whole")
+def dg1(spark, d):
+    return verify_blocks(fx.blocks(spark, d, whole=True)).select("node", "valid")
+
+
+@query("dg2_dedupe_blocks_whole")
+def dg2(spark, d):
+    return dedupe_blocks(fx.links(spark, d, whole=True).select(F.substring("parent", 1, 1).alias("root"), F.col("child").alias("node"), F.col("link_index").alias("pos")))
+
+
+@query("dg3_dag_order_whole")
+def dg3(spark, d):
+    return _order(spark, d).select("root", "node", "place")
+
+
+@query("dg4_missing_blocks_whole")
+def dg4(spark, d):
+    return missing_blocks(_order(spark, d).where("node <> root"), fx.blocks(spark, d, whole=True))
+
+
+@query("dg5_dag_stats_whole")
+def dg5(spark, d):
+    return dag_stats(_order(spark, d), fx.blocks(spark, d, whole=True))
+
+
+@query("dg6_declared_roots_whole")
+def dg6(spark, d):
+    g = fx.links(spark, d, whole=True).groupBy("parent").agg(F.collect_list("child").alias("roots"))
+    return check_declared(g.select(F.col("parent").alias("p"), F.concat(F.lit("p"), F.substring("parent", 2, 20)).alias("id"), "roots")).select(F.col("p").alias("id"), "category")
+
+
+@query("fn2_raw_block_url_whole")
+def fn2(spark, d):
+    return fx.blocks(spark, d, whole=True).select("node", c.raw_block_url(F.lit("https://g/"), F.col("node")).alias("url"))
+
+
+@query("pk7_validate_members_whole")
+def pk7(spark, d):
+    return validate_members(fx.blocks(spark, d, whole=True), fx.links(spark, d, whole=True).select(F.col("parent").alias("bin"), F.col("child").alias("node")))
+
+
+@query("jn18_gap_fill_whole")
+def jn18(spark, d):
+    nodes = fx.links(spark, d, whole=True).select(F.col("child").alias("node")).distinct()
+    other = nodes.where("node LIKE '%1'").select("node", F.col("node").cast("binary").alias("bytes"), F.sha2(F.col("node").cast("binary"), 256).alias("digest"))
+    return gap_fill(nodes, fx.blocks(spark, d, whole=True), other)
+
+
+@query("jn5_aggregate_assets_whole")
+def jn5(spark, d):
+    return aggregate_assets(fx.aggregate_members(spark, d), fx.sub_piece_members(spark, d))
+
+
+@query("wn2_stride_sample_members_whole")
+def wn2(spark, d):
+    on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
+    assets = aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d))
+    return stride_sample(assets, ["aggregate_idx", "place"], 25).select("aggregate_idx", "member_cid", "idx")
+
+
+@query("ag5_committed_stats_whole")
+def ag5(spark, d):
+    on = fx.ledger(spark, d).select(F.col("root").alias("idx"))
+    local = fx.read(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("cid"))
+    return committed_stats(on, fx.aggregate_members(spark, d), fx.sub_piece_members(spark, d), local)
+
+
+@query("fn6_format_whole")
+def fn6(spark, d):
+    n = F.col("raw_size")
+    return fx.objects(spark, d).select("object_id", c.format_bytes(n).alias("size"), c.format_duration(n).alias("duration"))
