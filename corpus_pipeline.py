@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from stowage.llm import bpe, minhash_dedup, mixing, secrets, toxicity
-from stowage.llm.common import cut, read
+from stowage.llm.common import cut, read, with_keys
 
 #: Near copies in the corpus are pairs at a Jaccard similarity of 0.8 or more; op5's query has its own 0.85.
 NEAR_PERCENT = 80
@@ -20,9 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id; repeated rows of it are one document."""
-    kept = minhash_dedup.near_duplicates(docs, NEAR_PERCENT).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group stays, the one with the least doc_id; repeated rows of it are one document, rows without a doc_id are each one."""
+    keyed, _ = with_keys(docs)
+    found = minhash_dedup.near_duplicates(keyed.select(F.col("_row_key").alias("doc_id"), "text"), NEAR_PERCENT)
+    kept = found.where("kept").select(F.col("doc_id").alias("_row_key")).distinct()
+    return keyed.join(kept, "_row_key", "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,17 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_keys(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs with _row_key: the doc_id, or a number of its own above every doc_id for a row without one; and the greatest doc_id, None where no row lacks one."""
+    none = docs.where("doc_id IS NULL")
+    if none.isEmpty():
+        return docs.withColumn("_row_key", F.col("doc_id")), None
+    most = docs.agg(F.max("doc_id")).first()[0]
+    most = -1 if most is None else most
+    own = cut(none.withColumn("_row_key", F.monotonically_increasing_id() + F.lit(most + 1)))
+    return docs.where("doc_id IS NOT NULL").withColumn("_row_key", F.col("doc_id")).unionByName(own), most
+
+
 def words_of(text: Column) -> Column:
     """The array of words `[^\\x20\\x09-\\x0D]+`; none for null or blank text."""
     trimmed = F.btrim(text, F.lit(SPACES))

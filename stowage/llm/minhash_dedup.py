@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, with_keys
 from .textbytes import mix, shingle_sets
 
 #: Signature length, and the chance at most with which a pair just at the similarity agrees in too few coordinates.
@@ -210,11 +210,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     and are kept. component_id is the least doc_id that links reach. Texts with
     one set are one class and joined by its digest, so copies are never paired.
     A repeated doc_id is repeated in the result; other columns are not read.
+    A row without a doc_id is a document of its own, and comes after all ids: one
+    of a group of such rows is kept, and its component_id is null.
     """
+    keyed, most = with_keys(docs.select("doc_id", "text"))
+    docs = keyed.select(F.col("_row_key").alias("doc_id"), "text")
     every = cut(signed(docs))
     classes = every.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = cut(every.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "pairs"))
     found = connected_components(cut(links(docs, reps, percent)))
     joined = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", "n_shingles", "set_a", "set_b").join(joined, ["set_a", "set_b", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if most is None:
+        return out
+    given = lambda c: F.when(F.col(c) <= most, F.col(c)).alias(c)
+    return out.select(given("doc_id"), "n_shingles", given("component_id"), "kept")

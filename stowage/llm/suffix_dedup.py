@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_keys
 from .textbytes import BYTE_VALUES, flat, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 200, 32
@@ -474,8 +474,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     covers it also starts anywhere else, in another text or the same one,
     overlaps included; strings are judged on the input. n_spans counts maximal
     removed runs. Texts under 200 bytes lose nothing, so an empty table gives an
-    empty result. Equal rows count as two texts, so each goes whole.
+    empty result. Equal rows count as two texts, so each goes whole, and so do
+    rows without a doc_id.
     """
+    every, most = with_keys(docs.select("doc_id", "text"))
+    docs = every.select(F.col("_row_key").alias("doc_id"), "text")
     spans = repeated_spans(docs)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
-    return keyed.join(spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = keyed.join(spans, ["doc_id", "tid"], "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out if most is None else out.withColumn("doc_id", F.when(F.col("doc_id") <= most, F.col("doc_id")))
