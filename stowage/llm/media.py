@@ -34,6 +34,9 @@ MAGIC = {
     b"ftyp": ("mp4", 4),
     b"ID3": ("mp3", 0),
 }
+#: Media type of each kind.
+TYPES = {"wav": "audio/wav", "png": "image/png", "gif": "image/gif", "jpeg": "image/jpeg", "bmp": "image/bmp", "flac": "audio/flac", "ogg": "audio/ogg", "mp4": "video/mp4", "mp3": "audio/mpeg"}
+UNKNOWN = "application/octet-stream"
 
 
 def _wav(b: bytes, at: int) -> int:
@@ -222,7 +225,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             samples = np.frombuffer(payload, np.uint8)
             zero = int(np.count_nonzero(np.diff(np.signbit(samples.astype(np.int16) - 128))))
             mean = int(samples.sum(dtype=np.int64)) // max(1, len(samples))
-            corrected = "audio/wav" if outer[0] == "wav" else declared or "application/octet-stream"
+            corrected = TYPES.get(outer[0]) or (UNKNOWN if declared in TYPES.values() else declared or UNKNOWN)
             feature = f"type={corrected};was={declared};samples={len(samples)};mean={mean};crossings={zero};inner={','.join(f'{k}:{a}:{b}' for k, a, b in inner)}"
             for column, value in zip(out, (outer[0], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), len(stored), hashlib.sha256(stored).hexdigest(), len(inner), feature)):
                 column.append(value)
@@ -236,7 +239,9 @@ def sniff_media(stored: DataFrame) -> DataFrame:
 
     An object whose signature doesn't validate is of kind "unknown" and its own
     payload; null media is empty. n_inner counts validated objects inside the
-    outer one. Equal media give equal values; an empty table an empty result.
+    outer one. The feature's type is that of the kind; media of kind "unknown"
+    keep a declared type only if it is none that sniffing would have found.
+    Equal media give equal values; an empty table an empty result.
     """
     schema = "doc_id long, n_bytes long, kind string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_inner long, feature string"
     return stored.select("doc_id", "n_bytes", "media", "declared").mapInArrow(_read, schema)
