@@ -7,8 +7,10 @@ containers hold the article on all its pages, and these are extracted again.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,21 +33,30 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CONTAINERS = frozenset("article main section div td body".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"}
 IMPLIED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-SKIPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|sidebar\w*|side-bar|menu\w*|nav\w*|breadcrumb\w*|footer\w*|header|masthead|comments?|comment-\w+|disqus\w*|replies|"
-    r"cookie\w*|consent\w*|gdpr|notice\w*|notification\w*|alert|popup\w*|modal\w*|newsletter\w*|subscribe\w*|signup|share\w*|social\w*|related\w*|recommend\w*|widget\w*|login|search|pagination|pager|toolbar|skip-link)(?:$|[\s_-])",
-    re.I,
+# Class and id tokens of boilerplate. A whole token has to be one of these, or one with a number after it.
+SKIPPED_TOKENS = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense ad-slot ad-banner ad-container adbox sponsor sponsored promo promotion banner sidebar side-bar menu main-menu nav navbar navigation main-nav "
+    "breadcrumb breadcrumbs footer site-footer page-footer header site-header page-header masthead comment comments comment-list comments-area comment-form comments-section disqus disqus_thread replies "
+    "cookie cookies cookie-banner cookie-notice cookie-consent consent gdpr notice notification notifications alert popup modal newsletter newsletter-signup subscribe signup share sharing share-buttons social social-share "
+    "social-links related related-posts related-articles related-links recommended recommendations widget widgets login login-form search search-form pagination pager toolbar skip-link".split()
 )
+COMMENT_TOKENS = frozenset("comment comments comment-body comment-list user-comment reader-comment".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 
+#: A tag up to the > that ends it: a quote counts only where a value begins.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+)>""")
+#: The same where a value's quote is never closed: the tag ends at the first >.
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""([^\s=/>][^\s=/>]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 
-@dataclass
+
+@dataclass(slots=True)
 class Node:
-    """An open or closed element that may hold the article: its path, and the blocks of text in it."""
+    """An element that may hold the article: a digest of its path, its own name, its depth, and the blocks of text in it."""
 
     path: str
+    name: str
     depth: int
     start: int
     end: int = -1
@@ -59,142 +70,212 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """(generalised name, skipped): tag.class.class without digits; whether its names or role mark boilerplate."""
-    names, hidden = "", False
+def _named(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+    """(generalised name, skipped): tag.class.class without digits; whether its element, role or a whole class or id token marks boilerplate.
+
+    The article, main and body elements themselves are no boilerplate by their
+    classes, but for articles that are comments. Inside one of the first two
+    (`inside`) the element's tokens must be boilerplate as a whole; outside, a
+    token's first part, before a - or _, is enough.
+    """
+    if not attributes:
+        return tag, tag in SKIPPED
+    hidden = tag in SKIPPED
+    tokens: list[str] = []
     classes = ""
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), html.unescape(value.strip("\"'"))
+        name = name.lower()
+        value = html.unescape(value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value)
         if name == "class":
             classes = value
         if name in ("class", "id"):
-            names += " " + value
+            tokens += value.lower().split()
         elif name == "role":
             hidden |= value.lower() in SKIPPED_ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             hidden = True
     general = sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})
-    return ".".join([tag, *general]), hidden or tag in SKIPPED or bool(names and tag not in ("body", "html", "article", "main") and SKIPPED_NAMES.search(names)) or bool(names and tag == "article" and re.search(r"(?i)(?:^|[\s_-])comment", names))
+    if not hidden and tokens:
+        plain = [t.rstrip("0123456789").rstrip("-_") for t in tokens]
+        if tag in ("article", "main", "body", "html"):
+            hidden = tag == "article" and not COMMENT_TOKENS.isdisjoint(plain)
+        else:
+            hidden = not SKIPPED_TOKENS.isdisjoint(plain) or (not inside and not SKIPPED_TOKENS.isdisjoint(re.split("[-_]", t)[0] for t in plain))
+    return ".".join([tag, *general]), hidden
 
 
-def parse(source: str) -> Page:
-    """Blocks of text outside boilerplate, and the containers with the range of blocks that each holds.
+def _digest(parent: str, name: str) -> str:
+    return hashlib.blake2b(f"{parent}/{name}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
-    Unclosed elements end with their parent; a tag, comment or script cut off by
-    the end of the page has no text.
-    """
-    page = Page()
-    stack: list[tuple[str, str, bool, Node | None]] = []  # tag, path, skipped, container
-    text: list[str] = []
-    links = block_links = 0
-    at, n = 0, len(source)
-    skipped = 0
-
-    def close_block() -> None:
-        nonlocal block_links
-        line = " ".join("".join(text).split())
-        text.clear()
+
+class _Parser:
+    """Reads tags in order; keeps the open elements, running totals of text, and a digest of the path instead of the path."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.page = Page()
+        self.stack: list[tuple[str, str, bool, Node | None]] = []  # tag, path digest, skipped, container
+        self.open: Counter[str] = Counter()
+        self.text: list[str] = []
+        self.skipped = self.links = self.block_links = self.chars = self.linked = 0
+
+    def close_block(self) -> None:
+        line = " ".join("".join(self.text).split())
+        self.text.clear()
         if line:
-            page.blocks.append(line)
-            for _, _, _, node in stack:
-                if node is not None:
-                    node.chars += len(line)
-                    node.linked += min(len(line), block_links)
-        block_links = 0
-
-    def pop() -> None:
-        nonlocal skipped, links
-        tag, _, skip, node = stack[-1]
-        if tag in BLOCKS and not skipped:
-            close_block()
-        stack.pop()
-        skipped -= skip
-        links -= tag == "a"
+            self.page.blocks.append(line)
+            self.chars += len(line)
+            self.linked += min(len(line), self.block_links)
+        self.block_links = 0
+
+    def pop(self) -> None:
+        tag, _, skip, node = self.stack[-1]
+        if tag in BLOCKS and not self.skipped:
+            self.close_block()
+        self.stack.pop()
+        self.open[tag] -= 1
+        self.skipped -= skip
+        self.links -= tag == "a"
         if node is not None:
-            node.end = len(page.blocks)
-
-    while at < n:
-        m = _TOKEN.match(source, at)
-        if m is None or (m.group() == "<" and re.match(r"</?[a-zA-Z]", source[at : at + 3])):
-            break  # a tag that the end of the page cuts off
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            piece = m.group()
-            if piece.startswith("<![CDATA["):
-                piece = piece[9:-3]
-            elif piece[0] == "<" and len(piece) > 1:
-                continue
-            if not skipped:
-                piece = html.unescape(piece)
-                text.append(piece)
-                if links:
-                    block_links += len(piece)
-            continue
-        tag = tag.lower()
-        if m.group(1):
-            if any(s[0] == tag for s in stack):
-                if tag in BLOCKS or tag in CONTAINERS or not any(s[0] in BLOCKS for s in stack[max(i for i, s in enumerate(stack) if s[0] == tag) :]):
-                    while stack[-1][0] != tag:
-                        pop()
-                    pop()
-            continue
+            node.end, node.chars, node.linked = len(self.page.blocks), self.chars - node.chars, self.linked - node.linked
+
+    def pop_through(self, i: int) -> None:
+        while len(self.stack) > i:
+            self.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag: closes the nearest such element; an inline one doesn't close a block around which it was left open."""
+        if not self.open[tag]:
+            return
+        inline = tag not in BLOCKS and tag not in CONTAINERS
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                return self.pop_through(i)
+            if inline and self.stack[i][0] in BLOCKS:
+                return
+
+    def close_implied(self, tags: tuple[str, ...], limits) -> None:
+        """Closes the nearest open element of tags unless one of limits lies in between."""
+        if not any(self.open[t] for t in tags):
+            return
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in tags:
+                return self.pop_through(i)
+            if self.stack[i][0] in limits:
+                return
+
+    def begin(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            text.append(" ")
-            continue
+            self.text.append(" ")
+            return
         if tag in VOID:
-            if tag == "hr" and not skipped:
-                close_block()
-            continue
+            if tag == "hr" and not self.skipped:
+                self.close_block()
+            return
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+            self.close_implied(("p",), BLOCKS)
         if tag in IMPLIED:
-            same = ("td", "th") if tag in ("td", "th") else ("dd", "dt") if tag in ("dd", "dt") else (tag,)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in IMPLIED[tag]:
-                    break
-        if tag in BLOCKS and not skipped:
-            close_block()
-        name, skip = _named(tag, m.group(3))
-        path = f"{stack[-1][1]}/{name}" if stack else name
+            self.close_implied(("td", "th") if tag in ("td", "th") else ("dd", "dt") if tag in ("dd", "dt") else (tag,), IMPLIED[tag])
+        if tag in BLOCKS and not self.skipped:
+            self.close_block()
+        name, skip = _named(tag, attributes, self.open["article"] + self.open["main"] > 0)
+        if attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
+            return
+        path = _digest(self.stack[-1][1] if self.stack else "", name)
         node = None
-        if tag in CONTAINERS and not skip and not skipped and len(stack) < 200:
-            node = Node(path, len(stack), len(page.blocks))
-            page.nodes.append(node)
-        if m.group(3).rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
-            continue
-        stack.append((tag, path, skip, node))
-        skipped += skip
-        links += tag == "a"
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}", re.I).search(source, at)
-            at = end.start() if end else n
-    while stack:
-        pop()
-    close_block()
-    return page
+        if tag in CONTAINERS and not skip and not self.skipped:
+            node = Node(path, name, len(self.stack), len(self.page.blocks), chars=self.chars, linked=self.linked)
+            self.page.nodes.append(node)
+        self.stack.append((tag, path, skip, node))
+        self.open[tag] += 1
+        self.skipped += skip
+        self.links += tag == "a"
+
+    def piece(self, piece: str) -> None:
+        if not self.skipped:
+            piece = html.unescape(piece)
+            self.text.append(piece)
+            if self.links:
+                self.block_links += len(piece)
+
+    def run(self) -> Page:
+        source, n, at = self.source, len(self.source), 0
+        while at < n:
+            lt = source.find("<", at)
+            if lt != at:
+                lt = n if lt < 0 else lt
+                self.piece(source[at:lt])
+                at = lt
+                continue
+            after = source[at + 1 : at + 3]
+            if after[:1] in ("!", "?") or (after[:1] == "/" and not after[1:].isalpha() and len(after) > 1):
+                at = self.markup(at)
+                continue
+            m = _TAG.match(source, at) or _OPEN_TAG.match(source, at)
+            if m is None:
+                if re.match(r"/?[a-zA-Z]", after):
+                    break  # a tag that the end of the page cuts off
+                self.piece("<")
+                at += 1
+                continue
+            at = m.end()
+            tag = m[2].lower()
+            if m[1]:
+                self.close(tag)
+                continue
+            self.begin(tag, m[3])
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                at = end.start() if end else n
+        self.pop_through(0)
+        self.close_block()
+        return self.page
+
+    def markup(self, at: int) -> int:
+        """The end of a comment, declaration or other <! or <? at `at`; character data is text."""
+        source = self.source
+        if source.startswith("<!--", at):
+            if source.startswith((">", "->"), at + 4):
+                return source.index(">", at) + 1
+            end = _COMMENT_END.search(source, at + 4)
+            return end.end() if end else len(source)
+        if source.startswith("<![CDATA[", at) and (end := source.find("]]>", at)) >= 0:
+            self.piece(source[at + 9 : end])
+            return end + 3
+        end = source.find(">", at)
+        return end + 1 if end >= 0 else len(source)
+
+
+def parse(source: str) -> Page:
+    """Blocks of text outside boilerplate, and the containers with the range of blocks that each holds.
+
+    Unclosed elements end with their parent. A tag ends as browsers end it: a
+    quote matters only where an attribute's value begins with it, and one that
+    is never closed doesn't hold back the first >. A tag, comment or script cut
+    off by the end of the page has no text. Time and memory are in proportion to
+    the page however deep its elements are nested.
+    """
+    return _Parser(source).run()
+
+
+_NAMED_ARTICLE = re.compile(r"(?i)article|content|post|entry|story|text|body")
+
+
+def _bonus(node: Node) -> float:
+    """article and main need less of the page's text than others, and so do containers with a class that says so."""
+    tag, _, classes = node.name.partition(".")
+    if tag in ("article", "main") or re.search("article|main", classes):
+        return 1.5
+    return 1.25 if node.depth and _NAMED_ARTICLE.search(node.name) else 1.0
 
 
 def best_container(page: Page) -> Node | None:
-    """The deepest container with most of the page's text outside links; article and main need less of it than others."""
-    if not page.nodes:
-        return None
+    """The deepest container with most of the page's text outside links."""
     usable = lambda x: max(0, x.chars - 2 * x.linked)
-    most = max(map(usable, page.nodes))
+    most = max(map(usable, page.nodes), default=0)
     if not most:
         return None
-    bonus = lambda x: 1.5 if re.search(r"(?:article|main)[^/]*$", x.path) else 1.25 if re.search(r"(?i)/\w+[^/]*(?:article|content|post|entry|story|text|body)[^/]*$", x.path) else 1.0
-    good = [x for x in page.nodes if usable(x) * bonus(x) >= SHARE * most]
+    good = [x for x in page.nodes if usable(x) * 1.5 >= SHARE * most and usable(x) * _bonus(x) >= SHARE * most]
     return max(good, key=lambda x: (x.depth, usable(x)))
 
 
@@ -222,7 +303,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source in batch.column("html").to_pylist():
             best = best_container(parse(source or ""))
             paths.append(best.path if best else None)
-            scores.append(float(min(best.chars, 10_000)) if best else 0.0)
+            scores.append(float(best.chars) if best else 0.0)
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], ["host", "path", "score"])
 
 
@@ -246,7 +327,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     Blocks of the article are joined by \\n, white space in a block is one
     space, character references are decoded. Null or empty html has empty text.
     Pages without a host vote together; one on which the host's path has no text
-    uses its own best container. Repeated rows are extracted each.
+    uses its own best container. Repeated rows are extracted each; other columns
+    are not read, whatever their names.
     """
     winners = cut(host_paths(pages))
     if winners.count() <= BROADCAST_HOSTS:
