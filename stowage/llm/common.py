@@ -60,6 +60,34 @@ def with_keys(docs: DataFrame) -> tuple[DataFrame, int | None]:
     return docs.where("doc_id IS NOT NULL").withColumn("_row_key", F.col("doc_id")).unionByName(own), most
 
 
+def hash_sample(df: DataFrame, key: str, most: int, total: int, salt: str) -> DataFrame:
+    """About `most` of the `total` rows of df, by a 64-bit hash of key: all where there are no more, and as many of however large a table."""
+    if most >= total:
+        return df
+    bound = min((1 << 64) - 1, (most << 64) // total) - (1 << 63)
+    return df.where(F.xxhash64(key, F.lit(salt)) <= bound)
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL for body in which name stands for value, made once: a column that a lambda names may be computed again for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running_sums(array: str, block: int = 64) -> str:
+    """SQL for the running sums of an array of bigint.
+
+    Appending to an array copies it, so sums are made within blocks and then
+    over the blocks' totals: n * block + (n / block)^2 copies instead of n^2.
+    """
+    last = lambda a: f"coalesce(element_at({a}, -1), 0L)"
+    grow = lambda a, x: f"array_append({a}, coalesce(try_element_at({a}, -1), 0L) + {x})"
+    none = "cast(array() as array<bigint>)"
+    blocks = f"transform(sequence(0, cast(greatest(ceil(size(z) / {block}) - 1, 0) as int)), b -> aggregate(slice(z, b * {block} + 1, {block}), {none}, (acc, x) -> {grow('acc', 'x')}))"
+    tops = f"aggregate(bl, array(0L), (acc, b) -> {grow('acc', 'coalesce(try_element_at(b, -1), 0L)')})"
+    moved = "flatten(transform(bl, (b, i) -> transform(b, x -> x + top[i])))"
+    return let("z", array, let("bl", blocks, let("top", tops, moved)))
+
+
 def words_of(text: Column) -> Column:
     """The array of words `[^\\x20\\x09-\\x0D]+`; none for null or blank text."""
     trimmed = F.btrim(text, F.lit(SPACES))

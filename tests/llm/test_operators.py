@@ -117,7 +117,7 @@ def test_secrets(docs, no_docs):
 
 def test_random_strings(spark):
     docs = read(spark, "/root/testdata/sf0.01", "documents")
-    ratios = secrets.fit(docs)
+    ratios = secrets.fit(secrets.labelled_samples(docs))
     text = "see k9X2mQ7vR4tL8pW3zN6bY1cD5fG0hJ but not thereandheresomeofthemorning2 or user_account_identifier_3, password: swordfish1"
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.spans for r in secrets.scan(df, ratios).collect()} == {1: "random:4:34,assign:105:125".replace("105:125", f"{text.index('password')}:{len(text)}"), 2: ""}
