@@ -43,7 +43,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
-    return chat.window_digests(chat.windows(rows.unionByName(own)))
+    return chat.window_digests(chat.windows(rows.unionByName(own), VOCABULARY, public_tokenizers.PATTERN))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

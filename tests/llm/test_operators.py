@@ -189,36 +189,76 @@ def test_bpe(docs, no_docs):
     assert sorted((r.doc_id, bytes(r.bytes)) for r in back.collect()) == sorted((t.doc_id, (t.text or "").encode()) for t in texts)
 
 
-def test_stitch_raises_without_a_common_boundary():
-    with pytest.raises(ValueError):
-        bpe.stitch([(0, [3, 9]), (10, [15, 20])])
-    assert bpe.stitch([(0, [3, 9, 12]), (10, [11, 12, 20])]) == [3, 9, 12, 20]
-
-
 def conversations(spark, sf_dir):
     odd = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"), (-8, 0, "system", "be <|kind|>"), (-8, None, "assistant", None), (-9, 3, None, "x &amp; y"), (-9, 3, None, "x &amp; y")]
     odd += [(-10, i, "system" if i in (0, 5) else "assistant" if i % 2 else "user", f"turn {i} " + "word " * (i % 50)) for i in range(700)]
     return read(spark, sf_dir, "conversations").unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
 
 
-@pytest.mark.parametrize("budget", [chat.BUDGET, 40])
-def test_chat(spark, sf_dir, budget):
+def brute_windows(turns, size, budget, history):
+    """(first own turn, turns before it that are repeated, own turns) of each window, by the stated rules; size(i) are a turn's tokens."""
+    system = next((i for i, t in enumerate(turns) if t[1] == "system"), None)
+    out = []
+    for i in range(len(turns)):
+        if i % chat.STRETCH and out and used + size(i) <= budget:
+            out[-1][2].append(i)
+            used += size(i)
+            continue
+        used = size(i) + (size(system) if system is not None and system < i else 0)
+        past, spent = i, 0
+        while past > max(0, i - history):
+            more = 0 if past - 1 == system else size(past - 1)
+            if spent + more > max(0, min(budget // 4, budget - used)):
+                break
+            past, spent = past - 1, spent + more
+        used += spent
+        before = ([system] if system is not None and system < i else []) + [j for j in range(past, i) if j != system]
+        out.append((i, before, [i]))
+    return out
+
+
+@pytest.mark.parametrize("budget, history", [(chat.BUDGET, chat.HISTORY), (120, 2), (120, 3), (40, 0)])
+def test_chat(spark, sf_dir, budget, history):
     df = conversations(spark, sf_dir)
     by = defaultdict(list)
     for r in df.collect():
         by[r.conv_id].append((-(1 << 62) if r.turn is None else r.turn, r.role or "", r.text or ""))
-    windows = chat.windows(df, budget)
+    windows = chat.windows(df, VOCABULARY, PATTERN, budget, history)
     got = {r.conv_id: r for r in chat.window_digests(windows).collect()}
     assert got.keys() == by.keys()
+    formatted = defaultdict(list)
+    for r in windows.collect():
+        formatted[r.conv_id].append(r)
+    count = lambda text: len(bpe.codec(VOCABULARY, PATTERN).encoding.encode_ordinary(text))
     for c, turns in by.items():
         turns.sort()
         loss = "".join(t for _, r, t in turns if r == "assistant")
         r = got[c]
         assert (r.n_turns, r.turns_sha256) == (len(turns), sha("".join(f"{r}\n{t}\n" for _, r, t in turns)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
-    long = sorted(windows.where("conv_id = -10").collect(), key=lambda r: r.window)
-    assert (len(long) > 1) and all(r.n_context >= 2 and "turn 0" in r.formatted for r in long[2:])
-    assert chat.window_digests(chat.windows(df.limit(0))).collect() == []
+        pieces = [f"<|{esc(r)}|>{esc(t)}</s>\n" for _, r, t in turns]
+        sizes = [count(p) for p in pieces]
+        want = brute_windows(turns, sizes.__getitem__, budget - count("<s>"), history)
+        for w, (first, before, own) in zip(sorted(formatted[c], key=lambda w: w.window), want, strict=True):
+            assert (w.window, w.n_context, w.formatted) == (first, len(before), "<s>" + "".join(pieces[i] for i in before + own))
+            assert w.n_tokens == count("<s>") + sum(sizes[i] for i in before + own)
+            assert w.n_tokens <= budget or len(own) == 1
+            masked = [chat.unescape(w.formatted[s.a : s.b]) for s in w.loss]
+            assert masked == [turns[i][2] for i in own if turns[i][1] == "assistant"]
+    assert chat.window_digests(chat.windows(df.limit(0), VOCABULARY, PATTERN)).collect() == []
+
+
+def esc(text):
+    for bare, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("[", "&lsq;"), ("]", "&rsq;"), ("|", "&bar;")):
+        text = text.replace(bare, reference)
+    return text
+
+
+def test_given_conversations_are_split(spark):
+    """At the query's budget many conversations have several windows, and some repeat an assistant's turn, masked."""
+    rows_ = chat.windows(read(spark, "/root/testdata/sf0.01", "conversations"), VOCABULARY, PATTERN).collect()
+    later = [r for r in rows_ if r.window]
+    assert len(later) > 20 and any("<|assistant|>" in r.formatted[: r.loss[0].a if r.loss else None].rsplit("<|assistant|>", 1)[0] for r in later if r.n_context)
 
 
 def test_repeats(docs, no_docs, monkeypatch):
