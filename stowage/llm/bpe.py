@@ -81,13 +81,24 @@ def ranks(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _chunks(chunk: int, overlap: int):
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, row, text in zip(*(batch.column(c) for c in ("doc_id", "row", "text"))):
+                text = text.as_py() or ""
+                last = max(0, -(-(len(text) - overlap) // chunk) - 1)
+                for at in range(0, last + 1, 64):
+                    ks = range(at, min(at + 64, last + 1))
+                    same = [pa.array([x.as_py()] * len(ks), pa.int64()) for x in (doc_id, row)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(ks, pa.int64()), pa.array([last] * len(ks), pa.int64()), pa.array([text[k * chunk : (k + 1) * chunk + overlap] for k in ks], pa.string())], ["doc_id", "row", "k", "last", "text"])
+
+    return split
+
+
 def chunk_rows(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, row, k, last, text): the chunks of each text; chunk k begins at character k * chunk and reaches overlap characters into the next."""
-    text = F.coalesce("text", F.lit(""))
-    last = F.greatest(F.ceil((F.length("text") - overlap) / chunk) - 1, F.lit(0))
-    return docs.select("doc_id", "row", text.alias("text")).withColumn("last", last).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select(
-        "doc_id", "row", "k", "last", F.substring(F.col("text"), (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("text")
-    )
+    # Spark's substring walks from the text's start for each chunk; slices of a Python string don't.
+    return docs.select("doc_id", "row", "text").mapInArrow(_chunks(chunk, overlap), "doc_id long, row long, k long, last long, text string")
 
 
 def boundaries(split: regex.Pattern, text: str, at: int, final: bool) -> list[int]:
