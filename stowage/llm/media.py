@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,76 +40,114 @@ TYPES = {"wav": "audio/wav", "png": "image/png", "gif": "image/gif", "jpeg": "im
 UNKNOWN = "application/octet-stream"
 
 
-def _wav(b: bytes, at: int) -> int:
-    """End of the RIFF/WAVE object at `at`: chunks must fill the declared length exactly and hold fmt and data."""
-    if b[at + 8 : at + 12] != b"WAVE":
-        return -1
-    end, seen, p = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), set(), at + 12
-    if end > len(b):
+def _follow(step, state, known: dict):
+    """The end of the walk state -> step(state) -> ..., which gives an end, a next state or None (a failure).
+
+    What a state leads to is remembered, so walks that run into one another, as
+    from false signatures in a row, cost no more than one.
+    """
+    path = []
+    while state not in known:
+        path.append(state)
+        following = step(state)
+        if not isinstance(following, tuple):
+            known[state] = -1 if following is None else following
+            break
+        state = following
+    end = known[state]
+    known.update(dict.fromkeys(path, end))
+    return end
+
+
+def _wav(b: bytes, at: int, known: dict) -> int:
+    """End of the RIFF/WAVE object at `at`: chunks with printable names fill the declared length exactly, fmt and data among them."""
+    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
+    if b[at + 8 : at + 12] != b"WAVE" or end > len(b):
         return -1
-    while p + 8 <= end:
-        seen.add(b[p : p + 4])
+
+    def step(state):
+        p, seen, stop = state
+        name = b[p : p + 4]
+        if p + 8 > stop:
+            return p if p == stop and seen == 3 else None
+        if not (name.isascii() and name.decode("ascii").isprintable()):
+            return None
         size = int.from_bytes(b[p + 4 : p + 8], "little")
-        p += 8 + size + size % 2
-    return end if p == end and {b"fmt ", b"data"} <= seen else -1
+        return (p + 8 + size + size % 2, seen | (name == b"fmt ") | (name == b"data") << 1, stop)
+
+    return _follow(step, (at + 12, 0, end), known)
 
 
-def _png(b: bytes, at: int) -> int:
-    p = at + 8
-    if b[p + 4 : p + 8] != b"IHDR":
+def _png(b: bytes, at: int, known: dict) -> int:
+    """Chunks from IHDR to IEND; only a chain that reaches its end by lengths has its checksums compared, each chunk once."""
+    if b[at + 12 : at + 16] != b"IHDR":
         return -1
-    while p + 12 <= len(b):
+
+    def step(state):
+        (p,) = state
         size = int.from_bytes(b[p : p + 4], "big")
-        if p + 12 + size > len(b) or zlib.crc32(b[p + 4 : p + 8 + size]) != int.from_bytes(b[p + 8 + size : p + 12 + size], "big"):
-            return -1
-        if b[p + 4 : p + 8] == b"IEND":
-            return p + 12
-        p += 12 + size
-    return -1
+        if p + 12 + size > len(b):
+            return None
+        return p + 12 if b[p + 4 : p + 8] == b"IEND" else (p + 12 + size,)
+
+    def sound(state):
+        _, p, stop = state
+        if p >= stop:
+            return stop
+        size = int.from_bytes(b[p : p + 4], "big")
+        if zlib.crc32(memoryview(b)[p + 4 : p + 8 + size]) != int.from_bytes(b[p + 8 + size : p + 12 + size], "big"):
+            return None
+        return ("sum", p + 12 + size, stop)
+
+    end = _follow(step, (at + 8,), known)
+    return _follow(sound, ("sum", at + 8, end), known) if end > 0 else -1
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, known: dict) -> int:
+    """Blocks up to the trailer, of which one at least is an image."""
     if len(b) < at + 13:
         return -1
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-    images = 0
-    while p < len(b):
+
+    def step(state):
+        p, inside, images = state
+        if p >= len(b):
+            return None
+        if inside:  # sub-blocks up to an empty one
+            return (p + b[p] + 1, b[p] > 0, images)
         if b[p] == 0x3B:
-            return p + 1 if images else -1
+            return p + 1 if images else None
         if b[p] == 0x21:
-            p += 2
-        elif b[p] == 0x2C and p + 10 < len(b):
-            images += 1
-            p += 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0)
-        else:
-            return -1
-        while p < len(b) and b[p]:
-            p += b[p] + 1
-        p += 1
-    return -1
-
-
-def _jpeg(b: bytes, at: int) -> int:
-    p, frame = at + 2, False
-    while p + 4 <= len(b) and b[p] == 0xFF:
+            return (p + 2, True, images)
+        if b[p] == 0x2C and p + 10 < len(b):
+            return (p + 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0), True, True)
+        return None
+
+    return _follow(step, (at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0), False, False), known)
+
+
+def _jpeg(b: bytes, at: int, known: dict) -> int:
+    """Segments with their lengths, then coded data up to the next marker, to the end marker; with a frame header before it."""
+
+    def step(state):
+        p, coded, frame = state
+        if coded:
+            p = b.find(b"\xff", p)
+            if p < 0 or p + 1 >= len(b):
+                return None
+            if b[p + 1] == 0xD9:
+                return p + 2 if frame else None
+            return (p + 2, True, frame) if b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7 else (p, False, frame)
+        if p + 4 > len(b) or b[p] != 0xFF:
+            return None
         kind, size = b[p + 1], int.from_bytes(b[p + 2 : p + 4], "big")
         if size < 2 or kind in (0x00, 0xD9):
-            return -1
-        frame |= 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)
-        p += 2 + size
-        if kind == 0xDA:
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b):
-                if b[p + 1] == 0xD9:
-                    return p + 2 if frame else -1
-                if b[p + 1] != 0 and not 0xD0 <= b[p + 1] <= 0xD7:
-                    break
-                p += 2
-            if p < 0:
-                return -1
-    return -1
-
-
-def _bmp(b: bytes, at: int) -> int:
+            return None
+        return (p + 2 + size, kind == 0xDA, frame or (0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC)))
+
+    return _follow(step, (at + 2, False, False), known)
+
+
+def _bmp(b: bytes, at: int, known: dict) -> int:
     if len(b) < at + 30:
         return -1
     size, _, start, header = struct.unpack_from("<IIII", b, at + 2)
@@ -116,44 +155,50 @@ def _bmp(b: bytes, at: int) -> int:
     return at + size if ok and int.from_bytes(b[at + 26 : at + 28], "little") == 1 else -1
 
 
-def _flac(b: bytes, at: int) -> int:
-    p, first = at + 4, True
-    while p + 4 <= len(b):
-        kind, size = b[p], int.from_bytes(b[p + 1 : p + 4], "big")
-        if (first and (kind & 127 or size != 34)) or kind & 127 > 6 or p + 4 + size > len(b):
-            return -1
-        p, first = p + 4 + size, False
-        if kind & 128:
-            return len(b)  # frames have no outer length
-    return -1
+def _flac(b: bytes, at: int, known: dict) -> int:
+    """STREAMINFO, then metadata blocks up to the last one; frames have no outer length."""
+    if len(b) < at + 42 or b[at + 4] & 127 or b[at + 5 : at + 8] != b"\0\0\x22":
+        return -1
+
+    def step(state):
+        (p,) = state
+        size = int.from_bytes(b[p + 1 : p + 4], "big")
+        if p + 4 + size > len(b) or p + 4 > len(b) or b[p] & 127 > 6:
+            return None
+        return len(b) if b[p] & 128 else (p + 4 + size,)
+
+    return _follow(step, (at + 4,), known)
 
 
-def _ogg(b: bytes, at: int) -> int:
-    p = at
-    while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and b[p + 4] == 0:
+def _ogg(b: bytes, at: int, known: dict) -> int:
+    """Pages up to one that says it is the last."""
+
+    def step(p):
+        if b[p : p + 4] != b"OggS" or p + 27 > len(b) or b[p + 4]:
+            return None
         table = b[p + 27 : p + 27 + b[p + 26]]
         end = p + 27 + b[p + 26] + sum(table)
         if len(table) < b[p + 26] or end > len(b):
-            return -1
-        last = b[p + 5] & 4
-        p = end
-        if last:
-            return p
-    return -1
+            return None
+        return end if b[p + 5] & 4 else (end,)
+
+    return _follow(lambda state: step(*state), (at,), known)
+
 
+def _mp4(b: bytes, at: int, known: dict) -> int:
+    """Boxes one after another from ftyp on, moov among them."""
 
-def _mp4(b: bytes, at: int) -> int:
-    p, kinds = at, []
-    while p + 8 <= len(b):
+    def step(state):
+        p, moov = state
         size, kind = int.from_bytes(b[p : p + 4], "big"), b[p + 4 : p + 8]
-        if size < 8 or p + size > len(b) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        p += size
-    return p if kinds[:1] == [b"ftyp"] and b"moov" in kinds else -1
+        if p + 8 > len(b) or size < 8 or p + size > len(b) or not kind.isalnum():
+            return p if moov else None
+        return (p + size, moov or kind == b"moov")
+
+    return _follow(step, (at, False), known) if b[at + 4 : at + 8] == b"ftyp" else -1
 
 
-def _mp3(b: bytes, at: int) -> int:
+def _mp3(b: bytes, at: int, known: dict) -> int:
     size = b[at + 6 : at + 10]
     if len(size) < 4 or max(size) > 127 or b[at + 3] not in (2, 3, 4):
         return -1
@@ -175,9 +220,10 @@ def _automaton() -> ahocorasick.Automaton:
 def carve(stored: bytes, automaton: ahocorasick.Automaton | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each object that validates, in order; one may lie inside another."""
     out = []
+    known: dict[str, dict] = defaultdict(dict)
     for end, (kind, back, size) in (automaton or _automaton()).iter(stored.decode("latin-1")):
         start = end + 1 - size - back
-        if start >= 0 and (stop := _VALIDATORS[kind](stored, start)) > start:
+        if start >= 0 and (stop := _VALIDATORS[kind](stored, start, known[kind])) > start:
             out.append((kind, start, stop))
     return sorted(out, key=lambda x: (x[1], -x[2]))
 

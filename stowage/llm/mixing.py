@@ -5,11 +5,16 @@ source with target share w may start once k / w of the mix is out and must be
 out by (k + 1) / w; where a source has run out, the others share its part. Of
 the blocks that may start, the one with the earliest deadline goes next, which
 keeps every source within one block of its share at every point of the mix.
+
+Sources that don't fill a block can't be a block off, so they are scheduled
+together, as one source with the sum of their shares. The schedule then has a
+bounded number of sources and blocks however many sources there are.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +28,39 @@ MAX_BLOCKS = 4096
 MIN_BLOCK = 16
 #: Default target shares are document counts to this power, normalised.
 TEMPER = 0.7
-#: Ranges of the hash by which the documents of one source are ranked, so that a large source is many tasks.
-RANGES = 1024
+#: Documents of one range of the hash by which a source's documents are ranked, so that a large source is many tasks; ranges at least.
+PER_RANGE, RANGES = 50_000, 1024
+#: The name under which sources below one block are scheduled; it can't be that of a source, as null stands for it.
+POOL = None
 _EPS = 1e-7
 
 
-def ranked(docs: DataFrame, source: str = "source") -> DataFrame:
-    """(doc_id, text_key, source, rank): a 0-based place of each document in its source, in order of a hash.
+def ranked(docs: DataFrame, lane: str = "lane", total: int = 0) -> DataFrame:
+    """docs with rank: a 0-based place of each document in its lane, in order of a hash; null is a lane too.
 
-    Counts per source and hash range are added up, then ranks are made within a
-    range, so a source of any share is ranked by many tasks.
+    Counts per lane and hash range are added up, then ranks are made within a
+    range; ranges grow with the total, so a lane of any share is ranked by many
+    tasks.
     """
-    keyed = docs.select("doc_id", F.coalesce(F.col(source), F.lit("")).alias("source"), F.xxhash64("doc_id", F.lit(9)).alias("h"))
-    keyed = keyed.withColumn("range", F.shiftrightunsigned("h", 54).cast("int") % RANGES)
-    counts = keyed.groupBy("source", "range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id")
-    return keyed.withColumn("r", F.row_number().over(inside)).join(offsets, ["source", "range"]).select("doc_id", "source", (F.col("n0") + F.col("r") - 1).alias("rank"))
+    bits = max(RANGES, total // PER_RANGE).bit_length()
+    keyed = docs.withColumn("h", F.xxhash64("doc_id", F.lit(9))).withColumn("range", F.shiftrightunsigned("h", 64 - bits))
+    counts = keyed.groupBy(lane, "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(lane).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(lane).alias("l"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy(lane, "range").orderBy("h", "doc_id")
+    joined = keyed.withColumn("i", F.row_number().over(inside)).join(offsets, F.col(lane).eqNullSafe(F.col("l")) & (F.col("range") == F.col("r")))
+    return joined.select(*docs.columns, (F.col("n0") + F.col("i") - 1).alias("rank"))
+
+
+def block_size(total: int, max_blocks: int = MAX_BLOCKS, min_block: int = MIN_BLOCK) -> int:
+    """Documents of a block, in a mix of total."""
+    return max(min_block, 1, -(-total // max_blocks))
+
+
+def lanes(shares: DataFrame, size: int) -> DataFrame:
+    """(source, n, share, docs) with the sources of fewer than size documents as one source POOL."""
+    lane = F.when(F.col("n") >= size, F.col("source")).otherwise(F.lit(POOL))
+    return shares.groupBy(lane.alias("source")).agg(F.sum("n").alias("n"), F.sum("share").alias("share"), F.max("docs").alias("docs"))
 
 
 def source_shares(docs: DataFrame, source: str = "source", targets: dict[str, float] | None = None, temper: float = TEMPER) -> DataFrame:
@@ -59,10 +79,11 @@ def source_shares(docs: DataFrame, source: str = "source", targets: dict[str, fl
 def schedule(shares: DataFrame, max_blocks: int = MAX_BLOCKS, min_block: int = MIN_BLOCK) -> DataFrame:
     """(source, block, slot, block_size): the slot of every block of every source.
 
-    At most max_blocks full blocks and one part-filled block for each source, so
-    the schedule is one row of bounded size, folded slot by slot.
+    At most max_blocks full blocks and one part-filled block for each source; of
+    lanes() these are at most max_blocks + 1 sources, so the schedule is one row
+    of bounded size, folded slot by slot.
     """
-    sized = shares.withColumn("block_size", F.greatest(F.lit(min_block), F.ceil(F.col("docs") / max_blocks)).cast("long")).withColumn("blocks", F.ceil(F.col("n") / F.col("block_size")).cast("int"))
+    sized = shares.withColumn("block_size", F.greatest(F.lit(min_block), F.lit(1), F.ceil(F.col("docs") / max_blocks)).cast("long")).withColumn("blocks", F.ceil(F.col("n") / F.col("block_size")).cast("int"))
     sources = F.array_sort(F.collect_list(F.struct("source", "blocks", "share", (F.col("blocks") / F.col("share")).alias("over"))))
     one = sized.groupBy("block_size").agg(sources.alias("s"))
     # Time runs in slots: a source adds its share to the pace until it is used up, at `over`.
@@ -87,14 +108,18 @@ def mixed(docs: DataFrame, source: str = "source", targets: dict[str, float] | N
     Ordering by slot, place gives the mix. Each row comes once: target shares
     hold until a source runs out, and among the others after it. Null sources
     are one source ""; repeated rows have places of their own; an empty table
-    gives an empty result. Only doc_id and the source column are read.
+    gives an empty result. Sources below one block share blocks, in hashed
+    order. Only doc_id and the source column are read.
     """
-    plan = F.broadcast(schedule(source_shares(docs, source, targets), max_blocks, min_block))  # at most max_blocks + sources rows
-    size = F.greatest(F.lit(min_block), F.lit(1))
-    rows = ranked(docs, source)
-    sizes = F.broadcast(docs.agg(F.greatest(size, F.ceil(F.count("*") / max_blocks)).cast("long").alias("bs")))
-    placed = rows.join(sizes).withColumn("block", F.floor(F.col("rank") / F.col("bs"))).withColumn("place", F.col("rank") % F.col("bs"))
-    return placed.join(plan, ["source", "block"]).select("doc_id", "source", "block", "slot", "place")
+    shares = cut(source_shares(docs, source, targets))  # a row for each source
+    total = shares.agg(F.max("docs")).first()[0] or 0
+    size = block_size(total, max_blocks, min_block)
+    plan = F.broadcast(schedule(lanes(shares, size), max_blocks, min_block).withColumnRenamed("source", "s").withColumnRenamed("block", "b"))
+    large = F.broadcast(shares.where(F.col("n") >= size).select(F.col("source").alias("lane")))  # at most max_blocks rows, and so is the plan twice
+    rows = docs.select("doc_id", F.coalesce(F.col(source), F.lit("")).alias("source"))
+    rows = ranked(rows.join(large, F.col("source") == F.col("lane"), "left"), "lane", total)
+    placed = rows.withColumn("block", F.floor(F.col("rank") / size)).withColumn("place", F.col("rank") % size)
+    return placed.join(plan, F.col("lane").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select("doc_id", "source", "block", "slot", "place")
 
 
 def order_of(docs: DataFrame, **options) -> DataFrame:
@@ -109,9 +134,10 @@ def in_mix_order(docs: DataFrame, **options) -> DataFrame:
     The order doesn't outlast a table of many files, so the column doc_id says
     in its metadata by which options the rows were mixed; see mix_options.
     """
-    where = order_of(docs, **options).select("_mix_doc", F.col("slot").alias("_mix_slot"), F.col("place").alias("_mix_place"))
-    joined = docs.join(where, F.col("doc_id").eqNullSafe(F.col("_mix_doc")))
-    placed = joined.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*docs.columns)
+    own = "_mix" + uuid.uuid4().hex[:8]  # no column of docs
+    where = order_of(docs, **options).select(F.struct("_mix_doc", "slot", "place").alias(own))
+    joined = docs.join(where, docs["doc_id"].eqNullSafe(F.col(f"{own}._mix_doc")))
+    placed = joined.repartitionByRange(f"{own}.slot", f"{own}.place").sortWithinPartitions(f"{own}.slot", f"{own}.place").select(*docs.columns)
     return placed.withMetadata("doc_id", {"mix": json.dumps(options)})
 
 
