@@ -1,10 +1,11 @@
 """Toxicity from a weighted finite-state grammar over clauses.
 
-Tokens are tagged insult, threat, target, negation, report or other; transducers
-for negation, reported speech and targets rewrite the tags of a clause one after
-another (composed, they run in one pass). What comes out are matched clauses, an
-insult plain, aimed, negated or reported, and their weights are learned from
-labels, as is the insult lexicon.
+Tokens are tagged insult, threat, target, negation, report, quote or other.
+Three weighted transducers read these tags: negation and reported speech lower
+the weight of a cue, a target raises it. They are composed into one, whose arcs
+carry the product of the weights, and each clause is read by it once. A cue's
+path through it gives its weight; the model scores these weights alone. The
+insult lexicon and the model are learned from labels, each from its own half.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop, hash_sample
+
 #: Labelled rows the model is fitted on at most, a hashed sample of all of them.
 FIT_ROWS = 20_000
 #: Lexicon: least toxic texts with a feature (or a third of the root of all of them), least smoothed log-odds of it, most entries.
@@ -36,45 +39,139 @@ TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n\"»«„“”]")
 STOPS = frozenset(".!?;\n")
 QUOTES = frozenset("\"»«„“”")
 PREFIXES = (4, 5, 6, 7)
-PATHS = ("insult", "insult+target", "insult+negated", "insult+reported", "threat", "threat+target", "threat+negated", "threat+reported")
+#: What a path multiplies a cue's weight by for each of these on it, and the weights of a threat; an insult's is its log-odds.
+NEGATED, REPORTED, AIMED, THREAT = 0.3, 0.4, 1.5, 0.5
+#: Tokens within which a negation turns a cue that follows, and a target aims one that follows or precedes.
+NEGATION_SPAN, TARGET_SPAN = 3, 4
+TAGS = ("insult", "threat", "target", "neg", "report", "quote", "other")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Rewrites tags from left to right: arcs[(state, tag)] = (next state, tag written); any other tag keeps the state or, after `span` tokens, leaves it."""
+    """Weighted arcs (state, tag read) -> (next state, tag written, weight), one for each state and tag; weights add up along a path."""
 
-    arcs: dict[tuple[int, str], tuple[int, str]]
-    span: int
+    start: object
+    arcs: dict[tuple[object, str], tuple[object, str, float]]
 
-    def run(self, tags: list[str]) -> list[str]:
-        state, left, out = 0, 0, []
+    def run(self, tags: list[str]) -> list[tuple[str, float]]:
+        state, out = self.start, []
         for tag in tags:
-            arc = self.arcs.get((state, tag))
-            if arc is not None:
-                state, tag = arc
-                left = self.span
-            elif state:
-                left -= 1
-                state = state if left > 0 else 0
-            out.append(tag)
+            state, tag, weight = self.arcs[state, tag]
+            out.append((tag, weight))
         return out
 
 
-#: A negation turns the cue within three tokens after it.
-NEGATION = Transducer({(0, "neg"): (1, "neg"), (1, "insult"): (0, "insult+negated"), (1, "threat"): (0, "threat+negated")}, 3)
-#: A verb of saying or an opening quote turns cues until the clause ends or the quote closes.
-REPORT = Transducer({(0, "report"): (1, "report"), (0, "quote"): (2, "quote"), (2, "quote"): (0, "quote"), (1, "insult"): (1, "insult+reported"), (2, "insult"): (2, "insult+reported"), (1, "threat"): (1, "threat+reported"), (2, "threat"): (2, "threat+reported")}, 1 << 30)
-#: A target aims the cue within four tokens; run once in each direction.
-TARGET = Transducer({(0, "target"): (1, "target"), (1, "target"): (1, "target"), (1, "insult"): (0, "insult+target"), (1, "threat"): (0, "threat+target")}, 4)
+def is_cue(tag: str) -> bool:
+    return tag.startswith(("insult", "threat"))
+
+
+def explore(start, read: list[str], arc) -> Transducer:
+    """The transducer of the states that are reached from start, where arc(state, tag) gives an arc."""
+    arcs, todo = {}, [start]
+    while todo:
+        state = todo.pop()
+        if (state, read[0]) in arcs:
+            continue
+        for tag in read:
+            arcs[state, tag] = arc(state, tag)
+            todo.append(arcs[state, tag][0])
+    return Transducer(start, arcs)
+
+
+def compose(first: Transducer, second: Transducer, read: tuple[str, ...] = TAGS) -> Transducer:
+    """The transducer that does in one pass what second does with what first writes; its weights are the sums."""
+
+    def arc(state, tag):
+        one, two = state
+        one, between, w1 = first.arcs[one, tag]
+        two, written, w2 = second.arcs[two, between]
+        return (one, two), written, w1 + w2
+
+    return explore((first.start, second.start), list(read), arc)
+
+
+def negation(read: tuple[str, ...]) -> Transducer:
+    """The state is for how many tokens more a cue is negated."""
+
+    def arc(left, tag):
+        if tag == "neg":
+            return NEGATION_SPAN, tag, 0.0
+        if is_cue(tag) and left:
+            return 0, f"{tag}+negated", math.log(NEGATED)
+        return max(left - 1, 0), tag, 0.0
+
+    return explore(0, list(read), arc)
+
+
+def reported_speech(read: tuple[str, ...]) -> Transducer:
+    """After a verb of saying all cues of the clause are reported, after an opening quote those up to the closing one."""
+
+    def arc(state, tag):
+        if tag == "quote" and state != "said":
+            return ("quoted" if state == "own" else "own"), tag, 0.0
+        if tag == "report" and state == "own":
+            return "said", tag, 0.0
+        if is_cue(tag) and state != "own":
+            return state, f"{tag}+reported", math.log(REPORTED)
+        return state, tag, 0.0
+
+    return explore("own", list(read), arc)
 
 
-def compose(tags: list[str]) -> list[str]:
-    tags = TARGET.run(REPORT.run(NEGATION.run(tags)))
-    return TARGET.run(tags[::-1])[::-1]
+def targets(read: tuple[str, ...]) -> Transducer:
+    """The state is for how many tokens more a target aims the next cue, or is looked for behind the last one.
+
+    A target behind a cue writes "aims": its weight is that of the last cue's path.
+    """
+
+    def arc(state, tag):
+        recent, open_cue = state
+        if tag == "target":
+            return (TARGET_SPAN, 0), "aims" if open_cue else tag, math.log(AIMED) if open_cue else 0.0
+        if is_cue(tag):
+            return ((0, 0), f"{tag}+target", math.log(AIMED)) if recent else ((0, TARGET_SPAN), tag, 0.0)
+        return (max(recent - 1, 0), max(open_cue - 1, 0)), tag, 0.0
+
+    return explore((0, 0), list(read), arc)
+
+
+_CUES = ("insult", "threat")
+_AFTER_NEGATION = (*TAGS, *(f"{c}+negated" for c in _CUES))
+_AFTER_REPORT = (*_AFTER_NEGATION, *(f"{c}+reported" for c in _CUES), *(f"{c}+negated+reported" for c in _CUES))
+NEGATION, REPORT, TARGET = negation(TAGS), reported_speech(_AFTER_NEGATION), targets(_AFTER_REPORT)
+#: The whole grammar as one transducer.
+CLAUSE = compose(compose(NEGATION, REPORT), TARGET)
+
+
+def _table(t: Transducer) -> list[dict[str, tuple[int, str, float]]]:
+    """Arcs by number of state (0: the start), with weights as factors."""
+    number = {t.start: 0}
+    for state, _ in t.arcs:
+        number.setdefault(state, len(number))
+    rows: list[dict] = [{} for _ in number]
+    for (state, tag), (following, written, weight) in t.arcs.items():
+        rows[number[state]][tag] = (number[following], written, math.exp(weight))
+    return rows
+
+
+_ARCS = _table(CLAUSE)
+
+
+def clause_paths(tags: list[str], weights: list[float]) -> list[list]:
+    """[place, path, weight] of each cue of a clause that the grammar accepts."""
+    state, out = 0, []
+    for i, tag in enumerate(tags):
+        state, written, factor = _ARCS[state][tag]
+        if written == "aims":
+            out[-1][1] += "+target"
+            out[-1][2] *= factor
+        elif is_cue(written):
+            out.append([i, written, weights[i] * factor])
+    return out
 
 
 class Grammar:
-    """Tags tokens by the learned lexicon (token or prefix to weight) and the fixed lists; sums clause paths."""
+    """Tags tokens by the learned lexicon (token or prefix to weight) and the fixed lists; sums the paths of clauses."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.whole = {k[1:]: w for k, w in lexicon.items() if k[0] == "="}
@@ -92,14 +189,12 @@ class Grammar:
             self.memory[token] = found
         return found
 
-    def features(self, text: str) -> list[float]:
+    def clauses(self, text: str) -> tuple[int, list[list[tuple[str, str, float]]]]:
+        """(number of tokens, the (token, path, weight) of the cues of each clause that has one)."""
         tokens = TOKEN.findall(text.lower())
         memory, weight, threats = self.memory, self.weight, _THREATS
         cues = [i for i, t in enumerate(tokens) if t in threats or (memory[t] if t in memory else weight(t)) > 0]
-        paths: Counter[str] = Counter()
-        total = best = 0.0
-        distinct = set()
-        clauses, done = 0, -1
+        out, done = [], -1
         for i in cues:
             if i <= done:
                 continue
@@ -112,25 +207,28 @@ class Grammar:
             clause = tokens[a : b + 1]
             weights = [weight(t) for t in clause]
             tags = ["insult" if w > 0 else "quote" if t in QUOTES else self.fixed.get(t, "other") for t, w in zip(clause, weights)]
-            score = 0.0
-            for t, w, tag in zip(clause, weights, compose(tags)):
-                if tag in _PATHS:
-                    paths[tag] += 1
-                    if w > 0:
-                        score += w
-                        distinct.add(t)
-            clauses += 1
-            total += score
-            best = max(best, score)
-        n = max(1, len(tokens))
+            weights = [THREAT if tag == "threat" else w for tag, w in zip(tags, weights)]
+            out.append([(clause[k], path, w) for k, path, w in clause_paths(tags, weights)])
+        return len(tokens), out
+
+    def features(self, text: str) -> list[float]:
+        """What the model scores: sums of path weights, none of which a word has by itself."""
+        n, found = self.clauses(text)
+        sums = [sum(w for _, _, w in c) for c in found]
+        strongest: dict[str, float] = {}
+        for clause in found:
+            for token, _, w in clause:
+                strongest[token] = max(strongest.get(token, 0.0), w)
+        threats = sum(w for c in found for _, path, w in c if path[0] == "t")
+        total, n = sum(sums), max(1, n)
+        strong = sum(w for w in strongest.values())
         return [
-            *(math.log1p(paths[p]) for p in PATHS),
-            math.log1p(total), best, math.log1p(len(distinct)), math.log1p(clauses),
-            math.log(n), math.log1p(100.0 * total / n), math.log1p(sum(paths.values())) * math.log(n) / 10, float(not cues),
+            math.log1p(total), max(sums, default=0.0), math.log1p(strong), math.log1p(threats), math.log1p(sum(min(s, 1.0) for s in sums)),
+            math.log(n), math.log1p(100.0 * total / n), math.log1p(total) * math.log(n) / 10, float(not total),
         ]
 
 
-_PATHS, _THREATS = frozenset(PATHS), frozenset(THREATS)
+_THREATS = frozenset(THREATS)
 
 
 @dataclass(frozen=True)
@@ -173,27 +271,27 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> Model:
     """A model from labelled rows that aren't held out, at most about `most` of them, taken by hash.
 
-    Features of half of the sample make the lexicon and all of it the weights;
-    what reaches the driver is the lexicon, at most MAX_LEXICON entries, and a
-    short feature row for each sampled text. Without labels of both kinds every
-    score is the smoothed share of toxic rows.
+    One half of the sample makes the lexicon and the other, which the lexicon
+    hasn't seen, the weights; what reaches the driver is the lexicon, at most
+    MAX_LEXICON entries, and a short feature row for each text of the second
+    half. Without labels of both kinds every score is the smoothed share of toxic
+    rows.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    total = usable.count()
-    take = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, total)))).toPandas()
-    ids = F.broadcast(docs.sparkSession.createDataFrame(take.astype("int64"), "doc_id long, toxic int"))
-    sample = docs.select("doc_id", "text").join(ids, "doc_id").select("text", "toxic").persist()
-    try:
-        positive = int(take["toxic"].sum())
-        negative = len(take) - positive
-        counts = sample.mapInArrow(_doc_features, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("t"), F.sum("n").alias("n"))
-        odds = F.log((F.col("t") + 0.5) / (positive + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (negative + 1.0))
-        support = max(MIN_SUPPORT, round(math.sqrt(positive) / 3))
-        best = counts.where(f"t >= {support}").withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("w") * F.sqrt("t")), "feature").limit(MAX_LEXICON).collect()
-        lexicon = {r["feature"]: float(r["w"]) for r in best}
-        rows = sample.mapInArrow(_grammar_features(lexicon), "toxic int, features array<double>").toPandas()
-    finally:
-        sample.unpersist()
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
+    take = hash_sample(usable, "doc_id", most, usable.count(), "fit").withColumn("half", half).toPandas()
+    ids = F.broadcast(docs.sparkSession.createDataFrame(take.astype("int64"), "doc_id long, toxic int, half int"))
+    sample = cut(docs.select("doc_id", "text").join(ids, "doc_id").select("text", "toxic", "half"))
+    first = take[take["half"] == 0]
+    positive = int(first["toxic"].sum())
+    negative = len(first) - positive
+    counts = sample.where("half = 0").mapInArrow(_doc_features, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.expr("if(toxic = 1, n, 0)")).alias("t"), F.sum("n").alias("n"))
+    odds = F.log((F.col("t") + 0.5) / (positive + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (negative + 1.0))
+    support = max(MIN_SUPPORT, round(math.sqrt(positive) / 3))
+    best = counts.where(f"t >= {support}").withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS).orderBy(F.desc(F.col("w") * F.sqrt("t")), "feature").limit(MAX_LEXICON).collect()
+    lexicon = {r["feature"]: float(r["w"]) for r in best}
+    rows = sample.where("half = 1").mapInArrow(_grammar_features(lexicon), "toxic int, features array<double>").toPandas()
+    drop(sample)
     width = len(Grammar({}).features(""))
     x = np.array(rows["features"].tolist(), dtype=np.float64).reshape(-1, width)
     return Model(lexicon, *_logistic(x, rows["toxic"].to_numpy(dtype=np.float64)))

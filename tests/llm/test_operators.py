@@ -64,16 +64,58 @@ def test_quality_hosts(spark, no_docs):
     assert quality.quality_verdicts(no_docs).collect() == []
 
 
-def test_transducers():
+def test_clause_weights():
     g = toxicity.Grammar({"=fool": 3.0, "^idio": 2.0})
-    path = lambda text: {p for p, x in zip(toxicity.PATHS, g.features(text)) if x}
-    assert path("what a fool. nothing") == {"insult"}
-    assert path("you are a fool") == path("fool that you are") == {"insult+target"}
-    assert path("he is not a fool") == {"insult+target", "insult+negated"} or path("this is not a fool") == {"insult+negated"}
-    assert path("it was written and said fool") == {"insult+reported"}
-    assert path('the word " idiots " there') == {"insult+reported"}
-    assert path("we will kill you") == {"threat+target"}
-    assert path("") == path("nothing here") == set()
+    weight = lambda text: round(sum(w for c in g.clauses(text)[1] for _, _, w in c), 6)
+    paths = lambda text: [p for c in g.clauses(text)[1] for _, p, _ in c]
+    assert paths("what a fool. nothing") == ["insult"] and weight("what a fool") == 3
+    assert paths("you are a fool") == paths("fool that you are") == ["insult+target"] and weight("you are a fool") == 4.5
+    assert paths("this is not a fool") == ["insult+negated"] and weight("this is not a fool") == 0.9
+    assert paths("he said the fool") == ["insult+reported+target"] or paths("it was said fool") == ["insult+reported"]
+    assert paths("it was never said by a fool") == ["insult+reported"] and weight("it was said fool") == 1.2
+    assert paths("it was said and is not a fool") == ["insult+negated+reported"]
+    assert paths('the word " idiots " there, idiots') == ["insult+reported", "insult"]
+    assert paths("we will kill you") == ["threat+target"] and paths("to kill time") == ["threat"]
+    assert g.clauses("") == (0, []) and paths("nothing here") == []
+    assert weight("not you fool. fool") == weight("fool") + weight("not you fool")
+
+
+def test_composition_is_the_parts_in_turn():
+    """The one transducer writes and weighs what its parts do one after another, on every short clause and many long ones."""
+    import random
+
+    rng = random.Random(4)
+    clauses = [c for n in range(4) for c in itertools.product(toxicity.TAGS, repeat=n)] + [rng.choices(toxicity.TAGS, k=rng.randint(4, 40)) for _ in range(3000)]
+    for tags in clauses:
+        first = toxicity.NEGATION.run(list(tags))
+        second = toxicity.REPORT.run([t for t, _ in first])
+        third = toxicity.TARGET.run([t for t, _ in second])
+        got = toxicity.CLAUSE.run(list(tags))
+        assert [t for t, _ in got] == [t for t, _ in third]
+        assert all(abs(w - sum(p[i][1] for p in (first, second, third))) < 1e-12 for i, (_, w) in enumerate(got))
+        # And by plain rules for each cue, without transducers.
+        want = []
+        used = open_cue = None
+        quoted = said = False
+        negated = aimed = -100
+        for i, t in enumerate(tags):
+            if t == "neg":
+                negated = i
+            elif t == "quote" and not said:
+                quoted = not quoted
+            elif t == "report" and not quoted:
+                said = True
+            elif t == "target":
+                if open_cue is not None and i - open_cue <= 4:
+                    want[-1] *= 1.5
+                aimed, open_cue = i, None
+            elif t in ("insult", "threat"):
+                w = (0.3 if i - negated <= 3 else 1) * (0.4 if said or quoted else 1) * (1.5 if i - aimed <= 4 else 1)
+                open_cue = None if i - aimed <= 4 else i
+                negated = aimed = -100
+                want.append(w)
+        got = [w for _, _, w in toxicity.clause_paths(list(tags), [1.0] * len(tags))]
+        assert len(got) == len(want) and all(abs(a - b) < 1e-9 for a, b in zip(got, want)), (tags, got, want)
 
 
 def test_toxicity(spark, no_docs, odd_docs):
@@ -86,6 +128,11 @@ def test_toxicity(spark, no_docs, odd_docs):
     pairs = [(got[x.doc_id].predicted, x.toxic) for x in labels.collect() if got[x.doc_id].held_out]
     hit = sum(p and y for p, y in pairs)
     assert hit >= 0.9 * sum(y for _, y in pairs) and hit >= 0.95 * sum(p for p, _ in pairs)
+    # One insult counts most when aimed, less when reported, least when negated.
+    word = max((k for k in model.lexicon if k[0] == "="), key=model.lexicon.get)[1:]
+    ways = [f"you are a {word} and so on", f"this is a {word} and so on", f"it was said a {word} and so on", f"this is not a {word} and so on", "this is a thing and so on"]
+    scores = [r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(ways)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert scores == sorted(scores, reverse=True) and scores[0] > scores[3]
     assert len(toxicity.score(odd_docs, model).collect()) == odd_docs.count()
     assert toxicity.score(no_docs, model).collect() == []
     none = toxicity.fit(no_docs, labels.limit(0))
