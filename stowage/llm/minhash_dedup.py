@@ -5,7 +5,9 @@ under (coordinate, value) pairs, rarest pair first: two signatures that agree in
 at least m = matches(percent) of COORDINATES coordinates share a pair among the
 first COORDINATES - m + 1 of either (prefix merging), so the common pairs, which
 make the long lists, are mostly skipped. The texts of a list meet at its hub,
-the text whose pairs are the most common, and links are confirmed on full sets.
+the text whose pairs are the most common. There the coordinates in which two
+signatures collide are counted, pairs with m or more are retained, and these are
+confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -116,25 +118,42 @@ def _links(ids_a, ids_b, linked: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _small_group(percent: int):
+def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """In how many coordinates each signature of left agrees with each of right."""
+    out = np.zeros((len(left), len(right)), dtype=np.int16)
+    for j in range(COORDINATES):
+        out += left[:, j, None] == right[None, :, j]
+    return out
+
+
+def _confirmed(group: pd.DataFrame, left: np.ndarray, right: np.ndarray, percent: int, least: int, among: bool) -> pd.DataFrame:
+    """Links between the rows left and right of a group: retained by their collisions, then confirmed on full sets."""
+    ids, signatures = group["doc_id"].to_numpy(), np.stack(group["pairs"].to_numpy())
+    retained = (collisions(signatures[left], signatures[right]) >= least) & (ids[left][:, None] != ids[right][None, :])
+    if among:
+        retained = np.triu(retained, 1)
+    left_in, right_in = np.flatnonzero(retained.any(axis=1)), np.flatnonzero(retained.any(axis=0))
+    if not len(left_in):
+        return _links(ids, ids, np.zeros((0, 0), bool))
+    rows = np.union1d(left[left_in], right[right_in])
+    with np.errstate(over="ignore"):
+        sets = dict(zip(rows.tolist(), shingle_sets(pa.array(group["text"].iloc[rows]))))
+    linked = _linked([sets[i] for i in left[left_in].tolist()], [sets[i] for i in right[right_in].tolist()], percent)
+    return _links(ids[left[left_in]], ids[right[right_in]], linked & retained[np.ix_(left_in, right_in)])
+
+
+def _small_group(percent: int, least: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["doc_id"].to_numpy()
-        with np.errstate(over="ignore"):
-            sets = shingle_sets(pa.array(group["text"]))
-        return _links(ids, ids, np.triu(_linked(sets, sets, percent), 1))
+        every = np.arange(len(group))
+        return _confirmed(group, every, every, percent, least, True)
 
     return compare
 
 
-def _block(percent: int):
+def _block(percent: int, least: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         far = group["far"].to_numpy()
-        ids = group["doc_id"].to_numpy()
-        with np.errstate(over="ignore"):
-            sets = shingle_sets(pa.array(group["text"]))
-        left, right = np.flatnonzero(far), np.flatnonzero(~far)
-        linked = _linked([sets[i] for i in left], [sets[i] for i in right], percent)
-        return _links(ids[left], ids[right], linked & (ids[left][:, None] != ids[right][None, :]))
+        return _confirmed(group, np.flatnonzero(far), np.flatnonzero(~far), percent, least, False)
 
     return compare
 
@@ -181,15 +200,18 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     """(a, b): links between texts with different sets, enough of them to join whatever all links join."""
     members = cut(hub_members(postings(reps, percent)))
     # A merge join whatever the size: what it moves is then in proportion to the input.
-    texts = cut(docs.select("doc_id", "text").join(members.select("doc_id").distinct().hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
+    wanted = members.select("doc_id").distinct().join(reps.select("doc_id", "pairs"), "doc_id")
+    texts = cut(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"]))
     sizes = members.groupBy("hub").agg(F.count("*").alias("n"))
-    with_text = members.join(sizes.where(F.col("n") <= BLOCK), "hub").join(texts, "doc_id").select("hub", "doc_id", "text")
-    small = with_text.groupBy("hub").applyInPandas(_small_group(percent), "a long, b long")
+    with_text = members.join(sizes.where(F.col("n") <= BLOCK), "hub").join(texts, "doc_id").select("hub", "doc_id", "pairs", "text")
+    small = with_text.groupBy("hub").applyInPandas(_small_group(percent, matches(percent)), "a long, b long")
 
     large = members.join(sizes.where(F.col("n") > BLOCK), "hub")
-    hub_text = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"))
-    pairs = large.where("hub <> doc_id").join(texts, "doc_id").join(hub_text, "hub")
-    star = cut(pairs.select("hub", "doc_id", "text", "hub_text").mapInArrow(_star(percent), "hub long, doc_id long, linked boolean"))
+    hub_text = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"), F.col("pairs").alias("hub_pairs"))
+    met = large.where("hub <> doc_id").join(texts, "doc_id").join(hub_text, "hub")
+    retained = F.size(F.array_intersect("pairs", "hub_pairs")) >= matches(percent)
+    found = met.where(retained).select("hub", "doc_id", "text", "hub_text").mapInArrow(_star(percent), "hub long, doc_id long, linked boolean")
+    star = cut(found.union(met.where(~retained).select("hub", "doc_id", F.lit(False).alias("linked"))))
     # Two texts linked to the hub are joined already; a text that isn't meets every text of the group.
     far = star.where("not linked").groupBy("hub").agg(F.count("*").alias("n_far"))
     shape = large.select("hub", "n").distinct().join(far, "hub").select("hub", F.ceil(F.col("n") / BLOCK).alias("cols"), F.ceil(F.col("n_far") / BLOCK).alias("rows"))
@@ -197,7 +219,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = star.where("not linked").join(shape, "hub").select("hub", place(F.col("rows")).alias("i"), spread("cols").alias("j"), "doc_id", F.lit(True).alias("far"))
     cols = large.join(shape, "hub").select("hub", spread("rows").alias("i"), place(F.col("cols")).alias("j"), "doc_id", F.lit(False).alias("far"))
-    blocks = rows.unionByName(cols).join(texts, "doc_id").groupBy("hub", "i", "j").applyInPandas(_block(percent), "a long, b long")
+    blocks = rows.unionByName(cols).join(texts, "doc_id").groupBy("hub", "i", "j").applyInPandas(_block(percent, matches(percent)), "a long, b long")
     return small.union(blocks).union(star.where("linked").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
 
 

@@ -215,6 +215,20 @@ def test_near_duplicates_large_group(spark, no_docs, monkeypatch):
     assert minhash_dedup.near_duplicates(no_docs).collect() == []
 
 
+def test_collisions_decide(spark, monkeypatch):
+    """Pairs with fewer collisions than the threshold are never confirmed, however similar; the count itself is brute force's."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = (rng.integers(0, 3, (n, minhash_dedup.COORDINATES)).astype(np.int64) for n in (7, 5))
+    assert minhash_dedup.collisions(a, b).tolist() == [[sum(x == y for x, y in zip(p, q)) for q in b.tolist()] for p in a.tolist()]
+    words = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:100] + ["x"] + words[101:]))], "doc_id long, text string")
+    assert [r.component_id for r in minhash_dedup.near_duplicates(df).collect()] == [1, 1]
+    monkeypatch.setattr(minhash_dedup, "matches", lambda percent: minhash_dedup.COORDINATES)
+    assert sorted(r.component_id for r in minhash_dedup.near_duplicates(df).collect()) == [1, 2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (300, 200), (7, 7)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
