@@ -222,7 +222,7 @@ def test_collisions_decide(spark, monkeypatch):
     rng = np.random.default_rng(1)
     a, b = (rng.integers(0, 3, (n, minhash_dedup.COORDINATES)).astype(np.int64) for n in (7, 5))
     assert minhash_dedup.collisions(a, b).tolist() == [[sum(x == y for x, y in zip(p, q)) for q in b.tolist()] for p in a.tolist()]
-    words = [f"w{i}" for i in range(200)]
+    words = [f"v{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join("x" if i in (50, 100, 150) else w for i, w in enumerate(words)))], "doc_id long, text string")
     assert [r.component_id for r in minhash_dedup.near_duplicates(df).collect()] == [1, 1]
     monkeypatch.setattr(minhash_dedup, "matches", lambda percent: minhash_dedup.COORDINATES)
