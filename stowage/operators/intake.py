@@ -70,6 +70,11 @@ def _canonical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], k) for i, k in enumerate(kinds))], [x.split()[0] for x in _SCHEMA.split(", ")])
 
 
+def canonical_stream(ids: DataFrame) -> DataFrame:
+    """canonical, version, codec, hash_code, digest, valid of each row of ids (id): one pass without a shuffle, as a stream needs it."""
+    return ids.select("id").mapInArrow(_canonical, _SCHEMA)
+
+
 def canonicalize_ids(df: DataFrame, column: str, strict: bool = False) -> DataFrame:
     """df with canonical, version, codec, hash_code, digest, valid of its ids; strict takes canonical spellings only."""
     known = df.select(F.col(column).alias("id")).distinct().mapInArrow(_canonical, _SCHEMA)

@@ -25,11 +25,29 @@ def wn1(spark, d):
     return stride_sample(fx.objects(spark, d).select("object_id"), ["object_id"], 37)
 
 
-@query("wn2_stride_sample_members", "o AS (SELECT aggregate_idx, member_cid, row_number() OVER (ORDER BY aggregate_idx, segment_index, member_sort_order) - 1 AS idx, count(*) OVER () AS t FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid) WHERE aggregate_idx IN (SELECT root FROM ledger) AND aggregate_idx % 20 = 0) SELECT aggregate_idx, member_cid, idx FROM o WHERE idx IN (SELECT i * t // 25 FROM (SELECT unnest(range(25)) AS i), (SELECT any_value(t) AS t FROM o))")
+def nested_sample(rows: DataFrame, order: list, population: int, n: float) -> DataFrame:
+    """Rows at floor(i * population / n) of the walk over all memberships, i in 0..n-1, by a step that is a fraction; n is cut to a whole number.
+
+    population counts distinct members, so where one belongs to several
+    aggregates the walk ends before the last of them. All of the population is
+    taken if n isn't less. Targets meet the walk's places in one equi-join.
+    """
+    whole = n != n or n in (float("inf"), float("-inf")) or n >= population
+    count = population if whole else max(0, int(n))
+    step = population / count if count else 0.0
+    targets = rows.sparkSession.range(count).select(F.floor(F.col("id") * F.lit(step)).cast("long").alias("idx"))
+    return global_prefix(rows, order).drop("before").join(targets, "idx")
+
+
+_WALK = "o AS (SELECT aggregate_idx, member_cid, row_number() OVER (ORDER BY aggregate_idx, segment_index, member_sort_order) - 1 AS idx FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid) WHERE aggregate_idx IN (SELECT root FROM ledger)), p AS (SELECT count(DISTINCT member_cid) AS n FROM o)"
+
+
+@query("wn2_stride_sample_members", f"{_WALK} SELECT aggregate_idx, member_cid, idx FROM o JOIN (SELECT CAST(floor(i * (p.n::DOUBLE / least(25, p.n))) AS BIGINT) AS idx FROM p, (SELECT unnest(range(25)) AS i) AS r WHERE i < least(25, p.n)) AS t USING (idx)")
 def wn2(spark, d):
-    on = fx.ledger(spark, d).where("root % 20 = 0").select(F.col("root").alias("aggregate_idx"))
-    assets = aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d))
-    return stride_sample(assets, ["aggregate_idx", "place"], 25).select("aggregate_idx", "member_cid", "idx")
+    on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
+    assets = cut(aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d)))
+    population = assets.agg(F.countDistinct("member_cid")).first()[0]
+    return nested_sample(assets, ["aggregate_idx", "place"], population, 25.9).select("aggregate_idx", "member_cid", "idx")
 
 
 def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -46,24 +46,26 @@ def write_manifest(pieces: DataFrame, path: str, header: dict[str, str], shards:
 
 
 def save_state(tables: dict[str, DataFrame], path: str) -> str:
-    """All tables as one new version; readers see it once the pointer names it, so a failed write changes nothing."""
+    """All tables as one new version; readers see it once a pointer with the greatest number names it, so a failed write changes nothing."""
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT.{version}")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(fs_path, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    current = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    fs.delete(current, False)
-    fs.rename(fs_path, current)
+    number = max([n for n, _ in _pointers(spark, path)], default=0) + 1
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-{number:012d}-{version}")
+    pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(pointer, False).close()
     return version
 
 
+def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of the pointers in a state folder. A pointer is an empty file whose name says all, so none is ever replaced or half written."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted((int(n), v) for n, v in (f.getPath().getName().split("-")[1:] for f in found))
+
+
 def load_state(spark: SparkSession, path: str, name: str) -> DataFrame:
-    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    version = _pointers(spark, path)[-1][1]
     return spark.read.parquet(f"{path}/{version}/{name}")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixtures as fx
 from ..functions import columns as c
-from ..operators.intake import canonicalize_ids
+from ..operators.intake import canonical_stream
 from ..operators.joins import files_of, resolve_requests
 from ..operators.lifecycle import ALLOWED
 from ..operators.packing import append_aggregates
@@ -139,7 +139,6 @@ def st5(spark, d):
 
 @query("st6_intake_dedupe", "SELECT DISTINCT trim(line) AS id FROM lines WHERE trim(line) LIKE 'f0155%'")
 def st6(spark, d):
-    """Distinct canonical ids of a stream of lines, with exact state."""
+    """One id for each canonical form in a stream of lines, in the spelling that came first, with exact state."""
     s = as_stream(fx.lines(spark, d), "line_no")
-    ids = content_lines(s).where("id LIKE 'f0155%'").dropDuplicates(["id"]).select("id")
-    return canonicalize_ids(drain(ids).select("id"), "id", strict=False).where("valid").select("id")
+    return drain(canonical_stream(content_lines(s).select("id")).where("valid").dropDuplicates(["canonical"]).select("id")).select("id")
