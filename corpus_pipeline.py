@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from stowage.llm import bpe, minhash_dedup, mixing, secrets, toxicity
-from stowage.llm.common import cut, read, with_keys
+from stowage.llm.common import cut, drop, read, with_keys
 
 #: Near copies in the corpus are pairs at a Jaccard similarity of 0.8 or more; op5's query has its own 0.85.
 NEAR_PERCENT = 80
@@ -61,8 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        if i:  # a table of the stage before, which nothing reads any more
+            drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
