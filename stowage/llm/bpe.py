@@ -25,7 +25,7 @@ from .common import cut
 #: Characters of a chunk beyond its overlap, and of the overlap with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Encoded pieces that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 class Codec:
