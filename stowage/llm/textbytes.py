@@ -127,7 +127,7 @@ def shingle_sets(column, width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 21):
+def slices(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20):
     """(first text, bytes, offsets) of runs of whole texts of about `most` bytes, so that temporaries stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:
