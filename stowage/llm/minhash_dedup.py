@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, with_keys
-from .textbytes import mix, shingle_sets
+from .textbytes import flat, mix, shingle_sets, slices
 
 #: Signature length, and the chance at most with which a pair just at the similarity agrees in too few coordinates.
 COORDINATES, MISS = 32, 1e-7
@@ -30,6 +30,8 @@ COORDINATES, MISS = 32, 1e-7
 PERCENT = 85
 #: Groups beyond this many texts are compared in blocks of at most this size.
 BLOCK = 256
+#: Values of all sets that are compared at a time.
+COMPARED = 1 << 20
 
 
 def matches(percent: int) -> int:
@@ -48,8 +50,15 @@ _MUL = mix(_XOR) | np.uint64(1)
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, pairs array<long>"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of whole texts of about a megabyte, so that a task never holds the sets of all texts of a batch."""
     for batch in batches:
+        for first, _, offsets in slices(*flat(batch.column("text"))):
+            yield batch.slice(first, len(offsets) - 1)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _portions(batches):
         with np.errstate(over="ignore"):
             sets = shingle_sets(batch.column("text"))
             n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -70,6 +79,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """|intersection| of each left set with each right set; sets are sorted, and ranges of values are taken one after another where there are many."""
+    ranges = sum(map(len, left + right)) // COMPARED + 1
+    if ranges == 1:
+        return _overlaps_within(left, right)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    tops = [np.uint64(((i + 1) << 64) // ranges - 1) for i in range(ranges)]
+    at_left, at_right = np.zeros(len(left), dtype=np.int64), np.zeros(len(right), dtype=np.int64)
+    for top in tops:
+        to_left, to_right = (np.array([np.searchsorted(s, top, side="right") for s in side]) for side in (left, right))
+        out += _overlaps_within([s[a:b] for s, a, b in zip(left, at_left, to_left)], [s[a:b] for s, a, b in zip(right, at_right, to_right)])
+        at_left, at_right = to_left, to_right
+    return out
+
+
+def _overlaps_within(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """|intersection| of each left set with each right set, by a product of 0/1 matrices over the values that both sides have."""
     out = np.zeros((len(left), len(right)), dtype=np.float32)
     a, b = np.concatenate(left), np.concatenate(right)
@@ -160,7 +184,7 @@ def _block(percent: int, least: int):
 
 def _star(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             with np.errstate(over="ignore"):
                 pairs = zip(shingle_sets(batch.column("text")), shingle_sets(batch.column("hub_text")))
             out = []
