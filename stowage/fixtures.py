@@ -108,19 +108,18 @@ def added_events(spark, d) -> DataFrame:
     return m.where("aggregate_idx % 7 <> 0").select(F.concat(F.lit("0x"), k.cast("string")).alias("tx"), F.transform("m", lambda x: x["segment_index"] * 10 + k % 10).alias("piece_ids"), roots.alias("roots"))
 
 
-def links(spark, d, whole: bool = False) -> DataFrame:
-    """parent, link_index, child: region > nation > customer > order > part, with shared parts; unless whole, of every tenth customer, as in the SQL."""
-    every = 1 if whole else 10
+def links(spark, d) -> DataFrame:
+    """parent, link_index, child: region > nation > customer > order > part, with shared parts."""
     r = read(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.col("n_nationkey").cast("long").alias("o"))
-    n = read(spark, d, "customer").where(f"c_custkey % {every} = 0").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.col("c_custkey"))
-    c = read(spark, d, "orders").where(f"o_custkey % {every} = 0").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderkey"))
-    p = read(spark, d, "lineitem").join(read(spark, d, "orders").where(f"o_custkey % {every} = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_partkey")).distinct()
+    n = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.col("c_custkey"))
+    c = read(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderkey"))
+    p = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_partkey")).distinct()
     return r.union(n).union(c).union(p).select("parent", (F.row_number().over(Window.partitionBy("parent").orderBy("o")) - 1).cast("long").alias("link_index"), "child")
 
 
-def blocks(spark, d, whole: bool = False) -> DataFrame:
+def blocks(spark, d) -> DataFrame:
     """node, bytes, digest: delivered blocks; every 13th part is missing and every 17th altered."""
-    nodes = links(spark, d, whole).select(F.col("child").alias("node")).distinct()
+    nodes = links(spark, d).select(F.col("child").alias("node")).distinct()
     k = F.when(F.col("node").startswith("p"), F.substring("node", 2, 20).cast("long"))
     own = F.sha2(F.col("node").cast("binary"), 256)
     return nodes.where(F.coalesce(k % 13 != 0, F.lit(True))).select("node", F.when(F.coalesce(k % 17 == 0, F.lit(False)), F.concat("node", F.lit("!"))).otherwise(F.col("node")).cast("binary").alias("bytes"), own.alias("digest"))
@@ -172,8 +171,8 @@ SQL = {
     "receipts": "SELECT '0x' || o_orderkey AS tx, CAST(floor(epoch(o_orderdate) / 30) AS BIGINT) AS block FROM orders WHERE o_orderkey % 7 <> 0",
     "added_events": """SELECT '0x' || aggregate_idx AS tx, list(segment_index * 10 + aggregate_idx % 10 ORDER BY segment_index) AS piece_ids,
         list(CASE WHEN segment_index = aggregate_idx % 3 AND aggregate_idx % 4 <> 0 THEN aggregate_idx ELSE -sub_piece_cid - 1 END ORDER BY segment_index) AS roots FROM aggregate_members WHERE aggregate_idx % 7 <> 0 GROUP BY aggregate_idx""",
-    "links0": """SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, CAST(n_nationkey AS BIGINT) AS o FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer WHERE c_custkey % 10 = 0
-        UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders WHERE o_custkey % 10 = 0 UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 10 = 0""",
+    "links0": """SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child, CAST(n_nationkey AS BIGINT) AS o FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer
+        UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""",
     "links": "SELECT parent, row_number() OVER (PARTITION BY parent ORDER BY o) - 1 AS link_index, child FROM links0",
     "blocks": """SELECT node, CASE WHEN node LIKE 'p%' AND CAST(node[2:] AS BIGINT) % 17 = 0 THEN node || '!' ELSE node END AS bytes, sha256(node) AS digest FROM (SELECT DISTINCT child AS node FROM links)
         WHERE NOT (node LIKE 'p%' AND CAST(CASE WHEN node LIKE 'p%' THEN node[2:] ELSE '1' END AS BIGINT) % 13 = 0)""",

@@ -59,9 +59,9 @@ def committed_stats(idxs: DataFrame, members: DataFrame, sub_members: DataFrame,
     return marked.agg(F.count("*").alias("total"), F.count("here").alias("in_pieces"))
 
 
-@query("ag5_committed_stats", "x AS (SELECT DISTINCT member_cid FROM sub_piece_members WHERE sub_piece_cid IN (SELECT sub_piece_cid FROM aggregate_members WHERE aggregate_idx IN (SELECT root FROM ledger) AND aggregate_idx % 40 = 0)) SELECT count(*) AS total, count(*) FILTER (member_cid % 3 <> 0) AS in_pieces FROM x")
+@query("ag5_committed_stats", "x AS (SELECT DISTINCT member_cid FROM sub_piece_members WHERE sub_piece_cid IN (SELECT sub_piece_cid FROM aggregate_members WHERE aggregate_idx IN (SELECT root FROM ledger))) SELECT count(*) AS total, count(*) FILTER (member_cid % 3 <> 0 AND member_cid IN (SELECT s_suppkey FROM supplier)) AS in_pieces FROM x")
 def ag5(spark, d):
-    on = fx.ledger(spark, d).where("root % 40 = 0").select(F.col("root").alias("idx"))
+    on = fx.ledger(spark, d).select(F.col("root").alias("idx"))
     local = fx.read(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("cid"))
     return committed_stats(on, fx.aggregate_members(spark, d), fx.sub_piece_members(spark, d), local)
 

@@ -32,19 +32,20 @@ def dag_order(links: DataFrame, roots: DataFrame) -> DataFrame:
     return p.withColumn("place", (F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1).cast("long"))
 
 
-_PATHS = """RECURSIVE w AS (SELECT DISTINCT parent AS root, parent AS node, []::BIGINT[] AS path FROM links WHERE parent IN ('r0', 'r1') UNION ALL SELECT root, child, list_append(path, link_index) FROM w JOIN links ON parent = node),
+_PATHS = """RECURSIVE w AS (SELECT DISTINCT parent AS root, parent AS node, []::BIGINT[] AS path FROM links WHERE parent NOT IN (SELECT child FROM links) UNION ALL SELECT root, child, list_append(path, link_index) FROM w JOIN links ON parent = node),
     p AS (SELECT root, node, min(path) AS path FROM w GROUP BY 1, 2)"""
 
 
 def _order(spark, d):
+    """The order below each root, which is a parent that is no child."""
     links = fx.links(spark, d)
-    roots = links.where("parent IN ('r0', 'r1')").select(F.col("parent").alias("root"), F.col("parent").alias("node")).distinct()
-    return links, dag_order(links, roots)
+    roots = links.select("parent").distinct().join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
+    return dag_order(links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
 
 
 @query("dg3_dag_order", f"{_PATHS} SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM p")
 def dg3(spark, d):
-    return _order(spark, d)[1].select("root", "node", "place")
+    return _order(spark, d).select("root", "node", "place")
 
 
 def missing_blocks(order: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def missing_blocks(order: DataFrame, blocks: DataFrame) -> DataFrame:
 
 @query("dg4_missing_blocks", f"{_PATHS} SELECT root, count(*) AS missing FROM p WHERE node NOT IN (SELECT node FROM blocks) AND node <> root GROUP BY root")
 def dg4(spark, d):
-    return missing_blocks(_order(spark, d)[1].where("node <> root"), fx.blocks(spark, d))
+    return missing_blocks(_order(spark, d).where("node <> root"), fx.blocks(spark, d))
 
 
 def dag_stats(order: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def dag_stats(order: DataFrame, blocks: DataFrame) -> DataFrame:
 
 @query("dg5_dag_stats", f"{_PATHS} SELECT root, count(*) AS nodes, coalesce(sum(strlen(bytes)), 0) AS bytes, max(len(path)) AS depth FROM p LEFT JOIN blocks USING (node) GROUP BY root")
 def dg5(spark, d):
-    return dag_stats(_order(spark, d)[1], fx.blocks(spark, d))
+    return dag_stats(_order(spark, d), fx.blocks(spark, d))
 
 
 def check_declared(df: DataFrame) -> DataFrame:

@@ -59,9 +59,9 @@ def aggregate_assets(members: DataFrame, sub_members: DataFrame) -> DataFrame:
     return members.join(sub_members, "sub_piece_cid").select("aggregate_idx", (F.row_number().over(w) - 1).cast("long").alias("place"), "member_cid")
 
 
-@query("jn5_aggregate_assets", "SELECT aggregate_idx, row_number() OVER (PARTITION BY aggregate_idx ORDER BY segment_index, member_sort_order) - 1 AS place, member_cid FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid) WHERE aggregate_idx % 10 = 0")
+@query("jn5_aggregate_assets", "SELECT aggregate_idx, row_number() OVER (PARTITION BY aggregate_idx ORDER BY segment_index, member_sort_order) - 1 AS place, member_cid FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid)")
 def jn5(spark, d):
-    return aggregate_assets(fx.aggregate_members(spark, d).where("aggregate_idx % 10 = 0"), fx.sub_piece_members(spark, d))
+    return aggregate_assets(fx.aggregate_members(spark, d), fx.sub_piece_members(spark, d))
 
 
 def aggregate_manifest(members: DataFrame, sub: DataFrame) -> DataFrame:

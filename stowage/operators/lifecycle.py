@@ -108,7 +108,7 @@ def lookup(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return keys.select(key).join(table, key, "left")
 
 
-@query("lc9_lookup", "SELECT k AS sub_piece_cid, raw_size, url FROM (SELECT DISTINCT l_partkey + 1990 AS k FROM lineitem WHERE l_partkey < 50) LEFT JOIN sub_pieces ON k = sub_piece_cid")
+@query("lc9_lookup", "SELECT k AS sub_piece_cid, raw_size, url FROM (SELECT DISTINCT l_partkey + 1990 AS k FROM lineitem) LEFT JOIN sub_pieces ON k = sub_piece_cid")
 def lc9(spark, d):
-    keys = fx.read(spark, d, "lineitem").where("l_partkey < 50").select((F.col("l_partkey") + 1990).alias("sub_piece_cid")).distinct()
+    keys = fx.read(spark, d, "lineitem").select((F.col("l_partkey") + 1990).alias("sub_piece_cid")).distinct()
     return lookup(keys, fx.sub_pieces(spark, d).select("sub_piece_cid", "raw_size", "url"), "sub_piece_cid")

@@ -202,11 +202,12 @@ def fn5(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", c.parse_size(text).alias("bytes"))
 
 
-@query("fn6_format", """SELECT object_id, CASE WHEN raw_size >= 1048576 THEN format('{:.2f} MiB', raw_size / 1048576) WHEN raw_size >= 1024 THEN format('{:.2f} KiB', raw_size / 1024) ELSE raw_size || ' B' END AS size,
-    CASE WHEN raw_size < 1000 THEN raw_size || 'ms' ELSE format('{:.1f}s', raw_size / 1000) END AS duration FROM objects WHERE raw_size % 64 = 1""")
+@query("fn6_format", """SELECT object_id, CASE WHEN raw_size >= 1048576 THEN (raw_size * 200 + 1048576) // 209715200 || '.' || lpad(CAST((raw_size * 200 + 1048576) // 2097152 % 100 AS VARCHAR), 2, '0') || ' MiB'
+    WHEN raw_size >= 1024 THEN (raw_size * 200 + 1024) // 204800 || '.' || lpad(CAST((raw_size * 200 + 1024) // 2048 % 100 AS VARCHAR), 2, '0') || ' KiB' ELSE raw_size || ' B' END AS size,
+    CASE WHEN raw_size < 1000 THEN raw_size || 'ms' WHEN raw_size % 1000 = 250 THEN raw_size // 1000 || '.3s' ELSE format('{:.1f}s', raw_size / 1000) END AS duration FROM objects""")
 def fn6(spark, d):
     n = F.col("raw_size")
-    return fx.objects(spark, d).where("raw_size % 64 = 1").select("object_id", c.format_bytes(n).alias("size"), c.format_duration(n).alias("duration"))
+    return fx.objects(spark, d).select("object_id", c.format_bytes(n).alias("size"), c.format_duration(n).alias("duration"))
 
 
 @query("fn7_padded_size", f"SELECT object_id, {_PAD} AS padded, CAST(log2({_PAD} / 32) AS INTEGER) AS height, {_PAD} // 128 * 127 - raw_size AS padding FROM objects")

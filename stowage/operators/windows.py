@@ -50,6 +50,14 @@ def wn2(spark, d):
     return nested_sample(assets, ["aggregate_idx", "place"], population, 25.9).select("aggregate_idx", "member_cid", "idx")
 
 
+@query("wn2_stride_sample_members_whole", _WALK.rsplit(", p AS", 1)[0] + ", t AS (SELECT count(*) AS t FROM o) SELECT aggregate_idx, member_cid, idx FROM o WHERE idx IN (SELECT i * t // 25 FROM (SELECT unnest(range(25)) AS i), t)")
+def wn2_places(spark, d):
+    """The same walk by whole places: its length, not the number of distinct members, is the population."""
+    on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
+    assets = aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d))
+    return stride_sample(assets, ["aggregate_idx", "place"], 25).select("aggregate_idx", "member_cid", "idx")
+
+
 def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key; the least order is found before the shuffle, so a key with many rows is no hot task."""
     rest = [x for x in df.columns if x != key]

@@ -1,4 +1,4 @@
-"""The queries over whole tables against brute force, on sf0.001."""
+"""Queries against brute force over the whole tables, beside their SQL, on sf0.001."""
 
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
@@ -81,7 +81,7 @@ def assets():
     ids, suppliers = {m for _, m in on}, {r["s_suppkey"] for r in table("supplier")}
     return {
         "jn5_aggregate_assets": {(k, i, m) for k, x in out for i, m in enumerate(x)},
-        "wn2_stride_sample_members": {(*on[i * len(on) // 25], i * len(on) // 25) for i in range(25)},
+        "wn2_stride_sample_members_whole": {(*on[i * len(on) // 25], i * len(on) // 25) for i in range(25)},
         "ag5_committed_stats": {(len(ids), sum(m in suppliers and m % 3 != 0 for m in ids))},
     }
 
@@ -103,7 +103,7 @@ def formats():
 @pytest.mark.parametrize("make", [block_graph, assets, formats])
 def test_whole(spark, make):
     for name, want in make().items():
-        got = [tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in QUERIES[f"{name}_whole"](spark, SF_DIR).collect()]
+        got = [tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in QUERIES[name](spark, SF_DIR).collect()]
         assert len(got) == len(want) and set(got) == want, name
 
 
