@@ -59,10 +59,46 @@ def lc4(spark, d):
     return fold(fx.lifecycle(spark, d))
 
 
+def apply_transitions(aggs: DataFrame, events: DataFrame) -> DataFrame:
+    """aggs (idx, status, tx_hash, error, committed_block) after events (idx, seq, kind, tx, error, block) in the order of seq.
+
+    A tx event sets the hash alone. Failures and unconfirmed adds keep the old
+    error where they bring none; an unverified commit sets its own and has no
+    block; a commit sets hash and block, and leaves the error. Fields that no
+    event sets stay as they are; events of unknown idx are passed over.
+    """
+    kind = F.col("kind")
+    commits = kind.isin("committed", "committed_unverified")
+    sets = {
+        "status": (kind != "tx", F.when(commits, "committed").otherwise(kind)),
+        "tx_hash": (commits | (kind == "tx"), F.col("tx")),
+        "error": ((kind == "committed_unverified") | (kind.isin("failed", "add_unconfirmed") & F.col("error").isNotNull()), F.col("error")),
+        "committed_block": (commits, F.when(kind == "committed", F.col("block"))),
+    }
+    last = [F.max_by(F.struct(value.alias("v")), F.when(hit, F.col("seq"))).alias(f"_{name}") for name, (hit, value) in sets.items()]
+    joined = aggs.join(events.groupBy("idx").agg(*last), "idx", "left")
+    return joined.select(*[F.when(F.col(f"_{n}").isNotNull(), F.col(f"_{n}")["v"]).otherwise(F.col(n)).alias(n) if n in sets else F.col(n) for n in aggs.columns])
+
+
+_MARKS = """m AS (SELECT key * 7 + seq % 7 AS idx, seq, CASE WHEN kind = 'planned' THEN CASE WHEN seq % 2 = 0 THEN 'tx' ELSE 'add_unconfirmed' END WHEN kind = 'committed' AND seq % 3 = 0 THEN 'committed_unverified' ELSE kind END AS kind, CASE WHEN seq % 5 <> 0 THEN '0x' || seq END AS tx, CASE WHEN seq % 4 <> 0 THEN 'e' || seq END AS error, seq * 2 AS block FROM lifecycle)"""
+
+
+@query("lc4_transitions", f"""{_MARKS}, e AS (SELECT idx, arg_max({{'v': CASE WHEN kind LIKE 'committed%' THEN 'committed' ELSE kind END}}, seq) FILTER (kind <> 'tx') AS s, arg_max({{'v': tx}}, seq) FILTER (kind = 'tx' OR kind LIKE 'committed%') AS t,
+    arg_max({{'v': error}}, seq) FILTER (kind = 'committed_unverified' OR (kind IN ('failed','add_unconfirmed') AND error IS NOT NULL)) AS r, arg_max({{'v': CASE WHEN kind = 'committed' THEN block END}}, seq) FILTER (kind LIKE 'committed%') AS b FROM m GROUP BY idx)
+    SELECT a.idx, CASE WHEN s IS NULL THEN status ELSE s.v END AS status, CASE WHEN t IS NULL THEN tx_hash ELSE t.v END AS tx_hash, CASE WHEN r IS NULL THEN a.error ELSE r.v END AS error, CASE WHEN b IS NOT NULL THEN b.v END AS committed_block FROM aggregates a LEFT JOIN e ON a.idx = e.idx""")
+def lc4_transitions(spark, d):
+    seq, kind = F.col("seq"), F.col("kind")
+    marked = F.when(kind == "planned", F.when(seq % 2 == 0, "tx").otherwise("add_unconfirmed")).when((kind == "committed") & (seq % 3 == 0), "committed_unverified").otherwise(kind)
+    text = lambda head: F.concat(F.lit(head), seq.cast("string"))
+    events = fx.lifecycle(spark, d).select((F.col("key") * 7 + seq % 7).alias("idx"), "seq", marked.alias("kind"), F.when(seq % 5 != 0, text("0x")).alias("tx"), F.when(seq % 4 != 0, text("e")).alias("error"), (seq * 2).alias("block"))
+    return apply_transitions(fx.aggregates(spark, d).withColumn("committed_block", F.lit(None).cast("long")), events)
+
+
 def reset_aggregates(aggs: DataFrame, unconfirmed: bool) -> DataFrame:
-    """Failed aggregates to planned with their tx kept; or unconfirmed ones with theirs cleared. Neither touches the other."""
-    hit = F.col("status") == ("add_unconfirmed" if unconfirmed else "failed")
-    out = aggs.withColumn("tx_hash", F.when(hit, F.lit(None)).otherwise(F.col("tx_hash"))) if unconfirmed else aggs
+    """Failed aggregates to planned with their tx kept; or unconfirmed ones with theirs cleared. Both clear the error; neither touches the other's rows."""
+    hit = F.col("status").eqNullSafe("add_unconfirmed" if unconfirmed else "failed")
+    cleared = ["error", "tx_hash"] if unconfirmed else ["error"]
+    out = aggs.withColumns({name: F.when(~hit, F.col(name)) for name in cleared})
     return out.withColumn("status", F.when(hit, "planned").otherwise(F.col("status")))
 
 
@@ -72,6 +108,15 @@ def lc5(spark, d):
     return reset_aggregates(a, True).select("idx", "status", "tx_hash")
 
 
+@query("lc5_reset_failed", f"""{_MARKS}, f AS (SELECT idx, arg_max(kind, seq) AS status, max(seq) AS last FROM m WHERE kind <> 'tx' GROUP BY idx) SELECT idx, CASE WHEN status = 'failed' THEN 'planned' ELSE status END AS status, '0x' || last AS tx_hash, CASE WHEN status <> 'failed' THEN 'e' || last END AS error FROM f""")
+def lc5_reset_failed(spark, d):
+    """Failed rows re-armed: their hash stays, their error goes, and unconfirmed rows keep both."""
+    seq, kind = F.col("seq"), F.col("kind")
+    marked = F.when(kind == "planned", F.when(seq % 2 != 0, "add_unconfirmed")).when((kind == "committed") & (seq % 3 == 0), "committed_unverified").otherwise(kind)
+    last = fx.lifecycle(spark, d).select((F.col("key") * 7 + seq % 7).alias("idx"), "seq", marked.alias("kind")).where("kind IS NOT NULL").groupBy("idx").agg(F.max_by("kind", "seq").alias("status"), F.max("seq").cast("string").alias("last"))
+    return reset_aggregates(last.select("idx", "status", F.concat(F.lit("0x"), "last").alias("tx_hash"), F.concat(F.lit("e"), "last").alias("error")), False)
+
+
 def attempt_log(events: DataFrame) -> DataFrame:
     """(attempt, started, result, n): start and result rows of each attempt folded into one."""
     return events.groupBy("attempt").agg(F.min("ts").alias("started"), F.max_by("kind", "seq").alias("result"), F.count("*").alias("n"))
