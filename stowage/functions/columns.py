@@ -140,11 +140,33 @@ def padding(raw: Column) -> Column:
     return (padded_size(raw) / 128).cast("long") * 127 - raw
 
 
-def parse_size(text: Column) -> Column:
+_SIZE = r"^(\d+)\s*([a-z]*)$"
+
+
+def _size_parts(text: Column) -> tuple[Column, Column, Column]:
+    """The number's digits and the unit, both empty where the text is no size, and the unit's power of two, null where it is unknown."""
     t = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    value, unit = F.regexp_extract(t, r"^(\d+)\s*([a-z]*)$", 1), F.regexp_extract(t, r"^(\d+)\s*([a-z]*)$", 2)
-    shift = F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[unit]
-    return F.when(value != "", F.call_function("shiftleft", value.try_cast("long"), shift))
+    unit = F.regexp_extract(t, _SIZE, 2)
+    return F.regexp_extract(t, _SIZE, 1), unit, F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv])[unit]
+
+
+def parse_size(text: Column) -> Column:
+    """Bytes of a size such as 32GiB; null where size_error says why not."""
+    value, _, shift = _size_parts(text)
+    n = value.try_cast("long")
+    return F.when((value != "") & (n <= F.call_function("shiftright", F.lit((1 << 63) - 1), shift)), F.call_function("shiftleft", n, shift))
+
+
+def size_error(text: Column) -> Column:
+    """Why a text is no size of at most 63 bits; null where it is one, or is null."""
+    value, unit, shift = _size_parts(text)
+    said = _first(
+        (value == "", F.concat(F.lit("invalid size: "), text)),
+        (shift.isNull(), F.concat(F.lit('unknown size unit "'), unit, F.lit('" in '), text)),
+        (parse_size(text).isNull(), F.concat(F.lit("size out of range: "), text)),
+        otherwise=F.lit(None).cast("string"),
+    )
+    return F.when(text.isNotNull(), said)
 
 
 def format_bytes(n: Column) -> Column:
@@ -182,10 +204,25 @@ def relay_url(base: Column, host: Column, cid: Column, piece: Column) -> Column:
     return F.concat_ws("/", F.regexp_replace(base, "/+$", ""), F.lit("r"), host, cid, F.lit("piece"), piece)
 
 
+def _relayed(relay: Column) -> Column:
+    return F.coalesce(relay, F.lit("")) != ""
+
+
+def _host(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^https?://([^/:?#@]+)", 1)
+
+
 def pull_source_url(base: Column, relay: Column, url: Column, cid: Column, piece: Column) -> Column:
-    """Through the relay if there is one (null where the URL has no host), else base/piece/commitment."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"^https?://([^/:?#@]+)", 1)
-    return F.when(relay.isNotNull(), F.when(host != "", relay_url(relay, host, cid, piece))).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/piece/"), piece))
+    """Through the relay if there is one, else base/piece/commitment; null where pull_source_error says why not."""
+    host = _host(url)
+    return F.when(_relayed(relay), F.when(host != "", relay_url(relay, host, cid, piece))).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/piece/"), piece))
+
+
+def pull_source_error(relay: Column, url: Column, piece: Column) -> Column:
+    """Why a sub-piece can't be pulled through the relay; null where it can, or where there is no relay."""
+    none = F.coalesce(url, F.lit("")) == ""
+    said = F.when(none, F.concat(F.lit("sub-piece "), piece, F.lit(" has no gateway URL"))).when(_host(url) == "", F.concat(F.lit("sub-piece "), piece, F.lit(" has an invalid URL")))
+    return F.when(_relayed(relay), said)
 
 
 def explorer_url(data_set: Column, piece: Column) -> Column:

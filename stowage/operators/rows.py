@@ -195,6 +195,13 @@ def fn4(spark, d):
     return fx.sub_pieces(spark, d).select("sub_piece_cid", c.pull_source_url(F.lit("x"), F.lit("https://relay"), F.col("url"), k, k).alias("relayed"), c.pull_source_url(F.lit("https://base/"), F.lit(None).cast("string"), F.col("url"), k, k).alias("direct"))
 
 
+@query("fn4_pull_source_error", "SELECT sub_piece_cid, CASE WHEN url IS NULL THEN 'sub-piece ' || sub_piece_cid || ' has no gateway URL' WHEN sub_piece_cid % 6 = 0 THEN 'sub-piece ' || sub_piece_cid || ' has an invalid URL' END AS relayed, CAST(NULL AS VARCHAR) AS direct FROM sub_pieces")
+def fn4_error(spark, d):
+    k, url = F.col("sub_piece_cid"), F.col("url")
+    broken = F.when(k % 6 == 0, F.regexp_replace(url, "^https:/", "")).otherwise(url)
+    return fx.sub_pieces(spark, d).select("sub_piece_cid", c.pull_source_error(F.lit("https://relay"), broken, k.cast("string")).alias("relayed"), c.pull_source_error(F.lit(""), broken, k.cast("string")).alias("direct"))
+
+
 @query("fn5_parse_size", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS BIGINT) * 1073741824 WHEN 1 THEN CAST(p_size AS BIGINT) * 1048576 WHEN 2 THEN p_size END AS bytes FROM part")
 def fn5(spark, d):
     k, n = F.col("p_partkey"), F.col("p_size").cast("string")
@@ -202,6 +209,13 @@ def fn5(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", c.parse_size(text).alias("bytes"))
 
 
+@query("fn5_size_error", """SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'unknown size unit "parsecs" in ' || p_size || ' Parsecs' WHEN 2 THEN 'invalid size: -' || p_size WHEN 3 THEN 'size out of range: ' || p_size || '00000000TiB' END AS error, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS BIGINT) * 1099511627776 WHEN 4 THEN p_size END AS bytes FROM part""")
+def fn5_error(spark, d):
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(n, F.lit("TiB"))).when(k == 1, F.concat(n, F.lit(" Parsecs"))).when(k == 2, F.concat(F.lit("-"), n)).when(k == 3, F.concat(n, F.lit("00000000TiB"))).otherwise(n)
+    return fx.read(spark, d, "part").select("p_partkey", c.size_error(text).alias("error"), c.parse_size(text).alias("bytes"))
+
+
 @query("fn6_format", """SELECT object_id, CASE WHEN raw_size >= 1048576 THEN (raw_size * 200 + 1048576) // 209715200 || '.' || lpad(CAST((raw_size * 200 + 1048576) // 2097152 % 100 AS VARCHAR), 2, '0') || ' MiB'
     WHEN raw_size >= 1024 THEN (raw_size * 200 + 1024) // 204800 || '.' || lpad(CAST((raw_size * 200 + 1024) // 2048 % 100 AS VARCHAR), 2, '0') || ' KiB' ELSE raw_size || ' B' END AS size,
     CASE WHEN raw_size < 1000 THEN raw_size || 'ms' WHEN raw_size % 1000 = 250 THEN raw_size // 1000 || '.3s' ELSE format('{:.1f}s', raw_size / 1000) END AS duration FROM objects""")
