@@ -95,3 +95,24 @@ def test_state_is_published_whole(spark, sf_dir, tmp_path):
 def test_single_source(spark):
     with pytest.raises(ValueError, match="a, b"):
         aggregations.assert_single(spark.createDataFrame([("a",), ("b",)], "s string"), "s")
+
+
+def test_marks_and_errors_on_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from stowage.functions import columns as c
+    from stowage.operators.lifecycle import apply_transitions, reset_aggregates
+
+    aggs = spark.createDataFrame([(1, "parked", "0xa", "old", None), (2, "failed", None, "old", 7), (None, None, None, "old", None)], "idx long, status string, tx_hash string, error string, committed_block long")
+    marks = "idx long, seq long, kind string, tx string, error string, block long"
+    rows = [(1, 1, "failed", None, None, None), (1, 2, "committed", None, None, 9), (1, 3, None, "0xz", "no", 1), (2, 1, "committed_unverified", "0xb", None, 8), (2, 2, "tx", "0xc", None, None), (5, 1, "failed", None, "e", None), (None, 1, "failed", None, "e", None)]
+    got = {r.idx: tuple(r)[1:] for r in apply_transitions(aggs, spark.createDataFrame(rows, marks)).collect()}
+    assert got == {1: ("committed", None, "old", 9), 2: ("committed", "0xc", None, None), None: (None, None, "old", None)}
+    same = apply_transitions(aggs, spark.createDataFrame([], marks)).collect()
+    assert sorted(map(str, same)) == sorted(map(str, aggs.collect()))
+    again = {r.idx: (r.status, r.tx_hash, r.error) for r in reset_aggregates(aggs, False).collect()}
+    assert again == {1: ("parked", "0xa", "old"), 2: ("planned", None, None), None: (None, None, "old")}
+
+    sizes = spark.createDataFrame([(None,), ("",), ("8388607 TiB",), ("8388608 TiB",), ("99999999999999999999",), ("3x",)], "t string")
+    said = [tuple(r) for r in sizes.select(c.parse_size(F.col("t")), c.size_error(F.col("t"))).collect()]
+    assert said == [(None, None), (None, "invalid size: "), (8388607 << 40, None), (None, "size out of range: 8388608 TiB"), (None, "size out of range: 99999999999999999999"), (None, 'unknown size unit "x" in 3x')]
