@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality
+from . import minhash_dedup, quality, vector_codes
 
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
@@ -67,3 +67,30 @@ SELECT doc_id, octet_length(t) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_r
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
 """
+
+
+def _vector_codes() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = [
+        f"""v AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT rid, part, len(q) // {parts} AS w, q[part * (len(q) // {parts}) + 1 : (part + 1) * (len(q) // {parts})] AS x FROM v, range({parts}) AS r(part))",
+        f"b0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, x AS e FROM p WHERE rid <= {entries})",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT rid, part, any_value(x) AS x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT rid, p.part, x, entry, list_sum(list_transform(range(1, w + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) AS d FROM p JOIN b{k} USING (part)) GROUP BY rid, part)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT part, entry, list(m ORDER BY i) AS e FROM (SELECT part, entry, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m FROM a{k}, unnest(range(1, len(x) + 1)) AS u(i) GROUP BY part, entry, i) GROUP BY part, entry
+  UNION ALL SELECT part, entry, e FROM b{k} ANTI JOIN a{k} USING (part, entry))""")
+    chain = ",\n".join(steps)
+    return f"""
+WITH {chain},
+digest AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS}),
+coded AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{vector_codes.ROUNDS} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN coded USING (rid), digest"""
+
+
+VECTOR_CODES = _vector_codes()
