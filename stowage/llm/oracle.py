@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, quality, vector_codes
+from . import hard_negatives, minhash_dedup, quality, vector_codes
 
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
@@ -94,3 +94,17 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 VECTOR_CODES = _vector_codes()
+
+#: Every row against every anchor, in full.
+HARD_NEGATIVES = f"""
+WITH u AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label, list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, q) = 1),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_sum(list_transform(range(1, len(r.q) + 1), lambda i: a.q[i] * r.q[i]))::BIGINT AS score
+  FROM r JOIN r AS a ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {hard_negatives.KEEP})
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND {hard_negatives.LEAST_PERCENT} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.MOST_PERCENT} * positive_score QUALIFY rank <= {hard_negatives.KEEP}
+"""

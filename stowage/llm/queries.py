@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, minhash_dedup, mixing, oracle, quality, secrets, suffix_dedup, toxicity, vector_codes
+from . import bpe, chat, hard_negatives, html_extract, media, minhash_dedup, mixing, oracle, quality, secrets, suffix_dedup, toxicity, vector_codes
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,12 +62,16 @@ def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_toxicity, op3_secret_scans, op4_html_extraction, op5_minhash_near_dedup,
         op6_byte_bpe, op7_chat_formatting, op8_suffix_array_dedup, op9_source_mixing, op10_media_columns,
-        op12_vector_code_compression,
+        op12_vector_code_compression, op13_hard_negative_mining,
     )
 }
 
@@ -77,4 +81,5 @@ ORACLE: dict[str, str] = {
     "op5_minhash_near_dedup": oracle.NEAR_DUPLICATES,
     "op8_suffix_array_dedup": oracle.SUFFIXES,
     "op12_vector_code_compression": oracle.VECTOR_CODES,
+    "op13_hard_negative_mining": oracle.HARD_NEGATIVES,
 }
