@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hard_negatives, html_extract, media, minhash_dedup, mixing, oracle, quality, secrets, suffix_dedup, toxicity, vector_codes
+from . import bpe, chat, hard_negatives, html_extract, media, minhash_dedup, mixing, oracle, quality, quality_classifier, secrets, suffix_dedup, toxicity, vector_codes
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -58,6 +58,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -71,7 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_toxicity, op3_secret_scans, op4_html_extraction, op5_minhash_near_dedup,
         op6_byte_bpe, op7_chat_formatting, op8_suffix_array_dedup, op9_source_mixing, op10_media_columns,
-        op12_vector_code_compression, op13_hard_negative_mining,
+        op11_quality_classifier, op12_vector_code_compression, op13_hard_negative_mining,
     )
 }
 
