@@ -30,7 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 SKIPPED = frozenset("nav header footer aside form script style noscript template button select option datalist textarea label fieldset dialog menu iframe object svg canvas audio video map head title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINERS = frozenset("article main section div td body".split())
+CONTAINERS = frozenset("article main section div td body form".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"}
 IMPLIED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 # Class and id tokens of boilerplate. A whole token has to be one of these, or one with a number after it.
@@ -70,13 +70,12 @@ class Page:
     nodes: list[Node] = field(default_factory=list)
 
 
-def _named(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
+def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """(generalised name, skipped): tag.class.class without digits; whether its element, role or a whole class or id token marks boilerplate.
 
     The article, main and body elements themselves are no boilerplate by their
-    classes, but for articles that are comments. Inside one of the first two
-    (`inside`) the element's tokens must be boilerplate as a whole; outside, a
-    token's first part, before a - or _, is enough.
+    classes, but for articles that are comments. Of other elements a token must
+    be boilerplate as a whole: a share-price or related-work is text.
     """
     if not attributes:
         return tag, tag in SKIPPED
@@ -100,7 +99,7 @@ def _named(tag: str, attributes: str, inside: bool) -> tuple[str, bool]:
         if tag in ("article", "main", "body", "html"):
             hidden = tag == "article" and not COMMENT_TOKENS.isdisjoint(plain)
         else:
-            hidden = not SKIPPED_TOKENS.isdisjoint(plain) or (not inside and not SKIPPED_TOKENS.isdisjoint(re.split("[-_]", t)[0] for t in plain))
+            hidden = not SKIPPED_TOKENS.isdisjoint(plain)
     return ".".join([tag, *general]), hidden
 
 
@@ -111,8 +110,10 @@ def _digest(parent: str, name: str) -> str:
 class _Parser:
     """Reads tags in order; keeps the open elements, running totals of text, and a digest of the path instead of the path."""
 
-    def __init__(self, source: str):
-        self.source = source
+    def __init__(self, source: str, kept_forms: frozenset[int] = frozenset()):
+        self.source, self.kept_forms = source, kept_forms
+        self.n_forms, self.forms, self.form_chars = 0, [], Counter()  # forms so far, the skipped ones that are open, text in each that nothing else skips
+        self.no_data_end = False
         self.page = Page()
         self.stack: list[tuple[str, str, bool, Node | None]] = []  # tag, path digest, skipped, container
         self.open: Counter[str] = Counter()
@@ -135,6 +136,8 @@ class _Parser:
         self.stack.pop()
         self.open[tag] -= 1
         self.skipped -= skip
+        if tag == "form" and skip:
+            self.forms.pop()
         self.links -= tag == "a"
         if node is not None:
             node.end, node.chars, node.linked = len(self.page.blocks), self.chars - node.chars, self.linked - node.linked
@@ -178,15 +181,20 @@ class _Parser:
             self.close_implied(("td", "th") if tag in ("td", "th") else ("dd", "dt") if tag in ("dd", "dt") else (tag,), IMPLIED[tag])
         if tag in BLOCKS and not self.skipped:
             self.close_block()
-        name, skip = _named(tag, attributes, self.open["article"] + self.open["main"] > 0)
+        name, skip = _named(tag, attributes)
         if attributes.rstrip().endswith("/") and tag not in BLOCKS and tag not in RAW:
             return
+        if tag == "form":
+            self.n_forms += 1
+            skip = self.n_forms not in self.kept_forms
         path = _digest(self.stack[-1][1] if self.stack else "", name)
         node = None
         if tag in CONTAINERS and not skip and not self.skipped:
             node = Node(path, name, len(self.stack), len(self.page.blocks), chars=self.chars, linked=self.linked)
             self.page.nodes.append(node)
         self.stack.append((tag, path, skip, node))
+        if tag == "form" and skip:
+            self.forms.append(self.n_forms)
         self.open[tag] += 1
         self.skipped += skip
         self.links += tag == "a"
@@ -197,6 +205,8 @@ class _Parser:
             self.text.append(piece)
             if self.links:
                 self.block_links += len(piece)
+        elif self.forms and self.skipped == len(self.forms):
+            self.form_chars[self.forms[0]] += len(piece.strip())
 
     def run(self) -> Page:
         source, n, at = self.source, len(self.source), 0
@@ -239,9 +249,12 @@ class _Parser:
                 return source.index(">", at) + 1
             end = _COMMENT_END.search(source, at + 4)
             return end.end() if end else len(source)
-        if source.startswith("<![CDATA[", at) and (end := source.find("]]>", at)) >= 0:
-            self.piece(source[at + 9 : end])
-            return end + 3
+        if source.startswith("<![CDATA[", at) and not self.no_data_end:
+            end = source.find("]]>", at)
+            if end >= 0:
+                self.piece(source[at + 9 : end])
+                return end + 3
+            self.no_data_end = True
         end = source.find(">", at)
         return end + 1 if end >= 0 else len(source)
 
@@ -252,10 +265,16 @@ def parse(source: str) -> Page:
     Unclosed elements end with their parent. A tag ends as browsers end it: a
     quote matters only where an attribute's value begins with it, and one that
     is never closed doesn't hold back the first >. A tag, comment or script cut
-    off by the end of the page has no text. Time and memory are in proportion to
+    off by the end of the page has no text. Forms are boilerplate, but one that
+    has more than half of the page's text frames it: the page is read again with
+    that form as a plain element. Time and memory are in proportion to
     the page however deep its elements are nested.
     """
-    return _Parser(source).run()
+    first = _Parser(source)
+    page = first.run()
+    total = first.chars + sum(first.form_chars.values())
+    frames = frozenset(k for k, n in first.form_chars.items() if 2 * n > total)
+    return _Parser(source, frames).run() if frames else page
 
 
 _NAMED_ARTICLE = re.compile(r"(?i)article|content|post|entry|story|text|body")

@@ -55,3 +55,30 @@ def test_long_articles_vote_by_their_length(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, path string, score double, text string")
     got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
     assert got[None] == "" and got[1].startswith("long words") and got[2] == "b"
+
+
+def text_of(page):
+    return html_extract.extract(html_extract.parse(page), None)
+
+
+@pytest.mark.parametrize("form", ["<form>", '<form id="aspnetForm" action="/x">'])
+def test_a_form_that_frames_the_page(form):
+    page = f"<body>{form}<div class='nav'>Menu</div><article><p>{'An article of some length. ' * 5}</p><form><label>Name</label>Send <input></form></article><label>Mail</label></form></body>"
+    assert text_of(page) == ("An article of some length. " * 5).strip()
+
+
+def test_small_forms_stay_boilerplate():
+    assert text_of("<body><article><p>" + "One sentence more. " * 9 + "</p></article><form>Subscribe to our letters</form></body>") == ("One sentence more. " * 9).strip()
+
+
+def test_whole_tokens_mark_boilerplate_outside_articles_too():
+    kept = [f'<div class="{c}"><p>The {c} part has text of its own.</p></div>' for c in ("related-work", "share-price", "notice-board", "header-image", "ad-hoc", "comment_ary")]
+    gone = [f'<div class="{c}"><p>Gone.</p></div>' for c in ("related", "share-buttons", "notice", "header", "ad", "comments", "sidebar2")]
+    assert text_of('<div class="content">' + "".join(a + b for a, b in zip(kept, gone + gone)) + "</div>").count("\n") == len(kept) - 1
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[ x ", "<![CDATA[ x>", "<!-- x", "<!-- x>", "<form>x", "<form><p>x</form>", '<a b="', "</"])
+def test_time_is_in_proportion(piece):
+    began = time.time()
+    html_extract.parse("<div>" + piece * (2_000_000 // len(piece)))
+    assert time.time() - began < 20
