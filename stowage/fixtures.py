@@ -9,6 +9,13 @@ SEGMENT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_exte
 STATUSES = ("planned", "submitted", "parked", "add_unconfirmed", "committed", "failed")
 
 
+def base32_sql(digits: str, n: int) -> str:
+    """SQL for the base32 id of n letters after its prefix that spells the bytes of an expression for lower-case hex digits."""
+    bits = f"rpad(array_to_string(list_transform(string_split({digits}, ''), lambda h: right('000' || bin(('0x' || h)::BIGINT), 4)), ''), {n * 5}, '0')"
+    letter = "list_sum(list_transform(range(5), lambda j: CASE WHEN b[i * 5 + j + 1] = '1' THEN 16 >> j ELSE 0 END))::BIGINT + 1"
+    return f"('b' || (SELECT array_to_string(list_transform(range({n}), lambda i: substr('abcdefghijklmnopqrstuvwxyz234567', {letter}, 1)), '') FROM (SELECT {bits} AS b)))"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 RETRIABLE = ("source_gateway_5xx", "source_gateway_429", "source_gateway_timeout", "source_gateway_network", "car_root_mismatch")
 TIMEOUT_NAMES = ("AbortError", "TimeoutError")
 TIMEOUT_CODES = ("ETIMEDOUT", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT", "UND_ERR_BODY_TIMEOUT")
+NETWORK_CODES = ("ECONNREFUSED", "ECONNRESET", "EHOSTUNREACH", "ENETUNREACH", "ENOTFOUND", "EAI_AGAIN", "UND_ERR_SOCKET")
 UNITS = {"": 0, "b": 0, "k": 10, "kib": 10, "m": 20, "mib": 20, "g": 30, "gib": 30, "t": 40, "tib": 40}
 KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 FEE_FLOOR, MAX_FEE = 100, 200_000
@@ -44,7 +45,7 @@ def classify_status(status: Column) -> Column:
 
 def classify_transport(chain: Column) -> Column:
     """Of an array of (name, code) from the error to its causes: a timeout if its sign comes before any network code."""
-    sign = F.transform(chain, lambda e: F.when(e["name"].isin(*TIMEOUT_NAMES) | e["code"].isin(*TIMEOUT_CODES), "t").when(e["code"].rlike("^(ECONN(REFUSED|RESET)|E(HOST|NET)UNREACH|ENOTFOUND|EAI_AGAIN|UND_ERR_SOCKET)$"), "n"))
+    sign = F.transform(chain, lambda e: F.when(e["name"].isin(*TIMEOUT_NAMES) | e["code"].isin(*TIMEOUT_CODES), "t").when(e["code"].isin(*NETWORK_CODES), "n"))
     return F.when(F.get(F.array_compact(sign), F.lit(0)) == "t", "source_gateway_timeout").otherwise("source_gateway_network")
 
 
@@ -67,6 +68,7 @@ def is_transient(messages: Column) -> Column:
 
 
 def failure_headline(messages: Column) -> Column:
+    # Signs of failures and the sentences for them.
     return _first(
         (_some(messages, "^not a valid CID$"), "not a valid CID"),
         (_some(messages, "did not match multihash"), "gateway returned bytes that do not match the CID — switch gateway"),
@@ -230,8 +232,6 @@ def explorer_url(data_set: Column, piece: Column) -> Column:
     return F.when(piece.isNull(), base).otherwise(F.concat(base, F.lit("/piece/"), piece.cast("string")))
 
 
-def route_request(path: Column) -> Column:
-    """struct(status, reason, piece) of a request path of the shape /piece/<id>, by rules in order."""
-    parts = F.split(path, "/")
-    reason = _first((F.length(path) > 512, "too long"), (path.contains("%"), "percent"), (F.size(parts) != 3, "arity"), (F.get(parts, F.lit(1)) != "piece", "literal"), (~F.get(parts, F.lit(2)).rlike("^[0-9]+$"), "id"), otherwise=F.lit(None).cast("string"))
-    return F.struct(F.when(reason.isNull(), 200).when(reason == "too long", 414).otherwise(404).alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.get(parts, F.lit(2)).cast("long")).alias("piece"))
+def piece_of_path(path: Column) -> Column:
+    """The sub-piece that a local pull of /piece/<number> asks for, null for other paths."""
+    return F.when(path.rlike("^/piece/[0-9]{1,18}$"), F.substring(path, 8, 20).cast("long"))

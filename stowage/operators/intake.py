@@ -5,12 +5,16 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import fixtures as fx
+from ..functions import columns as c
 from ..registry import query
+from .merkle import decode_commitments
 from .windows import content_lines, dedupe_first, reject_samples
 
 _BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
@@ -113,19 +117,153 @@ def set3(spark, d):
     return merge_inventories(t.where("line_no % 2 = 0"), t.where("line_no % 2 = 1"))
 
 
-def validate_rows(pieces: DataFrame) -> DataFrame:
-    """(cid, problems) of manifest rows in the order of the rules; duplicates and shared commitments are counted per key."""
-    n = pieces.groupBy("cid").agg(F.count("*").alias("n"))
-    m = pieces.groupBy("piece_cid").agg(F.countDistinct("cid").alias("m"))
-    j = pieces.join(n, "cid").join(m, "piece_cid", "left")
-    bad = F.array_compact(F.array(F.when(~F.col("cid").startswith("f0155"), "cid"), F.when(F.coalesce("piece_cid", F.lit("")) == "", "pieceCid"), F.when(F.coalesce("raw_size", F.lit(0)) <= 0, "rawSize"), F.when(F.coalesce("url", F.lit("")) == "", "sourceUrl"), F.when(F.col("n") > 1, "duplicate cid"), F.when(F.col("m") > 1, "shared pieceCid")))
-    return j.select("cid", F.array_join(bad, ",").alias("problems"))
-
-
-@query("set4_validate_manifest", "SELECT cid, concat_ws(',', CASE WHEN url IS NULL THEN 'sourceUrl' END, CASE WHEN count(*) OVER (PARTITION BY piece_cid) > 1 THEN 'shared pieceCid' END) AS problems FROM (SELECT cid, url, CASE WHEN k % 50 = 0 THEN 'p' ELSE piece_cid END AS piece_cid FROM pieces)")
+MANIFEST_VERSION, MOST_SIZE = 1, (1 << 53) - 1
+
+
+def _first_of(*rules: tuple[Column, str, Column | str]) -> Column:
+    """struct(field, problem) of the first rule that is broken, null where none is."""
+    out = F.lit(None).cast("struct<field:string,problem:string>")
+    for broken, field, problem in reversed(rules):
+        out = F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(field).alias("field"), (F.lit(problem) if isinstance(problem, str) else problem).alias("problem"))).otherwise(out)
+    return out
+
+
+@F.pandas_udf(StringType())
+def canonical_id(ids: pd.Series) -> pd.Series:
+    """The canonical spelling of each id, null where it is none; one pass without a join, so it serves streams too."""
+    return ids.map(lambda t: parse_id(t)[0]).astype(object)
+
+
+def is_canonical(column: Column) -> Column:
+    return F.coalesce(canonical_id(column) == column, F.lit(False))
+
+
+def manifest_problems(header: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(place, field, problem): the first rule that the header (version, network, gateway) breaks, with place null, and the first that each of the pieces (place, cid, piece_cid, raw_size, url) breaks.
+
+    Ids are in their canonical spelling, commitments decode, sizes are positive
+    and below 2^53, and no cid or commitment comes twice; of repeats the later
+    rows are at fault, and name the place of the first.
+    """
+    none = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
+    said = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("null")) for x in xs])
+    scheme = F.lower(F.regexp_extract("gateway", r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    web = scheme.isin("http", "https")
+    any_piece = pieces.agg((F.count("*") > 0).alias("some"))
+    top = header.join(F.broadcast(any_piece)).select(
+        F.lit(None).cast("long").alias("place"),
+        _first_of(
+            (F.col("version") > MANIFEST_VERSION, "version", said("version ", F.col("version"), f" is newer than {MANIFEST_VERSION}")),
+            (~F.col("version").eqNullSafe(MANIFEST_VERSION), "version", said(f"version {MANIFEST_VERSION} is expected, not ", F.col("version"))),
+            (none("network"), "network", "missing"),
+            (none("gateway"), "gateway", "missing"),
+            ((scheme == "") | (web & ~F.col("gateway").rlike(r"(?i)^https?:/*[^/?#\s]+")), "gateway", said("not a URL: ", F.col("gateway"))),
+            (~web, "gateway", said("not an http(s) URL: ", F.col("gateway"))),
+            (~F.col("some"), "pieces", "none"),
+        ).alias("p"),
+    )
+    first = lambda key, name: pieces.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("place").alias(name))
+    decoded = decode_commitments(pieces, "piece_cid").where("root IS NOT NULL").select(F.col("id").alias("piece_cid"), F.lit(True).alias("decodes"))
+    rows = pieces.join(first("cid", "first_cid"), "cid", "left").join(first("piece_cid", "first_piece"), "piece_cid", "left").join(decoded, "piece_cid", "left")
+    at = lambda name: said("already at pieces[", F.col(name), "]")
+    each = rows.withColumn("canonical", is_canonical(F.col("cid"))).select(
+        "place",
+        _first_of(
+            (~F.col("canonical"), "cid", said(F.col("cid"), " is no canonical id")),
+            (F.col("decodes").isNull(), "pieceCid", said(F.col("piece_cid"), " is no commitment")),
+            (~F.coalesce(F.col("raw_size").between(1, MOST_SIZE), F.lit(False)), "rawSize", said(F.col("raw_size"), " is no positive size")),
+            (none("url"), "sourceUrl", "missing"),
+            (F.col("first_cid") < F.col("place"), "cid", at("first_cid")),
+            (F.col("first_piece") < F.col("place"), "pieceCid", at("first_piece")),
+        ).alias("p"),
+    )
+    return top.unionByName(each).where("p IS NOT NULL").select("place", "p.field", "p.problem")
+
+
+def require_valid(header: DataFrame, pieces: DataFrame) -> None:
+    """Raises for the first problem of a manifest: the header's, or that of the row that comes first."""
+    found = manifest_problems(header, pieces).orderBy(F.asc_nulls_first("place")).limit(1).collect()
+    if found:
+        place, field, problem = found[0]
+        raise ValueError(f"manifest {'' if place is None else f'pieces[{place}] '}{field}: {problem}")
+
+
+def manifest_fixture(spark, d) -> DataFrame:
+    """place, cid, piece_cid, raw_size, url: rows that break every rule here and there."""
+    p = fx.pieces(spark, d).withColumn("digest", F.substring("cid", 10, 64))
+    k = F.col("k")
+    cid = canonical_id(F.concat(F.lit("f01551220"), "digest"))
+    piece = canonical_id(F.concat(F.lit("f0155912022000a"), F.when(k % 60 == 6, F.lit("ab" * 32)).otherwise(F.col("digest"))))
+    return p.select(
+        k.alias("place"), F.when(k % 50 == 1, F.col("cid")).when(k % 50 == 2, F.lit("Qm1")).when(k % 70 == 3, canonical_id(F.lit("f01551220" + "cd" * 32))).otherwise(cid).alias("cid"),
+        F.when(k % 80 == 4, F.col("piece_cid")).when(k % 80 == 5, F.lit(None)).otherwise(piece).alias("piece_cid"), F.when(k % 90 == 7, 0).when(k % 90 == 8, F.lit(1 << 53)).otherwise(F.col("raw_size")).alias("raw_size"), "url",
+    )
+
+
+_B32 = fx.base32_sql
+_MANIFEST = f"""r AS (SELECT k AS place, raw_size, url, cid AS hex_cid, piece_cid AS p, cid[10:] AS digest, CASE WHEN k % 60 = 6 THEN repeat('ab', 32) ELSE cid[10:] END AS pd FROM pieces),
+    x AS (SELECT place, url, CASE WHEN place % 50 = 1 THEN hex_cid WHEN place % 50 = 2 THEN 'Qm1' WHEN place % 70 = 3 THEN {_B32("'01551220' || repeat('cd', 32)", 58)} ELSE {_B32("'01551220' || r.digest", 58)} END AS cid,
+    CASE WHEN place % 80 = 4 THEN p WHEN place % 80 <> 5 THEN {_B32("'0155912022000a' || r.pd", 63)} END AS piece_cid, CASE WHEN place % 90 = 7 THEN 0 WHEN place % 90 = 8 THEN 9007199254740992 ELSE raw_size END AS raw_size FROM r),
+    y AS (SELECT *, min(place) OVER (PARTITION BY cid) AS c1, min(place) OVER (PARTITION BY piece_cid) AS p1 FROM x),
+    z AS (SELECT place, CASE WHEN cid NOT LIKE 'b%' THEN 'cid' WHEN piece_cid IS NULL OR piece_cid NOT LIKE 'b%' THEN 'pieceCid' WHEN raw_size NOT BETWEEN 1 AND 9007199254740991 THEN 'rawSize' WHEN url IS NULL THEN 'sourceUrl' WHEN c1 < place THEN 'cid' WHEN p1 < place THEN 'pieceCid' END AS field,
+    CASE WHEN cid NOT LIKE 'b%' THEN cid || ' is no canonical id' WHEN piece_cid IS NULL OR piece_cid NOT LIKE 'b%' THEN coalesce(piece_cid, 'null') || ' is no commitment' WHEN raw_size NOT BETWEEN 1 AND 9007199254740991 THEN raw_size || ' is no positive size' WHEN url IS NULL THEN 'missing' WHEN c1 < place THEN 'already at pieces[' || c1 || ']' WHEN p1 < place THEN 'already at pieces[' || p1 || ']' END AS problem FROM y)"""
+
+
+@query("set4_validate_manifest", f"{_MANIFEST} SELECT place, field, problem FROM z WHERE field IS NOT NULL UNION ALL SELECT NULL, 'gateway', 'not an http(s) URL: ftp://g.example'")
 def set4(spark, d):
-    p = fx.pieces(spark, d)
-    return validate_rows(p.select("cid", F.when(F.col("k") % 50 == 0, "p").otherwise(F.col("piece_cid")).alias("piece_cid"), "raw_size", "url"))
+    header = spark.createDataFrame([(1, "calibration", "ftp://g.example")], "version int, network string, gateway string")
+    return manifest_problems(header, manifest_fixture(spark, d))
+
+
+MOST_PATH, SMALL_HOSTS = 512, 10_000
+
+
+def route_requests(requests: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(req_id, status, reason, host, cid, location) of relay requests (req_id, path), by rules in order.
+
+    The one route is /r/<host>/<cid>/piece/<commitment>, split literally; hosts
+    (host) are those allowed, compared without case, and the id must be in its
+    canonical spelling. The commitment isn't looked at. requests may be a stream.
+    """
+    allowed = hosts.select(F.lower(F.trim("host")).alias("host")).where("host <> ''").distinct().withColumn("allowed", F.lit(True))
+    if allowed.limit(SMALL_HOSTS + 1).count() <= SMALL_HOSTS:
+        allowed = F.broadcast(allowed)
+    parts = F.split("path", "/", -1)
+    at = lambda i: F.get(parts, F.lit(i))
+    shape = (
+        F.when(F.col("path").isNull() | (F.length("path") > MOST_PATH), "too long").when((F.size(parts) != 6) | (at(1) != "r") | (at(4) != "piece"), "shape")
+        .when((at(2) == "") | (at(3) == "") | (at(5) == ""), "empty segment").when(F.contains("path", F.lit("%")), "percent")
+    )
+    asked = requests.select("req_id", "path", (F.col("path") == "/healthz").alias("healthy"), shape.alias("shape"), F.lower(at(2)).alias("host"), at(3).alias("cid"))
+    j = asked.join(allowed, "host", "left").withColumn("canonical", is_canonical(F.when(F.col("shape").isNull(), F.col("cid"))))
+    healthy = F.coalesce("healthy", F.lit(False))
+    reason = F.when(healthy, F.lit(None)).when(F.col("shape").isNotNull(), F.col("shape")).when(F.col("allowed").isNull(), "host not allowed").when(~F.col("canonical"), "id not canonical")
+    good = ~healthy & reason.isNull()
+    status = F.when(reason.isNull(), 200).when(reason == "host not allowed", 403).otherwise(404)
+    return j.select("req_id", status.alias("status"), reason.alias("reason"), F.when(good, F.col("host")).alias("host"), F.when(good, F.col("cid")).alias("cid"), F.when(good, c.canonical_url(F.concat(F.lit("https://"), "host"), F.col("cid"))).alias("location"))
+
+
+def relay_requests(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(req_id, path) of relay requests in every shape, and (host) of the hosts allowed."""
+    pages = fx.read(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^\w+://([^/:?#]*)", 1).alias("host"), F.sha2(F.col("url").cast("binary"), 256).alias("digest"))
+    k = F.col("page_id")
+    path = lambda host, cid: F.concat(F.lit("/r/"), host, F.lit("/"), cid, F.lit("/piece/"), k.cast("string"))
+    hex_id = F.concat(F.lit("f01551220"), "digest")
+    spelled = (
+        F.when(k % 9 == 0, path(F.upper("host"), canonical_id(hex_id))).when(k % 9 == 1, path(F.concat("host", F.lit(":443")), canonical_id(hex_id))).when(k % 9 == 2, path(F.col("host"), hex_id))
+        .when(k % 9 == 3, path(F.col("host"), F.concat(F.lit("%62"), "digest"))).when(k % 9 == 4, F.concat(F.lit("/r/"), "host", F.lit("/piece/1"))).when(k % 9 == 5, path(F.repeat(F.lit("h"), F.lit(600)), hex_id))
+        .when(k % 9 == 6, F.lit("/healthz")).when(k % 9 == 7, path(F.lit(""), hex_id)).otherwise(path(F.col("host"), canonical_id(hex_id)))
+    )
+    return pages.select(k.alias("req_id"), spelled.alias("path")), pages.where("page_id % 4 <> 1").select("host").distinct()
+
+
+@query("fn11_route_request", rf"""g AS (SELECT page_id AS k, regexp_extract(url, '^\w+://([^/:?#]*)', 1) AS host, sha256(url) AS digest FROM pages), h AS (SELECT DISTINCT lower(host) AS host FROM g WHERE k % 4 <> 1 AND host <> ''),
+    e AS (SELECT k, CASE WHEN k % 9 = 1 THEN lower(host) || ':443' ELSE lower(host) END AS host, {_B32("'01551220' || g.digest", 58)} AS cid, CASE k % 9 WHEN 3 THEN CASE WHEN host = '' THEN 'empty segment' ELSE 'percent' END WHEN 4 THEN 'shape' WHEN 5 THEN 'too long' WHEN 6 THEN 'ok' WHEN 7 THEN 'empty segment' ELSE CASE WHEN host = '' AND k % 9 <> 1 THEN 'empty segment' END END AS shape FROM g),
+    v AS (SELECT *, CASE WHEN shape = 'ok' THEN NULL WHEN shape IS NOT NULL THEN shape WHEN host NOT IN (SELECT host FROM h) THEN 'host not allowed' WHEN k % 9 = 2 THEN 'id not canonical' END AS reason FROM e), w AS (SELECT *, shape IS NULL AND reason IS NULL AS good FROM v)
+    SELECT k AS req_id, CASE WHEN reason IS NULL THEN 200 WHEN reason = 'host not allowed' THEN 403 ELSE 404 END AS status, reason, CASE WHEN good THEN host END AS host, CASE WHEN good THEN cid END AS cid,
+    CASE WHEN good THEN 'https://' || host || '/ipfs/' || cid || '?format=car&dag-scope=all&car-version=1&car-order=dfs&car-dups=n' END AS location FROM w""")
+def fn11(spark, d):
+    return route_requests(*relay_requests(spark, d))
 
 
 @query("src1_inventory_lines", "SELECT line_no, trim(line) AS id FROM lines WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')")

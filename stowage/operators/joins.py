@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import columns as c
 from ..registry import query
 from .rows import resumable
 
@@ -165,42 +166,73 @@ def jn14(spark, d):
     return latest_add_epoch(fx.aggregates(spark, d), fx.receipts(spark, d))
 
 
-def import_plan(manifest: DataFrame, state: DataFrame) -> DataFrame:
-    """(cid, plan): new, recorded, conflict or upgrade; shared where another source has the commitment."""
-    own = state.select("cid", F.col("piece_cid").alias("old"), F.col("status").alias("old_status"))
-    other = state.where("piece_cid IS NOT NULL").groupBy("piece_cid").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    j = manifest.join(own, "cid", "left").join(other, "piece_cid", "left")
-    shared = F.coalesce((F.col("lo") != F.col("cid")) | (F.col("hi") != F.col("cid")), F.lit(False))
-    plan = F.when(F.col("old_status").isNull(), "new").when(F.col("old").isNull() | (F.col("old_status") != "done"), "upgrade").when(F.col("old") == F.col("piece_cid"), "recorded").otherwise("conflict")
-    return j.select("cid", plan.alias("plan"), shared.alias("shared"))
+def import_plan(manifest: DataFrame, state: DataFrame, sub_pieces: DataFrame) -> DataFrame:
+    """(cid, plan, reason) of manifest (cid, piece_cid, raw_size) against pieces (cid, piece_cid, raw_size, status) and sub_pieces (sub_piece_cid).
 
-
-_IMPORT = "m AS (SELECT cid, piece_cid || CASE WHEN k % 20 = 4 THEN 'x' ELSE '' END AS piece_cid FROM pieces), s AS (SELECT cid, piece_cid, status FROM pieces WHERE k % 2 = 0)"
+    A piece that is done or oversized is recorded where commitment and size are
+    the manifest's, and a conflict where either differs; any other known piece
+    is an upgrade, since it has no commitment yet. An unknown piece is new,
+    unless its commitment is that of a sub-piece already, which is a conflict.
+    reason is null but for conflicts.
+    """
+    own = state.select("cid", F.lit(True).alias("known"), F.col("piece_cid").alias("old"), F.col("raw_size").alias("old_size"), F.col("status").alias("old_status"))
+    taken = sub_pieces.select(F.col("sub_piece_cid").alias("piece_cid"), F.lit(True).alias("taken")).distinct()
+    j = manifest.join(own, "cid", "left").join(taken, "piece_cid", "left")
+    same = F.col("old").eqNullSafe(F.col("piece_cid")) & F.col("old_size").eqNullSafe(F.col("raw_size"))
+    recorded = F.col("old_status").isin("done", "oversized")
+    plan = (
+        F.when(F.col("known").isNull(), F.when(F.col("taken"), "conflict").otherwise("new"))
+        .when(F.coalesce(recorded, F.lit(False)), F.when(same, "recorded").otherwise("conflict")).otherwise("upgrade")
+    )
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    differs = F.concat(F.lit("recorded as "), text("old"), F.lit(" ("), text("old_size"), F.lit(" bytes), the manifest says "), text("piece_cid"), F.lit(" ("), text("raw_size"), F.lit(" bytes)"))
+    reason = F.when(F.col("known").isNull(), F.concat(text("piece_cid"), F.lit(" is a sub-piece of another source"))).otherwise(differs)
+    return j.select("cid", plan.alias("plan"), F.when(plan == "conflict", reason).alias("reason"))
+
+
+#: A manifest that differs from the state in commitments, sizes and statuses, and of whose new commitments some are sub-pieces.
+_IMPORT = """m AS (SELECT cid, k, piece_cid || CASE WHEN k % 20 = 4 THEN 'x' ELSE '' END AS piece_cid, raw_size + CASE WHEN k % 14 = 8 THEN 1 ELSE 0 END AS raw_size FROM pieces), s AS (SELECT cid, piece_cid, raw_size, status FROM pieces WHERE k % 2 = 0),
+    u AS (SELECT piece_cid FROM pieces WHERE k % 9 = 5)"""
 
 
 def _import(spark, d):
     p = fx.pieces(spark, d)
-    return p.select("cid", F.when(F.col("k") % 20 == 4, F.concat("piece_cid", F.lit("x"))).otherwise(F.col("piece_cid")).alias("piece_cid")), p.where("k % 2 = 0").select("cid", "piece_cid", "status")
+    k = F.col("k")
+    manifest = p.select("cid", F.when(k % 20 == 4, F.concat("piece_cid", F.lit("x"))).otherwise(F.col("piece_cid")).alias("piece_cid"), (F.col("raw_size") + (k % 14 == 8).cast("long")).alias("raw_size"))
+    return manifest, p.where("k % 2 = 0").select("cid", "piece_cid", "raw_size", "status", "failure_category"), p.where("k % 9 = 5").select(F.col("piece_cid").alias("sub_piece_cid"))
 
 
-@query("jn15_import_plan", f"{_IMPORT} SELECT m.cid, CASE WHEN s.cid IS NULL THEN 'new' WHEN s.status <> 'done' THEN 'upgrade' WHEN s.piece_cid = m.piece_cid THEN 'recorded' ELSE 'conflict' END AS plan, EXISTS (SELECT 1 FROM s o WHERE o.piece_cid = m.piece_cid AND o.cid <> m.cid) AS shared FROM m LEFT JOIN s ON m.cid = s.cid")
+@query("jn15_import_plan", f"""{_IMPORT} SELECT m.cid, CASE WHEN s.cid IS NULL THEN CASE WHEN m.piece_cid IN (SELECT piece_cid FROM u) THEN 'conflict' ELSE 'new' END WHEN s.status IN ('done', 'oversized') THEN CASE WHEN s.piece_cid = m.piece_cid AND s.raw_size = m.raw_size THEN 'recorded' ELSE 'conflict' END ELSE 'upgrade' END AS plan,
+    CASE WHEN plan = 'conflict' THEN CASE WHEN s.cid IS NULL THEN m.piece_cid || ' is a sub-piece of another source' ELSE 'recorded as ' || s.piece_cid || ' (' || s.raw_size || ' bytes), the manifest says ' || m.piece_cid || ' (' || m.raw_size || ' bytes)' END END AS reason FROM m LEFT JOIN s ON m.cid = s.cid""")
 def jn15(spark, d):
     return import_plan(*_import(spark, d))
 
 
-def apply_import(manifest: DataFrame, state: DataFrame) -> DataFrame:
-    """The state after the import; any conflict leaves it unchanged. Applying twice changes nothing."""
-    plan = import_plan(manifest, state)
-    refused = plan.agg(F.count_if((F.col("plan") == "conflict") | F.col("shared")).alias("n_bad"))
-    take = manifest.join(plan.where("plan IN ('new', 'upgrade')"), "cid", "left_semi").join(F.broadcast(refused)).where("n_bad = 0").drop("n_bad")
-    kept = state.join(take.select("cid"), "cid", "left_anti")
-    return kept.unionByName(take.withColumn("status", F.lit("done")), allowMissingColumns=True)
+def apply_import(manifest: DataFrame, state: DataFrame, sub_pieces: DataFrame, gateway: str) -> DataFrame:
+    """The pieces after an import from gateway: new and upgraded ones are done, with its URL and no error; an upgrade keeps its failure category. Any conflict leaves all as they are, and a second import changes nothing."""
+    plan = import_plan(manifest, state, sub_pieces)
+    refused = plan.agg(F.count_if(F.col("plan") == "conflict").alias("n_bad"))
+    taken = plan.join(F.broadcast(refused)).where("n_bad = 0 AND plan IN ('new', 'upgrade')").select("cid")
+    sets = {"status": F.lit("done"), "piece_cid": F.col("_piece_cid"), "raw_size": F.col("_raw_size"), "gateway": F.lit(gateway), "url": c.canonical_url(F.lit(gateway), F.col("cid")), "error": F.lit(None).cast("string")}
+    take = manifest.join(taken, "cid", "left_semi").select("cid", F.col("piece_cid").alias("_piece_cid"), F.col("raw_size").alias("_raw_size"), F.lit(True).alias("_take"))
+    kinds = dict(state.dtypes)
+    out = state.withColumns({n: F.lit(None).cast("string") for n in ("gateway", "url", "error") if n not in kinds}).join(take, "cid", "full")
+    return out.withColumns({n: F.when(F.col("_take"), v).otherwise(F.col(n)) for n, v in sets.items()}).drop("_piece_cid", "_raw_size", "_take")
 
 
-@query("jn16_apply_import", "SELECT cid, piece_cid, 'done' AS status FROM pieces WHERE k % 4 <> 0 OR status NOT IN ('done') UNION ALL SELECT cid, piece_cid, status FROM pieces WHERE k % 4 = 0 AND status = 'done'")
+@query("jn16_apply_import", """SELECT cid, piece_cid, raw_size, CASE WHEN k % 4 = 0 AND status = 'oversized' THEN status ELSE 'done' END AS status, CASE WHEN k % 4 = 0 THEN failure_category END AS failure_category,
+    CASE WHEN k % 4 = 0 AND status IN ('done', 'oversized') THEN NULL ELSE 'https://g.example/ipfs/' || cid || '?format=car&dag-scope=all&car-version=1&car-order=dfs&car-dups=n' END AS url FROM pieces""")
 def jn16(spark, d):
+    """An import without conflicts: recorded rows stay, oversized ones too; pending and failed ones are upgraded."""
     p = fx.pieces(spark, d)
-    return apply_import(p.select("cid", "piece_cid"), p.where("k % 4 = 0").select("cid", "piece_cid", "status"))
+    state = p.where("k % 4 = 0").select("cid", F.when(F.col("status").isin("done", "oversized"), F.col("piece_cid")).alias("piece_cid"), "raw_size", "status", "failure_category")
+    return apply_import(p.select("cid", "piece_cid", "raw_size"), state, p.limit(0).select(F.col("piece_cid").alias("sub_piece_cid")), "https://g.example").select("cid", "piece_cid", "raw_size", "status", "failure_category", "url")
+
+
+@query("jn16_import_refused", f"{_IMPORT} SELECT cid, piece_cid, raw_size, status, NULL::VARCHAR AS url FROM s")
+def jn16_refused(spark, d):
+    """Conflicts among the rows: nothing changes."""
+    return apply_import(*_import(spark, d), "https://g.example").select("cid", "piece_cid", "raw_size", "status", "url")
 
 
 def prune_results(inputs: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +286,7 @@ def files_of(sub: DataFrame) -> DataFrame:
     SELECT req_id, CASE WHEN s.status IS NULL OR s.status <> 'built' OR (car_path IS NOT NULL AND sub_piece_cid % 5 = 0) THEN 404 WHEN car_path IS NOT NULL AND sub_piece_cid % 7 = 0 THEN 500 WHEN car_path IS NOT NULL THEN 200 ELSE 302 END AS status,
     CASE WHEN s.status IS NULL THEN 'unknown piece' WHEN s.status <> 'built' THEN 'sub-piece not built' WHEN car_path IS NOT NULL AND sub_piece_cid % 5 = 0 THEN 'file missing' WHEN car_path IS NOT NULL AND sub_piece_cid % 7 = 0 THEN 'length drift' ELSE coalesce(car_path, url) END AS detail FROM q LEFT JOIN sub_pieces s ON piece = sub_piece_cid""")
 def jn19(spark, d):
-    q = fx.requests(spark, d).where(F.col("path").rlike("^/piece/[0-9]{1,18}$")).select("req_id", F.substring("path", 8, 20).cast("long").alias("piece"))
+    q = fx.requests(spark, d).select("req_id", c.piece_of_path(F.col("path")).alias("piece")).where("piece IS NOT NULL")
     s = fx.sub_pieces(spark, d)
     return resolve_requests(q, s, files_of(s))
 

@@ -1,9 +1,8 @@
-"""Commitments: decoding, Merkle roots level by level, roots of aggregates and of objects."""
+"""Commitments: decoding, Merkle roots by aligned subtrees, roots of aggregates and of objects."""
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as c
-from ..plans.primitives import cut, merkle_levels
+from ..plans.primitives import combine, cut, merkle_roots, merkle_sql, places_within, zero_nodes
 from ..registry import query
 
 #: Raw bytes of a chunk: 127 * 2^k, so that a chunk is a whole subtree.
@@ -67,12 +66,6 @@ def encode_commitment(padding: int, height: int, root: bytes) -> str:
     return "b" + base64.b32encode(b"\x01\x55\x91\x20" + bytes([len(digest)]) + digest).decode().lower().rstrip("=")
 
 
-def _pair(left: bytes, right: bytes) -> bytes:
-    h = bytearray(hashlib.sha256(left + right).digest())
-    h[31] &= 63
-    return bytes(h)
-
-
 def _expand(raw: bytes) -> bytes:
     """Each 127 bytes as 128: four runs of 254 bits, each followed by two zero bits, little-endian."""
     groups = np.frombuffer(raw + bytes(-len(raw) % 127), np.uint8).reshape(-1, 127)
@@ -82,47 +75,60 @@ def _expand(raw: bytes) -> bytes:
 
 def _subtrees(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..plans.primitives import zero_nodes
-
-        zeros = [bytes.fromhex(z) for z in zero_nodes(40)]
+        zeros = zero_nodes(40)
         for batch in batches:
-            ids, places, heights, nodes = [], [], [], []
-            for i, raw in zip(batch.column("id").to_pylist(), batch.column("payload").to_pylist()):
+            ids, places, heights, nodes, tops = [], [], [], [], []
+            for i, raw, top in zip(*(batch.column(c).to_pylist() for c in ("id", "payload", "top"))):
                 raw = raw or b""
-                whole = max(128, 1 << max(0, -(-len(raw) * 128 // 127) - 1).bit_length())
-                size = min(chunk, whole * 127 // 128)
+                size = min(chunk, (127 << top) // 4)
+                height = (size // 127 * 4).bit_length() - 1
                 for k, at in enumerate(range(0, max(1, len(raw)), size)):
-                    part = raw[at : at + size]
-                    level = [x for x in (lambda e: [e[j : j + 32] for j in range(0, len(e), 32)])(_expand(part or b"\0"))]
-                    height = (size // 127 * 4).bit_length() - 1
+                    expanded = _expand(raw[at : at + size] or b"\0")
+                    level = [expanded[j : j + 32] for j in range(0, len(expanded), 32)]
                     for h in range(height):
                         if len(level) % 2:
                             level.append(zeros[h])
-                        level = [_pair(level[j], level[j + 1]) for j in range(0, len(level), 2)]
+                        level = [combine(level[j], level[j + 1]) for j in range(0, len(level), 2)]
                     ids.append(i)
                     places.append(k)
                     heights.append(height)
-                    nodes.append(level[0].hex())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(heights, pa.int32()), pa.array(nodes, pa.string())], ["id", "pos", "height", "node"])
+                    nodes.append(level[0])
+                    tops.append(top)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), pa.array(places, pa.int64()), pa.array(heights, pa.int32()), pa.array(nodes, pa.binary()), pa.array(tops, pa.int32())], ["id", "pos", "height", "node", "top"])
 
     return run
 
 
 def commit_objects(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(id, raw_size, height, padding, root) of objects (id, payload): chunks become subtree roots where they lie, the rest is level by level."""
-    nodes = objects.select("id", "payload").mapInArrow(_subtrees(chunk), "id long, pos long, height int, node string")
-    sized = objects.select("id", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("raw_size"))
-    top = sized.select("id", "raw_size", c.tree_height(F.col("raw_size")).alias("top"))
-    roots = merkle_levels(cut(nodes.join(top.select("id", "top"), "id")), ["id"])
-    return top.join(roots, "id").select("id", "raw_size", F.col("top").alias("height"), c.padding(F.col("raw_size")).alias("padding"), "root")
-
-
-@query("mk1_commit_objects")
+    """(id, raw_size, height, padding, root) of objects (id, payload): chunks become subtree roots where they lie, and only these travel."""
+    raw = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    kind = dict(objects.dtypes)["id"]
+    nodes = objects.select("id", "payload", c.tree_height(raw).alias("top")).mapInArrow(_subtrees(chunk), f"id {kind}, pos long, height int, node binary, top int")
+    sized = objects.select("id", raw.alias("raw_size"))
+    roots = merkle_roots(nodes, ["id"])
+    return sized.join(roots, "id").select("id", "raw_size", c.tree_height(F.col("raw_size")).alias("height"), c.padding(F.col("raw_size")).alias("padding"), F.lower(F.hex("root")).alias("root"))
+
+
+_TOP = "CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT) - 5"
+_NIBBLES = "array_to_string(list_transform(string_split(r, ''), lambda h: right('000' || bin(('0x' || h)::BIGINT), 4)), '')"
+#: 127 bytes as four nodes in SQL: their bits from the last one back, in runs of 254.
+_LEAVES = f"""raw AS (SELECT object_id AS id, lower(hex(encode(text))) AS h, raw_size, {_TOP} AS top FROM (SELECT doc_id AS object_id, text, strlen(text) AS raw_size FROM documents)),
+    groups AS (SELECT id, top, i, array_to_string(list_reverse(regexp_extract_all(rpad(substr(h, i * 254 + 1, 254), 254, '0'), '..')), '') AS r FROM raw, unnest(range(CAST(greatest(1, ceil(raw_size / 127.0)) AS BIGINT))) AS u(i)),
+    bits AS (SELECT id, top, i * 4 + j AS pos, '00' || substr(b, 1016 - 254 * j - 253, 254) AS b FROM (SELECT id, top, i, {_NIBBLES} AS b FROM groups), range(4) AS q(j)),
+    leaves AS (SELECT id, 0 AS height, pos, array_to_string(list_reverse(list_transform(range(32), lambda k: printf('%02x', list_sum(list_transform(range(8), lambda j: CASE WHEN b[k * 8 + j + 1] = '1' THEN 128 >> j ELSE 0 END))::BIGINT))), '') AS node, top FROM bits)"""
+_COMMITTED = f"{_LEAVES}, {merkle_sql('leaves', 'id', 20)}"
+
+
+@query("mk1_commit_objects", f"{_COMMITTED} SELECT id, raw_size, top AS height, (32::BIGINT << top) // 128 * 127 - raw_size AS padding, root FROM raw JOIN roots USING (id)")
 def mk1(spark, d):
     return commit_objects(fx.objects(spark, d).select(F.col("object_id").alias("id"), "payload"))
 
 
-@query("mk2_decode_commitments")
+_VARINT = "CASE WHEN n < 128 THEN printf('%02x', n) WHEN n < 16384 THEN printf('%02x%02x', (n & 127) | 128, n >> 7) ELSE printf('%02x%02x%02x', (n & 127) | 128, ((n >> 7) & 127) | 128, n >> 14) END"
+
+
+@query("mk2_decode_commitments", f"""{_COMMITTED}, e AS (SELECT DISTINCT top, (32::BIGINT << top) // 128 * 127 - raw_size AS n, root FROM raw JOIN roots USING (id)), d AS (SELECT *, {_VARINT} || printf('%02x', top) || root AS body FROM e), x AS (SELECT *, '01559120' || printf('%02x', length(body) // 2) || body AS hx FROM d)
+    SELECT CASE length(hx) WHEN 78 THEN {fx.base32_sql("x.hx", 63)} WHEN 80 THEN {fx.base32_sql("x.hx", 64)} ELSE {fx.base32_sql("x.hx", 66)} END AS id, n AS padding, top AS height, unhex(root) AS root, 32::BIGINT << top AS padded FROM x""")
 def mk2(spark, d):
     o = commit_objects(fx.objects(spark, d).select(F.col("object_id").alias("id"), "payload"))
 
@@ -142,7 +148,7 @@ def leaves_of(members: DataFrame) -> DataFrame:
     whole = Window.partitionBy("key")
     total = F.sum(span).over(whole)
     top = F.greatest(F.length(F.bin(total - 1)), F.max("height").over(whole))
-    return at.select("key", "order", "height", F.expr("shiftright(offset, height)").alias("pos"), "node", F.when(total == 1, F.max("height").over(whole)).otherwise(top).cast("int").alias("top"))
+    return at.select("key", "height", F.expr("shiftright(offset, height)").alias("pos"), "node", F.when(total == 1, F.max("height").over(whole)).otherwise(top).cast("int").alias("top"))
 
 
 def aggregate_roots(members: DataFrame) -> DataFrame:
@@ -152,7 +158,7 @@ def aggregate_roots(members: DataFrame) -> DataFrame:
     envelope from the sum of raw sizes, and the two may differ.
     """
     rows = cut(members)
-    roots = merkle_levels(cut(leaves_of(rows)), ["key"])
+    roots = merkle_roots(leaves_of(rows), ["key"]).withColumn("root", F.lower(F.hex("root")))
     order = F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "order", "id")))
     sums = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.sum("raw_size").alias("raw_size"), order.alias("m"))
     return sums.join(roots, "key").select("key", "root", "n_members", "raw_size", c.tree_height(F.col("raw_size")).alias("height"), c.padding(F.col("raw_size")).alias("padding"), F.transform("m", lambda x: x["id"]).alias("ids"))
@@ -160,10 +166,15 @@ def aggregate_roots(members: DataFrame) -> DataFrame:
 
 def _members(spark, d):
     size = F.col("raw_size")
-    return fx.aggregate_members(spark, d).join(fx.sub_pieces(spark, d), "sub_piece_cid").select(F.col("aggregate_idx").alias("key"), F.col("segment_index").alias("order"), c.tree_height(size).alias("height"), F.sha2(F.col("sub_piece_cid").cast("string").cast("binary"), 256).alias("node"), "raw_size", F.col("sub_piece_cid").alias("id"))
+    return fx.aggregate_members(spark, d).join(fx.sub_pieces(spark, d), "sub_piece_cid").select(F.col("aggregate_idx").alias("key"), F.col("segment_index").alias("order"), c.tree_height(size).alias("height"), F.unhex(F.sha2(F.col("sub_piece_cid").cast("string").cast("binary"), 256)).alias("node"), "raw_size", F.col("sub_piece_cid").alias("id"))
+
 
+_LAID = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size, sub_piece_cid, {_TOP} AS height FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)), t AS (SELECT key, sum(1::BIGINT << height)::BIGINT AS total, max(height) AS most, sum(raw_size) AS raw_size, count(*) AS n_members, list(sub_piece_cid ORDER BY height DESC, o) AS ids FROM m GROUP BY key),
+    laid AS (SELECT m.key, height, coalesce(sum(1::BIGINT << height) OVER (PARTITION BY m.key ORDER BY height DESC, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> height AS pos, sha256(sub_piece_cid::VARCHAR) AS node, CASE WHEN total = 1 THEN most ELSE greatest(most, length(bin(total - 1))) END AS top FROM m JOIN t USING (key)),
+    {merkle_sql("laid", "key", 26)}"""
 
-@query("mk4_aggregate_roots")
+
+@query("mk4_aggregate_roots", f"{_LAID} SELECT key, root, n_members, raw_size, {_TOP} AS height, (32::BIGINT << ({_TOP})) // 128 * 127 - raw_size AS padding, ids FROM t JOIN roots USING (key)")
 def mk4(spark, d):
     return aggregate_roots(_members(spark, d))
 
@@ -173,21 +184,51 @@ def mk4b(spark, d):
     return aggregate_roots(_members(spark, d)).select("key", "n_members", "raw_size", "ids")
 
 
-@query("mk3_merkle_root")
+@query("mk3_merkle_root", f"n AS (SELECT source AS key, 0 AS height, row_number() OVER (PARTITION BY source ORDER BY object_id) - 1 AS pos, digest_hex AS node, CASE WHEN count(*) OVER (PARTITION BY source) = 1 THEN 0 ELSE length(bin(count(*) OVER (PARTITION BY source) - 1)) END AS top FROM objects), {merkle_sql('n', 'key', 24)} SELECT key, root FROM roots")
 def mk3(spark, d):
-    o = fx.objects(spark, d).select(F.col("source").alias("key"), F.lit(0).alias("height"), (F.row_number().over(Window.partitionBy("source").orderBy("object_id")) - 1).cast("long").alias("pos"), F.col("digest_hex").alias("node"))
-    n = F.count("*").over(Window.partitionBy("key"))
-    return merkle_levels(cut(o.withColumn("top", F.when(n == 1, 0).otherwise(F.length(F.bin(n - 1))).cast("int"))), ["key"])
+    o = fx.objects(spark, d).select(F.col("source").alias("key"), "object_id", F.unhex("digest_hex").alias("node"))
+    sizes = o.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n"))
+    placed = places_within(o, ["key"], ["object_id"])
+    n = F.col("n")
+    top = placed.join(sizes, F.col("key").eqNullSafe(F.col("of"))).select("key", F.lit(0).alias("height"), F.col("place").alias("pos"), "node", F.when(n == 1, 0).otherwise(F.length(F.bin(n - 1))).cast("int").alias("top"))
+    return merkle_roots(top, ["key"]).select("key", F.lower(F.hex("root")).alias("root"))
 
 
 def check_roots(stored: DataFrame, members: DataFrame) -> DataFrame:
-    """(key, ok): stored (key, root) against roots computed again from members."""
+    """(key, ok, root): stored (key, root) against the roots computed again from members; root is the one computed, null where a key has no member."""
     now = aggregate_roots(members).select("key", F.col("root").alias("now"))
-    return stored.join(now, "key", "left").select("key", F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("ok"))
+    return stored.join(now, "key", "left").select("key", F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("ok"), F.col("now").alias("root"))
+
+
+def member_digests(members: DataFrame) -> DataFrame:
+    """(key, digest) of each tree's members in order: it changes when a member, its height or its order does."""
+    each = F.concat_ws("/", F.col("order").cast("string"), F.col("height").cast("string"), F.hex("node"))
+    return members.groupBy("key").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", each.alias("m")))), lambda x: x["m"]), ","), 256).alias("digest"))
+
 
+def replay_roots(members: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, digest, root) of all trees now, keys that were computed): roots of kept (key, digest, root) stand where the members' digest is the same, and only the others are computed."""
+    now = cut(member_digests(members))
+    same = now.join(kept.select("key", "digest", "root"), ["key", "digest"])
+    changed = cut(now.join(same.select("key"), "key", "left_anti"))
+    again = aggregate_roots(members.join(changed.select("key"), "key", "left_semi")).select("key", "root")
+    return same.select("key", "digest", "root").union(changed.join(again, "key").select("key", "digest", "root")), changed.select("key")
 
-@query("mk5_check_roots", "SELECT DISTINCT aggregate_idx AS key, aggregate_idx % 9 <> 0 AS ok FROM aggregate_members")
+
+@query("mk5_check_roots", f"{_LAID} SELECT key, key % 9 <> 0 AS ok, root FROM roots")
 def mk5(spark, d):
+    """Stored roots of which every ninth was altered, against those that the members give; SQL makes its own."""
     m = _members(spark, d)
     stored = cut(aggregate_roots(m).select("key", F.when(F.col("key") % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root")))
     return check_roots(stored, m)
+
+
+@query("mk5_replay_changed", f"{_LAID} SELECT key, root, key % 5 = 0 OR key % 7 = 0 AS computed FROM roots")
+def mk5_replay(spark, d):
+    """Roots kept from before for all but some new aggregates; of those kept, some have other members now."""
+    m = _members(spark, d)
+    k = F.col("key")
+    before = m.where(k % 5 != 0).withColumn("node", F.when(k % 7 == 0, F.unhex(F.lit("ab" * 32))).otherwise(F.col("node")))
+    kept = cut(member_digests(before).join(aggregate_roots(before).select("key", "root"), "key"))
+    roots, computed = replay_roots(m, kept)
+    return roots.join(computed.withColumn("computed", F.lit(True)), "key", "left").select("key", "root", F.coalesce("computed", F.lit(False)).alias("computed"))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..plans.primitives import cut, global_prefix, greedy_starts
+from ..functions import columns as c
+from ..plans.primitives import next_fit
 from ..registry import query
 from .joins import free_pieces, free_sub_pieces, verify_blocks
 from .rows import split_unservable
@@ -63,18 +64,7 @@ def pk1(spark, d):
 
 def pack_next_fit(df: DataFrame, order: list, size: str, cap: int) -> DataFrame:
     """df's rows not above cap with bin: bins in order, each closed when the next row would exceed cap."""
-    placed = cut(global_prefix(df.where(F.col(size) <= cap), order, F.col(size)))
-    starts = greedy_starts(placed.select("idx", "before", F.col(size).alias("size")), cap)
-    numbered = cut(global_prefix(starts.select(F.col("idx").alias("start")), ["start"]).select("start", F.col("idx").alias("bin")))
-    # The last start at or before a row, found within cells of the index axis that a start's own bin may span.
-    ends = numbered.select("start", "bin", F.lead("start").over(Window.partitionBy(F.lit(0)).orderBy("bin")).alias("next")) if numbered.count() <= 1_000_000 else None
-    if ends is None:
-        ends = numbered.alias("a").join(numbered.alias("b"), F.col("b.bin") == F.col("a.bin") + 1, "left").select("a.start", "a.bin", F.col("b.start").alias("next"))
-    block = 4096
-    last = placed.agg(F.max("idx").alias("m"))
-    cells = ends.join(F.broadcast(last)).withColumn("next", F.coalesce("next", F.col("m") + 1)).withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("next") - 1) / block))))
-    j = placed.withColumn("cell", F.floor(F.col("idx") / block)).join(cells.select("cell", "start", "next", "bin"), "cell").where((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("next")))
-    return j.drop("cell", "start", "next")
+    return next_fit(df.where(F.col(size) <= cap), order, F.col(size), cap)
 
 
 def _next_fit_sql(source: str, key: str, cap: int) -> str:
@@ -103,15 +93,27 @@ def pk3(spark, d):
 
 
 def append_aggregates(free: DataFrame, existing: DataFrame, cap: int) -> DataFrame:
-    """(sub_piece_cid, idx, oversized): new aggregates numbered above the existing ones; oversized sub-pieces have none."""
+    """(sub_piece_cid, idx, oversized): new aggregates numbered above the existing ones; padded sizes share the budget, and sub-pieces whose own is above it are oversized and have none."""
     base = existing.agg((F.coalesce(F.max("idx"), F.lit(-1)) + 1).alias("base"))
-    packed = pack_next_fit(free.select("sub_piece_cid", "raw_size"), ["sub_piece_cid"], "raw_size", cap).join(F.broadcast(base)).select("sub_piece_cid", (F.col("base") + F.col("bin")).alias("idx"), F.lit(False).alias("oversized"))
-    return packed.union(free.where(F.col("raw_size") > cap).select("sub_piece_cid", F.lit(None).cast("long"), F.lit(True)))
+    padded = free.select("sub_piece_cid", c.padded_size(F.col("raw_size")).alias("padded"))
+    packed = pack_next_fit(padded, ["sub_piece_cid"], "padded", cap).join(F.broadcast(base)).select("sub_piece_cid", (F.col("base") + F.col("bin")).alias("idx"), F.lit(False).alias("oversized"))
+    return packed.union(padded.where(F.col("padded") > cap).select("sub_piece_cid", F.lit(None).cast("long"), F.lit(True)))
 
 
-@query("pk4_append_aggregates", _next_fit_sql("sub_pieces", "sub_piece_cid", 5000000).replace("WHERE raw_size <= 5000000", "WHERE raw_size <= 5000000 AND status = 'built' AND sub_piece_cid NOT IN (SELECT sub_piece_cid FROM aggregate_members WHERE aggregate_idx % 10 = 0)") + " SELECT sub_piece_cid, bin + (SELECT max(idx) + 1 FROM aggregates) AS idx, false AS oversized FROM f WHERE i > 0")
+#: SQL for a padded size.
+PADDED_SQL = "(1::BIGINT << CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT))"
+_FREE = "fp AS (SELECT sub_piece_cid, {} AS raw_size FROM sub_pieces WHERE status = 'built' AND sub_piece_cid NOT IN (SELECT sub_piece_cid FROM aggregate_members WHERE aggregate_idx % 10 = 0))".format(PADDED_SQL)
+
+
+@query("pk4_append_aggregates", _next_fit_sql("fp", "sub_piece_cid", 5 << 20).replace("RECURSIVE o", f"RECURSIVE {_FREE}, o") + f" SELECT sub_piece_cid, bin + (SELECT max(idx) + 1 FROM aggregates) AS idx, false AS oversized FROM f WHERE i > 0 UNION ALL SELECT sub_piece_cid, NULL, true FROM fp WHERE raw_size > {5 << 20}")
 def pk4(spark, d):
-    return append_aggregates(free_sub_pieces(fx.sub_pieces(spark, d), fx.aggregate_members(spark, d).where("aggregate_idx % 10 = 0")), fx.aggregates(spark, d), 5_000_000)
+    return append_aggregates(free_sub_pieces(fx.sub_pieces(spark, d), fx.aggregate_members(spark, d).where("aggregate_idx % 10 = 0")), fx.aggregates(spark, d), 5 << 20)
+
+
+@query("pk4_append_padded", _next_fit_sql("fp", "object_id", 8192).replace("RECURSIVE o", f"RECURSIVE fp AS (SELECT object_id, {PADDED_SQL} AS raw_size FROM objects), o") + " SELECT object_id AS sub_piece_cid, bin AS idx, false AS oversized FROM f WHERE i > 0 UNION ALL SELECT object_id, NULL, true FROM fp WHERE raw_size > 8192")
+def pk4_padded(spark, d):
+    """Every object as a sub-piece, under a budget that many exceed by their padding alone."""
+    return append_aggregates(fx.objects(spark, d).select(F.col("object_id").alias("sub_piece_cid"), "raw_size"), fx.aggregates(spark, d).limit(0), 8192)
 
 
 def wrap_passthrough(free: DataFrame) -> DataFrame:

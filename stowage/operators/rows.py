@@ -238,9 +238,3 @@ def fn8(spark, d):
 @query("fn10_explorer_url", "SELECT idx, 'https://explorer.example/dataset/7' || CASE WHEN idx % 2 = 0 THEN '/piece/' || idx ELSE '' END AS url FROM aggregates")
 def fn10(spark, d):
     return fx.aggregates(spark, d).select("idx", c.explorer_url(F.lit(7), F.when(F.col("idx") % 2 == 0, F.col("idx"))).alias("url"))
-
-
-@query("fn11_route_request", r"""SELECT req_id, CASE WHEN length(path) > 512 THEN 414 WHEN regexp_matches(path, '^/piece/[0-9]+$') THEN 200 ELSE 404 END AS status,
-    CASE WHEN length(path) > 512 THEN 'too long' WHEN contains(path, '%') THEN 'percent' WHEN len(string_split(path, '/')) <> 3 THEN 'arity' WHEN NOT starts_with(path, '/piece/') THEN 'literal' END AS reason, CASE WHEN regexp_matches(path, '^/piece/[0-9]{1,18}$') THEN CAST(path[8:] AS BIGINT) END AS piece FROM requests""")
-def fn11(spark, d):
-    return fx.requests(spark, d).select("req_id", c.route_request(F.col("path")).alias("r")).select("req_id", "r.*")

@@ -1,10 +1,14 @@
-"""Shared primitives: global order without a single-partition window, greedy starts by pointer doubling, least paths, Merkle levels."""
+"""Shared primitives: global order without a single-partition window, greedy bins by range, least paths, Merkle trees by aligned subtrees."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,36 +49,124 @@ def global_prefix(df: DataFrame, order: list, value: Column | None = None) -> Da
     return out.withColumn("idx", (F.col("_n0") + F.col("_r") - 1).cast("long")).withColumn("before", (F.col("_s0") + F.col("_c") - F.col("_v")).cast("long")).drop("_p", "_v", "_n0", "_s0", "_r", "_c")
 
 
-def greedy_starts(prefix: DataFrame, cap: int) -> DataFrame:
-    """(idx): where order-preserving greedy bins of size cap begin, from rows (idx, before, size), sizes not above cap.
+def places_within(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """df with place, 0-based within its keys' rows in order: as global_prefix, so a key with most of the rows is many tasks."""
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy("_p", *keys)
+    counts = placed.groupBy("_p", *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition and key
+    offsets = counts.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    same = F.col("_p") == F.col("_q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    ranked = placed.withColumn("_r", F.row_number().over(inside.orderBy(*order)))
+    return ranked.join(offsets, same).withColumn("place", (F.col("_n0") + F.col("_r") - 1).cast("long")).select(*df.columns, "place")
 
-    A bin that starts at row i ends before the first row whose inclusive sum is
-    above before[i] + cap. The starts are the orbit of row 0 under that map,
-    found by squaring it: rounds grow with the logarithm of the number of bins.
+
+def _entries(cap: int):
+    """Rows as they come, and after them what their range does to whatever is open when it begins: (from, to] of used to what is used at the end and how many bins closed, as pieces of a function."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, ranges = [], 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sizes.append(batch.column("_size").to_numpy(zero_copy_only=False))
+            ranges = batch.column("_range")[0].as_py()
+            none = pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, none, none, none, none], [*batch.schema.names, "_from", "_to", "_exit", "_closed"])
+        if not sizes:
+            return
+        size = np.concatenate(sizes)
+        ends = np.cumsum(size)
+        n, total = len(size), int(ends[-1])
+        hop = np.searchsorted(ends, ends - size + cap, "right").tolist()  # the row that closes a bin that begins here
+        left, closed = [0] * (n + 1), [0] * (n + 1)
+        for j in range(n - 1, -1, -1):
+            k = hop[j]
+            left[j], closed[j] = (left[k], closed[k] + 1) if k < n else (total - int(ends[j]) + int(size[j]), 0)
+        pieces = []
+        if cap >= total:
+            pieces.append((-1, cap - total, total, 0))  # nothing closes: what is used grows by all
+        high = cap
+        for j in range(n):
+            low = max(-1, cap - int(ends[j]))
+            if low < high:
+                piece = (low, high, left[j], closed[j] + 1)
+                if len(pieces) > 1 and pieces[-1][0] == high and pieces[-1][2:] == piece[2:]:
+                    pieces[-1] = (low, *pieces[-1][1:])
+                else:
+                    pieces.append(piece)
+                high = low
+            if low < 0:
+                break
+        schema = batch.schema
+        columns = [pa.nulls(len(pieces), f.type) for f in schema]
+        columns[schema.get_field_index("_range")] = pa.array([ranges] * len(pieces), pa.int64())
+        lists = [pa.array(c, pa.int64()) for c in zip(*pieces)]
+        yield pa.RecordBatch.from_arrays([*columns, *lists], [*schema.names, "_from", "_to", "_exit", "_closed"])
+
+    return run
+
+
+def _walk(cap: int):
+    """(range, used, closed) at the beginning of each range, from the pieces of all ranges in order; nothing but the current range is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, closed, after = None, 0, 0, (0, 0)
+        for batch in batches:
+            out = []
+            for r, low, high, left, n in zip(*(batch.column(c).to_pylist() for c in ("_range", "_from", "_to", "_exit", "_closed"))):
+                if r != at:
+                    at, (used, closed) = r, after
+                    out.append((r, used, closed))
+                if low < used <= high:
+                    after = (left if n else used + left, closed + n)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], [], []))], ["_range", "_used", "_before"])
+
+    return run
+
+
+def _numbered(cap: int):
+    """Rows of each range in order with their bin, from what was used and closed before the range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, number = None, 0, 0
+        for batch in batches:
+            bins = []
+            for r, size, start, before in zip(*(batch.column(c).to_pylist() for c in ("_range", "_size", "_used", "_before"))):
+                if r != at:
+                    at, used, number = r, start, before
+                if used + size > cap:
+                    used, number = 0, number + 1
+                used += size
+                bins.append(number)
+            keep = [i for i, name in enumerate(batch.schema.names) if not name.startswith("_")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(bins, pa.int64())], [*(batch.schema.names[i] for i in keep), "bin"])
+
+    return run
+
+
+def next_fit(df: DataFrame, order: list, size: Column, cap: int) -> DataFrame:
+    """df, whose sizes aren't above cap, with bin: order-preserving bins, each closed when the next row would exceed cap.
+
+    Two passes, whatever the number of bins. Rows are dealt by ranges of the
+    order; each range says, for all that may be used in the bin that is open
+    when it begins, what is used at its end and how many bins it closes. Such a
+    function has at most as many pieces as rows fit into one bin, and fewer as
+    chains of bins run together. One task walks through the pieces of all ranges;
+    then each range numbers its own rows.
     """
-    spark = prefix.sparkSession
-    # The first row j with before[j] + size[j] > before[i] + cap, by merging both sorted lists in cells of the sum axis.
-    cell = cap
-    ends = prefix.select((F.col("before") + F.col("size")).alias("end"), "idx")
-    ends = ends.withColumn("cell", F.floor(F.col("end") / cell))
-    want = prefix.select("idx", (F.col("before") + cap).alias("limit"))
-    want = want.withColumn("cell", F.explode(F.array(F.floor(F.col("limit") / cell), F.floor(F.col("limit") / cell) + 1)))
-    marks = want.select("cell", F.col("limit").alias("at"), F.lit(0).alias("kind"), F.col("idx").alias("i"), F.lit(None).cast("long").alias("j")).union(ends.select("cell", F.col("end").alias("at"), F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("i"), F.col("idx").alias("j")))
-    following = Window.partitionBy("cell").orderBy(F.desc("at"), F.desc("kind"), F.desc("j")).rowsBetween(Window.unboundedPreceding, -1)
-    hop = marks.withColumn("n", F.min("j").over(following)).where("kind = 0").groupBy("i").agg(F.min("n").alias("n")).where("n IS NOT NULL")
-    hop = cut(hop)
-    reach = cut(spark.createDataFrame([(0,)], "idx long").join(prefix.select("idx"), "idx", "left_semi"))
-    known = reach.count()
-    while known:
-        more = reach.join(hop, reach["idx"] == hop["i"]).select(F.col("n").alias("idx"))
-        reach = cut(reach.union(more).distinct())
-        now = reach.count()
-        if now == known:
-            break
-        known = now
-        squared = hop.alias("a").join(hop.alias("b"), F.col("a.n") == F.col("b.i")).select(F.col("a.i").alias("i"), F.col("b.n").alias("n"))
-        hop = cut(squared)
-    return reach
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    dealt = df.withColumn("_size", size.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.withColumn("_range", F.spark_partition_id().cast("long")).withColumn("_place", F.monotonically_increasing_id())
+    inner = f"{schema}, _size long, _range long, _place long"
+    rows = cut(dealt.mapInArrow(_entries(cap), f"{inner}, _from long, _to long, _exit long, _closed long"))
+    pieces = rows.where("_to IS NOT NULL").select("_range", "_from", "_to", "_exit", "_closed")
+    starts = cut(pieces.coalesce(1).sortWithinPartitions("_range", "_to").mapInArrow(_walk(cap), "_range long, _used long, _before long"))
+    each = rows.where("_place IS NOT NULL").drop("_from", "_to", "_exit", "_closed").join(F.broadcast(starts), "_range")  # one row for each range
+    return each.repartition("_range").sortWithinPartitions("_range", "_place").select(*df.columns, "_range", "_size", "_used", "_before").mapInArrow(_numbered(cap), f"{schema}, bin long")
 
 
 def least_paths(links: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
@@ -96,42 +188,126 @@ def least_paths(links: DataFrame, roots: DataFrame, most_depth: int = 64) -> Dat
     raise ValueError("links are deeper than most_depth")
 
 
-def combine(left: Column, right: Column) -> Column:
-    """The parent of two 32-byte nodes in hex: sha256 of both, the top two bits of the last byte cleared."""
-    h = F.sha2(F.unhex(F.concat(left, right)), 256)
-    last = F.conv(F.substring(h, 63, 2), 16, 10).cast("int").bitwiseAND(63)
-    return F.concat(F.substring(h, 1, 62), F.lpad(F.lower(F.hex(last)), 2, "0"))
+def combine(left: bytes, right: bytes) -> bytes:
+    """The parent of two 32-byte nodes: sha256 of both, the top two bits of the last byte cleared."""
+    h = bytearray(hashlib.sha256(left + right).digest())
+    h[31] &= 63
+    return bytes(h)
 
 
-def zero_nodes(levels: int) -> list[str]:
-    """Roots of all-zero trees of 32 * 2^k bytes, in hex."""
-    import hashlib
-
+def zero_nodes(levels: int) -> list[bytes]:
+    """Roots of all-zero trees of 32 * 2^k bytes."""
     out = [bytes(32)]
     for _ in range(levels):
-        h = bytearray(hashlib.sha256(out[-1] * 2).digest())
-        h[31] &= 63
-        out.append(bytes(h))
-    return [x.hex() for x in out]
+        out.append(combine(out[-1], out[-1]))
+    return out
 
 
-def merkle_levels(nodes: DataFrame, key: list[str], top: str = "top") -> DataFrame:
-    """(key, root) from rows (key, height, pos, node, top): nodes of 2^height leaves at place pos of their level, up to height top.
+class Fold:
+    """Nodes of one tree in order of their place, folded as far as they and the zeros between them allow.
 
-    One level at a time from the least height; a missing right sibling is the
-    zero node of its level.
+    from_start tells that no earlier node exists. Where it isn't known, a right
+    child whose sibling would lie before the first node waits.
     """
-    low, high = nodes.agg(F.min("height"), F.max(top)).first()
-    if low is None:
-        return nodes.select(*key, F.col("node").alias("root")).limit(0)
-    zeros = zero_nodes(high + 1)
-    carried = nodes.where(F.col("height") == low).select(*key, "pos", "node", top)
-    for level in range(low, high):
-        zero = F.lit(zeros[level])
-        done = carried.where(F.col(top) <= level)
-        pairs = carried.where(F.col(top) > level).groupBy(*key, F.shiftright("pos", 1).alias("pos")).agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("node"))).alias("l"), F.max(F.when(F.col("pos") % 2 == 1, F.col("node"))).alias("r"), F.first(top).alias(top))
-        up = pairs.select(*key, "pos", combine(F.coalesce("l", zero), F.coalesce("r", zero)).alias("node"), top)
-        carried = done.union(up).union(nodes.where(F.col("height") == level + 1).select(*key, "pos", "node", top))
-        if (level - low) % 6 == 5:
-            carried = cut(carried)
-    return carried.select(*key, F.col("node").alias("root"))
+
+    def __init__(self, zeros: list[bytes], from_start: bool):
+        self.zeros, self.from_start, self.first = zeros, from_start, None
+        self.stack: list[tuple[int, int, bytes]] = []  # height, place in its level, node
+
+    def push(self, height: int, pos: int, node: bytes) -> None:
+        start = pos << height
+        if self.first is None:
+            self.first = 0 if self.from_start else start
+        self.settle(start)
+        self.stack.append((height, pos, node))
+        self.pair()
+
+    def pair(self) -> None:
+        """Folds the last node with its left sibling as long as that is there, or is all zeros."""
+        while self.stack:
+            height, pos, node = self.stack[-1]
+            if not pos & 1:
+                return
+            if len(self.stack) > 1 and self.stack[-2][:2] == (height, pos - 1):
+                self.stack[-2:] = [(height + 1, pos >> 1, combine(self.stack[-2][2], node))]
+                continue
+            before = (self.stack[-2][1] + 1) << self.stack[-2][0] if len(self.stack) > 1 else self.first
+            if (pos - 1) << height < before:
+                return
+            self.stack[-1] = (height + 1, pos >> 1, combine(self.zeros[height], node))
+
+    def settle(self, start: int) -> None:
+        """Nothing lies between the last node and start: right siblings that end there are all zeros."""
+        while self.stack:
+            height, pos, node = self.stack[-1]
+            if pos & 1 or (pos + 2) << height > start:
+                return
+            self.stack[-1] = (height + 1, pos >> 1, combine(node, self.zeros[height]))
+            self.pair()
+
+    def root(self, top: int) -> bytes:
+        """The root at height top, with zeros where no node is."""
+        self.settle(1 << top)
+        while self.stack[-1][0] < top:
+            height, pos, node = self.stack[-1]
+            self.stack[-1] = (height + 1, pos >> 1, combine(self.zeros[height], node) if pos & 1 else combine(node, self.zeros[height]))
+            self.pair()
+        return self.stack[-1][2]
+
+
+def _folded(keys: list[str], final: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zeros = zero_nodes(64)
+        kinds = None
+        names = [*keys, "node"] if final else [*keys, "height", "pos", "node", "top"]
+        at, fold, high = None, None, 0
+
+        def done() -> list[tuple]:
+            if at is None:
+                return []
+            return [(*at, fold.root(high))] if final else [(*at, *x, high) for x in fold.stack]
+
+        for batch in batches:
+            kinds = {f.name: f.type for f in batch.schema}
+            out = []
+            for *key, height, pos, node, top in zip(*(batch.column(c).to_pylist() for c in [*keys, "height", "pos", "node", "top"])):
+                if tuple(key) != at:
+                    out += done()
+                    at, fold = tuple(key), Fold(zeros, final)
+                high = top
+                fold.push(height, pos, node)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*out) if out else [[]] * len(names), names)], names)
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[n]) for c, n in zip(zip(*done()), names)], names)
+
+    return run
+
+
+def merkle_roots(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, root) of rows (keys, height, pos, node, top): nodes of 2^height leaves at place pos of their level, up to height top; what no node covers is zeros.
+
+    Two shuffles, whatever the height. Nodes are dealt by ranges of key and
+    place, so a large tree is many tasks; each folds the aligned subtrees that
+    lie in its range. At most two nodes a level are left of each range and key,
+    and of these the root is made in a second pass. Nodes are 32 bytes.
+    """
+    kinds = dict(nodes.dtypes)
+    start = F.expr("shiftleft(pos, height)")
+    rows = nodes.select(*keys, F.col("height").cast("int").alias("height"), F.col("pos").cast("long").alias("pos"), "node", F.col("top").cast("int").alias("top"))
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    dealt = rows.withColumn("_start", start).repartitionByRange(*keys, "_start").sortWithinPartitions(*keys, "_start").drop("_start")
+    parts = dealt.mapInArrow(_folded(keys, False), f"{key_schema}, height int, pos long, node binary, top int")
+    again = parts.withColumn("_start", start).repartition(*keys).sortWithinPartitions(*keys, "_start").drop("_start")
+    return again.mapInArrow(_folded(keys, True), f"{key_schema}, node binary").withColumnRenamed("node", "root")
+
+
+def merkle_sql(nodes: str, key: str, levels: int) -> str:
+    """CTEs in SQL that make roots (key, root in hex) of a CTE (key, height, pos, node in hex, top), a level at a time: the same by another way."""
+    zeros = [z.hex() for z in zero_nodes(levels)]
+    steps = [f"l0 AS MATERIALIZED (SELECT {key}, pos, node, top FROM {nodes} WHERE height = 0)"]
+    for k in range(levels):
+        pair = f"coalesce(max(node) FILTER (pos % 2 = 0), '{zeros[k]}') || coalesce(max(node) FILTER (pos % 2 = 1), '{zeros[k]}')"
+        last = "h[1:62] || printf('%02x', ('0x' || h[63:64])::BIGINT & 63)"
+        steps.append(f"""l{k + 1} AS MATERIALIZED (SELECT {key}, pos, node, top FROM l{k} WHERE top <= {k} UNION ALL SELECT {key}, pos, {last}, top FROM (SELECT {key}, pos // 2 AS pos, sha256(unhex({pair})) AS h, any_value(top) AS top FROM l{k} WHERE top > {k} GROUP BY {key}, pos // 2)
+    UNION ALL SELECT {key}, pos, node, top FROM {nodes} WHERE height = {k + 1})""")
+    return ", ".join(steps) + f", roots AS (SELECT {key}, node AS root FROM l{levels})"

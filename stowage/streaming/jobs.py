@@ -104,7 +104,7 @@ def st2(spark, d):
     SELECT req_id, CASE WHEN s.status IS NULL OR s.status <> 'built' OR (car_path IS NOT NULL AND sub_piece_cid % 5 = 0) THEN 404 WHEN car_path IS NOT NULL AND sub_piece_cid % 7 = 0 THEN 500 WHEN car_path IS NOT NULL THEN 200 ELSE 302 END AS status FROM q LEFT JOIN sub_pieces s ON piece = sub_piece_cid""")
 def st3(spark, d):
     """Requests as a stream against the static sub-piece table."""
-    q = as_stream(fx.requests(spark, d), "req_id").select("req_id", c.route_request(F.col("path")).alias("r")).where("r.status = 200").select("req_id", F.col("r.piece").alias("piece"))
+    q = as_stream(fx.requests(spark, d), "req_id").select("req_id", c.piece_of_path(F.col("path")).alias("piece")).where("piece IS NOT NULL")
     s = fx.sub_pieces(spark, d)
     return drain(resolve_requests(q, s, files_of(s))).select("req_id", "status")
 

@@ -75,7 +75,7 @@ def test_decoded_sizes(spark):
 def aggregate(spark, order):
     given, decoded = members(spark)
     joined = given.join(decoded.select("cid", "height", "root"), "cid")
-    rows = joined.select(F.lit(1).alias("key"), F.expr(order).alias("order"), "height", F.lower(F.hex("root")).alias("node"), F.col("size").alias("raw_size"), F.col("cid").alias("id"))
+    rows = joined.select(F.lit(1).alias("key"), F.expr(order).alias("order"), "height", F.col("root").alias("node"), F.col("size").alias("raw_size"), F.col("cid").alias("id"))
     r = merkle.aggregate_roots(rows).first()
     return r, merkle.encode_commitment(r.padding, r.height, bytes.fromhex(r.root)), {x.cid: x.height for x in decoded.collect()}
 
@@ -91,3 +91,23 @@ def test_the_order_given_back_gives_the_same_root(spark):
     place = {cid: i for i, cid in enumerate(reverse.ids)}
     again = aggregate(spark, "CASE cid " + " ".join(f"WHEN '{cid}' THEN {i}" for cid, i in place.items()) + " END")
     assert again[0].ids == reverse.ids and again[1] == commitment
+
+
+def test_stored_roots_are_checked_against_the_members(spark):
+    """The root that came with the aggregate holds, another one and one of other members don't."""
+    given, decoded = members(spark)
+    rows = given.join(decoded.select("cid", "height", "root"), "cid").select("place", "height", F.col("root").alias("node"), F.col("size").alias("raw_size"), F.col("cid").alias("id"))
+    trees = rows.withColumn("key", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))).where("key <> 3 OR place <> 7").withColumnRenamed("place", "order")
+    golden = merkle._decode(ROOT)[2].hex()
+    stored = spark.createDataFrame([(1, golden), (2, "0" * 64), (3, golden), (4, golden)], "key int, root string")
+    got = {r.key: r.ok for r in merkle.check_roots(stored, trees).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_replay_computes_changed_trees_only(spark):
+    given, decoded = members(spark)
+    rows = given.join(decoded.select("cid", "height", "root"), "cid").select(F.col("place").alias("order"), "height", F.col("root").alias("node"), F.col("size").alias("raw_size"), F.col("cid").alias("id"))
+    trees = rows.withColumn("key", F.explode(F.array(F.lit(1), F.lit(2))))
+    kept = merkle.member_digests(trees).withColumn("root", F.lit("kept"))
+    again, computed = merkle.replay_roots(trees.where("key = 1 OR order <> 3"), kept)
+    assert [r.key for r in computed.collect()] == [2] and {r.key: r.root == "kept" for r in again.collect()} == {1: True, 2: False}

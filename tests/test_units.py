@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from stowage import fixtures as fx
 from stowage.functions import columns as c
 from stowage.operators import aggregations, intake, merkle, packing, rows
-from stowage.plans.primitives import combine, zero_nodes
-from stowage.sources import tables
+from stowage.plans.primitives import combine, merkle_roots, places_within, zero_nodes
 
 
 def one(spark, column):
@@ -65,11 +64,11 @@ def test_next_fit_against_a_loop(spark):
 
 def test_merkle(spark):
     z = zero_nodes(3)
-    assert one(spark, combine(F.lit(z[0]), F.lit(z[0]))) == z[1]
+    assert combine(z[0], z[0]) == z[1]
     objects = spark.createDataFrame([(1, bytearray(1000)), (2, bytearray(range(256)) * 20), (3, bytearray(b"")), (4, bytearray(b"x" * 127 * 64))], "id long, payload binary")
     whole = {r.id: r.root for r in merkle.commit_objects(objects).collect()}
     assert whole == {r.id: r.root for r in merkle.commit_objects(objects, 127 * 8).collect()}
-    assert whole[1] == zero_nodes(5)[5] and whole[3] == z[2]
+    assert whole[1] == zero_nodes(5)[5].hex() and whole[3] == z[2].hex()
     cid = merkle.encode_commitment(300, 5, bytes(range(32)))
     got = merkle.decode_commitments(spark.createDataFrame([(cid,), ("nonsense",), (None,)], "c string"), "c").collect()
     assert {(r.padding, r.height, r.padded) for r in got} == {(300, 5, 1024), (None, None, None)}
@@ -85,13 +84,6 @@ def test_ids(spark):
     assert v0[1:3] == (0, 0x70) and v0[0].startswith("bafy")
 
 
-def test_state_is_published_whole(spark, sf_dir, tmp_path):
-    a = spark.range(3)
-    tables.save_state({"t": a}, str(tmp_path))
-    tables.save_state({"t": spark.range(5)}, str(tmp_path))
-    assert tables.load_state(spark, str(tmp_path), "t").count() == 5
-
-
 def test_single_source(spark):
     with pytest.raises(ValueError, match="a, b"):
         aggregations.assert_single(spark.createDataFrame([("a",), ("b",)], "s string"), "s")
@@ -116,3 +108,43 @@ def test_marks_and_errors_on_odd_rows(spark):
     sizes = spark.createDataFrame([(None,), ("",), ("8388607 TiB",), ("8388608 TiB",), ("99999999999999999999",), ("3x",)], "t string")
     said = [tuple(r) for r in sizes.select(c.parse_size(F.col("t")), c.size_error(F.col("t"))).collect()]
     assert said == [(None, None), (None, "invalid size: "), (8388607 << 40, None), (None, "size out of range: 8388608 TiB"), (None, "size out of range: 99999999999999999999"), (None, 'unknown size unit "x" in 3x')]
+
+
+def plain_root(nodes, top, zeros):
+    level = {}
+    for h in range(top + 1):
+        level |= {pos: node for height, pos, node in nodes if height == h}
+        if h < top:
+            level = {p: combine(level.get(2 * p, zeros[h]), level.get(2 * p + 1, zeros[h])) for p in {q // 2 for q in level}}
+    return level[0]
+
+
+def test_roots_of_trees_with_gaps(spark):
+    """Nodes of any height at any aligned place, in many ranges: as a level at a time."""
+    import random
+
+    rng, zeros, rows, want = random.Random(5), zero_nodes(40), [], {}
+    for key in range(40):
+        at, nodes = 0, []
+        for _ in range(rng.choice([1, 2, 5, 60])):
+            height = rng.choice([0, 0, 0, 1, 3, 6])
+            at = (at + (1 << height) - 1) >> height << height
+            at += (rng.choice([0, 0, 0, 1, 2, 9]) if rng.random() < 0.5 else 0) << height
+            nodes.append((height, at >> height, hashlib.sha256(f"{key}/{at}".encode()).digest()))
+            at += 1 << height
+        top = max((at - 1).bit_length(), max(h for h, _, _ in nodes)) + rng.choice([0, 0, 2])
+        want[key] = plain_root(nodes, top, zeros)
+        rows += [(key, h, p, n, top) for h, p, n in nodes]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "key long, height int, pos long, node binary, top int")
+    got = {r.key: bytes(r.root) for r in merkle_roots(df, ["key"]).collect()}
+    assert got == want
+    assert merkle_roots(df.limit(0), ["key"]).collect() == []
+
+
+def test_places_within_a_hot_key(spark):
+    df = spark.createDataFrame([(i % 7 == 0 and "rare" or None if i % 3 else "hot", (i * 37) % 1000) for i in range(1000)], "k string, v long")
+    got = places_within(df, ["k"], ["v"]).collect()
+    for key in {r.k for r in got}:
+        mine = sorted((r.place, r.v) for r in got if r.k == key)
+        assert [p for p, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
