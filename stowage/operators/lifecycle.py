@@ -128,7 +128,7 @@ def lc6(spark, d):
 
 
 def unknown_members(members: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Members that no piece has; a publish with any is refused (see sources.tables.save_state)."""
+    """Members that no piece has; a save with any is refused (sources.state.save_sub_pieces)."""
     return members.select("member_cid").distinct().join(pieces.select(F.col("cid").alias("member_cid")), "member_cid", "left_anti")
 
 

@@ -141,14 +141,18 @@ def container_digest(plan: DataFrame, payloads: DataFrame) -> DataFrame:
     return rows.select("group", "bin", F.sha2(F.aggregate("m", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["payload"])), 256).alias("sha256"))
 
 
-@query("pk6_assemble_plan", _FFD.replace("SELECT source, object_id, bin, row_number() OVER (PARTITION BY source, bin ORDER BY object_id) - 1 AS place FROM f WHERE i > 0", "SELECT f.source AS \"group\", bin, f.object_id AS id, digest_hex, coalesce(sum(x.raw_size) OVER (PARTITION BY f.source, bin ORDER BY digest_hex, f.object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\", x.raw_size, sum(x.raw_size) OVER (PARTITION BY f.source, bin) AS total FROM f JOIN objects x ON f.object_id = x.object_id WHERE i > 0"))
+#: The container plan of every source in SQL, as a CTE asm.
+ASSEMBLED = _FFD.rsplit("SELECT source, object_id, bin", 1)[0].rstrip() + """, asm AS (SELECT f.source AS "group", bin, f.object_id AS id, digest_hex, coalesce(sum(x.raw_size) OVER (PARTITION BY f.source, bin ORDER BY digest_hex, f.object_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", x.raw_size, sum(x.raw_size) OVER (PARTITION BY f.source, bin) AS total FROM f JOIN objects x ON f.object_id = x.object_id WHERE i > 0)"""
+
+
+@query("pk6_assemble_plan", ASSEMBLED + " SELECT * FROM asm")
 def pk6(spark, d):
     o = fx.objects(spark, d)
     bins = pack_ffd(o, 20000, "source").select(F.col("source").alias("group"), "bin", F.col("object_id").alias("id"))
     return assemble_plan(bins, o.select(F.col("object_id").alias("id"), "digest_hex", "raw_size"))
 
 
-@query("pk6_container_digest")
+@query("pk6_container_digest", ASSEMBLED + ", t AS (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents) SELECT \"group\", bin, sha256(unhex(string_agg(h, '' ORDER BY \"offset\", id))) AS sha256 FROM asm JOIN t ON doc_id = id GROUP BY \"group\", bin")
 def pk6b(spark, d):
     o = fx.objects(spark, d)
     return container_digest(pk6(spark, d), o.select(F.col("object_id").alias("id"), "payload"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,12 @@ from .. import fixtures as fx
 from ..functions import columns as c
 from ..operators import aggregations as ag
 from ..operators import joins as jn
+from ..operators import packing
 from ..operators.packing import append_aggregates, assemble_plan, pack_ffd, wrap_passthrough
 from ..operators.windows import admit, stride_sample
 from ..registry import query
-from ..sources import tables
+from ..sources import containers, tables
+from ..sources.state import KEYS, TABLES, Refused, StaleVersion, State, save_sub_pieces
 from .primitives import cut, shared_dir
 
 
@@ -76,24 +79,64 @@ def _export(spark, d):
     return p.select("cid", "piece_cid", "raw_size", c.canonical_url(F.concat(F.lit("https://"), "gateway"), F.col("cid")).alias("url"))
 
 
-@query("src2_src3_manifest", f"SELECT *, row_number() OVER (ORDER BY cid) - 1 AS place FROM ({_DONE})")
+@query("src2_src3_manifest", f"SELECT *, row_number() OVER (ORDER BY cid) - 1 AS place, 'calibration' AS network, 'https://src5' AS gateway FROM ({_DONE})")
 def src2(spark, d):
-    """A manifest written and scanned again."""
+    """A manifest written by many tasks and scanned again."""
     path = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     out = _export(spark, d)
     ag.assert_single(out.select(F.regexp_extract("url", "^https://([^/]*)", 1).alias("source")), "source")
-    tables.write_manifest(out, path, {"network": "calibration", "source": "src5"})
-    return tables.read_manifest(spark, path).select("cid", "piece_cid", "raw_size", "url", F.col("place").cast("long").alias("place"))
-
-
-@query("src4_state", "SELECT cid, status FROM pieces")
+    tables.write_manifest(out, path, {"network": "calibration", "gateway": "https://src5"})
+    head, pieces = tables.read_manifest_lines(spark, path)
+    return pieces.join(F.broadcast(head.select("network", "gateway")))  # one row
+
+
+def first_state(spark, d) -> State:
+    """A new state folder whose version 1 has all seven tables."""
+    state = State(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    none = lambda df, **kinds: df.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items() if n not in df.columns})
+    key = lambda df, *names: df.withColumns({n: F.col(n).cast("string") for n in names})
+    sub = key(fx.sub_pieces(spark, d), "sub_piece_cid")
+    log = fx.lifecycle(spark, d).where("kind IN ('submitted', 'parked')")
+    state.publish(0, replace={
+        "pieces": none(fx.pieces(spark, d), error="string"),
+        "aggregates": none(fx.aggregates(spark, d), root_piece_cid="string", piece_size="bigint", committed_block="bigint"),
+        "aggregate_members": key(fx.aggregate_members(spark, d), "sub_piece_cid"),
+        "sub_pieces": none(sub, sha256="string"),
+        "sub_piece_members": none(key(fx.sub_piece_members(spark, d), "sub_piece_cid", "member_cid"), raw_size="bigint", sha256="string"),
+        "pull_batch_attempts": log.select(F.col("seq").alias("attempt"), F.col("key").alias("aggregate_idx"), F.lit(0).alias("batch"), F.array(F.col("kind")).alias("piece_cids"), F.col("ts").alias("started"), F.lit(None).cast("string").alias("result")),
+        "grants": fx.read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("grant"), F.lit("add").alias("permission"), F.col("c_custkey").alias("expires")),
+    })
+    return state
+
+
+@query("src4_state", """SELECT 'pieces' AS name, count(*) AS n, count(DISTINCT cid) AS keys FROM pieces UNION ALL SELECT 'aggregates', count(*), count(DISTINCT idx) FROM aggregates UNION ALL SELECT 'aggregate_members', count(*), count(DISTINCT (aggregate_idx, segment_index)) FROM aggregate_members UNION ALL SELECT 'sub_pieces', count(*), count(DISTINCT sub_piece_cid) FROM sub_pieces
+    UNION ALL SELECT 'sub_piece_members', count(*), count(DISTINCT (sub_piece_cid, member_cid)) FROM sub_piece_members UNION ALL SELECT 'pull_batch_attempts', count(*), count(DISTINCT seq) FROM lifecycle WHERE kind IN ('submitted', 'parked') UNION ALL SELECT 'grants', count(*), count(DISTINCT c_custkey) FROM customer""")
 def src4(spark, d):
-    """State published as a version and loaded through its pointer."""
-    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
-    p = fx.pieces(spark, d)
-    tables.save_state({"pieces": p.limit(0)}, path)
-    tables.save_state({"pieces": p, "aggregates": fx.aggregates(spark, d)}, path)
-    return tables.load_state(spark, path, "pieces").select("cid", "status")
+    """All seven tables published as a version and loaded again: rows and distinct keys of each."""
+    state = first_state(spark, d)
+    return reduce(DataFrame.union, [state.table(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct(*KEYS[name]).alias("keys")) for name in TABLES]).select("name", "n", "keys")
+
+
+@query("lc7_save_sub_pieces", """n AS (SELECT 'b' || digest_hex AS sub_piece_cid, 'f01551220' || digest_hex AS member_cid, k FROM (SELECT digest_hex, min(object_id) AS k FROM objects GROUP BY 1))
+    SELECT sub_piece_cid, member_cid, 2 AS version FROM n WHERE k % 2 = 0 UNION ALL SELECT sub_piece_cid, member_cid, 3 FROM n WHERE k % 2 = 1""")
+def lc7_save(spark, d):
+    """Two saves of new sub-pieces with their members; between them three that are refused: unknown members, known keys, and a version that is no longer the last."""
+    state = State(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
+    p = cut(fx.pieces(spark, d).withColumns({"error": F.lit(None).cast("string"), "sub_piece_cid": F.concat(F.lit("b"), F.substring("cid", 10, 64))}))
+    state.publish(0, replace={"pieces": p})
+    sub = lambda rows: rows.select("sub_piece_cid", "raw_size", F.lit("built").alias("status"), F.concat(F.lit("/c/"), "k").alias("car_path"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("sha256"))
+    held = lambda rows: rows.select("sub_piece_cid", F.col("cid").alias("member_cid"), F.lit(0).alias("member_sort_order"), "raw_size", F.lit(None).cast("string").alias("sha256"))
+    even, odd = p.where("k % 2 = 0"), p.where("k % 2 = 1")
+    save_sub_pieces(state, 1, sub(even), held(even))
+    for expected, rows, members in [(2, odd, held(odd).withColumn("member_cid", F.lit("other"))), (2, even, held(even)), (1, odd, held(odd))]:
+        try:
+            save_sub_pieces(state, expected, sub(rows), members)
+        except (Refused, StaleVersion):
+            continue
+        raise AssertionError("a save that should be refused was published")
+    save_sub_pieces(state, 2, sub(odd), held(odd))
+    versions = [state.table("sub_piece_members", v).select("sub_piece_cid", "member_cid") for v in (2, 3)]
+    return versions[1].join(versions[0].withColumn("version", F.lit(2)), ["sub_piece_cid", "member_cid"], "left").select("sub_piece_cid", "member_cid", F.coalesce("version", F.lit(3)).alias("version"))
 
 
 @query("src6_export_remainder", "SELECT cid, raw_size FROM pieces WHERE k % 10 = 3")
@@ -103,41 +146,27 @@ def src6(spark, d):
     return p.join(p.where("k % 10 = 3").select("cid"), "cid", "left_semi").select("cid", "raw_size")
 
 
-@query("src7_write_containers", "SELECT source AS \"group\", count(*) AS members, sum(raw_size) AS size FROM objects WHERE raw_size <= 20000 GROUP BY source")
-def src7(spark, d):
-    """Containers written to the shared folder; totals of what each source's files hold."""
-    import os
-
-    folder = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/containers-{uuid.uuid4().hex}"
-    os.makedirs(folder)
+def _contained(spark, d) -> tuple[DataFrame, str]:
+    """The index of containers written for every source, and their folder."""
+    path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
     o = fx.objects(spark, d)
     bins = pack_ffd(o, 20000, "source").select(F.col("source").alias("group"), "bin", F.col("object_id").alias("id"))
     plan = assemble_plan(bins, o.select(F.col("object_id").alias("id"), "digest_hex", "raw_size"))
-    done = cut(tables.write_containers(plan, o.select(F.col("object_id").alias("id"), "payload"), folder))
-    return done.groupBy("group").agg(F.sum("members").alias("members"), F.sum("size").alias("size"))
-
+    return containers.write_containers(plan, o.select(F.col("object_id").alias("id"), "payload"), path), path
 
-@query("src8_read_objects")
-def src8(spark, d):
-    """The containers of the largest bins read as binary files: their size and digest."""
-    src = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/objects-{uuid.uuid4().hex}"
-    import os
 
-    os.makedirs(src)
-    o = fx.objects(spark, d)
-    bins = pack_ffd(o, 20000, "source").select(F.col("source").alias("group"), "bin", F.col("object_id").alias("id"))
-    plan = assemble_plan(bins, o.select(F.col("object_id").alias("id"), "digest_hex", "raw_size"))
-    done = cut(tables.write_containers(plan, o.select(F.col("object_id").alias("id"), "payload"), src))
-    found = tables.read_objects(spark, f"file://{src}/*.bin")
-    return found.join(done.select(F.col("sha256").alias("digest_hex"), "size", "members"), "digest_hex").select("digest_hex", "raw_size", "members")
+@query("src7_write_containers", packing.ASSEMBLED + " SELECT \"group\", bin, CAST(id AS VARCHAR) AS id, \"offset\", raw_size AS size, digest_hex AS sha256, digest_hex AS read_back FROM asm")
+def src7(spark, d):
+    """Containers written by the data source; every member read back at its offset, with its digest as written and as read."""
+    index, path = _contained(spark, d)
+    return containers.read_members(index, path).select("group", "bin", "id", "offset", "size", "sha256", F.sha2("payload", 256).alias("read_back"))
 
 
-@query("job6_import_export", f"SELECT cid, CASE WHEN raw_size % 2 = 0 THEN 'recorded' ELSE 'new' END AS plan FROM ({_DONE})")
-def job6(spark, d):
-    """The exported manifest against a state that has half of it."""
-    rows = src2(spark, d)
-    p = fx.pieces(spark, d)
-    return jn.import_plan(rows.select("cid", "piece_cid"), p.where("raw_size % 2 = 0").select("cid", "piece_cid", "status")).select("cid", "plan")
+@query("src8_read_objects", packing.ASSEMBLED + ", t AS (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents) SELECT \"group\" || '-' || bin || '.bin' AS name, sum(raw_size) AS raw_size, sha256(unhex(string_agg(h, '' ORDER BY \"offset\", id))) AS digest_hex FROM asm JOIN t ON doc_id = id GROUP BY \"group\", bin")
+def src8(spark, d):
+    """The containers read as binary files: their size and the digest of their bytes."""
+    _, path = _contained(spark, d)
+    return tables.read_objects(spark, f"{path}/*.bin").select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "raw_size", "digest_hex")
 
 
 @query("job7_advance", """r AS (SELECT idx, status, tx_hash IS NOT NULL AS t, root IS NOT NULL AS o, coalesce(list_contains(roots, idx), false) AS l FROM aggregates LEFT JOIN ledger ON idx = root LEFT JOIN added_events ON tx = tx_hash WHERE status <> 'committed' AND status <> 'planned')

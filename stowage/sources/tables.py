@@ -1,19 +1,19 @@
-"""Text inventories, manifests, versioned state tables, containers and binary objects."""
+"""Text inventories, manifests and binary objects."""
 
 from __future__ import annotations
 
-import hashlib
-import os
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.primitives import cut, global_prefix, shared_dir
 
-MANIFEST = "version int, network string, source string, createdAt string, pieces array<struct<cid:string,pieceCid:string,rawSize:bigint,sourceUrl:string>>"
+#: Names and order of the fields of a manifest.
+HEADER = ("version", "tool", "createdAt", "network", "relayBase", "gateway")
+PIECE = "cid string, pieceCid string, rawSize bigint, sourceUrl string"
+_HEADER = "version int, tool string, createdAt string, network string, relayBase string, gateway string"
+MANIFEST = f"{_HEADER}, pieces array<struct<{PIECE}>>"
 
 
 def write_lines(lines: DataFrame) -> str:
@@ -23,99 +23,64 @@ def write_lines(lines: DataFrame) -> str:
     return path
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, line) of the lines of text files in order of name; files are split where Spark splits them."""
+    t = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return global_prefix(cut(t), ["file", "block", "at"]).select("idx", "line")
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, id): trimmed lines that aren't blank or comments, with their 1-based number over the files in order of name."""
-    t = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    numbered = global_prefix(cut(t), ["file", "at"])
+    numbered = _numbered_lines(spark, path)
     trimmed = numbered.select((F.col("idx") + 1).alias("line_no"), F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("id"))
     return trimmed.where((F.col("id") != "") & ~F.col("id").startswith("#"))
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per piece with its place and the header."""
-    t = spark.read.schema(MANIFEST).json(path, multiLine=True)
-    return t.select("version", "network", "source", F.posexplode("pieces").alias("place", "p")).select("version", "network", "source", "place", F.col("p.cid").alias("cid"), F.col("p.pieceCid").alias("piece_cid"), F.col("p.rawSize").alias("raw_size"), F.col("p.sourceUrl").alias("url"))
-
-
-def write_manifest(pieces: DataFrame, path: str, header: dict[str, str], shards: int = 1) -> None:
-    """Header and ordered pieces as JSON documents, one for each shard of the id space; a contract file has one shard."""
-    struct = F.struct("cid", F.col("piece_cid").alias("pieceCid"), F.col("raw_size").alias("rawSize"), F.col("url").alias("sourceUrl"))
-    shard = F.pmod(F.xxhash64("cid"), F.lit(shards))
-    docs = pieces.groupBy(shard.alias("shard")).agg(F.array_sort(F.collect_list(struct)).alias("pieces"))
-    docs.select(F.lit(1).alias("version"), *[F.lit(header.get(k, "")).alias(k) for k in ("network", "source", "createdAt")], "pieces").write.json(path, ignoreNullFields=False)
-
-
-def save_state(tables: dict[str, DataFrame], path: str) -> str:
-    """All tables as one new version; readers see it once a pointer with the greatest number names it, so a failed write changes nothing."""
-    spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{version}/{name}")
-    number = max([n for n, _ in _pointers(spark, path)], default=0) + 1
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-{number:012d}-{version}")
-    pointer.getFileSystem(spark._jsc.hadoopConfiguration()).create(pointer, False).close()
-    return version
+def _piece(p: Column) -> list[Column]:
+    return [p["cid"].alias("cid"), p["pieceCid"].alias("piece_cid"), p["rawSize"].alias("raw_size"), p["sourceUrl"].alias("url")]
 
 
-def _pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """(number, version) of the pointers in a state folder. A pointer is an empty file whose name says all, so none is ever replaced or half written."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT-*")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    return sorted((int(n), v) for n, v in (f.getPath().getName().split("-")[1:] for f in found))
-
-
-def load_state(spark: SparkSession, path: str, name: str) -> DataFrame:
-    version = _pointers(spark, path)[-1][1]
-    return spark.read.parquet(f"{path}/{version}/{name}")
+def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(header, pieces (place, cid, piece_cid, raw_size, url)) of one manifest document in one file, as any tool writes it; fields of another type are null."""
+    t = spark.read.schema(MANIFEST).json(path, multiLine=True)
+    pieces = t.select(F.posexplode("pieces").alias("place", "p"))
+    return t.select(*HEADER), pieces.select(F.col("place").cast("long").alias("place"), *_piece(F.col("p")))
+
+
+def write_manifest(pieces: DataFrame, path: str, header: dict[str, str]) -> None:
+    """One JSON document of header and pieces (cid, piece_cid, raw_size, url) in order of cid, as the text files of a folder.
+
+    The files one after another, in order of name, are the document: the first
+    begins with the header, each piece is a line, all lines of pieces but the
+    first begin with the comma before them, and the last file ends it. So tasks
+    write their ranges side by side, and no task or row holds all pieces.
+    """
+    spark = pieces.sparkSession
+    keys = ["cid", "piece_cid", "raw_size", "url"]
+    said = F.to_json(F.struct("cid", F.col("piece_cid").alias("pieceCid"), F.col("raw_size").alias("rawSize"), F.col("url").alias("sourceUrl")), {"ignoreNullFields": "false"})
+    rows = pieces.groupBy(*keys).agg(F.count("*").alias("n"))  # equal rows stay, but only one of them may be the first
+    least = rows.agg(F.min(F.struct(*keys)).alias("least"))
+    each = rows.join(F.broadcast(least)).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    first = (F.col("i") == 1) & F.struct(*keys).eqNullSafe(F.col("least"))
+    lines = each.select(F.lit(1).alias("part"), *keys, F.concat(F.when(first, "").otherwise(","), said).alias("line"))
+    values = {"version": F.lit(1)} | {k: F.lit(header.get(k)).cast("string") for k in HEADER[1:]}
+    head = F.to_json(F.struct(*[values[k].alias(k) for k in HEADER]), {"ignoreNullFields": "false"})
+    kinds = dict(lines.dtypes)
+    edges = spark.createDataFrame([(0,), (2,)], "part int").select("part", *[F.lit(None).cast(kinds[k]).alias(k) for k in keys])
+    edges = edges.withColumn("line", F.when(F.col("part") == 0, F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"pieces":['))).otherwise("]}"))
+    order = ["part", *keys]
+    lines.union(edges).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+
+
+def read_manifest_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """As read_manifest, of the files of write_manifest: a line a piece, in as many tasks as there are splits."""
+    lines = cut(_numbered_lines(spark, path))
+    head = lines.where("idx = 0").select(F.from_json(F.concat("line", F.lit("]}")), _HEADER).alias("h")).select("h.*")
+    body = lines.where("idx > 0 AND line <> ']}'").select((F.col("idx") - 1).alias("place"), F.from_json(F.regexp_replace("line", "^,", ""), PIECE).alias("p"))
+    return head, body.select("place", *_piece(F.col("p")))
 
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """(path, payload, raw_size, digest_hex) of binary files."""
     t = spark.read.format("binaryFile").load(path)
     return t.select("path", F.col("content").alias("payload"), F.octet_length("content").cast("long").alias("raw_size"), F.sha2("content", 256).alias("digest_hex"))
-
-
-def _containers(folder: str):
-    """Streams members in order into one file for each bin; a file gets its name only when it is whole."""
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_bin, file, temp, size, digest, members = None, None, "", 0, hashlib.sha256(), 0
-
-        def close():
-            file.close()
-            name = f"{folder}/{open_bin[0]}-{open_bin[1]}.bin"
-            os.replace(temp, name)
-            return name, size, digest.hexdigest(), members
-
-        done = []
-        try:
-            for batch in batches:
-                for g, b, payload in zip(*(batch.column(c).to_pylist() for c in ("group", "bin", "payload"))):
-                    if (g, b) != open_bin:
-                        if file is not None:
-                            done.append((*open_bin, *close()))
-                        open_bin, size, digest, members = (g, b), 0, hashlib.sha256(), 0
-                        temp = f"{folder}/.{uuid.uuid4().hex}"
-                        file = open(temp, "wb")
-                    file.write(payload)
-                    digest.update(payload)
-                    size, members = size + len(payload), members + 1
-            if file is not None:
-                done.append((*open_bin, *close()))
-                file = None
-        finally:
-            if file is not None and not file.closed:
-                file.close()
-                os.unlink(temp)
-        cols = list(zip(*done)) or [()] * 6
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["group", "bin", "path", "size", "sha256", "members"])
-
-    return write
-
-
-def write_containers(plan: DataFrame, payloads: DataFrame, folder: str) -> DataFrame:
-    """One container per bin of plan (group, bin, id, offset) in a folder that executors share; returns what was written."""
-    rows = plan.join(payloads, "id").select(F.col("group").cast("string").alias("group"), "bin", "offset", "id", "payload").repartition("group", "bin").sortWithinPartitions("group", "bin", "offset", "id")
-    return rows.select("group", "bin", "payload").mapInArrow(_containers(folder), "group string, bin long, path string, size long, sha256 string, members long")
-

@@ -34,7 +34,7 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-def test_bins(spark, name):
+def test_bins(spark, many_tasks, name):
     sizes, cap = CASES[name]
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "k long, n long, bin_like string")
     got = {r.k: r.bin for r in next_fit(df, ["k"], F.col("n"), cap).collect()}

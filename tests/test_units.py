@@ -50,7 +50,7 @@ def test_packing_never_exceeds(spark, sf_dir):
         packing.assert_unique(df.union(df.limit(1)), "object_id")
 
 
-def test_next_fit_against_a_loop(spark):
+def test_next_fit_against_a_loop(spark, many_tasks):
     sizes = [(i * 7919) % 90 + 1 for i in range(500)]
     df = spark.createDataFrame(list(enumerate(sizes)), "k long, n long")
     got = {r.k: r.bin for r in packing.pack_next_fit(df, ["k"], "n", 100).collect()}
@@ -119,7 +119,7 @@ def plain_root(nodes, top, zeros):
     return level[0]
 
 
-def test_roots_of_trees_with_gaps(spark):
+def test_roots_of_trees_with_gaps(spark, many_tasks):
     """Nodes of any height at any aligned place, in many ranges: as a level at a time."""
     import random
 
@@ -142,7 +142,7 @@ def test_roots_of_trees_with_gaps(spark):
     assert merkle_roots(df.limit(0), ["key"]).collect() == []
 
 
-def test_places_within_a_hot_key(spark):
+def test_places_within_a_hot_key(spark, many_tasks):
     df = spark.createDataFrame([(i % 7 == 0 and "rare" or None if i % 3 else "hot", (i * 37) % 1000) for i in range(1000)], "k string, v long")
     got = places_within(df, ["k"], ["v"]).collect()
     for key in {r.k for r in got}:
