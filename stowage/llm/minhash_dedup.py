@@ -5,9 +5,10 @@ under (coordinate, value) pairs, rarest pair first: two signatures that agree in
 at least m = matches(percent) of COORDINATES coordinates share a pair among the
 first COORDINATES - m + 1 of either (prefix merging), so the common pairs, which
 make the long lists, are mostly skipped. The texts of a list meet at its hub,
-the text whose pairs are the most common. There the coordinates in which two
-signatures collide are counted, pairs with m or more are retained, and these are
-confirmed on full sets.
+the text whose pairs are the most common. There the lists are merged again,
+shortest first; long ones are skipped, and only looked up for the pairs of texts
+that met. Pairs that collide m times or more are retained and confirmed on full
+sets.
 """
 
 from __future__ import annotations
@@ -150,20 +151,49 @@ def collisions(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def retained(left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Which signatures of left and right collide in at least `least` coordinates.
+
+    The lists of coordinate-value pairs are merged, shortest first, only as far
+    as a partner must have shown up; the long lists that are left are skipped,
+    and looked up for the partners that did.
+    """
+    codes, inverse, n = np.unique(np.concatenate([left, right]).reshape(-1), return_inverse=True, return_counts=True)
+    place = np.empty(len(codes), np.int64)
+    place[np.lexsort((codes, n))] = np.arange(len(codes))
+    prefix = np.sort(place[inverse].reshape(-1, COORDINATES), axis=1)[:, : COORDINATES - least + 1]
+    met = np.zeros((len(left), len(right)), dtype=bool)
+    posted = prefix.reshape(-1)
+    row = np.repeat(np.arange(len(prefix)), prefix.shape[1])
+    order = np.argsort(posted, kind="stable")
+    posted, row = posted[order], row[order]  # rows of a list ascend, so those of left come first
+    first = np.flatnonzero(np.append(True, posted[1:] != posted[:-1])) if len(posted) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(posted))
+    for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist()):
+        mid = a + int(np.searchsorted(row[a:b], len(left)))
+        if a < mid < b:
+            met[row[a:mid, None], row[None, mid:b] - len(left)] = True
+    i, j = np.nonzero(met)
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        met[x, y] = (left[x] == right[y]).sum(axis=1) >= least
+    return met
+
+
 def _confirmed(group: pd.DataFrame, left: np.ndarray, right: np.ndarray, percent: int, least: int, among: bool) -> pd.DataFrame:
     """Links between the rows left and right of a group: retained by their collisions, then confirmed on full sets."""
     ids, signatures = group["doc_id"].to_numpy(), np.stack(group["pairs"].to_numpy())
-    retained = (collisions(signatures[left], signatures[right]) >= least) & (ids[left][:, None] != ids[right][None, :])
+    kept = retained(signatures[left], signatures[right], least) & (ids[left][:, None] != ids[right][None, :])
     if among:
-        retained = np.triu(retained, 1)
-    left_in, right_in = np.flatnonzero(retained.any(axis=1)), np.flatnonzero(retained.any(axis=0))
+        kept = np.triu(kept, 1)
+    left_in, right_in = np.flatnonzero(kept.any(axis=1)), np.flatnonzero(kept.any(axis=0))
     if not len(left_in):
         return _links(ids, ids, np.zeros((0, 0), bool))
     rows = np.union1d(left[left_in], right[right_in])
     with np.errstate(over="ignore"):
         sets = dict(zip(rows.tolist(), shingle_sets(pa.array(group["text"].iloc[rows]))))
     linked = _linked([sets[i] for i in left[left_in].tolist()], [sets[i] for i in right[right_in].tolist()], percent)
-    return _links(ids[left[left_in]], ids[right[right_in]], linked & retained[np.ix_(left_in, right_in)])
+    return _links(ids[left[left_in]], ids[right[right_in]], linked & kept[np.ix_(left_in, right_in)])
 
 
 def _small_group(percent: int, least: int):
@@ -182,20 +212,36 @@ def _block(percent: int, least: int):
     return compare
 
 
-def _star(percent: int):
+def _star(percent: int, least: int):
+    """Rows of a part of a group, its hub first, to whether each is linked to the hub; the hub's set is made once a part."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub_pairs = hub_set = None
         for batch in _portions(batches):
-            with np.errstate(over="ignore"):
-                pairs = zip(shingle_sets(batch.column("text")), shingle_sets(batch.column("hub_text")))
-            out = []
-            for a, b in pairs:
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                out.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("doc_id"), pa.array(out, pa.bool_())], ["hub", "doc_id", "linked"])
+            pairs = batch.column("pairs").flatten().to_numpy().reshape(-1, COORDINATES)
+            member = batch.column("member").to_numpy(zero_copy_only=False)
+            linked = np.zeros(batch.num_rows, dtype=bool)
+            bounds = [0, *np.flatnonzero(~member).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):
+                if a == b:
+                    continue
+                if not member[a]:
+                    hub_pairs, hub_set = pairs[a], _sets(batch.column("text").slice(a, 1))[0]
+                near = a + np.flatnonzero(collisions(pairs[a:b], hub_pairs[None])[:, 0] >= least)
+                for i, own in zip(near.tolist(), _sets(batch.column("text").take(pa.array(near)))):
+                    both = len(np.intersect1d(own, hub_set, assume_unique=True))
+                    linked[i] = 100 * both >= percent * (len(own) + len(hub_set) - both)
+            out = pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("doc_id"), pa.array(linked)], ["hub", "doc_id", "linked"])
+            yield out.filter(pa.array(member))
 
     return compare
 
 
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    with np.errstate(over="ignore"):
+        return shingle_sets(texts)
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, pairs): the set's size, a 128-bit digest of it, and the signature's (coordinate, value) pairs as 64-bit codes."""
     return docs.select("doc_id", "text").mapInArrow(_signatures, _SIGNED)
@@ -231,11 +277,12 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame
     small = with_text.groupBy("hub").applyInPandas(_small_group(percent, matches(percent)), "a long, b long")
 
     large = members.join(sizes.where(F.col("n") > BLOCK), "hub")
-    hub_text = texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("hub_text"), F.col("pairs").alias("hub_pairs"))
-    met = large.where("hub <> doc_id").join(texts, "doc_id").join(hub_text, "hub")
-    retained = F.size(F.array_intersect("pairs", "hub_pairs")) >= matches(percent)
-    found = met.where(retained).select("hub", "doc_id", "text", "hub_text").mapInArrow(_star(percent), "hub long, doc_id long, linked boolean")
-    star = cut(found.union(met.where(~retained).select("hub", "doc_id", F.lit(False).alias("linked"))))
+    # A large group is cut into parts of about BLOCK members, each with one copy of the hub.
+    parts = F.ceil(F.col("n") / BLOCK)
+    others = large.where("hub <> doc_id").select("hub", F.pmod(F.xxhash64("doc_id"), parts).cast("long").alias("part"), "doc_id", F.lit(True).alias("member"))
+    hubs = large.where("hub = doc_id").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id", F.lit(False).alias("member"))
+    met = others.union(hubs).join(texts, "doc_id").repartition("hub", "part").sortWithinPartitions("hub", "part", "member", "doc_id")
+    star = cut(met.select("hub", "doc_id", "member", "pairs", "text").mapInArrow(_star(percent, matches(percent)), "hub long, doc_id long, linked boolean"))
     # Two texts linked to the hub are joined already; a text that isn't meets every text of the group.
     far = star.where("not linked").groupBy("hub").agg(F.count("*").alias("n_far"))
     shape = large.select("hub", "n").distinct().join(far, "hub").select("hub", F.ceil(F.col("n") / BLOCK).alias("cols"), F.ceil(F.col("n_far") / BLOCK).alias("rows"))

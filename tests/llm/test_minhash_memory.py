@@ -27,3 +27,36 @@ def test_portions_are_the_whole_batch():
     signed = pa.Table.from_batches(m._signatures(iter([batch])))
     alone = pa.Table.from_batches([b for i in range(len(texts)) for b in m._signatures(iter([batch.slice(i, 1)]))])
     assert signed.to_pydict() == alone.to_pydict()
+
+
+def test_skipped_lists_lose_no_pair():
+    """What merging finds by the short lists and looking up in the long ones is what counting every coordinate finds."""
+    rng = np.random.default_rng(3)
+    for least in (1, 5, 12, 15, 31, 32):
+        base = rng.integers(0, 1 << 40, (6, m.COORDINATES))
+        rows = base[rng.integers(0, 6, 60)].copy()
+        change = rng.random(rows.shape) < rng.random((60, 1))
+        rows[change] = rng.integers(0, 1 << 40, int(change.sum()))
+        rows[:, 3] = 7  # a list that all are in
+        rows = rows.astype(np.int64)
+        left, right = rows[:25], rows[10:]
+        assert (m.retained(left, right, least) == (m.collisions(left, right) >= least)).all()
+        assert m.retained(left[:0], right, least).shape == (0, len(right))
+
+
+def test_a_part_makes_its_hub_once(monkeypatch):
+    """Members of several hubs in one stream, cut into portions anywhere."""
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda k, at: " ".join(f"e{k}" if i in at else w for i, w in enumerate(words))
+    texts = {1: edit(0, ()), 2: edit(2, (50,)), 3: edit(3, range(0, 200, 5)), 4: "other " + edit(0, range(0, 200, 3)), 5: edit(5, (1, 190))}
+    signed = {r["doc_id"]: r["pairs"] for r in pa.Table.from_batches(m._signatures(iter([pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": list(texts.values())})]))).to_pylist()}
+    rows = [(h, i, i != h) for h in (1, 3) for i in [h, *(k for k in texts if k != h)]]
+    batch = pa.RecordBatch.from_pydict({"hub": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "member": [r[2] for r in rows], "pairs": [signed[r[1]] for r in rows], "text": [texts[r[1]] for r in rows]})
+    made = []
+    real = m._sets
+    monkeypatch.setattr(m, "_sets", lambda t: made.extend(t.to_pylist()) or real(t))
+    for batches in ([batch], [batch.slice(i, 1) for i in range(len(rows))], [batch.slice(0, 3), batch.slice(3)]):
+        made.clear()
+        got = pa.Table.from_batches(m._star(85, 15)(iter(batches))).to_pylist()
+        assert {(r["hub"], r["doc_id"]) for r in got if r["linked"]} == {(1, 2), (1, 5)} and len(got) == 8
+        assert made.count(texts[3]) <= 2  # as a hub, and as a member of the other
