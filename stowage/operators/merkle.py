@@ -109,13 +109,20 @@ def commit_objects(objects: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return sized.join(roots, "id").select("id", "raw_size", c.tree_height(F.col("raw_size")).alias("height"), c.padding(F.col("raw_size")).alias("padding"), F.lower(F.hex("root")).alias("root"))
 
 
-_TOP = "CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT) - 5"
+#: SQL for the height of raw_size bytes' tree, and for the varint of n in hex.
+TOP_SQL = "CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT) - 5"
 _NIBBLES = "array_to_string(list_transform(string_split(r, ''), lambda h: right('000' || bin(('0x' || h)::BIGINT), 4)), '')"
-#: 127 bytes as four nodes in SQL: their bits from the last one back, in runs of 254.
-_LEAVES = f"""raw AS (SELECT object_id AS id, lower(hex(encode(text))) AS h, raw_size, {_TOP} AS top FROM (SELECT doc_id AS object_id, text, strlen(text) AS raw_size FROM documents)),
+
+
+def leaves_sql(raw: str) -> str:
+    """CTEs from rows (id, h: bytes in hex, raw_size, top) to leaves: 127 bytes as four nodes, their bits from the last one back in runs of 254."""
+    return f"""raw AS MATERIALIZED ({raw}),
     groups AS (SELECT id, top, i, array_to_string(list_reverse(regexp_extract_all(rpad(substr(h, i * 254 + 1, 254), 254, '0'), '..')), '') AS r FROM raw, unnest(range(CAST(greatest(1, ceil(raw_size / 127.0)) AS BIGINT))) AS u(i)),
     bits AS (SELECT id, top, i * 4 + j AS pos, '00' || substr(b, 1016 - 254 * j - 253, 254) AS b FROM (SELECT id, top, i, {_NIBBLES} AS b FROM groups), range(4) AS q(j)),
-    leaves AS (SELECT id, 0 AS height, pos, array_to_string(list_reverse(list_transform(range(32), lambda k: printf('%02x', list_sum(list_transform(range(8), lambda j: CASE WHEN b[k * 8 + j + 1] = '1' THEN 128 >> j ELSE 0 END))::BIGINT))), '') AS node, top FROM bits)"""
+    leaves AS MATERIALIZED (SELECT id, 0 AS height, pos, array_to_string(list_reverse(list_transform(range(32), lambda k: printf('%02x', list_sum(list_transform(range(8), lambda j: CASE WHEN b[k * 8 + j + 1] = '1' THEN 128 >> j ELSE 0 END))::BIGINT))), '') AS node, top FROM bits)"""
+
+
+_LEAVES = leaves_sql(f"SELECT object_id AS id, lower(hex(encode(text))) AS h, raw_size, {TOP_SQL} AS top FROM (SELECT doc_id AS object_id, text, strlen(text) AS raw_size FROM documents)")
 _COMMITTED = f"{_LEAVES}, {merkle_sql('leaves', 'id', 20)}"
 
 
@@ -124,10 +131,10 @@ def mk1(spark, d):
     return commit_objects(fx.objects(spark, d).select(F.col("object_id").alias("id"), "payload"))
 
 
-_VARINT = "CASE WHEN n < 128 THEN printf('%02x', n) WHEN n < 16384 THEN printf('%02x%02x', (n & 127) | 128, n >> 7) ELSE printf('%02x%02x%02x', (n & 127) | 128, ((n >> 7) & 127) | 128, n >> 14) END"
+VARINT_SQL = "CASE WHEN n < 128 THEN printf('%02x', n) WHEN n < 16384 THEN printf('%02x%02x', (n & 127) | 128, n >> 7) ELSE printf('%02x%02x%02x', (n & 127) | 128, ((n >> 7) & 127) | 128, n >> 14) END"
 
 
-@query("mk2_decode_commitments", f"""{_COMMITTED}, e AS (SELECT DISTINCT top, (32::BIGINT << top) // 128 * 127 - raw_size AS n, root FROM raw JOIN roots USING (id)), d AS (SELECT *, {_VARINT} || printf('%02x', top) || root AS body FROM e), x AS (SELECT *, '01559120' || printf('%02x', length(body) // 2) || body AS hx FROM d)
+@query("mk2_decode_commitments", f"""{_COMMITTED}, e AS (SELECT DISTINCT top, (32::BIGINT << top) // 128 * 127 - raw_size AS n, root FROM raw JOIN roots USING (id)), d AS (SELECT *, {VARINT_SQL} || printf('%02x', top) || root AS body FROM e), x AS (SELECT *, '01559120' || printf('%02x', length(body) // 2) || body AS hx FROM d)
     SELECT CASE length(hx) WHEN 78 THEN {fx.base32_sql("x.hx", 63)} WHEN 80 THEN {fx.base32_sql("x.hx", 64)} ELSE {fx.base32_sql("x.hx", 66)} END AS id, n AS padding, top AS height, unhex(root) AS root, 32::BIGINT << top AS padded FROM x""")
 def mk2(spark, d):
     o = commit_objects(fx.objects(spark, d).select(F.col("object_id").alias("id"), "payload"))
@@ -169,12 +176,12 @@ def _members(spark, d):
     return fx.aggregate_members(spark, d).join(fx.sub_pieces(spark, d), "sub_piece_cid").select(F.col("aggregate_idx").alias("key"), F.col("segment_index").alias("order"), c.tree_height(size).alias("height"), F.unhex(F.sha2(F.col("sub_piece_cid").cast("string").cast("binary"), 256)).alias("node"), "raw_size", F.col("sub_piece_cid").alias("id"))
 
 
-_LAID = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size, sub_piece_cid, {_TOP} AS height FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)), t AS (SELECT key, sum(1::BIGINT << height)::BIGINT AS total, max(height) AS most, sum(raw_size) AS raw_size, count(*) AS n_members, list(sub_piece_cid ORDER BY height DESC, o) AS ids FROM m GROUP BY key),
+_LAID = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size, sub_piece_cid, {TOP_SQL} AS height FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)), t AS (SELECT key, sum(1::BIGINT << height)::BIGINT AS total, max(height) AS most, sum(raw_size) AS raw_size, count(*) AS n_members, list(sub_piece_cid ORDER BY height DESC, o) AS ids FROM m GROUP BY key),
     laid AS (SELECT m.key, height, coalesce(sum(1::BIGINT << height) OVER (PARTITION BY m.key ORDER BY height DESC, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> height AS pos, sha256(sub_piece_cid::VARCHAR) AS node, CASE WHEN total = 1 THEN most ELSE greatest(most, length(bin(total - 1))) END AS top FROM m JOIN t USING (key)),
     {merkle_sql("laid", "key", 26)}"""
 
 
-@query("mk4_aggregate_roots", f"{_LAID} SELECT key, root, n_members, raw_size, {_TOP} AS height, (32::BIGINT << ({_TOP})) // 128 * 127 - raw_size AS padding, ids FROM t JOIN roots USING (key)")
+@query("mk4_aggregate_roots", f"{_LAID} SELECT key, root, n_members, raw_size, {TOP_SQL} AS height, (32::BIGINT << ({TOP_SQL})) // 128 * 127 - raw_size AS padding, ids FROM t JOIN roots USING (key)")
 def mk4(spark, d):
     return aggregate_roots(_members(spark, d))
 

@@ -21,7 +21,7 @@ from ..sources.state import KEYS, TABLES, Refused, StaleVersion, State, save_sub
 from .primitives import cut, shared_dir
 
 
-@query("job1_plan", "SELECT count(*) AS n_sub_pieces, sum(raw_size) AS bytes, count(*) FILTER (raw_size > 20000) AS n_oversized FROM pieces WHERE status = 'done' AND url IS NOT NULL")
+@query("job1_plan", "SELECT count(*) AS n_sub_pieces, sum(raw_size) AS bytes, count(*) FILTER (1::BIGINT << CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT) > 20000) AS n_oversized FROM pieces WHERE status = 'done' AND url IS NOT NULL")
 def job1(spark, d):
     """Done, servable pieces wrapped and packed: totals of the plan."""
     p = fx.pieces(spark, d)

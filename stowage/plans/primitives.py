@@ -301,13 +301,13 @@ def merkle_roots(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return again.mapInArrow(_folded(keys, True), f"{key_schema}, node binary").withColumnRenamed("node", "root")
 
 
-def merkle_sql(nodes: str, key: str, levels: int) -> str:
-    """CTEs in SQL that make roots (key, root in hex) of a CTE (key, height, pos, node in hex, top), a level at a time: the same by another way."""
+def merkle_sql(nodes: str, key: str, levels: int, name: str = "") -> str:
+    """CTEs in SQL that make roots (key, root in hex) of a CTE (key, height, pos, node in hex, top), a level at a time: the same by another way. name tells several apart."""
     zeros = [z.hex() for z in zero_nodes(levels)]
-    steps = [f"l0 AS MATERIALIZED (SELECT {key}, pos, node, top FROM {nodes} WHERE height = 0)"]
+    steps = [f"{name}l0 AS MATERIALIZED (SELECT {key}, pos, node, top FROM {nodes} WHERE height = 0)"]
     for k in range(levels):
         pair = f"coalesce(max(node) FILTER (pos % 2 = 0), '{zeros[k]}') || coalesce(max(node) FILTER (pos % 2 = 1), '{zeros[k]}')"
         last = "h[1:62] || printf('%02x', ('0x' || h[63:64])::BIGINT & 63)"
-        steps.append(f"""l{k + 1} AS MATERIALIZED (SELECT {key}, pos, node, top FROM l{k} WHERE top <= {k} UNION ALL SELECT {key}, pos, {last}, top FROM (SELECT {key}, pos // 2 AS pos, sha256(unhex({pair})) AS h, any_value(top) AS top FROM l{k} WHERE top > {k} GROUP BY {key}, pos // 2)
+        steps.append(f"""{name}l{k + 1} AS MATERIALIZED (SELECT {key}, pos, node, top FROM {name}l{k} WHERE top <= {k} UNION ALL SELECT {key}, pos, {last}, top FROM (SELECT {key}, pos // 2 AS pos, sha256(unhex({pair})) AS h, any_value(top) AS top FROM {name}l{k} WHERE top > {k} GROUP BY {key}, pos // 2)
     UNION ALL SELECT {key}, pos, node, top FROM {nodes} WHERE height = {k + 1})""")
-    return ", ".join(steps) + f", roots AS (SELECT {key}, node AS root FROM l{levels})"
+    return ", ".join(steps) + f", {name}roots AS (SELECT {key}, node AS root FROM {name}l{levels})"

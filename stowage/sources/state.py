@@ -116,7 +116,7 @@ def _declared(name: str, df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(kind).alias(c) for c, kind in columns])
 
 
-def _refuse(bad: DataFrame, what: str) -> None:
+def refuse(bad: DataFrame, what: str) -> None:
     """Raises Refused with the number of rows of bad (message) and the first of them."""
     n = bad.count()
     if n:
@@ -134,7 +134,7 @@ def _new_rows(state: State, expected: int, name: str, rows: DataFrame) -> None:
     label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     twice = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(_message(f"{name} ", label, " comes twice"))
     there = rows.select(*keys).distinct().join(state.table(name, expected).select(*keys), keys, "left_semi").select(_message(f"{name} ", label, " is there already"))
-    _refuse(twice.union(there), f"{name} with known keys")
+    refuse(twice.union(there), f"{name} with known keys")
 
 
 def known(rows: DataFrame, column: str, table: DataFrame, key: str) -> DataFrame:
@@ -151,10 +151,10 @@ def save_sub_pieces(state: State, expected: int, sub_pieces: DataFrame, members:
     is taken.
     """
     pieces = state.table("pieces", expected)
-    _refuse(known(members, "member_cid", pieces, "cid"), "unknown members")
-    _refuse(known(members, "sub_piece_cid", sub_pieces, "sub_piece_cid").union(known(sub_pieces, "sub_piece_cid", members, "sub_piece_cid")), "sub-pieces and members that don't belong together")
+    refuse(known(members, "member_cid", pieces, "cid"), "unknown members")
+    refuse(known(members, "sub_piece_cid", sub_pieces, "sub_piece_cid").union(known(sub_pieces, "sub_piece_cid", members, "sub_piece_cid")), "sub-pieces and members that don't belong together")
     one = F.coalesce("car_path", F.lit("")) != ""
-    _refuse(sub_pieces.where(one == (F.coalesce("url", F.lit("")) != "")).select(_message("sub-piece ", F.col("sub_piece_cid"), " needs a container path or a URL, and not both")), "sub-pieces without one origin")
+    refuse(sub_pieces.where(one == (F.coalesce("url", F.lit("")) != "")).select(_message("sub-piece ", F.col("sub_piece_cid"), " needs a container path or a URL, and not both")), "sub-pieces without one origin")
     _new_rows(state, expected, "sub_pieces", sub_pieces)
     _new_rows(state, expected, "sub_piece_members", members)
     return state.publish(expected, append={"sub_pieces": sub_pieces, "sub_piece_members": members})
@@ -162,8 +162,8 @@ def save_sub_pieces(state: State, expected: int, sub_pieces: DataFrame, members:
 
 def save_aggregates(state: State, expected: int, aggregates: DataFrame, members: DataFrame) -> int:
     """New aggregates with their ordered members in one version; refused where a member is no sub-piece, an aggregate has no member, or a key is taken."""
-    _refuse(known(members, "sub_piece_cid", state.table("sub_pieces", expected), "sub_piece_cid"), "unknown members")
-    _refuse(known(members, "aggregate_idx", aggregates, "idx").union(known(aggregates, "idx", members, "aggregate_idx")), "aggregates and members that don't belong together")
+    refuse(known(members, "sub_piece_cid", state.table("sub_pieces", expected), "sub_piece_cid"), "unknown members")
+    refuse(known(members, "aggregate_idx", aggregates, "idx").union(known(aggregates, "idx", members, "aggregate_idx")), "aggregates and members that don't belong together")
     _new_rows(state, expected, "aggregates", aggregates)
     _new_rows(state, expected, "aggregate_members", members)
     return state.publish(expected, append={"aggregates": aggregates, "aggregate_members": members})
