@@ -4,37 +4,43 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixtures as fx
 from ..functions import columns as c
 from ..operators.intake import canonical_stream
 from ..operators.joins import files_of, resolve_requests
 from ..operators.lifecycle import ALLOWED
-from ..operators.packing import append_aggregates
+from ..operators.packing import PADDED_SQL, append_aggregates
 from ..operators.windows import content_lines
 from ..plans.primitives import shared_dir
 from ..registry import query
 
 
-def as_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """df as a stream of files in order, one a trigger."""
+def as_stream(df: DataFrame, order: str, slices: int = 4, slice_of: Column | None = None, files: int = 4) -> DataFrame:
+    """df as a stream of slices in order, one a trigger, each written by as many tasks as it has files; slice_of numbers the slices from 0 where their bounds matter."""
     path = f"{shared_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    cuts = df.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None]):  # one after another: files are read in order of their age
-        part = df if low is None else df.where(F.col(order) > low)
-        part = part if high is None else part.where(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    if slice_of is None:
+        cuts = df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.01)
+        slice_of = reduce(lambda n, cut: n + (F.col(order) > cut).cast("int"), cuts, F.lit(0))
+    sliced = df.withColumn("_slice", slice_of)
+    counts = {r["_slice"]: r["count"] for r in sliced.groupBy("_slice").count().collect()}  # one row for each slice
+    # Every slice has the same number of files, none of them empty, so that a trigger is a slice.
+    files = files if min(counts.values(), default=0) >= 4 * files else 1
+    for k in sorted(counts):  # one after another: files are read in order of their age
+        sliced.where(F.col("_slice") == k).drop("_slice").repartition(files).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """What a stream emits until its source is used up, with the trigger that emitted it (_batch)."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state with timers needs it
     base = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
 
     def write(df: DataFrame, batch: int) -> None:
@@ -48,56 +54,102 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
 
 
-def _fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    status, last, bad = state.get if state.exists else (None, -1, 0)
-    rows = pd.concat(list(pdfs)).sort_values("seq")
-    for seq, kind in zip(rows["seq"], rows["kind"]):
-        if status is not None and status not in ALLOWED[kind]:
-            bad += 1
-        status = "committed" if status == "committed" else kind
-        last = max(last, int(seq))
-    state.update((status, last, bad))
-    yield pd.DataFrame({"key": [key[0]], "status": [status], "last_seq": [last], "n_illegal": [bad]})
+class LifecycleFold(StatefulProcessor):
+    """The status of one key, and every transition that isn't allowed."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "status string, last_seq long, n_illegal long")
 
-def lifecycle_fold(events: DataFrame) -> DataFrame:
-    """(key, status, last_seq, n_illegal) after each trigger for the keys it touched."""
-    return events.groupBy("key").applyInPandasWithState(_fold, "key long, status string, last_seq long, n_illegal long", "status string, last_seq long, n_illegal long", "update", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        status, last, bad = self.state.get() if self.state.exists() else (None, -1, 0)
+        out = []
+        for seq, kind in sorted((r for pdf in rows for r in zip(pdf["seq"], pdf["kind"]))):
+            if status is not None and status not in ALLOWED[kind]:
+                bad += 1
+                out.append((key[0], int(seq), status, kind, None, None))
+            status = "committed" if status == "committed" else kind
+            last = max(last, int(seq))
+        self.state.update((status, last, bad))
+        out.append((key[0], last, None, None, status, bad))
+        yield pd.DataFrame(out, columns=["key", "seq", "before", "kind", "status", "n_illegal"]).astype({"n_illegal": "Int64"})
 
+    def close(self) -> None:
+        pass
 
-@query("st1_lifecycle_fold", "SELECT key, CASE WHEN bool_or(kind = 'committed') THEN 'committed' ELSE arg_max(kind, seq) END AS status, max(seq) AS last_seq FROM lifecycle GROUP BY key")
-def st1(spark, d):
-    out = drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")), "update")
-    return out.groupBy("key").agg(F.max_by("status", "_batch").alias("status"), F.max("last_seq").alias("last_seq"))
 
+def lifecycle_fold(events: DataFrame) -> DataFrame:
+    """After each trigger, for the keys it touched: (key, seq, status, n_illegal) as of its last event, and for each transition that isn't allowed (key, seq, before, kind)."""
+    return events.groupBy("key").transformWithStateInPandas(LifecycleFold(), "key long, seq long, before string, kind string, status string, n_illegal long", "Update", "None")
 
-def _watch(gap_ms: int):
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            seen = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"batch": [key[0]], "since": [pd.Timestamp(seen, unit="ms")]})
-            return
-        rows = pd.concat(list(pdfs))
-        rose = rows.loc[rows["kind"].isin(["committed", "failed"]), "ts"]
-        newest = int(rose.max().timestamp() * 1000) if len(rose) else 0
-        seen = max(state.get[0] if state.exists else int(rows["ts"].min().timestamp() * 1000), newest)
-        state.update((seen,))
-        state.setTimeoutTimestamp(max(seen + gap_ms, state.getCurrentWatermarkMs() + 1))
-        return
 
-    return run
+_STEPS = f"""t AS (SELECT key, seq, kind, CASE WHEN max(CASE WHEN kind = 'committed' THEN 1 END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'committed' ELSE lag(kind) OVER (PARTITION BY key ORDER BY seq) END AS before FROM lifecycle),
+    x AS (SELECT *, before IS NOT NULL AND NOT CASE kind {" ".join(f"WHEN '{kind}' THEN before IN ({', '.join(repr(k) for k in allowed)})" for kind, allowed in ALLOWED.items())} END AS illegal FROM t)"""
+
+
+@query("st1_lifecycle_fold", f"{_STEPS} SELECT key, CASE WHEN bool_or(kind = 'committed') THEN 'committed' ELSE arg_max(kind, seq) END AS status, max(seq) AS last_seq, count(*) FILTER (illegal) AS n_illegal FROM x GROUP BY key")
+def st1(spark, d):
+    out = drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")), "update").where("status IS NOT NULL")
+    return out.groupBy("key").agg(F.max_by("status", "_batch").alias("status"), F.max("seq").alias("last_seq"), F.max_by("n_illegal", "_batch").alias("n_illegal"))
+
+
+@query("st1_illegal_transitions", f"{_STEPS} SELECT key, seq, before, kind FROM x WHERE illegal")
+def st1_illegal(spark, d):
+    return drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")), "update").where("status IS NULL").select("key", "seq", "before", "kind")
+
+
+class StallWatchdog(StatefulProcessor):
+    """Alarms of one batch: each time of progress after which none comes within the gap. Times are kept until their timer has judged them."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.begun = handle.getValueState("begun", "at long, judged long")
+        self.times = handle.getMapState("times", "at long", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, judged = self.begun.get() if self.begun.exists() else (None, None)
+        # All timers up to the watermark that the last call saw have gone off, so nobody asks for progress a gap before it any more.
+        for (t,) in list(self.times.keys()) if judged is not None else ():
+            if t + 2 * self.gap_ms <= judged:
+                self.times.removeKey((t,))
+        for pdf in rows:
+            at = pdf["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[pdf["ts"].dt.unit]
+            lowest = int(at.min())
+            if first is None or lowest < first:
+                if first is not None and not self.times.containsKey((first,)):
+                    self.handle.deleteTimer(first + self.gap_ms)
+                first = lowest
+                self.handle.registerTimer(first + self.gap_ms)
+            for t in sorted({int(t) for t in at[pdf["kind"].isin(["committed", "failed"])]}):
+                self.times.updateValue((t,), (1,))
+                self.handle.registerTimer(t + self.gap_ms)
+        self.begun.update((first, timerValues.getCurrentWatermarkInMs()))
+        yield pd.DataFrame({"batch": pd.Series([], dtype="int64"), "since": pd.Series([], dtype="datetime64[us]")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() - self.gap_ms
+        if not any(at < t <= at + self.gap_ms for (t,) in self.times.keys()):
+            yield pd.DataFrame({"batch": [key[0]], "since": pd.to_datetime([at], unit="ms").as_unit("us")})
+
+    def close(self) -> None:
+        pass
 
 
 def stall_watchdog(events: DataFrame, gap_s: int, late: str = "10 minutes") -> DataFrame:
-    """(batch, since) when event time passes gap_s after a batch's last terminal event; later events are dropped past the watermark."""
-    return events.withWatermark("ts", late).groupBy("batch").applyInPandasWithState(_watch(gap_s * 1000), "batch long, since timestamp", "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    """(batch, since) when event time has passed gap_s after the batch's first event, or after one that committed or failed, without one such in between; later events are dropped past the watermark."""
+    return events.withWatermark("ts", late).groupBy("batch").transformWithStateInPandas(StallWatchdog(gap_s * 1000), "batch long, since timestamp", "Append", "EventTime")
 
 
-@query("st2_stall_watchdog")
+@query("st2_stall_watchdog", """e AS (SELECT key AS batch, epoch_us(ts) // 1000 AS m, kind IN ('committed', 'failed') AS rose FROM lifecycle), p AS (SELECT DISTINCT batch, m FROM e WHERE rose UNION SELECT batch, min(m) FROM e GROUP BY batch),
+    n AS (SELECT p.batch, p.m, min(e.m) AS following FROM p LEFT JOIN e ON e.batch = p.batch AND e.rose AND e.m > p.m GROUP BY 1, 2) SELECT batch, make_timestamp(m * 1000) AS since FROM n WHERE following IS NULL OR following > m + 43200000""")
 def st2(spark, d):
+    """Batches without progress for half a day; a last event far ahead lets all timers expire. The slices of this replay overlap in time, hence the wide watermark."""
     e = fx.lifecycle(spark, d).select(F.col("key").alias("batch"), F.col("ts").cast("timestamp").alias("ts"), "kind", "seq")
-    return drain(stall_watchdog(as_stream(e, "seq"), 43200)).select("batch", "since")
+    end = e.agg(F.max("ts").alias("t"), F.max("seq").alias("s")).select(F.lit(-1).cast("long").alias("batch"), (F.col("t") + F.expr("INTERVAL 120 DAYS")).alias("ts"), F.lit("planned").alias("kind"), (F.col("s") + 1).alias("seq"))
+    out = drain(stall_watchdog(as_stream(e.union(end), "seq"), 43200, "60 days"))
+    return out.where("batch >= 0").select("batch", F.col("since").cast("timestamp_ntz").alias("since"))
 
 
 @query("st3_resolve_requests", r"""q AS (SELECT req_id, CAST(path[8:] AS BIGINT) AS piece FROM requests WHERE regexp_matches(path, '^/piece/[0-9]{1,18}$'))
@@ -118,23 +170,49 @@ def st4(spark, d):
     return drain(s).where("highest >= 0").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "spikes", "highest")
 
 
-def incremental_plan(spark: SparkSession, stream: DataFrame, state: str, cap: int) -> None:
-    """Registers each trigger's new sub-pieces and appends aggregates above the existing ones; a repeated trigger replaces its own result."""
+def incremental_plan(spark: SparkSession, stream: DataFrame, path: str, cap: int) -> None:
+    """Appends aggregates over each trigger's new sub-pieces, numbered above those before; what was planned once stays as it is.
+
+    Ids seen before are dropped by the stream's own state, and the next number
+    is read from the last trigger's record, so no trigger reads history. A
+    repeated trigger replaces its own result.
+    """
 
     def plan(df: DataFrame, batch: int) -> None:
-        done = [f"{state}/b={i}" for i in range(batch)]
-        old = spark.read.parquet(*done) if done else spark.createDataFrame([], "sub_piece_cid long, idx long, oversized boolean")
-        new = df.join(old.select("sub_piece_cid"), "sub_piece_cid", "left_anti").dropDuplicates(["sub_piece_cid"])
-        append_aggregates(new, old.where("idx IS NOT NULL"), cap).write.mode("overwrite").parquet(f"{state}/b={batch}")
+        before = [int(f.getPath().getName()[2:]) for f in _listed(spark, f"{path}/next/b=*")]
+        last = max((b for b in before if b < batch), default=None)
+        base = spark.read.parquet(f"{path}/next/b={last}").first()["next"] if last is not None else 0
+        planned = append_aggregates(df, spark.createDataFrame([(base - 1,)], "idx long"), cap)
+        planned.write.mode("overwrite").parquet(f"{path}/rows/b={batch}")
+        top = spark.read.parquet(f"{path}/rows/b={batch}").agg(F.max("idx")).first()[0]
+        spark.createDataFrame([(base if top is None else top + 1,)], "next long").coalesce(1).write.mode("overwrite").parquet(f"{path}/next/b={batch}")
+
+    drain(stream.dropDuplicates(["sub_piece_cid"]), each=plan)
+
+
+def _listed(spark: SparkSession, pattern: str) -> list:
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])
+
+
+def planned(spark: SparkSession, path: str) -> DataFrame:
+    """(sub_piece_cid, idx, oversized) of everything planned so far."""
+    return spark.read.schema("sub_piece_cid long, idx long, oversized boolean").option("recursiveFileLookup", "true").parquet(f"{path}/rows")
+
 
-    drain(stream, each=plan)
+_CAP = 2 << 20
 
 
-@query("st5_incremental_planner", "SELECT sub_piece_cid, raw_size > 1800000 AS oversized FROM sub_pieces WHERE status = 'built'")
+@query("st5_incremental_planner", f"""RECURSIVE fp AS (SELECT sub_piece_cid, sub_piece_cid % 3 AS slice, {PADDED_SQL} AS padded FROM sub_pieces WHERE status = 'built'), o AS (SELECT *, row_number() OVER (ORDER BY slice, sub_piece_cid) AS i FROM fp WHERE padded <= {_CAP}),
+    f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, -1::BIGINT AS bin, NULL::BIGINT AS sub_piece_cid, -1::BIGINT AS slice UNION ALL SELECT o.i, CASE WHEN used + padded > {_CAP} OR o.slice <> f.slice THEN padded ELSE used + padded END, CASE WHEN used + padded > {_CAP} OR o.slice <> f.slice THEN bin + 1 ELSE bin END, o.sub_piece_cid, o.slice FROM f JOIN o ON o.i = f.i + 1)
+    SELECT sub_piece_cid, bin AS idx, false AS oversized FROM f WHERE i > 0 UNION ALL SELECT sub_piece_cid, NULL, true FROM fp WHERE padded > {_CAP}""")
 def st5(spark, d):
-    state = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
-    incremental_plan(spark, as_stream(fx.sub_pieces(spark, d).where("status = 'built'").select("sub_piece_cid", "raw_size"), "sub_piece_cid", 3), state, 1_800_000)
-    return spark.read.option("recursiveFileLookup", "true").parquet(state).select("sub_piece_cid", "oversized")
+    """Three slices of sub-pieces, the second of which brings the first one's again."""
+    path = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    sub = fx.sub_pieces(spark, d).where("status = 'built'").select("sub_piece_cid", "raw_size", (F.col("sub_piece_cid") % 3).alias("slice"))
+    again = sub.where("slice = 0").withColumn("slice", F.lit(1).cast("long"))
+    incremental_plan(spark, as_stream(sub.union(again), "sub_piece_cid", slice_of=F.col("slice")).select("sub_piece_cid", "raw_size"), path, _CAP)
+    return planned(spark, path)
 
 
 @query("st6_intake_dedupe", "SELECT DISTINCT trim(line) AS id FROM lines WHERE trim(line) LIKE 'f0155%'")
