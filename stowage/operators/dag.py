@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..plans.primitives import least_paths
+from ..plans.graphs import depth_first
 from ..registry import query
 from .joins import verify_blocks
 
@@ -26,12 +26,6 @@ def dg2(spark, d):
     return dedupe_blocks(fx.links(spark, d).select(F.substring("parent", 1, 1).alias("root"), F.col("child").alias("node"), F.col("link_index").alias("pos")))
 
 
-def dag_order(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, path, place): depth-first order with first visits only, which is the order of least paths."""
-    p = least_paths(links, roots)
-    return p.withColumn("place", (F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1).cast("long"))
-
-
 _PATHS = """RECURSIVE w AS (SELECT DISTINCT parent AS root, parent AS node, []::BIGINT[] AS path FROM links WHERE parent NOT IN (SELECT child FROM links) UNION ALL SELECT root, child, list_append(path, link_index) FROM w JOIN links ON parent = node),
     p AS (SELECT root, node, min(path) AS path FROM w GROUP BY 1, 2)"""
 
@@ -40,7 +34,7 @@ def _order(spark, d):
     """The order below each root, which is a parent that is no child."""
     links = fx.links(spark, d)
     roots = links.select("parent").distinct().join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
-    return dag_order(links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
+    return depth_first(links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
 
 
 @query("dg3_dag_order", f"{_PATHS} SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM p")
@@ -59,7 +53,7 @@ def dg4(spark, d):
 
 def dag_stats(order: DataFrame, blocks: DataFrame) -> DataFrame:
     b = blocks.select("node", F.octet_length("bytes").alias("size"))
-    return order.join(b, "node", "left").groupBy("root").agg(F.count("*").alias("nodes"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max(F.size("path")).alias("depth"))
+    return order.join(b, "node", "left").groupBy("root").agg(F.count("*").alias("nodes"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("depth").cast("int").alias("depth"))
 
 
 @query("dg5_dag_stats", f"{_PATHS} SELECT root, count(*) AS nodes, coalesce(sum(strlen(bytes)), 0) AS bytes, max(len(path)) AS depth FROM p LEFT JOIN blocks USING (node) GROUP BY root")

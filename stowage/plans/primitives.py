@@ -1,4 +1,4 @@
-"""Shared primitives: global order without a single-partition window, greedy bins by range, least paths, Merkle trees by aligned subtrees."""
+"""Shared primitives: global order without a single-partition window, greedy bins by range, Merkle trees by aligned subtrees."""
 
 from __future__ import annotations
 
@@ -169,25 +169,6 @@ def next_fit(df: DataFrame, order: list, size: Column, cap: int) -> DataFrame:
     return each.repartition("_range").sortWithinPartitions("_range", "_place").select(*df.columns, "_range", "_size", "_used", "_before").mapInArrow(_numbered(cap), f"{schema}, bin long")
 
 
-def least_paths(links: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(root, node, path): the lexicographically least array of link indexes to each reachable node.
-
-    links (parent, link_index, child), roots (root, node). Each round extends
-    the paths that the last one improved and keeps the least per node.
-    """
-    best = cut(roots.select("root", "node", F.array().cast("array<bigint>").alias("path")))
-    front = best
-    for _ in range(most_depth):
-        step = front.join(links, front["node"] == links["parent"]).select("root", F.col("child").alias("node"), F.array_append("path", F.col("link_index")).alias("path"))
-        step = step.groupBy("root", "node").agg(F.min("path").alias("path"))
-        old = best.select("root", "node", F.col("path").alias("old"))
-        front = cut(step.join(old, ["root", "node"], "left").where("old IS NULL OR path < old").select("root", "node", "path"))
-        if front.isEmpty():
-            return best
-        best = cut(best.union(front).groupBy("root", "node").agg(F.min("path").alias("path")))
-    raise ValueError("links are deeper than most_depth")
-
-
 def combine(left: bytes, right: bytes) -> bytes:
     """The parent of two 32-byte nodes: sha256 of both, the top two bits of the last byte cleared."""
     h = bytearray(hashlib.sha256(left + right).digest())
