@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,30 @@ def pack_ffd(df: DataFrame, cap: int, group: str, key: str = "object_id", size:
     return df.where(F.col(size) <= cap).select(group, key, size).groupBy(group).applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, bin long, place long")
 
 
+def pack_ffd_sharded(df: DataFrame, cap: int, group: str, shard_rows: int, key: str = "object_id", size: str = "raw_size") -> DataFrame:
+    """As pack_ffd, with each group cut into shards of about shard_rows rows, so that a group with most of the rows is many tasks.
+
+    Rows are dealt by a digest of their key, so every shard has the same mix of
+    sizes and is packed exactly on its own; bins of shard s are numbered s, s +
+    shards, and so on. Of a shard at most one bin is half full or less, so there
+    are at most 2 * total / cap bins and one more for each shard. Groups of up
+    to shard_rows rows are packed as pack_ffd packs them.
+    """
+    fit = df.where(F.col(size) <= cap).select(group, key, size)
+    shards = fit.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("_n"))
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    dealt = fit.join(shards, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_shard", digest % F.col("_n"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([size, key], ascending=[False, True], kind="stable")
+        out = pdf[[group, key]].assign(bin=np.array(_first_fit(pdf[size].tolist(), cap), dtype=np.int64) * pdf["_n"].to_numpy() + pdf["_shard"].to_numpy())
+        out["place"] = out.sort_values(key).groupby("bin").cumcount()
+        return out
+
+    kinds = dict(df.dtypes)
+    return dealt.drop("_g").groupBy(group, "_shard").applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, bin long, place long")
+
+
 _FFD = """RECURSIVE o AS (SELECT source, object_id, raw_size, row_number() OVER (PARTITION BY source ORDER BY raw_size DESC, object_id) AS i FROM objects WHERE raw_size <= 20000),
     f AS (SELECT source, 0::BIGINT AS i, []::BIGINT[] AS free, 0::BIGINT AS object_id, 0::BIGINT AS bin FROM (SELECT DISTINCT source FROM o)
         UNION ALL SELECT source, i, CASE WHEN p > len(free) THEN list_append(free, 20000 - raw_size) ELSE list_concat(list_append(free[:p - 1], free[p] - raw_size), free[p + 1:]) END, object_id, p - 1
@@ -62,6 +87,20 @@ def pk1(spark, d):
     return pack_ffd(fx.objects(spark, d), 20000, "source")
 
 
+_SHARD_ROWS = 64
+_SHARDED = f"""RECURSIVE n AS (SELECT source, CAST(ceil(count(*) / {_SHARD_ROWS}.0) AS BIGINT) AS n FROM objects WHERE raw_size <= 20000 GROUP BY source), q AS (SELECT source, object_id, raw_size, n, ('0x' || md5(object_id::VARCHAR)[1:8])::BIGINT % n AS shard FROM objects JOIN n USING (source) WHERE raw_size <= 20000),
+    o AS (SELECT *, row_number() OVER (PARTITION BY source, shard ORDER BY raw_size DESC, object_id) AS i FROM q),
+    f AS (SELECT source, shard, 0::BIGINT AS n, 0::BIGINT AS i, []::BIGINT[] AS free, 0::BIGINT AS object_id, 0::BIGINT AS bin FROM (SELECT DISTINCT source, shard FROM o)
+        UNION ALL SELECT source, shard, n, i, CASE WHEN p > len(free) THEN list_append(free, 20000 - raw_size) ELSE list_concat(list_append(free[:p - 1], free[p] - raw_size), free[p + 1:]) END, object_id, p - 1
+        FROM (SELECT f.source, f.shard, o.n, o.i, f.free, o.object_id, o.raw_size, coalesce(list_position(list_transform(f.free, lambda x: x >= o.raw_size), true), len(f.free) + 1) AS p FROM f JOIN o ON o.source = f.source AND o.shard = f.shard AND o.i = f.i + 1))
+    SELECT source, object_id, bin * n + shard AS bin, row_number() OVER (PARTITION BY source, shard, bin ORDER BY object_id) - 1 AS place FROM f WHERE i > 0"""
+
+
+@query("pk1_pack_sharded", _SHARDED)
+def pk1_sharded(spark, d):
+    return pack_ffd_sharded(fx.objects(spark, d), 20000, "source", _SHARD_ROWS)
+
+
 def pack_next_fit(df: DataFrame, order: list, size: str, cap: int) -> DataFrame:
     """df's rows not above cap with bin: bins in order, each closed when the next row would exceed cap."""
     return next_fit(df.where(F.col(size) <= cap), order, F.col(size), cap)

@@ -148,3 +148,17 @@ def test_places_within_a_hot_key(spark, many_tasks):
     for key in {r.k for r in got}:
         mine = sorted((r.place, r.v) for r in got if r.k == key)
         assert [p for p, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
+def test_sharded_bins_are_few_and_a_hot_group_is_many_tasks(spark, sf_dir):
+    """Against exact first-fit-decreasing: nothing lost, no bin above the cap, and the bound on the number of bins holds."""
+    o = fx.objects(spark, "/root/testdata/sf0.01").where("raw_size <= 20000").withColumn("source", F.when(F.col("object_id") % 3 > 0, "hot").otherwise(F.col("source")))
+    exact, sharded = packing.pack_ffd(o, 20000, "source"), packing.pack_ffd_sharded(o, 20000, "source", 100)
+    sizes = o.select("object_id", "raw_size")
+    bins = {name: df.join(sizes, "object_id").groupBy("source", "bin").agg(F.sum("raw_size").alias("used"), F.count("*").alias("n")).toPandas() for name, df in (("exact", exact), ("sharded", sharded))}
+    hot = bins["sharded"][bins["sharded"]["source"] == "hot"]
+    shards = -(-int(hot["n"].sum()) // 100)
+    assert shards > 4 and hot["n"].sum() == bins["exact"][bins["exact"]["source"] == "hot"]["n"].sum() and bins["sharded"]["used"].max() <= 20000
+    assert len(hot) <= 2 * hot["used"].sum() / 20000 + shards
+    assert len(hot) <= len(bins["exact"][bins["exact"]["source"] == "hot"]) * 1.1 + 1  # measured: within a tenth of exact
+    assert packing.pack_ffd_sharded(o, 20000, "source", 10**6).exceptAll(exact).count() == 0
