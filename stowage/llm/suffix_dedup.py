@@ -9,8 +9,9 @@ by gram; a reducer merges its runs with a loser tree that knows the prefix each
 candidate shares with the last winner and compares from there on only. Equal
 windows then lie in neighbouring suffixes.
 
-Grams that occur very often don't meet in one reducer: their contexts, then the
-windows of the distinct ones, are counted by digest.
+Grams that occur very often don't meet in one reducer. Their contexts are
+grouped by their bytes; windows of the distinct ones meet by digest, and one
+counts as repeated only where its bytes are those of another.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import cut, with_keys
 from .textbytes import BYTE_VALUES, flat, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 200, 32
-#: A gram with more occurrences than this is counted by digest instead of merged.
+#: The suffixes of a gram with more occurrences than this are dealt out by windows instead of merged in one reducer.
 HOT = 2048
+#: Bits of the digests by which such windows meet.
+DIGEST_BITS = 64
 #: Suffixes that one reducer merges, and bytes that a map task holds before it writes its runs.
 PER_PART, RUN_BYTES = 25_000, 24 << 20
 
@@ -286,7 +289,12 @@ def _collapse(group: list[list]) -> list[list]:
     return list(by.values())
 
 
-def _runs(parts: int):
+def _digest(data: np.ndarray, first: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (span_hash(prefix_hash(BYTE_VALUES[data]), first, last) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _runs(parts: int, bits: int):
     """Sorted runs of the suffixes at surviving anchors, by part; contexts of hot ones as they are (part -1)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +310,11 @@ def _runs(parts: int):
             return _run_rows(parts_out, blobs, [], [])
 
         for batch in batches:
-            hot_places: dict[tuple[int, int, int], tuple[bytes, list[int]]] = {}
+            hot_places: dict[tuple[int, int, int, bytes], list[int]] = {}
             for row0, data, offsets in slices(*flat(batch.column("text"))):
                 with np.errstate(over="ignore"):
                     text, anchor, first, last, gram = anchors(data, offsets)
-                    context = span_hash(prefix_hash(BYTE_VALUES[data]), first, last + LENGTH).view(np.int64)
+                context = _digest(data, first, last + LENGTH, bits)
                 raw = data.tobytes()
                 own = batch.slice(row0, len(offsets) - 1)
                 ids, tids, some, hot = (own.column(c) for c in ("doc_id", "tid", "grams", "hot"))
@@ -321,12 +329,12 @@ def _runs(parts: int):
                     row, p, s0, s1 = int(text[i]), int(anchor[i]), int(first[i]), int(last[i])
                     place = (ids[row], tids[row], s0 - int(offsets[row]))
                     if kind[i] >= 2:
-                        hot_places.setdefault((int(context[i]), *place[:2]), (raw[s0 : s1 + LENGTH], []))[1].append(place[2])
+                        hot_places.setdefault((int(context[i]), *place[:2], raw[s0 : s1 + LENGTH]), []).append(place[2])
                         continue
                     held[int(gram[i] % np.uint64(parts))].setdefault((raw[p : s1 + LENGTH], raw[s0:p]), []).append(place)
                     size += s1 + LENGTH - s0 + 150
             if hot_places:
-                yield _run_rows([], [], [(*k, v[1]) for k, v in hot_places.items()], [v[0] for v in hot_places.values()])
+                yield _run_rows([], [], [(*k[:3], v) for k, v in hot_places.items()], [k[3] for k in hot_places])
             if size > RUN_BYTES:
                 size = 0
                 yield flush()
@@ -356,8 +364,8 @@ def _by_part(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns)], ["part", *names])
 
 
-def _windows(parts: int):
-    """Windows of distinct contexts by part of their digest, each task's own repeats added up: digest, a context and offset that has it, weight (2: more than one)."""
+def _windows(parts: int, bits: int):
+    """Windows of distinct contexts by part of their digest: digest, a context and offset that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,65 +375,99 @@ def _windows(parts: int):
                 row = np.repeat(np.arange(len(counts)), counts)
                 t = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 at = offsets[row] + t
-                with np.errstate(over="ignore"):
-                    digest = span_hash(prefix_hash(BYTE_VALUES[data]), at, at + LENGTH).view(np.int64)
-                context, weight = (own.column(c).to_numpy(zero_copy_only=False)[row] for c in ("context", "weight"))
-                yield _by_part(*_summed(digest, context, t, weight, parts))
+                digest = _digest(data, at, at + LENGTH, bits)
+                yield _by_part(digest % parts, [digest, own.column("id").to_numpy(zero_copy_only=False)[row], t], ["window", "context", "t"])
 
     return run
 
 
-def _summed(digest: np.ndarray, context: np.ndarray, t: np.ndarray, weight: np.ndarray, parts: int):
-    order = np.argsort(digest, kind="stable")
-    digest = digest[order]
-    first = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]])) if len(digest) else np.zeros(0, np.int64)
-    total = np.minimum(np.add.reduceat(weight[order], first), 2) if len(first) else np.zeros(0, np.int64)
-    digest = digest[first]
-    return digest % parts, [digest, context[order][first], t[order][first], total], ["window", "context", "t", "weight"]
-
-
 def _values(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _once(parts: int):
-    """(part of the context, context, t) of the windows of one part that occur once."""
+_CLAIM = "part int, context array<long>, t array<long>, like array<long>, like_t array<long>"
+
+
+def _claimed(parts: int):
+    """Of the windows of one part: each whose digest others have too, with the first of these, by part of its context."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, (_, context, t, total), _ = _summed(*(_values(table, c) for c in ("window", "context", "t", "weight")), parts)
-        single = total == 1
-        return pa.Table.from_batches([_by_part(context[single] % parts, [context[single], t[single]], ["context", "t"])])
+        window, context, t = (_values(table, c) for c in ("window", "context", "t"))
+        order = np.lexsort((t, context, window))
+        window, context, t = window[order], context[order], t[order]
+        first = np.flatnonzero(np.append(True, window[1:] != window[:-1])) if len(window) else np.zeros(0, np.int64)
+        of = np.repeat(first, np.diff(np.append(first, len(window))))
+        later = np.flatnonzero(of != np.arange(len(window)))
+        return pa.Table.from_batches([_by_part(context[later] % parts, [context[later], t[later], context[of[later]], t[of[later]]], ["context", "t", "like", "like_t"])])
 
     return run
 
 
-def _once_of(table: pa.Table) -> pa.Table:
-    batch = _by_part(*(lambda c, t: (np.unique(c, return_inverse=True)[1] if len(c) else c, [c, t], ["context", "once"]))(_values(table, "context"), _values(table, "t")))
-    own = pa.array([x[0].as_py() for x in batch.column("context")], pa.int64())
-    return pa.table({"context": own, "once": batch.column("once")})
+def _claim_runs(table: pa.Table) -> pa.Table:
+    """(context, t, like, like_t, n): claims of a context's neighbouring windows about neighbouring windows, as one."""
+    context, t, like, like_t = (_values(table, c) for c in ("context", "t", "like", "like_t"))
+    order = np.lexsort((t, context))
+    context, t, like, like_t = context[order], t[order], like[order], like_t[order]
+    joins = (context[1:] == context[:-1]) & (like[1:] == like[:-1]) & (t[1:] == t[:-1] + 1) & (like_t[1:] == like_t[:-1] + 1)
+    first = np.flatnonzero(np.append(True, ~joins)) if len(t) else np.zeros(0, np.int64)
+    n = np.diff(np.append(first, len(t)))
+    return pa.table({k: pa.array(v.astype(np.int64)) for k, v in zip(("context", "t", "like", "like_t", "n"), (context[first], t[first], like[first], like_t[first], n))})
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, t, n, bytes): runs of windows whose bytes are those of another; where they aren't, single windows with their bytes, for those to meet by them."""
+    told: set[tuple[int, int, int]] = set()
+    for batch in batches:
+        rows: list[tuple[int, int, int, bytes | None]] = []
+
+        def repeated(context: int, t: int, like: int, like_t: int, n: int) -> None:
+            rows.append((context, t, n, None))
+            if (like, like_t, n) not in told:  # many contexts are like one
+                told.add((like, like_t, n))
+                rows.append((like, like_t, n, None))
+
+        for context, t, like, like_t, n, own, other in zip(*(batch.column(c).to_pylist() for c in ("context", "t", "like", "like_t", "n", "bytes", "like_bytes"))):
+            if own[t : t + n - 1 + LENGTH] == other[like_t : like_t + n - 1 + LENGTH]:
+                repeated(context, t, like, like_t, n)
+                continue
+            for k in range(n):
+                if own[t + k : t + k + LENGTH] == other[like_t + k : like_t + k + LENGTH]:
+                    repeated(context, t + k, like, like_t + k, 1)
+                else:
+                    rows.append((context, t + k, 1, own[t + k : t + k + LENGTH]))
+        if len(told) > 100_000:
+            told.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "t", "n", "bytes"])
 
 
 def _hot_spans(hot: DataFrame) -> DataFrame:
     """(doc_id, tid, spans) for grams with many occurrences: whole contexts that repeat, and repeated windows of those that don't.
 
-    Windows are summed by digest, in parts that travel as lists; one that occurs
-    once names its own context, so a context's repeated windows are those that
-    aren't named.
+    Contexts are one where their bytes are. Windows of distinct contexts that
+    share a digest claim to be like the first of them; claims of neighbouring
+    windows are one, and are confirmed on the bytes of both contexts. A window
+    that isn't like the first meets others like itself by its bytes.
     """
-    contexts = cut(hot.groupBy("context").agg(F.least(F.sum(F.size("first")), F.lit(2)).alias("weight"), F.min("run").alias("bytes")))
+    grouped = hot.groupBy("context", F.col("run").alias("bytes")).agg(F.sum(F.size("first")).alias("n"))
+    contexts = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
     parts = int(max(8, -(-contexts.count() // PER_PART * 4)))
-    windows = contexts.select("context", F.col("weight").cast("long").alias("weight"), "bytes").mapInArrow(_windows(parts), "part int, window array<long>, context array<long>, t array<long>, weight array<long>")
-    single = windows.groupBy("part").applyInArrow(_once(parts), "part int, context array<long>, t array<long>")
-    once = single.groupBy("part").applyInArrow(_once_of, "context long, once array<long>")
-    every = F.sequence(F.lit(0).cast("long"), F.octet_length("bytes").cast("long") - LENGTH)
-    twice = contexts.join(once, "context", "left").select("context", F.when(F.col("weight") > 1, every).otherwise(F.array_except(every, F.coalesce("once", F.array().cast("array<bigint>")))).alias("t")).where(F.size("t") > 0)
-    first = F.filter("t", lambda x: ~F.array_contains("t", x - 1))
-    last = F.filter("t", lambda x: ~F.array_contains("t", x + 1))
-    runs = twice.select("context", F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), (b + LENGTH).alias("b"))).alias("runs"))
+    windows = contexts.select("id", "bytes").mapInArrow(_windows(parts, DIGEST_BITS), "part int, window array<long>, context array<long>, t array<long>")
+    claims = windows.groupBy("part").applyInArrow(_claimed(parts), _CLAIM)
+    runs = claims.groupBy("part").applyInArrow(_claim_runs, "context long, t long, like long, like_t long, n long")
+    own = contexts.select(F.col("id").alias("context"), "bytes")
+    other = contexts.select(F.col("id").alias("like"), F.col("bytes").alias("like_bytes"))
+    judged = cut(runs.join(own, "context").join(other, "like").mapInArrow(_confirmed, "id long, t long, n long, bytes binary"))
+    alone = judged.where("bytes IS NOT NULL").distinct()
+    met = alone.join(alone.groupBy("bytes").agg(F.count("*").alias("many")).where("many > 1").select("bytes"), "bytes").select("id", "t", "n")
+    every = F.octet_length("bytes").cast("long") - LENGTH + 1
+    whole = contexts.where("n > 1").select("id", F.lit(0).cast("long").alias("t"), every.alias("n"))
+    repeated = judged.where("bytes IS NULL").select("id", "t", "n").union(met).union(whole)
+    spans = F.collect_set(F.struct(F.col("t").alias("a"), (F.col("t") + F.col("n") - 1 + LENGTH).alias("b"))).alias("runs")
+    found = contexts.join(repeated.groupBy("id").agg(spans), "id").select(F.col("context").alias("_context"), F.col("bytes").alias("_bytes"), "runs")
     moved = F.flatten(F.transform("first", lambda f: F.transform("runs", lambda r: F.struct((r["a"] + f).alias("a"), (r["b"] + f).alias("b")))))
-    return hot.select("context", "doc_id", "tid", "first").join(runs, "context").select("doc_id", "tid", moved.alias("spans"))
+    return hot.join(found, (F.col("context") == F.col("_context")) & (F.col("run") == F.col("_bytes"))).select("doc_id", "tid", moved.alias("spans"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +503,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = cut(one.join(common, "gram").groupBy("doc_id", "tid").agg(F.collect_set(F.expr("CASE WHEN NOT is_hot THEN gram END")).alias("grams"), F.collect_set(F.expr("CASE WHEN is_hot THEN gram END")).alias("hot")))
     total = found.agg(F.sum(F.size("grams"))).first()[0] or 0
     parts = int(max(8, -(-total // PER_PART)))
-    runs = cut(keyed.join(found, ["doc_id", "tid"]).mapInArrow(_runs(parts), _RUN_SCHEMA))
+    runs = cut(keyed.join(found, ["doc_id", "tid"]).mapInArrow(_runs(parts, DIGEST_BITS), _RUN_SCHEMA))
     spans = runs.where("part >= 0").select("part", "run").repartition(parts, "part").groupBy("part").applyInArrow(_merge, "doc_id long, tid long, a long, b long")
     spans = spans.select("doc_id", "tid", F.array(F.struct("a", "b")).alias("spans")).union(_hot_spans(runs.where("part < 0")))
     return spans.groupBy("doc_id", "tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
