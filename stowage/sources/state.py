@@ -27,7 +27,10 @@ TABLES = {
     "pull_batch_attempts": "attempt bigint, aggregate_idx bigint, batch bigint, piece_cids array<string>, started timestamp, result string",
     "grants": "grant string, permission string, expires bigint",
 }
-#: What one of these columns identifies in its table.
+#: What a run of rounds keeps beside them.
+OWN = {"rounds": "round bigint, marked bigint, committed bigint, failed bigint, bytes bigint"}
+_COLUMNS = TABLES | OWN
+#: The columns that identify a row.
 KEYS = {"pieces": ["cid"], "aggregates": ["idx"], "aggregate_members": ["aggregate_idx", "segment_index"], "sub_pieces": ["sub_piece_cid"], "sub_piece_members": ["sub_piece_cid", "member_cid"], "pull_batch_attempts": ["attempt"], "grants": ["grant", "permission"]}
 SHOWN = 5
 
@@ -59,14 +62,14 @@ class State:
         if not version:
             return {}
         rows = self.spark.read.schema("name string, place int, part string").parquet(f"{self.path}/v-{version:012d}/refs").orderBy("name", "place").collect()
-        return {name: [r["part"] for r in rows if r["name"] == name] for name in TABLES}
+        return {name: [r["part"] for r in rows if r["name"] == name] for name in _COLUMNS}
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table as of a version, the last one if none is named; without rows where nothing was ever published."""
         parts = self._parts(self.version() if version is None else version).get(name, [])
         if not parts:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[f"{self.path}/{p}" for p in parts])
+            return self.spark.createDataFrame([], _COLUMNS[name])
+        return self.spark.read.schema(_COLUMNS[name]).parquet(*[f"{self.path}/{p}" for p in parts])
 
     def publish(self, expected: int, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None) -> int:
         """Tables replaced or rows appended as the version after `expected`, which must be the last one; returns its number.
@@ -109,7 +112,7 @@ class State:
 
 
 def _declared(name: str, df: DataFrame) -> DataFrame:
-    columns = [c.split(" ", 1) for c in TABLES[name].split(", ")]
+    columns = [c.split(" ", 1) for c in _COLUMNS[name].split(", ")]
     missing = [c for c, _ in columns if c not in df.columns]
     if missing:
         raise Refused(f"{name} lacks {', '.join(missing)}")
