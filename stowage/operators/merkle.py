@@ -171,24 +171,24 @@ def aggregate_roots(members: DataFrame) -> DataFrame:
     return sums.join(roots, "key").select("key", "root", "n_members", "raw_size", c.tree_height(F.col("raw_size")).alias("height"), c.padding(F.col("raw_size")).alias("padding"), F.transform("m", lambda x: x["id"]).alias("ids"))
 
 
-def _members(spark, d):
+def tree_members(spark, d):
     size = F.col("raw_size")
     return fx.aggregate_members(spark, d).join(fx.sub_pieces(spark, d), "sub_piece_cid").select(F.col("aggregate_idx").alias("key"), F.col("segment_index").alias("order"), c.tree_height(size).alias("height"), F.unhex(F.sha2(F.col("sub_piece_cid").cast("string").cast("binary"), 256)).alias("node"), "raw_size", F.col("sub_piece_cid").alias("id"))
 
 
-_LAID = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size, sub_piece_cid, {TOP_SQL} AS height FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)), t AS (SELECT key, sum(1::BIGINT << height)::BIGINT AS total, max(height) AS most, sum(raw_size) AS raw_size, count(*) AS n_members, list(sub_piece_cid ORDER BY height DESC, o) AS ids FROM m GROUP BY key),
+LAID_SQL = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size, sub_piece_cid, {TOP_SQL} AS height FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)), t AS (SELECT key, sum(1::BIGINT << height)::BIGINT AS total, max(height) AS most, sum(raw_size) AS raw_size, count(*) AS n_members, list(sub_piece_cid ORDER BY height DESC, o) AS ids FROM m GROUP BY key),
     laid AS (SELECT m.key, height, coalesce(sum(1::BIGINT << height) OVER (PARTITION BY m.key ORDER BY height DESC, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> height AS pos, sha256(sub_piece_cid::VARCHAR) AS node, CASE WHEN total = 1 THEN most ELSE greatest(most, length(bin(total - 1))) END AS top FROM m JOIN t USING (key)),
     {merkle_sql("laid", "key", 26)}"""
 
 
-@query("mk4_aggregate_roots", f"{_LAID} SELECT key, root, n_members, raw_size, {TOP_SQL} AS height, (32::BIGINT << ({TOP_SQL})) // 128 * 127 - raw_size AS padding, ids FROM t JOIN roots USING (key)")
+@query("mk4_aggregate_roots", f"{LAID_SQL} SELECT key, root, n_members, raw_size, {TOP_SQL} AS height, (32::BIGINT << ({TOP_SQL})) // 128 * 127 - raw_size AS padding, ids FROM t JOIN roots USING (key)")
 def mk4(spark, d):
-    return aggregate_roots(_members(spark, d))
+    return aggregate_roots(tree_members(spark, d))
 
 
 @query("mk4_aggregate_order", "m AS (SELECT aggregate_idx AS key, segment_index, raw_size, sub_piece_cid, CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT) - 5 AS h FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)) SELECT key, count(*) AS n_members, sum(raw_size) AS raw_size, list(sub_piece_cid ORDER BY h DESC, segment_index) AS ids FROM m GROUP BY key")
 def mk4b(spark, d):
-    return aggregate_roots(_members(spark, d)).select("key", "n_members", "raw_size", "ids")
+    return aggregate_roots(tree_members(spark, d)).select("key", "n_members", "raw_size", "ids")
 
 
 @query("mk3_merkle_root", f"n AS (SELECT source AS key, 0 AS height, row_number() OVER (PARTITION BY source ORDER BY object_id) - 1 AS pos, digest_hex AS node, CASE WHEN count(*) OVER (PARTITION BY source) = 1 THEN 0 ELSE length(bin(count(*) OVER (PARTITION BY source) - 1)) END AS top FROM objects), {merkle_sql('n', 'key', 24)} SELECT key, root FROM roots")
@@ -222,18 +222,18 @@ def replay_roots(members: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFr
     return same.select("key", "digest", "root").union(changed.join(again, "key").select("key", "digest", "root")), changed.select("key")
 
 
-@query("mk5_check_roots", f"{_LAID} SELECT key, key % 9 <> 0 AS ok, root FROM roots")
+@query("mk5_check_roots", f"{LAID_SQL} SELECT key, key % 9 <> 0 AS ok, root FROM roots")
 def mk5(spark, d):
     """Stored roots of which every ninth was altered, against those that the members give; SQL makes its own."""
-    m = _members(spark, d)
+    m = tree_members(spark, d)
     stored = cut(aggregate_roots(m).select("key", F.when(F.col("key") % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root")))
     return check_roots(stored, m)
 
 
-@query("mk5_replay_changed", f"{_LAID} SELECT key, root, key % 5 = 0 OR key % 7 = 0 AS computed FROM roots")
+@query("mk5_replay_changed", f"{LAID_SQL} SELECT key, root, key % 5 = 0 OR key % 7 = 0 AS computed FROM roots")
 def mk5_replay(spark, d):
     """Roots kept from before for all but some new aggregates; of those kept, some have other members now."""
-    m = _members(spark, d)
+    m = tree_members(spark, d)
     k = F.col("key")
     before = m.where(k % 5 != 0).withColumn("node", F.when(k % 7 == 0, F.unhex(F.lit("ab" * 32))).otherwise(F.col("node")))
     kept = cut(member_digests(before).join(aggregate_roots(before).select("key", "root"), "key"))

@@ -11,9 +11,11 @@ from .. import fixtures as fx
 from ..functions import columns as c
 from ..operators import aggregations as ag
 from ..operators import joins as jn
+from ..operators import merkle as mk
 from ..operators.rows import proof_health
-from ..operators.windows import admit
+from ..operators.windows import admit, nested_sample
 from ..registry import query
+from .primitives import cut
 
 
 def ledger_report(aggs: DataFrame, ledger: DataFrame, members: DataFrame, sub_members: DataFrame, pieces: DataFrame, proof: DataFrame) -> DataFrame:
@@ -57,6 +59,44 @@ def job3_verdict(spark, d):
     return out.select("committed", "pending_not_committed", "unaccounted", "failed", "oversized", "unaccounted_on_ledger", "committed_not_on_ledger", "on_ledger_not_committed", "discrepancies", "last_proven", "proven_since_add", "complete", "severity")
 
 
+def audit(members: DataFrame, stored: DataFrame, kept: DataFrame, assets: DataFrame, probes: DataFrame, n: float) -> DataFrame:
+    """(idx, root_ok, replayed, n_sampled, n_announced, first_reason) of the aggregates of assets: whether the stored root (key, root) is that of the members, whether it had to be computed, and of a nested sample of n source ids those whose providers announce them.
+
+    members are trees (key, order, height, node, raw_size, id); kept (key,
+    digest, root) are an earlier audit's roots, which stand where the members
+    haven't changed. assets are (aggregate_idx, member_cid, place), probes
+    (member_cid, providers, reason).
+    """
+    roots, computed = mk.replay_roots(members, kept)
+    now = roots.select("key", F.col("root").alias("now")).join(computed.withColumn("replayed", F.lit(True)), "key", "left")
+    checked = stored.join(now, "key", "left").select(F.col("key").alias("idx"), F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("root_ok"), F.coalesce("replayed", F.lit(False)).alias("replayed"))
+    population = assets.agg(F.countDistinct("member_cid")).first()[0]
+    sample = nested_sample(assets, ["aggregate_idx", "place"], population, n).withColumnRenamed("idx", "_at").join(probes, "member_cid", "left")
+    announced = F.coalesce(F.col("providers") > 0, F.lit(False))
+    counts = sample.groupBy(F.col("aggregate_idx").alias("idx")).agg(F.count("*").alias("n_sampled"), F.count_if(announced).alias("n_announced"), F.min_by(F.coalesce("reason", F.lit("not probed")), F.when(~announced, F.col("_at"))).alias("first_reason"))
+    held = assets.select(F.col("aggregate_idx").alias("idx")).distinct()
+    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return held.join(checked, "idx").join(counts, "idx", "left").select("idx", "root_ok", "replayed", zero("n_sampled"), zero("n_announced"), "first_reason")
+
+
+@query("job3_audit", f"""{mk.LAID_SQL}, wo AS (SELECT aggregate_idx, member_cid, row_number() OVER (ORDER BY aggregate_idx, segment_index, member_sort_order) - 1 AS i FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid) WHERE aggregate_idx IN (SELECT root FROM ledger)), wp AS (SELECT count(DISTINCT member_cid) AS n FROM wo),
+    ws AS (SELECT wo.* FROM wo JOIN (SELECT CAST(floor(j * (wp.n::DOUBLE / least(40, wp.n))) AS BIGINT) AS i FROM wp, (SELECT unnest(range(40)) AS j) WHERE j < least(40, wp.n)) AS r USING (i)),
+    wc AS (SELECT aggregate_idx AS idx, count(*) AS n_sampled, count(*) FILTER (member_cid % 4 > 0 AND member_cid % 5 > 0) AS n_announced, arg_min(CASE WHEN member_cid % 5 = 0 THEN 'not probed' ELSE 'none found for ' || member_cid END, i) FILTER (member_cid % 4 = 0 OR member_cid % 5 = 0) AS first_reason FROM ws GROUP BY 1)
+    SELECT key AS idx, key % 9 <> 0 AS root_ok, key % 5 = 0 OR key % 7 = 0 AS replayed, coalesce(n_sampled, 0) AS n_sampled, coalesce(n_announced, 0) AS n_announced, first_reason FROM roots LEFT JOIN wc ON key = idx WHERE key IN (SELECT aggregate_idx FROM wo)""")
+def job3_audit(spark, d):
+    """The part of a report that replays roots and samples source ids: aggregates on the ledger, with roots of an earlier audit of which some are new or changed."""
+    m = mk.tree_members(spark, d)
+    k = F.col("key")
+    before = m.where(k % 5 != 0).withColumn("node", F.when(k % 7 == 0, F.unhex(F.lit("ab" * 32))).otherwise(F.col("node")))
+    kept = cut(mk.member_digests(before).join(mk.aggregate_roots(before).select("key", "root"), "key"))
+    stored = cut(mk.aggregate_roots(m).select("key", F.when(k % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root")))
+    on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
+    assets = cut(jn.aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d)))
+    cid = F.col("s_suppkey")
+    probes = fx.read(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(cid.alias("member_cid"), (cid % 4).alias("providers"), F.concat(F.lit("none found for "), cid.cast("string")).alias("reason"))
+    return audit(m, stored, kept, assets, probes, 40.5)
+
+
 def source_report(attempts: DataFrame, free_bytes: int | None, in_flight: int) -> DataFrame:
     """Per source: probes, success, median latency, ids that it gave alike or not, and the cache mode that its failures call for."""
     same = ag.determinism(attempts).groupBy("source").agg(F.count_if("deterministic").alias("n_alike"), F.count_if(~F.col("deterministic")).alias("n_varying"))
@@ -110,10 +150,8 @@ def job7_flow(spark, d):
 
 def verify_contexts(prepared: DataFrame, active: DataFrame) -> DataFrame:
     """Per ctx of prepared and active (ctx, piece): found, missing and unrecognized pieces, and those missing that another context's active pieces settle."""
-    name = F.to_json(F.struct("ctx", "piece")).alias("key")
-    verdicts = jn.verify_set(prepared.select(name), active.select(name))
-    at = F.from_json("key", "ctx long, piece string")
-    each = verdicts.select(at["ctx"].alias("ctx"), at["piece"].alias("piece"), "verdict")
+    key = F.struct("ctx", "piece").alias("key")
+    each = jn.verify_set(prepared.select(key), active.select(key)).select("key.ctx", "key.piece", "verdict")
     settled = jn.settle_deferred(each.where("verdict = 'missing'"), active.select("piece")).where("settled")
     counts = each.groupBy("ctx").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("found", "missing", "unrecognized")])
     return counts.join(settled.groupBy("ctx").agg(F.count("*").alias("settled")), "ctx", "left").withColumn("settled", F.coalesce("settled", F.lit(0)))
