@@ -16,7 +16,7 @@ UNITS = {"": 0, "b": 0, "k": 10, "kib": 10, "m": 20, "mib": 20, "g": 30, "gib":
 KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 FEE_FLOOR, MAX_FEE = 100, 200_000
 GRANT_MARGIN_S = 3600
-PROBE_FAILURES, HEADROOM = 0.05, 10 * GIB
+PROBE_FAILURES, HEADROOM, SLOW_MS = 0.05, 10 * GIB, 500
 
 
 def _first(*rules: tuple[Column, str], otherwise) -> Column:
@@ -113,6 +113,23 @@ def profile_name(assets: Column, total_bytes: Column, free_bytes: Column, mbit:
     )
 
 
+def match_profile(assets: Column, total_bytes: Column, free_bytes: Column, mbit: Column) -> Column:
+    """struct(name, reasons, knobs) of the first profile whose limits hold; knobs are what a job of that kind is run with."""
+    name = profile_name(assets, total_bytes, free_bytes, mbit)
+    size = F.when(total_bytes.isNull(), "size unknown, treated as small").otherwise(F.concat(F.lit("estimated "), F.format_string("%.1f", total_bytes / GIB), F.lit(" GiB")))
+    reasons = (
+        F.when(name == "Laptop tester", F.array(F.lit("at most 1000 ids"), size))
+        .when(name == "Bandwidth-bound migrator", F.array(F.concat(F.lit("upload of "), F.format_string("%.0f", mbit), F.lit(" Mbit/s is below 50"))))
+        .when(name == "Production migrator", F.array(F.concat(assets.cast("string"), F.lit(" ids are at least 100000")), F.concat(F.lit("free space of "), F.format_string("%.0f", free_bytes / GIB), F.lit(" GiB is at least 128"))))
+        .otherwise(F.array(F.lit("no other profile fits")))
+    )
+    knobs = F.struct(
+        in_flight_of(name).alias("max_in_flight"), F.lit("32GiB").alias("piece_size"), F.lit(32).alias("pull_batch"),
+        F.when(name == "Laptop tester", "cloudflared").otherwise("funnel").alias("ingress"), F.lit("recommended").alias("car_store"),
+    )
+    return F.struct(name.alias("name"), reasons.alias("reasons"), knobs.alias("knobs"))
+
+
 def in_flight_of(profile: Column) -> Column:
     return F.when(profile == "Production migrator", 4).otherwise(1)
 
@@ -123,8 +140,25 @@ def cache_mode(in_flight: Column, free_bytes: Column, failure_rate: Column) -> C
 
 
 def cache_warnings(in_flight: Column, free_bytes: Column, failure_rate: Column) -> Column:
+    """Why the cache mode is what it is; empty where it is as the profile has it and the free space is known."""
     mode = cache_mode(in_flight, free_bytes, failure_rate)
-    return F.array_compact(F.array(F.when(mode == "required", "failure rate too high; cached path required"), F.when((mode != "required") & free_bytes.isNull(), "free space unknown"), F.when(mode == "stream-only", "free space below what is required")))
+    need = in_flight.cast("long") * 32 + HEADROOM // GIB
+    percent = F.format_string("%.0f", F.floor(failure_rate * 100 + 0.5).cast("double"))
+    return F.array_compact(F.array(
+        F.when(mode == "required", F.concat(F.lit("failure rate of "), percent, F.lit(f"% is above {round(PROBE_FAILURES * 100)}%: the cached path is required"))),
+        F.when((mode != "required") & free_bytes.isNull(), "free space is unknown"),
+        F.when(mode == "stream-only", F.concat(F.lit("free space of "), F.format_string("%.0f", free_bytes / GIB), F.lit(" GiB is below the "), need.cast("string"), F.lit(" GiB for "), in_flight.cast("string"), F.lit(" in flight"))),
+    ))
+
+
+def source_warnings(probes: Column, deterministic: Column, p50_ms: Column, mbit: Column) -> Column:
+    """What an analysis warns of beside the cache: answers that vary, slow ones, and an upload that wasn't measured."""
+    varying = probes - F.floor(deterministic * probes + 0.5)
+    return F.array_compact(F.array(
+        F.when((deterministic < 1) & (probes > 0), F.concat(F.lit("answers varied on "), varying.cast("string"), F.lit(" of "), probes.cast("string"), F.lit(" probes"))),
+        F.when(p50_ms > SLOW_MS, F.concat(F.lit("median latency of "), p50_ms.cast("string"), F.lit(f" ms is above {SLOW_MS}"))),
+        F.when(mbit.isNull(), "upload wasn't measured"),
+    ))
 
 
 def padded_size(raw: Column) -> Column:

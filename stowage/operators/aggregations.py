@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import columns as c
 from ..registry import query
 from .joins import reconcile
 
@@ -193,6 +194,31 @@ def ag17(spark, d):
     return p.agg(F.count_if(done).alias("done"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(done & F.col("url").isNull()).alias("unservable"), F.coalesce(F.sum(F.when(done, F.col("raw_size"))), F.lit(0)).alias("bytes"))
 
 
+def import_summary(plan: DataFrame) -> DataFrame:
+    """Of an import's plan (cid, plan): rows, those to record, those recorded already, and conflicts."""
+    return plan.agg(F.count("*").alias("total"), F.count_if(F.col("plan").isin("new", "upgrade")).alias("imported"), F.count_if(F.col("plan") == "recorded").alias("recorded"), F.count_if(F.col("plan") == "conflict").alias("conflicts"))
+
+
+def pack_summary(members: DataFrame) -> DataFrame:
+    """Of packed members (group, bin, sound): bins, those built, those that failed, and the members of the latter."""
+    bins = members.groupBy("group", "bin").agg(F.bool_and("sound").alias("sound"), F.count("*").alias("n"))
+    return bins.agg(F.count("*").alias("bins"), F.count_if("sound").alias("built"), F.count_if(~F.col("sound")).alias("failed"), F.coalesce(F.sum(F.when(~F.col("sound"), F.col("n"))), F.lit(0)).alias("failed_members"))
+
+
+def probed_quality(probes: DataFrame) -> DataFrame:
+    """source_quality with deterministic: the share of probes that worked and whose id and source gave one digest throughout."""
+    alike = determinism(probes).where("deterministic").select("id", "source", F.lit(True).alias("alike"))
+    rate = probes.join(alike, ["id", "source"], "left").groupBy("source").agg(F.avg(F.coalesce(F.col("ok") & F.col("alike"), F.lit(False)).cast("int")).alias("deterministic"))
+    return source_quality(probes).join(rate, "source")
+
+
+@query("ag8_deterministic_rate", f"""g AS (SELECT id, source FROM attempts WHERE ok GROUP BY 1, 2 HAVING count(DISTINCT digest) = 1), q AS (SELECT source, count(*) AS probes, avg(CAST(ok AS INT)) AS success, {_pct(0.5, 'source', 'latency_ms')} AS p50, avg(CAST(ok AND (id, source) IN (SELECT (id, source) FROM g) AS INT)) AS deterministic FROM attempts GROUP BY source)
+    SELECT *, list_filter([CASE WHEN deterministic < 1 THEN 'answers varied on ' || (probes - CAST(floor(deterministic * probes + 0.5) AS BIGINT)) || ' of ' || probes || ' probes' END, CASE WHEN p50 > 500 THEN 'median latency of ' || p50 || ' ms is above 500' END, 'upload wasn''t measured'], lambda t: t IS NOT NULL) AS warnings FROM q""")
+def ag8_deterministic(spark, d):
+    q = probed_quality(fx.attempts(spark, d))
+    return q.withColumn("warnings", c.source_warnings(F.col("probes"), F.col("deterministic"), F.col("p50"), F.lit(None).cast("double")))
+
+
 def first_success(attempts: DataFrame) -> DataFrame:
     """(id, ok, source, category): the first source by rank that worked, else the first category other than "other"."""
     order = F.struct("rank", "event_id")

@@ -215,6 +215,22 @@ def set4(spark, d):
     return manifest_problems(header, manifest_fixture(spark, d))
 
 
+def pull_problem(relay: Column, url: Column, piece: Column) -> Column:
+    """Why a sub-piece can't be pulled through the relay: no URL, none that parses, or one whose id isn't canonical; null where it can, or where there is no relay."""
+    own = F.regexp_extract(F.coalesce(url, F.lit("")), r"^https?://[^/?#]+(?:/ipfs/)?([^?#]*)", 1)
+    plain = c.pull_source_error(relay, url, piece)
+    relayed = F.coalesce(relay, F.lit("")) != ""
+    return F.coalesce(plain, F.when(relayed & ~is_canonical(F.when(relayed & plain.isNull(), own)), F.concat(F.lit("source id "), own, F.lit(" is not canonical"))))
+
+
+@query("fn4_pull_problem", f"""p AS (SELECT k, cid, url, CASE WHEN k % 3 = 0 THEN {fx.base32_sql("'01551220' || r.cid[10:]", 58)} ELSE cid END AS spelled FROM pieces AS r) SELECT cid, CASE WHEN url IS NULL THEN 'sub-piece ' || k || ' has no gateway URL' WHEN k % 3 <> 0 THEN 'source id ' || spelled || ' is not canonical' END AS problem FROM p""")
+def fn4_problem(spark, d):
+    k = F.col("k")
+    spelled = F.when(k % 3 == 0, canonical_id(F.col("cid"))).otherwise(F.col("cid"))
+    url = F.when(F.col("url").isNotNull(), F.concat(F.lit("https://g.example/ipfs/"), spelled, F.lit("?format=car")))
+    return fx.pieces(spark, d).select("cid", pull_problem(F.lit("https://relay"), url, k.cast("string")).alias("problem"))
+
+
 MOST_PATH, SMALL_HOSTS = 512, 10_000
 
 

@@ -191,21 +191,22 @@ def import_plan(manifest: DataFrame, state: DataFrame, sub_pieces: DataFrame) ->
 
 
 #: A manifest that differs from the state in commitments, sizes and statuses, and of whose new commitments some are sub-pieces.
-_IMPORT = """m AS (SELECT cid, k, piece_cid || CASE WHEN k % 20 = 4 THEN 'x' ELSE '' END AS piece_cid, raw_size + CASE WHEN k % 14 = 8 THEN 1 ELSE 0 END AS raw_size FROM pieces), s AS (SELECT cid, piece_cid, raw_size, status FROM pieces WHERE k % 2 = 0),
+IMPORT_SQL = """m AS (SELECT cid, k, piece_cid || CASE WHEN k % 20 = 4 THEN 'x' ELSE '' END AS piece_cid, raw_size + CASE WHEN k % 14 = 8 THEN 1 ELSE 0 END AS raw_size FROM pieces), s AS (SELECT cid, piece_cid, raw_size, status FROM pieces WHERE k % 2 = 0),
     u AS (SELECT piece_cid FROM pieces WHERE k % 9 = 5)"""
 
 
-def _import(spark, d):
+def import_fixture(spark, d):
     p = fx.pieces(spark, d)
     k = F.col("k")
     manifest = p.select("cid", F.when(k % 20 == 4, F.concat("piece_cid", F.lit("x"))).otherwise(F.col("piece_cid")).alias("piece_cid"), (F.col("raw_size") + (k % 14 == 8).cast("long")).alias("raw_size"))
     return manifest, p.where("k % 2 = 0").select("cid", "piece_cid", "raw_size", "status", "failure_category"), p.where("k % 9 = 5").select(F.col("piece_cid").alias("sub_piece_cid"))
 
 
-@query("jn15_import_plan", f"""{_IMPORT} SELECT m.cid, CASE WHEN s.cid IS NULL THEN CASE WHEN m.piece_cid IN (SELECT piece_cid FROM u) THEN 'conflict' ELSE 'new' END WHEN s.status IN ('done', 'oversized') THEN CASE WHEN s.piece_cid = m.piece_cid AND s.raw_size = m.raw_size THEN 'recorded' ELSE 'conflict' END ELSE 'upgrade' END AS plan,
-    CASE WHEN plan = 'conflict' THEN CASE WHEN s.cid IS NULL THEN m.piece_cid || ' is a sub-piece of another source' ELSE 'recorded as ' || s.piece_cid || ' (' || s.raw_size || ' bytes), the manifest says ' || m.piece_cid || ' (' || m.raw_size || ' bytes)' END END AS reason FROM m LEFT JOIN s ON m.cid = s.cid""")
+@query("jn15_import_plan", f"""{IMPORT_SQL}, j AS (SELECT m.*, s.cid AS known, s.piece_cid AS old, s.raw_size AS old_size, s.status, m.piece_cid IN (SELECT piece_cid FROM u) AS taken FROM m LEFT JOIN s ON m.cid = s.cid),
+    p AS (SELECT *, CASE WHEN known IS NULL THEN CASE WHEN taken THEN 'conflict' ELSE 'new' END WHEN status IN ('done', 'oversized') THEN CASE WHEN old = piece_cid AND old_size = raw_size THEN 'recorded' ELSE 'conflict' END ELSE 'upgrade' END AS plan FROM j)
+    SELECT cid, plan, CASE WHEN plan = 'conflict' THEN CASE WHEN known IS NULL THEN piece_cid || ' is a sub-piece of another source' ELSE 'recorded as ' || old || ' (' || old_size || ' bytes), the manifest says ' || piece_cid || ' (' || raw_size || ' bytes)' END END AS reason FROM p""")
 def jn15(spark, d):
-    return import_plan(*_import(spark, d))
+    return import_plan(*import_fixture(spark, d))
 
 
 def apply_import(manifest: DataFrame, state: DataFrame, sub_pieces: DataFrame, gateway: str) -> DataFrame:
@@ -229,10 +230,10 @@ def jn16(spark, d):
     return apply_import(p.select("cid", "piece_cid", "raw_size"), state, p.limit(0).select(F.col("piece_cid").alias("sub_piece_cid")), "https://g.example").select("cid", "piece_cid", "raw_size", "status", "failure_category", "url")
 
 
-@query("jn16_import_refused", f"{_IMPORT} SELECT cid, piece_cid, raw_size, status, NULL::VARCHAR AS url FROM s")
+@query("jn16_import_refused", f"{IMPORT_SQL} SELECT cid, piece_cid, raw_size, status, NULL::VARCHAR AS url FROM s")
 def jn16_refused(spark, d):
     """Conflicts among the rows: nothing changes."""
-    return apply_import(*_import(spark, d), "https://g.example").select("cid", "piece_cid", "raw_size", "status", "url")
+    return apply_import(*import_fixture(spark, d), "https://g.example").select("cid", "piece_cid", "raw_size", "status", "url")
 
 
 def prune_results(inputs: DataFrame, saved: DataFrame) -> tuple[DataFrame, DataFrame]:

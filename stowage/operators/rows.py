@@ -155,6 +155,23 @@ def row17(spark, d):
     return j.select("source", c.cache_mode(F.col("f"), F.col("free"), F.col("rate")).alias("mode"), F.size(c.cache_warnings(F.col("f"), F.col("free"), F.col("rate"))).alias("n_warnings"))
 
 
+_KNOBS = "{'max_in_flight': CASE WHEN name = 'Production migrator' THEN 4 ELSE 1 END, 'piece_size': '32GiB', 'pull_batch': 32, 'ingress': CASE WHEN name = 'Laptop tester' THEN 'cloudflared' ELSE 'funnel' END, 'car_store': 'recommended'}"
+
+
+@query("row16_profile_reasons", f"""{_J}, x AS (SELECT *, {_PROFILE} AS name FROM w), y AS (SELECT *, {_KNOBS} AS knobs FROM x) SELECT source, name, CASE name WHEN 'Laptop tester' THEN ['at most 1000 ids', 'estimated ' || printf('%.1f', b / 1073741824) || ' GiB'] WHEN 'Bandwidth-bound migrator' THEN ['upload of ' || printf('%.0f', mbit) || ' Mbit/s is below 50']
+    WHEN 'Production migrator' THEN [n || ' ids are at least 100000', 'free space of ' || printf('%.0f', free / 1073741824) || ' GiB is at least 128'] ELSE ['no other profile fits'] END AS reasons, knobs.max_in_flight AS max_in_flight, knobs.ingress AS ingress, knobs.car_store AS car_store FROM y""")
+def row16_reasons(spark, d):
+    found = _jobs(spark, d).select("source", c.match_profile(F.col("n"), F.col("b"), F.col("free"), F.col("mbit")).alias("p"))
+    return found.select("source", "p.name", "p.reasons", "p.knobs.max_in_flight", "p.knobs.ingress", "p.knobs.car_store")
+
+
+@query("row17_cache_warnings", f"""{_J}, p AS (SELECT *, CASE WHEN {_PROFILE} = 'Production migrator' THEN 4 ELSE 1 END AS f FROM w), q AS (SELECT *, (f * 32 + 10)::BIGINT AS need FROM p) SELECT source, CASE WHEN rate > 0.05 THEN ['failure rate of ' || printf('%.0f', floor(rate * 100 + 0.5)) || '% is above 5%: the cached path is required'] WHEN free IS NULL THEN ['free space is unknown']
+    WHEN free < need * 1073741824 THEN ['free space of ' || printf('%.0f', free / 1073741824) || ' GiB is below the ' || need || ' GiB for ' || f || ' in flight'] ELSE [] END AS warnings FROM q""")
+def row17_warnings(spark, d):
+    j = _jobs(spark, d).withColumn("f", c.in_flight_of(c.profile_name(F.col("n"), F.col("b"), F.col("free"), F.col("mbit"))))
+    return j.select("source", c.cache_warnings(F.col("f"), F.col("free"), F.col("rate")).alias("warnings"))
+
+
 def funding_ready(df: DataFrame) -> DataFrame:
     return df.withColumn("ready", F.col("approved") & (F.col("available") > 0))
 

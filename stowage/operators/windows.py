@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as c
-from ..plans.primitives import cut, global_prefix
+from ..plans.primitives import cut, global_prefix, places_within
 from ..registry import query
 from .joins import aggregate_assets
 
@@ -136,8 +136,9 @@ def wn7(spark, d):
 
 
 def canonical_order(df: DataFrame, key: str, group: str) -> DataFrame:
-    """place of each row in bytewise order of its id."""
-    return df.withColumn("place", (F.row_number().over(Window.partitionBy(group).orderBy(F.unhex(key), "object_id")) - 1).cast("long"))
+    """place of each row in bytewise order of its id within its group; a group with most of the rows is many tasks."""
+    placed = places_within(df.withColumn("_bytes", F.unhex(key)), [group], ["_bytes", "object_id"])
+    return placed.drop("_bytes")
 
 
 @query("wn8_canonical_order", "SELECT object_id, row_number() OVER (PARTITION BY source ORDER BY digest_hex, object_id) - 1 AS place FROM objects")

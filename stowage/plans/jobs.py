@@ -66,6 +66,29 @@ def src5(spark, d):
     return doc.select(F.get_json_object("document", "$.counts.total").cast("long").alias("total"), F.get_json_object("document", "$.aggregates.committed").cast("long").alias("committed"), F.size(F.from_json(F.get_json_object("document", "$.failures"), "array<struct<cid:string>>")).cast("long").alias("failures"))
 
 
+_PAIRS = "'{{' || coalesce((SELECT string_agg('\"' || k || '\":' || n, ',' ORDER BY k) FROM ({})), '') || '}}'"
+
+
+@query("src5_status_text", f"""SELECT '{{"schemaVersion":1,"counts":{{"pending":' || count(*) FILTER (status = 'pending') || ',"processing":' || count(*) FILTER (status = 'processing') || ',"done":' || count(*) FILTER (status = 'done') || ',"failed":' || count(*) FILTER (status = 'failed') || ',"oversized":' || count(*) FILTER (status = 'oversized') || ',"total":' || count(*) || '}},"failuresByCategory":'
+    || {_PAIRS.format("SELECT coalesce(failure_category, 'other') AS k, count(*) AS n FROM pieces WHERE status = 'failed' GROUP BY 1")} || ',"aggregates":' || {_PAIRS.format("SELECT status AS k, count(*) AS n FROM aggregates GROUP BY 1")}
+    || ',"failures":[' || coalesce((SELECT string_agg('{{"cid":"' || cid || '"' || coalesce(',"failure_category":"' || failure_category || '"', '') || '}}', ',' ORDER BY cid) FROM (SELECT * FROM pieces WHERE status = 'failed' ORDER BY cid LIMIT 50)), '') || ']}}' AS document FROM pieces""")
+def src5_text(spark, d):
+    """The status document itself."""
+    return status_document(fx.pieces(spark, d), fx.aggregates(spark, d))
+
+
+@query("ag17_import_summary", f"{jn.IMPORT_SQL}, r AS (SELECT s.cid IS NULL AS fresh, m.piece_cid IN (SELECT piece_cid FROM u) AS taken, s.status IN ('done', 'oversized') AS rec, s.piece_cid = m.piece_cid AND s.raw_size = m.raw_size AS same FROM m LEFT JOIN s ON m.cid = s.cid) SELECT count(*) AS total, count(*) FILTER (CASE WHEN fresh THEN NOT taken ELSE NOT rec END) AS imported, count(*) FILTER (NOT fresh AND rec AND same) AS recorded, count(*) FILTER (CASE WHEN fresh THEN taken ELSE rec AND NOT same END) AS conflicts FROM r")
+def ag17_import(spark, d):
+    return ag.import_summary(jn.import_plan(*jn.import_fixture(spark, d)))
+
+
+@query("ag17_pack_summary", packing.ASSEMBLED + ", h AS (SELECT \"group\", bin, bool_and(id % 40 <> 7) AS sound, count(*) AS n FROM asm GROUP BY 1, 2) SELECT count(*) AS bins, count(*) FILTER (sound) AS built, count(*) FILTER (NOT sound) AS failed, coalesce(sum(n) FILTER (NOT sound), 0) AS failed_members FROM h")
+def ag17_pack(spark, d):
+    o = fx.objects(spark, d)
+    bins = pack_ffd(o, 20000, "source").select(F.col("source").alias("group"), "bin", F.col("object_id").alias("id"))
+    return ag.pack_summary(bins.withColumn("sound", F.col("id") % 40 != 7))
+
+
 @query("job5_status", "SELECT status, count(*) AS n, sum(raw_size) AS bytes FROM pieces GROUP BY status")
 def job5(spark, d):
     return fx.pieces(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.sum("raw_size").alias("bytes"))
