@@ -54,10 +54,27 @@ def jn4(spark, d):
     return locked_members(fx.aggregates(spark, d), fx.aggregate_members(spark, d), fx.sub_piece_members(spark, d))
 
 
+def numbered_members(sub_members: DataFrame) -> DataFrame:
+    """(sub_piece_cid, nth, member_cid): source ids of each sub-piece, 0-based in member order."""
+    w = Window.partitionBy("sub_piece_cid").orderBy("member_sort_order", "member_cid")
+    return sub_members.select("sub_piece_cid", (F.row_number().over(w) - 1).cast("long").alias("nth"), "member_cid")
+
+
+def sized_segments(members: DataFrame, sub_members: DataFrame) -> DataFrame:
+    """(aggregate_idx, segment_index, sub_piece_cid, n): segments of members with the number of their source ids, without those that have none."""
+    sizes = sub_members.groupBy("sub_piece_cid").agg(F.count("*").alias("n"))
+    return members.select("aggregate_idx", "segment_index", "sub_piece_cid").join(sizes, "sub_piece_cid").select("aggregate_idx", "segment_index", "sub_piece_cid", "n")
+
+
 def aggregate_assets(members: DataFrame, sub_members: DataFrame) -> DataFrame:
-    """(aggregate_idx, place, member_cid): source ids in segment order, then member order."""
-    w = Window.partitionBy("aggregate_idx").orderBy("segment_index", "member_sort_order")
-    return members.join(sub_members, "sub_piece_cid").select("aggregate_idx", (F.row_number().over(w) - 1).cast("long").alias("place"), "member_cid")
+    """(aggregate_idx, place, member_cid): source ids in segment order, then member order.
+
+    A segment's first place is the sum of the sizes before it, so only segments
+    travel by aggregate; they are spelled out in the last join.
+    """
+    w = Window.partitionBy("aggregate_idx").orderBy("segment_index", "sub_piece_cid").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sized_segments(members, sub_members).select("aggregate_idx", "sub_piece_cid", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"))
+    return begun.join(numbered_members(sub_members), "sub_piece_cid").select("aggregate_idx", (F.col("first") + F.col("nth")).alias("place"), "member_cid")
 
 
 @query("jn5_aggregate_assets", "SELECT aggregate_idx, row_number() OVER (PARTITION BY aggregate_idx ORDER BY segment_index, member_sort_order) - 1 AS place, member_cid FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid)")
