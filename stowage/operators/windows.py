@@ -9,7 +9,7 @@ from .. import fixtures as fx
 from ..functions import columns as c
 from ..plans.primitives import cut, global_prefix, places_within
 from ..registry import query
-from .joins import aggregate_assets
+from .joins import numbered_members, sized_segments
 
 
 def stride_sample(df: DataFrame, order: list, n: int) -> DataFrame:
@@ -25,18 +25,56 @@ def wn1(spark, d):
     return stride_sample(fx.objects(spark, d).select("object_id"), ["object_id"], 37)
 
 
-def nested_sample(rows: DataFrame, order: list, population: int, n: float) -> DataFrame:
-    """Rows at floor(i * population / n) of the walk over all memberships, i in 0..n-1, by a step that is a fraction; n is cut to a whole number.
+def walk(members: DataFrame, sub_members: DataFrame) -> DataFrame:
+    """(aggregate_idx, segment_index, sub_piece_cid, n, before): each segment with the places [before, before + n) that its source ids have in the walk over all memberships, which itself isn't spelled out."""
+    return global_prefix(sized_segments(members, sub_members), ["aggregate_idx", "segment_index"], F.col("n")).drop("idx")
+
+
+def _at_places(hit: DataFrame, sub_members: DataFrame) -> DataFrame:
+    """hit (aggregate_idx, sub_piece_cid, before, idx) with the source id at each place: (aggregate_idx, member_cid, idx)."""
+    of = cut(hit.select("aggregate_idx", "sub_piece_cid", (F.col("idx") - F.col("before")).alias("nth"), "idx"))
+    some = sub_members.join(of.select("sub_piece_cid").distinct(), "sub_piece_cid", "left_semi")
+    return numbered_members(some).join(of, ["sub_piece_cid", "nth"]).select("aggregate_idx", "member_cid", "idx")
+
+
+def _multiples(i0, i1, place, count: int):
+    """Places of the multiples i0 to i1 that lie in a segment; bounds may be one too wide."""
+    each = F.transform(F.sequence(F.greatest(i0.cast("long"), F.lit(0)), F.greatest(F.least(i1.cast("long"), F.lit(count - 1).cast("long")), F.greatest(i0.cast("long"), F.lit(0)))), place)
+    return F.filter(each, lambda x: (x >= F.col("before")) & (x < F.col("before") + F.col("n")))
+
+
+def nested_sample(segments: DataFrame, sub_members: DataFrame, population: int, n: float) -> DataFrame:
+    """(aggregate_idx, member_cid, idx) at floor(i * population / n) of the walk over all memberships, i in 0..n-1, by a step that is a fraction; n is cut to a whole number.
 
     population counts distinct members, so where one belongs to several
     aggregates the walk ends before the last of them. All of the population is
-    taken if n isn't less. Targets meet the walk's places in one equi-join.
+    taken if n isn't less. Each segment of the walk (as walk gives them) finds
+    the multiples that fall on it, so neither the walk nor the targets travel.
     """
     whole = n != n or n in (float("inf"), float("-inf")) or n >= population
     count = population if whole else max(0, int(n))
-    step = population / count if count else 0.0
-    targets = rows.sparkSession.range(count).select(F.floor(F.col("id") * F.lit(step)).cast("long").alias("idx"))
-    return global_prefix(rows, order).drop("before").join(targets, "idx")
+    if not count:
+        return _at_places(segments.where("false").withColumn("idx", F.col("before")), sub_members)
+    step = population / count
+    at = lambda i: F.floor(i * F.lit(step)).cast("long")
+    places = _multiples(F.floor(F.col("before") / step) - 1, F.ceil((F.col("before") + F.col("n")) / step) + 1, at, count)
+    return _at_places(segments.where(F.col("before") <= F.lit(population)).withColumn("idx", F.explode(places)), sub_members)
+
+
+def n_members(segments: DataFrame, sub_members: DataFrame) -> int:
+    """How many distinct source ids the segments hold."""
+    return sub_members.join(segments.select("sub_piece_cid").distinct(), "sub_piece_cid", "left_semi").agg(F.countDistinct("member_cid")).first()[0]
+
+
+def stride_members(segments: DataFrame, sub_members: DataFrame, n: int) -> DataFrame:
+    """(aggregate_idx, member_cid, idx) at floor(i * total / n) of the walk over all memberships, i in 0..n-1; all of it where n isn't less. segments is a table that is read twice."""
+    total = segments.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = min(n, total)
+    if not count:
+        return _at_places(segments.where("false").withColumn("idx", F.col("before")), sub_members)
+    at = lambda i: F.call_function("div", i * F.lit(total).cast("long"), F.lit(count).cast("long"))
+    places = _multiples(F.floor(F.col("before") * count / total) - 1, F.ceil((F.col("before") + F.col("n")) * count / total) + 1, at, count)
+    return _at_places(segments.withColumn("idx", F.explode(places)), sub_members)
 
 
 _WALK = "o AS (SELECT aggregate_idx, member_cid, row_number() OVER (ORDER BY aggregate_idx, segment_index, member_sort_order) - 1 AS idx FROM aggregate_members JOIN sub_piece_members USING (sub_piece_cid) WHERE aggregate_idx IN (SELECT root FROM ledger)), p AS (SELECT count(DISTINCT member_cid) AS n FROM o)"
@@ -45,17 +83,17 @@ _WALK = "o AS (SELECT aggregate_idx, member_cid, row_number() OVER (ORDER BY agg
 @query("wn2_stride_sample_members", f"{_WALK} SELECT aggregate_idx, member_cid, idx FROM o JOIN (SELECT CAST(floor(i * (p.n::DOUBLE / least(25, p.n))) AS BIGINT) AS idx FROM p, (SELECT unnest(range(25)) AS i) AS r WHERE i < least(25, p.n)) AS t USING (idx)")
 def wn2(spark, d):
     on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
-    assets = cut(aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d)))
-    population = assets.agg(F.countDistinct("member_cid")).first()[0]
-    return nested_sample(assets, ["aggregate_idx", "place"], population, 25.9).select("aggregate_idx", "member_cid", "idx")
+    members, sub_members = fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), cut(fx.sub_piece_members(spark, d))
+    segments = cut(walk(members, sub_members))
+    return nested_sample(segments, sub_members, n_members(segments, sub_members), 25.9)
 
 
 @query("wn2_stride_sample_members_whole", _WALK.rsplit(", p AS", 1)[0] + ", t AS (SELECT count(*) AS t FROM o) SELECT aggregate_idx, member_cid, idx FROM o WHERE idx IN (SELECT i * t // 25 FROM (SELECT unnest(range(25)) AS i), t)")
 def wn2_places(spark, d):
     """The same walk by whole places: its length, not the number of distinct members, is the population."""
     on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
-    assets = aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d))
-    return stride_sample(assets, ["aggregate_idx", "place"], 25).select("aggregate_idx", "member_cid", "idx")
+    members, sub_members = fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), cut(fx.sub_piece_members(spark, d))
+    return stride_members(cut(walk(members, sub_members)), sub_members, 25)
 
 
 def dedupe_first(df: DataFrame, key: str, order: str) -> DataFrame:

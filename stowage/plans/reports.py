@@ -13,7 +13,7 @@ from ..operators import aggregations as ag
 from ..operators import joins as jn
 from ..operators import merkle as mk
 from ..operators.rows import proof_health
-from ..operators.windows import admit, nested_sample
+from ..operators.windows import admit, n_members, nested_sample, walk
 from ..registry import query
 from .primitives import cut
 
@@ -59,22 +59,20 @@ def job3_verdict(spark, d):
     return out.select("committed", "pending_not_committed", "unaccounted", "failed", "oversized", "unaccounted_on_ledger", "committed_not_on_ledger", "on_ledger_not_committed", "discrepancies", "last_proven", "proven_since_add", "complete", "severity")
 
 
-def audit(members: DataFrame, stored: DataFrame, kept: DataFrame, assets: DataFrame, probes: DataFrame, n: float) -> DataFrame:
-    """(idx, root_ok, replayed, n_sampled, n_announced, first_reason) of the aggregates of assets: whether the stored root (key, root) is that of the members, whether it had to be computed, and of a nested sample of n source ids those whose providers announce them.
+def audit(members: DataFrame, stored: DataFrame, kept: DataFrame, segments: DataFrame, sub_members: DataFrame, probes: DataFrame, n: float, dealt: bool = False) -> DataFrame:
+    """(idx, root_ok, replayed, n_sampled, n_announced, first_reason) of the aggregates of segments: whether the stored root (key, root) is that of the members, whether it had to be computed, and of a nested sample of n source ids those whose providers announce them.
 
     members are trees (key, order, height, node, raw_size, id); kept (key,
     digest, root) are an earlier audit's roots, which stand where the members
-    haven't changed. assets are (aggregate_idx, member_cid, place), probes
-    (member_cid, providers, reason).
+    haven't changed. segments are the walk over all memberships, as walk gives
+    it from sub_members; probes are (member_cid, providers, reason).
     """
-    roots, computed = mk.replay_roots(members, kept)
-    now = roots.select("key", F.col("root").alias("now")).join(computed.withColumn("replayed", F.lit(True)), "key", "left")
+    now = mk.replayed_roots(members, kept, dealt).select("key", F.col("root").alias("now"), "replayed")
     checked = stored.join(now, "key", "left").select(F.col("key").alias("idx"), F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("root_ok"), F.coalesce("replayed", F.lit(False)).alias("replayed"))
-    population = assets.agg(F.countDistinct("member_cid")).first()[0]
-    sample = nested_sample(assets, ["aggregate_idx", "place"], population, n).withColumnRenamed("idx", "_at").join(probes, "member_cid", "left")
+    sample = nested_sample(segments, sub_members, n_members(segments, sub_members), n).withColumnRenamed("idx", "_at").join(probes, "member_cid", "left")
     announced = F.coalesce(F.col("providers") > 0, F.lit(False))
     counts = sample.groupBy(F.col("aggregate_idx").alias("idx")).agg(F.count("*").alias("n_sampled"), F.count_if(announced).alias("n_announced"), F.min_by(F.coalesce("reason", F.lit("not probed")), F.when(~announced, F.col("_at"))).alias("first_reason"))
-    held = assets.select(F.col("aggregate_idx").alias("idx")).distinct()
+    held = segments.select(F.col("aggregate_idx").alias("idx")).distinct()
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     return held.join(checked, "idx").join(counts, "idx", "left").select("idx", "root_ok", "replayed", zero("n_sampled"), zero("n_announced"), "first_reason")
 
@@ -85,16 +83,17 @@ def audit(members: DataFrame, stored: DataFrame, kept: DataFrame, assets: DataFr
     SELECT key AS idx, key % 9 <> 0 AS root_ok, key % 5 = 0 OR key % 7 = 0 AS replayed, coalesce(n_sampled, 0) AS n_sampled, coalesce(n_announced, 0) AS n_announced, first_reason FROM roots LEFT JOIN wc ON key = idx WHERE key IN (SELECT aggregate_idx FROM wo)""")
 def job3_audit(spark, d):
     """The part of a report that replays roots and samples source ids: aggregates on the ledger, with roots of an earlier audit of which some are new or changed."""
-    m = mk.tree_members(spark, d)
+    m = mk.tree_members(spark, d, kept=True)
     k = F.col("key")
     before = m.where(k % 5 != 0).withColumn("node", F.when(k % 7 == 0, F.unhex(F.lit("ab" * 32))).otherwise(F.col("node")))
-    kept = cut(mk.member_digests(before).join(mk.aggregate_roots(before).select("key", "root"), "key"))
-    stored = cut(mk.aggregate_roots(m).select("key", F.when(k % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root")))
+    kept = mk.digested_roots(before, dealt=True)
+    stored = mk.aggregate_roots(m, dealt=True).select("key", F.when(k % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root"))
     on = fx.ledger(spark, d).select(F.col("root").alias("aggregate_idx"))
-    assets = cut(jn.aggregate_assets(fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), fx.sub_piece_members(spark, d)))
+    members, sub_members = fx.aggregate_members(spark, d).join(on, "aggregate_idx", "left_semi"), cut(fx.sub_piece_members(spark, d))
+    segments = cut(walk(members, sub_members))
     cid = F.col("s_suppkey")
     probes = fx.read(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(cid.alias("member_cid"), (cid % 4).alias("providers"), F.concat(F.lit("none found for "), cid.cast("string")).alias("reason"))
-    return audit(m, stored, kept, assets, probes, 40.5)
+    return audit(m, stored, kept, segments, sub_members, probes, 40.5, dealt=True)
 
 
 def source_report(attempts: DataFrame, free_bytes: int | None, in_flight: int) -> DataFrame:
