@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as c
-from ..plans.primitives import combine, cut, merkle_roots, merkle_sql, places_within, zero_nodes
+from ..plans.primitives import Fold, combine, cut, merkle_roots, merkle_sql, places_within, zero_nodes
 from ..registry import query
 
 #: Raw bytes of a chunk: 127 * 2^k, so that a chunk is a whole subtree.
@@ -147,33 +147,59 @@ def mk2(spark, d):
     return decode_commitments(o.select("padding", "height", "root").mapInArrow(encoded, "cid string"), "cid")
 
 
-def leaves_of(members: DataFrame) -> DataFrame:
-    """members (key, order, height, node) as nodes of one tree per key: larger first, ties in order; offsets add up in the least unit."""
-    span = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("height"))
-    w = Window.partitionBy("key").orderBy(F.desc("height"), "order")
-    at = members.withColumn("offset", F.coalesce(F.sum(span).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    whole = Window.partitionBy("key")
-    total = F.sum(span).over(whole)
-    top = F.greatest(F.length(F.bin(total - 1)), F.max("height").over(whole))
-    return at.select("key", "height", F.expr("shiftright(offset, height)").alias("pos"), "node", F.when(total == 1, F.max("height").over(whole)).otherwise(top).cast("int").alias("top"))
+def trees(members: DataFrame, dealt: bool = False) -> DataFrame:
+    """(key, n_members, raw_size, m) of members (key, order, height, node, raw_size, id): m has a key's members, larger first, ties in order. One shuffle, none where the rows are dealt by key already."""
+    rows = members.where("key IS NOT NULL")
+    m = F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "order", "id", "node")))
+    return (rows if dealt else rows.repartition("key")).groupBy("key").agg(F.count("*").alias("n_members"), F.sum("raw_size").alias("raw_size"), m.alias("m"))
 
 
-def aggregate_roots(members: DataFrame) -> DataFrame:
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root of each row's tree where none is given; offsets add up in the least unit, and the height comes from their sum."""
+    zeros = zero_nodes(64)
+    for batch in batches:
+        m, given = batch.column("m"), batch.column("root").to_pylist()
+        ends, values = m.offsets.to_pylist(), m.values
+        heights, nodes = (values.field(values.type.get_field_index(n)).to_pylist() for n in ("h", "node"))
+        roots = []
+        for i, stands in enumerate(batch.column("stands").to_pylist()):
+            if stands:
+                roots.append(given[i])
+                continue
+            fold, used = Fold(zeros, True), 0
+            for k in range(ends[i], ends[i + 1]):
+                height = -heights[k]
+                fold.push(height, used >> height, nodes[k])
+                used += 1 << height
+            roots.append(fold.root(max((used - 1).bit_length(), -heights[ends[i]])).hex())
+        ids = pa.ListArray.from_arrays(m.offsets, values.field(values.type.get_field_index("id")))
+        names = [n for n in batch.schema.names if n not in ("m", "root")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(roots, pa.string()), ids], [*names, "root", "ids"])
+
+
+def _roots(rows: DataFrame) -> DataFrame:
+    """rows (m, and root where stands is true) with the root of each tree and its ids in place of m."""
+    names = [n for n in rows.columns if n not in ("m", "root")]
+    kinds = dict(rows.dtypes)
+    member = next(f for f in rows.schema["m"].dataType.elementType.fields if f.name == "id").dataType.simpleString()
+    return rows.mapInArrow(_rooted, ", ".join(f"`{n}` {kinds[n]}" for n in names) + f", root string, ids array<{member}>")
+
+
+def aggregate_roots(members: DataFrame, dealt: bool = False) -> DataFrame:
     """(key, root, n_members, raw_size, height, padding, ids) of members (key, order, height, node, raw_size, id).
 
     The tree's height comes from the padded sizes; height and padding of the
     envelope from the sum of raw sizes, and the two may differ.
     """
-    rows = cut(members)
-    roots = merkle_roots(leaves_of(rows), ["key"]).withColumn("root", F.lower(F.hex("root")))
-    order = F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "order", "id")))
-    sums = rows.groupBy("key").agg(F.count("*").alias("n_members"), F.sum("raw_size").alias("raw_size"), order.alias("m"))
-    return sums.join(roots, "key").select("key", "root", "n_members", "raw_size", c.tree_height(F.col("raw_size")).alias("height"), c.padding(F.col("raw_size")).alias("padding"), F.transform("m", lambda x: x["id"]).alias("ids"))
+    roots = _roots(trees(members, dealt).select("*", F.lit(None).cast("string").alias("root"), F.lit(False).alias("stands")))
+    return roots.select("key", "root", "n_members", "raw_size", c.tree_height(F.col("raw_size")).alias("height"), c.padding(F.col("raw_size")).alias("padding"), "ids")
 
 
-def tree_members(spark, d):
+def tree_members(spark, d, kept: bool = False):
+    """Members dealt by key; nodes are made where they have arrived. kept is for several readers: the rows are a table without nodes."""
     size = F.col("raw_size")
-    return fx.aggregate_members(spark, d).join(fx.sub_pieces(spark, d), "sub_piece_cid").select(F.col("aggregate_idx").alias("key"), F.col("segment_index").alias("order"), c.tree_height(size).alias("height"), F.unhex(F.sha2(F.col("sub_piece_cid").cast("string").cast("binary"), 256)).alias("node"), "raw_size", F.col("sub_piece_cid").alias("id"))
+    rows = fx.aggregate_members(spark, d).join(fx.sub_pieces(spark, d), "sub_piece_cid").select(F.col("aggregate_idx").alias("key"), F.col("segment_index").alias("order"), "raw_size", F.col("sub_piece_cid").alias("id"))
+    return (cut(rows) if kept else rows).repartition("key").select("key", "order", c.tree_height(size).alias("height"), F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("node"), "raw_size", "id")
 
 
 LAID_SQL = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size, sub_piece_cid, {TOP_SQL} AS height FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)), t AS (SELECT key, sum(1::BIGINT << height)::BIGINT AS total, max(height) AS most, sum(raw_size) AS raw_size, count(*) AS n_members, list(sub_piece_cid ORDER BY height DESC, o) AS ids FROM m GROUP BY key),
@@ -183,12 +209,12 @@ LAID_SQL = f"""m AS (SELECT aggregate_idx AS key, segment_index AS o, raw_size,
 
 @query("mk4_aggregate_roots", f"{LAID_SQL} SELECT key, root, n_members, raw_size, {TOP_SQL} AS height, (32::BIGINT << ({TOP_SQL})) // 128 * 127 - raw_size AS padding, ids FROM t JOIN roots USING (key)")
 def mk4(spark, d):
-    return aggregate_roots(tree_members(spark, d))
+    return aggregate_roots(tree_members(spark, d), dealt=True)
 
 
 @query("mk4_aggregate_order", "m AS (SELECT aggregate_idx AS key, segment_index, raw_size, sub_piece_cid, CAST(ceil(log2(greatest(128, ceil(raw_size * 128 / 127.0)))) AS INT) - 5 AS h FROM aggregate_members JOIN sub_pieces USING (sub_piece_cid)) SELECT key, count(*) AS n_members, sum(raw_size) AS raw_size, list(sub_piece_cid ORDER BY h DESC, segment_index) AS ids FROM m GROUP BY key")
 def mk4b(spark, d):
-    return aggregate_roots(tree_members(spark, d)).select("key", "n_members", "raw_size", "ids")
+    return aggregate_roots(tree_members(spark, d), dealt=True).select("key", "n_members", "raw_size", "ids")
 
 
 @query("mk3_merkle_root", f"n AS (SELECT source AS key, 0 AS height, row_number() OVER (PARTITION BY source ORDER BY object_id) - 1 AS pos, digest_hex AS node, CASE WHEN count(*) OVER (PARTITION BY source) = 1 THEN 0 ELSE length(bin(count(*) OVER (PARTITION BY source) - 1)) END AS top FROM objects), {merkle_sql('n', 'key', 24)} SELECT key, root FROM roots")
@@ -201,41 +227,57 @@ def mk3(spark, d):
     return merkle_roots(top, ["key"]).select("key", F.lower(F.hex("root")).alias("root"))
 
 
-def check_roots(stored: DataFrame, members: DataFrame) -> DataFrame:
+def check_roots(stored: DataFrame, members: DataFrame, dealt: bool = False) -> DataFrame:
     """(key, ok, root): stored (key, root) against the roots computed again from members; root is the one computed, null where a key has no member."""
-    now = aggregate_roots(members).select("key", F.col("root").alias("now"))
+    now = aggregate_roots(members, dealt).select("key", F.col("root").alias("now"))
     return stored.join(now, "key", "left").select("key", F.coalesce(F.col("root") == F.col("now"), F.lit(False)).alias("ok"), F.col("now").alias("root"))
 
 
-def member_digests(members: DataFrame) -> DataFrame:
+def _digest(m) -> Column:
+    """Digest of the members m of a tree in order."""
+    each = lambda x: F.struct(x["order"].alias("order"), F.concat_ws("/", x["order"].cast("string"), (-x["h"]).cast("string"), F.hex(x["node"])).alias("m"))
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.transform(m, each)), lambda x: x["m"]), ","), 256)
+
+
+def member_digests(members: DataFrame, dealt: bool = False) -> DataFrame:
     """(key, digest) of each tree's members in order: it changes when a member, its height or its order does."""
-    each = F.concat_ws("/", F.col("order").cast("string"), F.col("height").cast("string"), F.hex("node"))
-    return members.groupBy("key").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", each.alias("m")))), lambda x: x["m"]), ","), 256).alias("digest"))
+    return trees(members, dealt).select("key", _digest(F.col("m")).alias("digest"))
+
+
+def digested_roots(members: DataFrame, dealt: bool = False) -> DataFrame:
+    """(key, digest, root) of each tree from one pass over members."""
+    rows = trees(members, dealt).select("key", _digest(F.col("m")).alias("digest"), "m", F.lit(None).cast("string").alias("root"), F.lit(False).alias("stands"))
+    return _roots(rows).select("key", "digest", "root")
+
+
+def replayed_roots(members: DataFrame, kept: DataFrame, dealt: bool = False) -> DataFrame:
+    """(key, digest, root, replayed) of all trees now: roots of kept (key, digest, root) stand where the members' digest is the same, and only the others are computed. Members travel once."""
+    old = kept.groupBy("key").agg(F.collect_list(F.struct("digest", "root")).alias("old"))
+    now = trees(members, dealt).select("key", _digest(F.col("m")).alias("digest"), "m").join(old, "key", "left")
+    same = F.filter(F.coalesce("old", F.array().cast(dict(old.dtypes)["old"])), lambda x: x["digest"] == F.col("digest"))
+    rows = now.withColumn("same", same).select("key", "digest", "m", F.get("same", F.lit(0))["root"].alias("root"), (F.size("same") > 0).alias("stands"))
+    return _roots(rows).select("key", "digest", "root", (~F.col("stands")).alias("replayed"))
 
 
 def replay_roots(members: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, digest, root) of all trees now, keys that were computed): roots of kept (key, digest, root) stand where the members' digest is the same, and only the others are computed."""
-    now = cut(member_digests(members))
-    same = now.join(kept.select("key", "digest", "root"), ["key", "digest"])
-    changed = cut(now.join(same.select("key"), "key", "left_anti"))
-    again = aggregate_roots(members.join(changed.select("key"), "key", "left_semi")).select("key", "root")
-    return same.select("key", "digest", "root").union(changed.join(again, "key").select("key", "digest", "root")), changed.select("key")
+    """((key, digest, root) of all trees now, keys that were computed), as replayed_roots."""
+    t = cut(replayed_roots(members, kept))
+    return t.select("key", "digest", "root"), t.where("replayed").select("key")
 
 
 @query("mk5_check_roots", f"{LAID_SQL} SELECT key, key % 9 <> 0 AS ok, root FROM roots")
 def mk5(spark, d):
     """Stored roots of which every ninth was altered, against those that the members give; SQL makes its own."""
-    m = tree_members(spark, d)
-    stored = cut(aggregate_roots(m).select("key", F.when(F.col("key") % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root")))
-    return check_roots(stored, m)
+    m = tree_members(spark, d, kept=True)
+    stored = cut(aggregate_roots(m, dealt=True).select("key", F.when(F.col("key") % 9 == 0, F.lit("0" * 64)).otherwise(F.col("root")).alias("root")))
+    return check_roots(stored, m, dealt=True)
 
 
 @query("mk5_replay_changed", f"{LAID_SQL} SELECT key, root, key % 5 = 0 OR key % 7 = 0 AS computed FROM roots")
 def mk5_replay(spark, d):
     """Roots kept from before for all but some new aggregates; of those kept, some have other members now."""
-    m = tree_members(spark, d)
+    m = tree_members(spark, d, kept=True)
     k = F.col("key")
     before = m.where(k % 5 != 0).withColumn("node", F.when(k % 7 == 0, F.unhex(F.lit("ab" * 32))).otherwise(F.col("node")))
-    kept = cut(member_digests(before).join(aggregate_roots(before).select("key", "root"), "key"))
-    roots, computed = replay_roots(m, kept)
-    return roots.join(computed.withColumn("computed", F.lit(True)), "key", "left").select("key", "root", F.coalesce("computed", F.lit(False)).alias("computed"))
+    kept = digested_roots(before, dealt=True)
+    return replayed_roots(m, kept, dealt=True).select("key", "root", F.col("replayed").alias("computed"))
