@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..plans.graphs import depth_first
+from ..plans.primitives import cut
 from ..registry import query
 from .joins import verify_blocks
 
@@ -32,7 +33,7 @@ _PATHS = """RECURSIVE w AS (SELECT DISTINCT parent AS root, parent AS node, []::
 
 def _order(spark, d):
     """The order below each root, which is a parent that is no child."""
-    links = fx.links(spark, d)
+    links = cut(fx.links(spark, d))
     roots = links.select("parent").distinct().join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
     return depth_first(links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
 

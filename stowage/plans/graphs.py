@@ -1,11 +1,13 @@
-"""Depth-first order of block graphs: trees by an Euler tour and list ranking, and least paths between the nodes that several parents share."""
+"""Depth-first order of block graphs: trees by sizes from below and ranks from above (chains by list ranking), and least paths between the nodes that several parents share."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .primitives import cut, places_within
+from .primitives import cut, places_within, sums_within
 
 
 def list_ranks(arcs: DataFrame) -> DataFrame:
@@ -34,21 +36,70 @@ def _items(edges: DataFrame, heads: DataFrame) -> DataFrame:
     return cut(items.where("parent IS NULL").select("item", "node", F.lit(None).cast("long").alias("above"), "link_index", "leaf").union(under))
 
 
-def preorder(items: DataFrame) -> DataFrame:
-    """items with top (the item of their tree's head), rank (0-based place in the tree's depth-first order) and level (links below the head).
+def _core_sizes(core: DataFrame) -> DataFrame:
+    """(item, whole): what all items below each one weigh, from core (item, above, link_index, size), where size is the item's own weight.
 
     The tour goes down to an item's first child, else up again, and from there
     to the next sibling, else up to the parent; down(i) is arc 2i, up(i) 2i + 1.
     """
-    placed = cut(places_within(items.where("above IS NOT NULL"), ["above"], ["link_index", "item"]).select("item", "above", "place"))
+    placed = cut(places_within(core.where("above IS NOT NULL"), ["above"], ["link_index", "item"]).select("item", "above", "place"))
     first = placed.where("place = 0").select(F.col("above").alias("item"), F.col("item").alias("child"))
     later = placed.select("above", (F.col("place") - 1).alias("place"), F.col("item").alias("sibling"))
-    down = items.select("item").join(first, "item", "left").select((F.col("item") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("item") * 2 + 1).alias("next"), F.lit(1).alias("n"), F.lit(1).alias("level"))
-    up = placed.join(later, ["above", "place"], "left").select((F.col("item") * 2 + 1).alias("arc"), F.coalesce(F.col("sibling") * 2, F.col("above") * 2 + 1).alias("next"), F.lit(0).alias("n"), F.lit(-1).alias("level"))
-    last = items.where("above IS NULL").select((F.col("item") * 2 + 1).alias("arc"), F.lit(None).cast("long").alias("next"), F.lit(0).alias("n"), F.lit(-1).alias("level"))
-    ranks = list_ranks(down.union(up).union(last)).where("arc % 2 = 0").select(F.expr("arc div 2").alias("item"), F.expr("last div 2").alias("top"), "n", (-F.col("level")).alias("level"))
-    whole = ranks.where("item = top").select("top", F.col("n").alias("size"))
-    return items.join(ranks.join(whole, "top"), "item").withColumn("rank", F.col("size") - F.col("n")).drop("n", "size")
+    down = core.select("item", "size").join(first, "item", "left").select((F.col("item") * 2).alias("arc"), F.coalesce(F.col("child") * 2, F.col("item") * 2 + 1).alias("next"), F.col("size").alias("n"), F.lit(0).alias("level"))
+    up = placed.join(later, ["above", "place"], "left").select((F.col("item") * 2 + 1).alias("arc"), F.coalesce(F.col("sibling") * 2, F.col("above") * 2 + 1).alias("next"), F.lit(0).alias("n"), F.lit(0).alias("level"))
+    last = core.where("above IS NULL").select((F.col("item") * 2 + 1).alias("arc"), F.lit(None).cast("long").alias("next"), F.lit(0).alias("n"), F.lit(0).alias("level"))
+    n = F.col("n")
+    return list_ranks(down.union(up).union(last)).groupBy(F.expr("arc div 2").alias("item")).agg((F.max(n) - F.min(n)).alias("whole"))
+
+
+def preorder(items: DataFrame) -> DataFrame:
+    """items with top (the item of their tree's head), rank (0-based place in the tree's depth-first order) and level (links below the head).
+
+    Items without children are taken off as long as these are a quarter of what
+    is left, so all rounds together handle a few times the items; what is left
+    then (chains) is measured by list ranking. An item's step is one more than
+    what its earlier siblings weigh; ranks are sums of steps on the way down,
+    where items follow in the reverse order of the rounds.
+    """
+    kids = items.where("above IS NOT NULL").groupBy(F.col("above").alias("item")).agg(F.count("*").alias("kids"))
+    own = items.where("NOT leaf").join(kids, "item", "left").select(*items.columns, F.coalesce("kids", F.lit(0)).alias("kids"), F.lit(1).cast("long").alias("size"))
+    bare = items.where("leaf").select("*", F.lit(0).cast("long").alias("kids"), F.lit(1).cast("long").alias("size"))
+    left, taken, core = cut(own), [], None
+    while True:
+        total, ready = left.agg(F.count("*"), F.count_if(F.col("kids") == 0)).first()
+        off = left.where("kids = 0")
+        if not taken:
+            off = bare.union(off)
+        taken.append(off)
+        rest = left.where("kids > 0")
+        if ready == total:
+            break
+        found = off.where("above IS NOT NULL").groupBy(F.col("above").alias("item")).agg(F.count("*").alias("_n"), F.sum("size").alias("_s"))
+        left = cut(rest.join(found, "item", "left").select(*items.columns, (F.col("kids") - F.coalesce("_n", F.lit(0))).alias("kids"), (F.col("size") + F.coalesce("_s", F.lit(0))).alias("size")))
+        if ready * 4 < total:
+            core = left.drop("size").join(_core_sizes(left), "item").withColumnRenamed("whole", "size")
+            break
+    rounds = [*taken, core] if core is not None else taken
+    every = rounds[0].select(*items.columns, "size", F.lit(0).alias("round"))
+    for k, t in enumerate(rounds[1:], 1):
+        every = every.union(t.select(*items.columns, "size", F.lit(k).alias("round")))
+    stepped = sums_within(every.where("above IS NOT NULL"), ["above"], ["link_index", "item"], F.col("size"), "earlier").withColumn("step", F.col("earlier") + 1).drop("earlier", "size")
+    steps = cut(stepped.unionByName(every.where("above IS NULL").drop("size").withColumn("step", F.lit(0).cast("long"))))
+    zero = F.lit(0).cast("long")
+    known = []
+    for k in reversed(range(len(rounds))):
+        here = steps.where(F.col("round") == k).drop("round")
+        if core is not None and k == len(rounds) - 1:
+            ranks = list_ranks(here.select(F.col("item").alias("arc"), F.col("above").alias("next"), F.col("step").alias("n"), F.col("above").isNotNull().cast("long").alias("level")))
+            known.append(cut(here.join(ranks.select(F.col("arc").alias("item"), F.col("last").alias("top"), F.col("n").alias("rank"), "level"), "item").select(*items.columns, "top", "rank", "level")))
+            continue
+        out = here.where("above IS NULL").select(*items.columns, F.col("item").alias("top"), zero.alias("rank"), zero.alias("level"))
+        if known:
+            over = reduce(DataFrame.union, known).select(F.col("item").alias("above"), "top", F.col("rank").alias("_rank"), F.col("level").alias("_level"))
+            below = here.where("above IS NOT NULL").join(over, "above").select(*items.columns, "top", (F.col("_rank") + F.col("step")).alias("rank"), (F.col("_level") + 1).alias("level"))
+            out = out.union(below)
+        known.append(cut(out))
+    return reduce(DataFrame.union, known)
 
 
 def _between_heads(links: DataFrame, roots: DataFrame, most: int) -> DataFrame:
@@ -72,15 +123,15 @@ def depth_first(links: DataFrame, roots: DataFrame) -> DataFrame:
     place is the node's in the depth-first order in which first visits count,
     path sorts like it, and depth is the number of links of that first visit.
     Heads are the roots' nodes and those that several parents or none link to; all
-    other nodes hang below one head in a tree, which is ordered by list ranking
-    however deep it is. What is left are the links between heads: as many rounds
+    other nodes hang below one head in a tree, which preorder orders however
+    deep it is. What is left are the links between heads: as many rounds
     as heads follow one another on a path. No task orders all nodes of a root.
     """
     edges = cut(links.groupBy("parent", "child").agg(F.min("link_index").cast("long").alias("link_index")))
     shared = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").select(F.col("child").alias("node"))
     unlinked = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
     heads = cut(shared.union(roots.select("node")).union(unlinked).distinct())
-    ordered = cut(preorder(_items(edges, heads)))
+    ordered = preorder(_items(edges, heads))
     at = ordered.where("item = top").select("node", F.col("top").alias("to"))
     between = cut(ordered.where("leaf").join(at, "node").select("top", "rank", "level", "to"))
     begun = roots.join(at.withColumnRenamed("to", "top"), "node").select("root", "top").distinct()

@@ -49,18 +49,27 @@ def global_prefix(df: DataFrame, order: list, value: Column | None = None) -> Da
     return out.withColumn("idx", (F.col("_n0") + F.col("_r") - 1).cast("long")).withColumn("before", (F.col("_s0") + F.col("_c") - F.col("_v")).cast("long")).drop("_p", "_v", "_n0", "_s0", "_r", "_c")
 
 
+def sums_within(df: DataFrame, keys: list[str], order: list, value: Column, before: str) -> DataFrame:
+    """df with before, the sum of value over its keys' earlier rows in order: as global_prefix, so a key with most of the rows is many tasks.
+
+    Only the first key of a range can have rows in an earlier one, so what
+    ranges tell each other is one row for each range.
+    """
+    placed = cut(df.withColumn("_v", value.cast("long")).repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    key = F.struct(*keys)
+    ends = placed.groupBy("_p").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))  # one row for each partition, as all tables below
+    counts = placed.join(F.broadcast(ends), "_p").where(key.eqNullSafe(F.col("_lo")) | key.eqNullSafe(F.col("_hi"))).groupBy("_p", key.alias("_k")).agg(F.sum("_v").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_p").alias("_q"), "_k", earlier.alias("_n0")).where("_n0 <> 0")
+    inside = Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("_r", F.sum("_v").over(inside) - F.col("_v"))
+    same = (F.col("_p") == F.col("_q")) & key.eqNullSafe(F.col("_k"))
+    return ranked.join(F.broadcast(offsets), same, "left").select(*df.columns, (F.coalesce("_n0", F.lit(0)) + F.col("_r")).cast("long").alias(before))
+
+
 def places_within(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """df with place, 0-based within its keys' rows in order: as global_prefix, so a key with most of the rows is many tasks."""
-    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
-    inside = Window.partitionBy("_p", *keys)
-    counts = placed.groupBy("_p", *keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition and key
-    offsets = counts.select(F.col("_p").alias("_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
-    same = F.col("_p") == F.col("_q")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    ranked = placed.withColumn("_r", F.row_number().over(inside.orderBy(*order)))
-    return ranked.join(offsets, same).withColumn("place", (F.col("_n0") + F.col("_r") - 1).cast("long")).select(*df.columns, "place")
+    """df with place, 0-based within its keys' rows in order."""
+    return sums_within(df, keys, order, F.lit(1), "place")
 
 
 def _entries(cap: int):
