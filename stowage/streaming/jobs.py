@@ -54,6 +54,11 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
 
 
+def bucketed(events: DataFrame, name: str) -> DataFrame:
+    """events with the bucket of their id: 256 neighbouring ids at most share one call and one value of the state."""
+    return events.withColumn("bucket", F.shiftright(name, 8))
+
+
 class LifecycleFold(StatefulProcessor):
     """The status of one key, and every transition that isn't allowed."""
 
@@ -98,40 +103,76 @@ def st1_illegal(spark, d):
 
 
 class StallWatchdog(StatefulProcessor):
-    """Alarms of one batch: each time of progress after which none comes within the gap. Times are kept until their timer has judged them."""
+    """Alarms of a bucket of batches: each time of progress after which none comes within the gap.
+
+    Times within a gap of the next one raise none, so runs of such times are
+    kept as (start, last) until the watermark has passed the gap after their
+    last; one timer a bucket waits for the first of these.
+    """
 
     def __init__(self, gap_ms: int):
         self.gap_ms = gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.begun = handle.getValueState("begun", "at long, judged long")
-        self.times = handle.getMapState("times", "at long", "n long")
+        self.state = handle.getValueState("state", "batch array<long>, begun array<long>, open array<boolean>, of array<long>, start array<long>, last array<long>, timer long")
+
+    def _load(self) -> tuple[dict[int, tuple[int, bool]], dict[int, list[tuple[int, int]]], int | None]:
+        """(first time, whether it is to be judged) of each batch, its runs in order, and the timer that is set."""
+        batch, begun, still, of, start, last, timer = self.state.get() if self.state.exists() else ([],) * 6 + (None,)
+        runs: dict[int, list[tuple[int, int]]] = {}
+        for k, *run in zip(of, start, last):
+            runs.setdefault(k, []).append(tuple(run))
+        return {k: (t, o) for k, t, o in zip(batch, begun, still)}, runs, timer
+
+    def _save(self, first: dict[int, tuple[int, bool]], runs: dict[int, list[tuple[int, int]]], timer: int | None) -> None:
+        ends = [*(t for t, still in first.values() if still), *(last for found in runs.values() for _, last in found)]
+        due = min(ends) + self.gap_ms + 1 if ends else None
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        flat = [(k, *run) for k, found in runs.items() for run in found]
+        self.state.update((list(first), [t for t, _ in first.values()], [o for _, o in first.values()], *([r[i] for r in flat] for i in range(3)), due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, judged = self.begun.get() if self.begun.exists() else (None, None)
-        # All timers up to the watermark that the last call saw have gone off, so nobody asks for progress a gap before it any more.
-        for (t,) in list(self.times.keys()) if judged is not None else ():
-            if t + 2 * self.gap_ms <= judged:
-                self.times.removeKey((t,))
+        first, runs, timer = self._load()
         for pdf in rows:
             at = pdf["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[pdf["ts"].dt.unit]
-            lowest = int(at.min())
-            if first is None or lowest < first:
-                if first is not None and not self.times.containsKey((first,)):
-                    self.handle.deleteTimer(first + self.gap_ms)
-                first = lowest
-                self.handle.registerTimer(first + self.gap_ms)
-            for t in sorted({int(t) for t in at[pdf["kind"].isin(["committed", "failed"])]}):
-                self.times.updateValue((t,), (1,))
-                self.handle.registerTimer(t + self.gap_ms)
-        self.begun.update((first, timerValues.getCurrentWatermarkInMs()))
+            batch = pdf["batch"].fillna(0)  # a bucket has rows without a batch or with one, never both
+            for k, lowest in at.groupby(batch).min().items():
+                if k not in first or lowest < first[k][0]:
+                    first[int(k)] = (int(lowest), True)
+            rose = pdf["kind"].isin(["committed", "failed"])
+            for k, times in at[rose].groupby(batch[rose]):
+                found: list[tuple[int, int]] = []
+                for start, last in sorted([*runs.get(k, []), *((t, t) for t in times.tolist())]):
+                    if found and start - found[-1][1] <= self.gap_ms:
+                        found[-1] = (found[-1][0], max(last, found[-1][1]))
+                    else:
+                        found.append((start, last))
+                runs[int(k)] = found
+        self._save(first, runs, timer)
         yield pd.DataFrame({"batch": pd.Series([], dtype="int64"), "since": pd.Series([], dtype="datetime64[us]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs() - self.gap_ms
-        if not any(at < t <= at + self.gap_ms for (t,) in self.times.keys()):
-            yield pd.DataFrame({"batch": [key[0]], "since": pd.to_datetime([at], unit="ms").as_unit("us")})
+        first, runs, timer = self._load()
+        over = timerValues.getCurrentWatermarkInMs() - self.gap_ms  # what is earlier has had its gap
+        alarms = []
+        for k, (t, still) in first.items():
+            if still and t < over:
+                first[k] = (t, False)
+                # The first time itself may be one of progress; a run is judged no earlier than the first time before it.
+                if not any(start <= t + self.gap_ms for start, _ in runs.get(k, ())):
+                    alarms.append((k, t))
+        for k, found in list(runs.items()):
+            alarms += [(k, last) for _, last in found if last < over]
+            runs[k] = [run for run in found if run[1] >= over]
+            if not runs[k]:
+                del runs[k]
+        self._save(first, runs, None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+        yield pd.DataFrame({"batch": pd.Series([None if pd.isna(key[0]) else k for k, _ in alarms], dtype="Int64"), "since": pd.to_datetime([t for _, t in alarms], unit="ms").as_unit("us")})
 
     def close(self) -> None:
         pass
@@ -139,7 +180,7 @@ class StallWatchdog(StatefulProcessor):
 
 def stall_watchdog(events: DataFrame, gap_s: int, late: str = "10 minutes") -> DataFrame:
     """(batch, since) when event time has passed gap_s after the batch's first event, or after one that committed or failed, without one such in between; later events are dropped past the watermark."""
-    return events.withWatermark("ts", late).groupBy("batch").transformWithStateInPandas(StallWatchdog(gap_s * 1000), "batch long, since timestamp", "Append", "EventTime")
+    return bucketed(events.withWatermark("ts", late), "batch").groupBy("bucket").transformWithStateInPandas(StallWatchdog(gap_s * 1000), "batch long, since timestamp", "Append", "EventTime")
 
 
 @query("st2_stall_watchdog", """e AS (SELECT key AS batch, epoch_us(ts) // 1000 AS m, kind IN ('committed', 'failed') AS rose FROM lifecycle), p AS (SELECT DISTINCT batch, m FROM e WHERE rose UNION SELECT batch, min(m) FROM e GROUP BY batch),

@@ -70,3 +70,28 @@ def test_slices_are_many_files(spark, tmp_path):
     sizes = []
     jobs.drain(s, each=lambda df, b: sizes.append((b, df.count(), df.agg(F.min("id")).first()[0])))
     assert len(sizes) == 3 and [m for _, _, m in sizes] == sorted(m for _, _, m in sizes) and sum(n for _, n, _ in sizes) == 1000
+
+
+def updated(spark, stream, mode, path):
+    """Rows of the state that each trigger wrote."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    q = stream.writeStream.format("noop").outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+
+
+def test_neighbouring_batches_share_state(spark, tmp_path):
+    """A call and a few rows of the state for 256 batches; it was a call for each batch, with rows and a timer for each of its times."""
+    zero = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i % 2000, zero + dt.timedelta(minutes=i), "committed", i) for i in range(6000)], "batch long, ts timestamp, kind string, seq long")
+    got = updated(spark, jobs.stall_watchdog(jobs.as_stream(df, "seq", 2), 3600, "20 days"), "append", tmp_path)
+    assert got and max(got) < 100
+
+
+def test_alarms_of_batches_without_an_id_and_below_zero(spark):
+    zero = dt.datetime(2024, 1, 1)
+    at = lambda m: zero + dt.timedelta(minutes=m)
+    rows = [(None, 0, "parked"), (None, 90, "failed"), (-1, 10, "failed"), (-1, 70, "failed"), (-300, 0, "parked"), (-300, 60, "failed"), (0, 5, "committed"), (0, 66, "failed")]
+    df = spark.createDataFrame([(b, at(m), kind, i) for i, (b, m, kind) in enumerate(rows)] + [(9, at(90_000), "parked", 100)], "batch long, ts timestamp, kind string, seq long")
+    out = jobs.drain(jobs.stall_watchdog(jobs.as_stream(df, "seq", 3), 3600, "20 days")).collect()
+    assert sorted(((r.batch, r.since) for r in out), key=str) == sorted([(None, at(0)), (None, at(90)), (-1, at(70)), (-300, at(60)), (0, at(5)), (0, at(66))], key=str)
