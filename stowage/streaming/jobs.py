@@ -60,23 +60,25 @@ def bucketed(events: DataFrame, name: str) -> DataFrame:
 
 
 class LifecycleFold(StatefulProcessor):
-    """The status of one key, and every transition that isn't allowed."""
+    """The status of each key of a bucket, and every transition that isn't allowed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "status string, last_seq long, n_illegal long")
+        self.state = handle.getValueState("state", "key array<long>, status array<string>, last_seq array<long>, n_illegal array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, last, bad = self.state.get() if self.state.exists() else (None, -1, 0)
-        out = []
-        for seq, kind in sorted((r for pdf in rows for r in zip(pdf["seq"], pdf["kind"]))):
+        held = {k: now for k, *now in zip(*self.state.get())} if self.state.exists() else {}
+        out, touched = [], set()
+        ids = lambda pdf: [None] * len(pdf) if pd.isna(key[0]) else pdf["key"].tolist()  # noqa: E731  # the bucket without a number has the rows without a key
+        for k, seq, kind in sorted(r for pdf in rows for r in zip(ids(pdf), pdf["seq"].tolist(), pdf["kind"])):
+            status, last, bad = held.get(k, (None, -1, 0))
             if status is not None and status not in ALLOWED[kind]:
                 bad += 1
-                out.append((key[0], int(seq), status, kind, None, None))
-            status = "committed" if status == "committed" else kind
-            last = max(last, int(seq))
-        self.state.update((status, last, bad))
-        out.append((key[0], last, None, None, status, bad))
-        yield pd.DataFrame(out, columns=["key", "seq", "before", "kind", "status", "n_illegal"]).astype({"n_illegal": "Int64"})
+                out.append((k, seq, status, kind, None, None))
+            held[k] = ["committed" if status == "committed" else kind, max(last, seq), bad]
+            touched.add(k)
+        self.state.update((list(held), *(list(x) for x in zip(*held.values()))))
+        out += [(k, held[k][1], None, None, held[k][0], held[k][2]) for k in touched]
+        yield pd.DataFrame(out, columns=["key", "seq", "before", "kind", "status", "n_illegal"]).astype({"key": "Int64", "n_illegal": "Int64"})
 
     def close(self) -> None:
         pass
@@ -84,7 +86,7 @@ class LifecycleFold(StatefulProcessor):
 
 def lifecycle_fold(events: DataFrame) -> DataFrame:
     """After each trigger, for the keys it touched: (key, seq, status, n_illegal) as of its last event, and for each transition that isn't allowed (key, seq, before, kind)."""
-    return events.groupBy("key").transformWithStateInPandas(LifecycleFold(), "key long, seq long, before string, kind string, status string, n_illegal long", "Update", "None")
+    return bucketed(events, "key").groupBy("bucket").transformWithStateInPandas(LifecycleFold(), "key long, seq long, before string, kind string, status string, n_illegal long", "Update", "None")
 
 
 _STEPS = f"""t AS (SELECT key, seq, kind, CASE WHEN max(CASE WHEN kind = 'committed' THEN 1 END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'committed' ELSE lag(kind) OVER (PARTITION BY key ORDER BY seq) END AS before FROM lifecycle),
@@ -93,13 +95,13 @@ _STEPS = f"""t AS (SELECT key, seq, kind, CASE WHEN max(CASE WHEN kind = 'commit
 
 @query("st1_lifecycle_fold", f"{_STEPS} SELECT key, CASE WHEN bool_or(kind = 'committed') THEN 'committed' ELSE arg_max(kind, seq) END AS status, max(seq) AS last_seq, count(*) FILTER (illegal) AS n_illegal FROM x GROUP BY key")
 def st1(spark, d):
-    out = drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")), "update").where("status IS NOT NULL")
+    out = drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")).where("status IS NOT NULL"), "update")
     return out.groupBy("key").agg(F.max_by("status", "_batch").alias("status"), F.max("seq").alias("last_seq"), F.max_by("n_illegal", "_batch").alias("n_illegal"))
 
 
 @query("st1_illegal_transitions", f"{_STEPS} SELECT key, seq, before, kind FROM x WHERE illegal")
 def st1_illegal(spark, d):
-    return drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")), "update").where("status IS NULL").select("key", "seq", "before", "kind")
+    return drain(lifecycle_fold(as_stream(fx.lifecycle(spark, d).select("key", "seq", "kind"), "seq")).where("status IS NULL"), "update").select("key", "seq", "before", "kind")
 
 
 class StallWatchdog(StatefulProcessor):

@@ -95,3 +95,18 @@ def test_alarms_of_batches_without_an_id_and_below_zero(spark):
     df = spark.createDataFrame([(b, at(m), kind, i) for i, (b, m, kind) in enumerate(rows)] + [(9, at(90_000), "parked", 100)], "batch long, ts timestamp, kind string, seq long")
     out = jobs.drain(jobs.stall_watchdog(jobs.as_stream(df, "seq", 3), 3600, "20 days")).collect()
     assert sorted(((r.batch, r.since) for r in out), key=str) == sorted([(None, at(0)), (None, at(90)), (-1, at(70)), (-300, at(60)), (0, at(5)), (0, at(66))], key=str)
+
+
+def test_neighbouring_keys_share_state(spark, tmp_path):
+    """A call and a row of the state for 256 keys; it was one for each key."""
+    df = spark.createDataFrame([(i % 2000, i, "planned") for i in range(6000)], "key long, seq long, kind string")
+    got = updated(spark, jobs.lifecycle_fold(jobs.as_stream(df, "seq", 2)), "update", tmp_path)
+    assert got and max(got) < 100
+
+
+def test_keys_that_are_null_or_below_zero(spark):
+    rows = [(None, 0, "planned"), (-1, 1, "planned"), (-1, 2, "submitted"), (None, 3, "parked"), (0, 4, "committed"), (None, 5, "committed"), (-300, 6, "failed"), (None, 7, "failed")]
+    out = jobs.drain(jobs.lifecycle_fold(jobs.as_stream(spark.createDataFrame(rows, "key long, seq long, kind string"), "seq", 2)), "update").collect()
+    assert {(r.key, r.seq, r.before, r.kind) for r in out if r.status is None} == {(None, 7, "committed", "failed")}
+    last = {r.key: (r.seq, r.status, r.n_illegal) for r in sorted((r for r in out if r.status is not None), key=lambda r: r["_batch"])}
+    assert last == {None: (7, "committed", 1), -1: (2, "submitted", 0), 0: (4, "committed", 0), -300: (6, "failed", 0)}
