@@ -91,7 +91,7 @@ def sub_pieces(spark, d) -> DataFrame:
 
 def sub_piece_members(spark, d) -> DataFrame:
     """sub_piece_cid, member_cid, member_sort_order: source ids of each sub-piece."""
-    m = read(spark, d, "lineitem").select(F.col("l_partkey").alias("sub_piece_cid"), F.col("l_suppkey").alias("member_cid")).distinct()
+    m = read(spark, d, "lineitem").select(F.col("l_partkey").alias("sub_piece_cid"), F.col("l_suppkey").alias("member_cid")).repartition("sub_piece_cid").distinct()  # one shuffle for rows and places
     return m.select("sub_piece_cid", "member_cid", (F.row_number().over(Window.partitionBy("sub_piece_cid").orderBy("member_cid")) - 1).cast("long").alias("member_sort_order"))
 
 
@@ -107,9 +107,9 @@ def receipts(spark, d) -> DataFrame:
     return read(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.concat(F.lit("0x"), F.col("o_orderkey").cast("string")).alias("tx"), F.floor(F.unix_timestamp("o_orderdate") / 30).alias("block"))
 
 
-def added_events(spark, d) -> DataFrame:
-    """tx, piece_ids, roots: parallel arrays in segment order; roots hold the aggregate itself at place key mod 3 for most."""
-    m = aggregate_members(spark, d).groupBy("aggregate_idx").agg(F.array_sort(F.collect_list(F.struct("segment_index", "sub_piece_cid"))).alias("m"))
+def added_events(spark, d, members: DataFrame | None = None) -> DataFrame:
+    """tx, piece_ids, roots: parallel arrays in segment order; roots hold the aggregate itself at place key mod 3 for most. members: aggregate_members(spark, d) where a caller has them already."""
+    m = (aggregate_members(spark, d) if members is None else members).groupBy("aggregate_idx").agg(F.array_sort(F.collect_list(F.struct("segment_index", "sub_piece_cid"))).alias("m"))
     k = F.col("aggregate_idx")
     roots = F.transform("m", lambda x: F.when((x["segment_index"] == k % 3) & (k % 4 != 0), k).otherwise(-x["sub_piece_cid"] - 1))
     return m.where("aggregate_idx % 7 <> 0").select(F.concat(F.lit("0x"), k.cast("string")).alias("tx"), F.transform("m", lambda x: x["segment_index"] * 10 + k % 10).alias("piece_ids"), roots.alias("roots"))

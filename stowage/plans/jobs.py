@@ -113,8 +113,8 @@ def src2(spark, d):
     return pieces.join(F.broadcast(head.select("network", "gateway")))  # one row
 
 
-def first_state(spark, d) -> State:
-    """A new state folder whose version 1 has all seven tables."""
+def first_state(spark, d, members: DataFrame | None = None) -> State:
+    """A new state folder whose version 1 has all seven tables. members: fx.aggregate_members(spark, d) where a caller has them already."""
     state = State(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}")
     none = lambda df, **kinds: df.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items() if n not in df.columns})
     key = lambda df, *names: df.withColumns({n: F.col(n).cast("string") for n in names})
@@ -123,7 +123,7 @@ def first_state(spark, d) -> State:
     state.publish(0, replace={
         "pieces": none(fx.pieces(spark, d), error="string"),
         "aggregates": none(fx.aggregates(spark, d), root_piece_cid="string", piece_size="bigint", committed_block="bigint"),
-        "aggregate_members": key(fx.aggregate_members(spark, d), "sub_piece_cid"),
+        "aggregate_members": key(fx.aggregate_members(spark, d) if members is None else members, "sub_piece_cid"),
         "sub_pieces": none(sub, sha256="string"),
         "sub_piece_members": none(key(fx.sub_piece_members(spark, d), "sub_piece_cid", "member_cid"), raw_size="bigint", sha256="string"),
         "pull_batch_attempts": log.select(F.col("seq").alias("attempt"), F.col("key").alias("aggregate_idx"), F.lit(0).alias("batch"), F.array(F.col("kind")).alias("piece_cids"), F.col("ts").alias("started"), F.lit(None).cast("string").alias("result")),

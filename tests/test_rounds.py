@@ -66,3 +66,14 @@ def test_floor_cap_and_fees_hold_back(spark, tmp_path):
     assert run_round(state, 2, 2, *says(spark, cap=10, fee=10**9)) == 3 and [s for s, *_ in rows(state).values()].count("submitted") == 2
     assert run_round(state, 3, 3, *says(spark, cap=10, floor=256)) == 4
     assert {i: s for i, (s, _, _) in rows(state).items()} == {1: "submitted", 2: "submitted", 3: "failed", 4: "failed"} and "below the floor of 256" in rows(state)[4][2]
+
+
+def test_lines_are_placed_once(spark, sf_dir, monkeypatch):
+    """The state and the events of both rounds are of one table of members; each sorted all lines for itself."""
+    from stowage import fixtures
+    from stowage.plans import rounds as module
+
+    calls, real = [], fixtures.aggregate_members
+    monkeypatch.setattr(fixtures, "aggregate_members", lambda *a: calls.append(a) or real(*a))
+    module.job7_two_rounds(spark, sf_dir)
+    assert len(calls) == 1
