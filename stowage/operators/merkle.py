@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as c
-from ..plans.primitives import Fold, combine, cut, merkle_roots, merkle_sql, places_within, zero_nodes
+from ..plans.primitives import Fold, combine, cut, few_rows, merkle_roots, merkle_sql, places_within, zero_nodes
 from ..registry import query
 
 #: Raw bytes of a chunk: 127 * 2^k, so that a chunk is a whole subtree.
@@ -76,7 +76,7 @@ def _expand(raw: bytes) -> bytes:
 def _subtrees(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zeros = zero_nodes(40)
-        for batch in batches:
+        for batch in few_rows(batches):
             ids, places, heights, nodes, tops = [], [], [], [], []
             for i, raw, top in zip(*(batch.column(c).to_pylist() for c in ("id", "payload", "top"))):
                 raw = raw or b""

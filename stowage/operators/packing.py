@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,40 +19,66 @@ from .joins import free_pieces, free_sub_pieces, verify_blocks
 from .rows import split_unservable
 
 
-def _first_fit(sizes: list[int], cap: int) -> list[int]:
-    """The bin of each size in turn: the first open one with room, found in a tree of free space."""
-    width = 1
-    while width < max(1, len(sizes)):
-        width *= 2
-    free = [cap] * (2 * width)
-    out = []
-    for size in sizes:
-        node = 1
-        while node < width:
+class _FirstFit:
+    """Bins by first fit: the first open one with room, found in a tree of free space that grows with the bins."""
+
+    def __init__(self, cap: int):
+        self.cap, self.width = cap, 1024
+        self.free = array("q", [cap]) * (2 * self.width)
+
+    def place(self, size: int) -> int:
+        if self.free[1] < size:  # all bins are open: as many again
+            free = array("q", [self.cap]) * (4 * self.width)
+            level = 1
+            while level <= self.width:
+                free[2 * level : 3 * level] = self.free[level : 2 * level]
+                level *= 2
+            self.free, self.width = free, 2 * self.width
+        free, node = self.free, 1
+        while node < self.width:
             node = 2 * node if free[2 * node] >= size else 2 * node + 1
-        out.append(node - width)
+        out = node - self.width
         free[node] -= size
         while node > 1:
             node //= 2
             free[node] = max(free[2 * node], free[2 * node + 1])
-    return out
+        return out
+
+
+def _first_fit(sizes: list[int], cap: int) -> list[int]:
+    """The bin of each size in turn."""
+    bins = _FirstFit(cap)
+    return [bins.place(size) for size in sizes]
+
+
+def _fitted(group: str, size: str, cap: int):
+    """Rows of groups in order with their bin; of a group nothing but the free space of its bins is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = bins = None
+        for batch in batches:
+            out = []
+            for name, n in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist()):
+                if bins is None or name != at:
+                    at, bins = name, _FirstFit(cap)
+                out.append(bins.place(n))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "bin"])
+
+    return run
 
 
 def pack_ffd(df: DataFrame, cap: int, group: str, key: str = "object_id", size: str = "raw_size") -> DataFrame:
     """(group, key, bin, place): first-fit-decreasing within each group; larger first, ties by key; sizes above cap are left out.
 
     First-fit-decreasing is sequential, so a group is one task: a long run is
-    sharded by a finer group, which changes the bins but never the cap.
+    sharded by a finer group, which changes the bins but never the cap. Spark
+    sorts; the task holds a number or two for each bin, whatever the rows.
     """
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([size, key], ascending=[False, True], kind="stable")
-        out = pdf[[group, key]].assign(bin=_first_fit(pdf[size].tolist(), cap))
-        out["place"] = out.sort_values(key).groupby("bin").cumcount()
-        return out
-
     kinds = dict(df.dtypes)
-    return df.where(F.col(size) <= cap).select(group, key, size).groupBy(group).applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, bin long, place long")
+    rows = df.where(F.col(size) <= cap).select(group, key, size).repartition(group).sortWithinPartitions(F.col(group), F.col(size).desc(), F.col(key))
+    packed = rows.mapInArrow(_fitted(group, size, cap), f"{group} {kinds[group]}, {key} {kinds[key]}, {size} {kinds[size]}, bin long")
+    place = F.row_number().over(Window.partitionBy(group, "bin").orderBy(key)) - 1
+    return packed.select(group, key, "bin", place.cast("long").alias("place"))
 
 
 def pack_ffd_sharded(df: DataFrame, cap: int, group: str, shard_rows: int, key: str = "object_id", size: str = "raw_size") -> DataFrame:

@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], n: int = 64) -> Iterator[pa.RecordBatch]:
+    """batches in parts of n rows, so that of rows with bytes few are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, n):
+            yield batch.slice(at, n)
+
+
 def global_prefix(df: DataFrame, order: list, value: Column | None = None) -> DataFrame:
     """df with idx (0-based place in the total order) and, given value, before (sum of value over earlier rows).
 

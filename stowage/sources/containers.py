@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from ..plans.primitives import few_rows
+
 SCHEMA = "group string, bin bigint, id string, offset bigint, payload binary"
 INDEX = pa.schema([("group", pa.string()), ("bin", pa.int64()), ("container", pa.string()), ("id", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("sha256", pa.string())])
 #: Index rows that a task holds before it writes them.
@@ -49,7 +51,7 @@ class ContainerWriter(DataSourceArrowWriter):
         store.create_dir(mine, recursive=True)
         done, rows, out, key, at, index = Written(), [], None, None, 0, None
         try:
-            for batch in iterator:
+            for batch in few_rows(iterator):
                 for group, number, member, offset, payload in zip(*(batch.column(c).to_pylist() for c in ("group", "bin", "id", "offset", "payload"))):
                     if (group, number) != key:
                         if out is not None:
@@ -138,7 +140,7 @@ def _members(path: str):
         store, root = fs.FileSystem.from_uri(path)
         name = file = None
         try:
-            for batch in batches:
+            for batch in few_rows(batches):
                 payloads = []
                 for container, offset, size in zip(*(batch.column(c).to_pylist() for c in ("container", "offset", "size"))):
                     if container != name:

@@ -93,3 +93,22 @@ def test_documents_of_few_and_equal_pieces(spark, tmp_path, many_tasks, rows):
     tables.write_manifest(spark.createDataFrame(rows, "cid string, piece_cid string, raw_size long, url string"), f"{tmp_path}/m", HEAD)
     assert [p["cid"] for p in document(tmp_path / "m")["pieces"]] == [r[0] for r in rows]
     assert tables.read_manifest_lines(spark, f"{tmp_path}/m")[1].count() == len(rows)
+
+
+def test_few_members_are_held_at_a_time(tmp_path):
+    """A batch of 40 MB; all of its payloads were Python objects at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, size = 2000, 20_000
+    batch = pa.RecordBatch.from_pydict({"group": ["g"] * n, "bin": list(range(n)), "id": [str(i) for i in range(n)], "offset": [0] * n, "payload": pa.array([bytes(size)] * n, pa.binary())})
+    objects = pa.RecordBatch.from_pydict({"id": list(range(n)), "payload": pa.array([bytes(size)] * n, pa.binary()), "top": pa.array([0] * n, pa.int32())})
+    from stowage.operators import merkle
+
+    for run in (lambda: containers.ContainerWriter(str(tmp_path)).write(iter([batch])), lambda: next(merkle._subtrees(127 << 10)(iter([objects.slice(0, 1), objects])), None)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10 << 20

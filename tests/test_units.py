@@ -162,3 +162,30 @@ def test_sharded_bins_are_few_and_a_hot_group_is_many_tasks(spark, sf_dir):
     assert len(hot) <= 2 * hot["used"].sum() / 20000 + shards
     assert len(hot) <= len(bins["exact"][bins["exact"]["source"] == "hot"]) * 1.1 + 1  # measured: within a tenth of exact
     assert packing.pack_ffd_sharded(o, 20000, "source", 10**6).exceptAll(exact).count() == 0
+
+
+def test_first_fit_of_a_long_group_holds_its_bins_only(spark):
+    """Far more rows than a batch of one group, whose bins outgrow the first tree: as by brute force, and without a frame of the group."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stowage.operators import packing
+
+    rng = random.Random(3)
+    rows = [("hot" if i % 9 else None, f"k{i:05d}", rng.randrange(0, 61)) for i in range(6000)]
+    got = packing.pack_ffd(spark.createDataFrame(rows, "g string, k string, n long").where(F.col("n") >= 0), 60, "g", "k", "n")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    want, held = {}, {}
+    for g in ("hot", None):
+        free = []
+        for _, k, n in sorted((r for r in rows if r[0] == g and r[2] <= 60), key=lambda r: (-r[2], r[1])):
+            at = next((i for i, f in enumerate(free) if f >= n), len(free))
+            if at == len(free):
+                free.append(60)
+            free[at] -= n
+            want[k] = (g, at)
+            held.setdefault((g, at), []).append(k)
+        assert g is None or len(free) > 2048
+    place = {k: i for keys in held.values() for i, k in enumerate(sorted(keys))}
+    assert {r.k: (r.g, r.bin, r.place) for r in got.collect()} == {k: (*v, place[k]) for k, v in want.items()}
