@@ -117,16 +117,22 @@ def added_events(spark, d, members: DataFrame | None = None) -> DataFrame:
 
 def links(spark, d) -> DataFrame:
     """parent, link_index, child: region > nation > customer > order > part, with shared parts."""
-    r = read(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"), F.col("n_nationkey").cast("long").alias("o"))
-    n = read(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")), F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.col("c_custkey"))
-    c = read(spark, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.col("o_orderkey"))
-    p = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.col("l_partkey")).distinct()
-    return r.union(n).union(c).union(p).select("parent", (F.row_number().over(Window.partitionBy("parent").orderBy("o")) - 1).cast("long").alias("link_index"), "child")
-
-
-def blocks(spark, d) -> DataFrame:
-    """node, bytes, digest: delivered blocks; every 13th part is missing and every 17th altered."""
-    nodes = links(spark, d).select(F.col("child").alias("node")).distinct()
+    name = lambda kind, column: F.concat(F.lit(kind), F.col(column).cast("string"))
+    link = lambda table, parent, child, o: read(spark, d, table).select(parent.alias("parent"), child.alias("child"), F.col(o).cast("long").alias("o"))
+    r = link("nation", name("r", "n_regionkey"), name("n", "n_nationkey"), "n_nationkey")
+    n = link("customer", name("n", "c_nationkey"), name("c", "c_custkey"), "c_custkey")
+    c = link("orders", name("c", "o_custkey"), name("o", "o_orderkey"), "o_orderkey")
+    ordered = read(spark, d, "orders").select(name("o", "o_orderkey").alias("parent"))
+    lines = read(spark, d, "lineitem").select(name("o", "l_orderkey").alias("parent"), F.col("l_partkey").cast("long").alias("o")).repartition("parent")  # one shuffle for all that follows
+    p = lines.join(ordered, "parent", "left_semi").distinct().select("parent", F.concat(F.lit("p"), F.col("o").cast("string")).alias("child"), "o")
+    upper = r.union(n).union(c)
+    numbered = lambda t: t.select("parent", (F.row_number().over(Window.partitionBy("parent").orderBy("o")) - 1).cast("long").alias("link_index"), "child")
+    return numbered(upper).union(numbered(p))
+
+
+def blocks(spark, d, of: DataFrame | None = None) -> DataFrame:
+    """node, bytes, digest: delivered blocks; every 13th part is missing and every 17th altered. of: links(spark, d) where a caller has them already."""
+    nodes = (links(spark, d) if of is None else of).select(F.col("child").alias("node")).distinct()
     k = F.when(F.col("node").startswith("p"), F.substring("node", 2, 20).cast("long"))
     own = F.sha2(F.col("node").cast("binary"), 256)
     return nodes.where(F.coalesce(k % 13 != 0, F.lit(True))).select("node", F.when(F.coalesce(k % 17 == 0, F.lit(False)), F.concat("node", F.lit("!"))).otherwise(F.col("node")).cast("binary").alias("bytes"), own.alias("digest"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..plans.graphs import depth_first
-from ..plans.primitives import cut
+from ..plans.graphs import by_parent, first_visits, ordered
 from ..registry import query
 from .joins import verify_blocks
 
@@ -31,16 +30,17 @@ _PATHS = """RECURSIVE w AS (SELECT DISTINCT parent AS root, parent AS node, []::
     p AS (SELECT root, node, min(path) AS path FROM w GROUP BY 1, 2)"""
 
 
-def _order(spark, d):
-    """The order below each root, which is a parent that is no child."""
-    links = cut(fx.links(spark, d))
+def _graph(spark, d):
+    """links by parent, and roots: each parent that is no child."""
+    links = by_parent(fx.links(spark, d))
     roots = links.select("parent").distinct().join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
-    return depth_first(links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node")))
+    return links, roots.select(F.col("parent").alias("root"), F.col("parent").alias("node"))
 
 
 @query("dg3_dag_order", f"{_PATHS} SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS place FROM p")
 def dg3(spark, d):
-    return _order(spark, d).select("root", "node", "place")
+    links, roots = _graph(spark, d)
+    return ordered(links, roots).select("root", "node", "place")
 
 
 def missing_blocks(order: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def missing_blocks(order: DataFrame, blocks: DataFrame) -> DataFrame:
 
 @query("dg4_missing_blocks", f"{_PATHS} SELECT root, count(*) AS missing FROM p WHERE node NOT IN (SELECT node FROM blocks) AND node <> root GROUP BY root")
 def dg4(spark, d):
-    return missing_blocks(_order(spark, d).where("node <> root"), fx.blocks(spark, d))
+    links, roots = _graph(spark, d)
+    return missing_blocks(first_visits(links, roots).where("node <> root"), fx.blocks(spark, d, links))
 
 
 def dag_stats(order: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def dag_stats(order: DataFrame, blocks: DataFrame) -> DataFrame:
 
 @query("dg5_dag_stats", f"{_PATHS} SELECT root, count(*) AS nodes, coalesce(sum(strlen(bytes)), 0) AS bytes, max(len(path)) AS depth FROM p LEFT JOIN blocks USING (node) GROUP BY root")
 def dg5(spark, d):
-    return dag_stats(_order(spark, d), fx.blocks(spark, d))
+    links, roots = _graph(spark, d)
+    return dag_stats(first_visits(links, roots), fx.blocks(spark, d, links))
 
 
 def check_declared(df: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Depth-first order of block graphs: trees by sizes from below and ranks from above (chains by list ranking), and least paths between the nodes that several parents share."""
+"""Depth-first order of block graphs: shallow ones by least paths, a level at a time; else trees by sizes from below and ranks from above (chains by list ranking), and least paths between the nodes that several parents share."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .primitives import cut, places_within, sums_within
+from .primitives import cut, places_within, shared_dir, sums_within
+
+#: Links below the roots up to which graphs are walked a level at a time. The number decides the way, not the result.
+SHALLOW = 8
 
 
 def list_ranks(arcs: DataFrame) -> DataFrame:
@@ -117,25 +121,85 @@ def _between_heads(links: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     raise ValueError("the links go round in a circle")
 
 
+def by_parent(links: DataFrame) -> DataFrame:
+    """links written to the shared folder in buckets of their parent, so that joins on it don't shuffle them."""
+    spark = links.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"links_{uuid.uuid4().hex}"
+    links.repartition(n, "parent").write.bucketBy(n, "parent").sortBy("parent").option("compression", "zstd").option("path", f"{shared_dir(spark)}/table-{name}").saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
+    return kept
+
+
+def _step(index: Column) -> Column:
+    """A link's part of a path: one letter that tells the number of hex digits, and these, so that paths as strings sort like lists of numbers."""
+    digits = F.hex(index)
+    letter = F.substring(F.lit("abcdefghijklmnop"), F.length(digits), F.lit(1))
+    return F.coalesce(F.concat(F.when(index < 0, "Z").otherwise(letter), digits), F.lit("Y"))
+
+
+def _levels(links: DataFrame, roots: DataFrame, paths: bool) -> list[DataFrame] | None:
+    """(root, node) that each number of links reaches, with the least path of that number where paths; None where they go on below SHALLOW."""
+    front = cut(roots.select("root", "node", *([F.lit("").alias("path")] if paths else [])).distinct())
+    levels = [front]
+    while not front.isEmpty():
+        if len(levels) > SHALLOW + 1:
+            return None
+        found = front.join(links, front["node"] == links["parent"])
+        if paths:
+            each = found.select("root", F.col("child").alias("node"), F.concat("path", _step(F.col("link_index"))).alias("path"))
+            front = cut(each.groupBy("root", "node").agg(F.min("path").alias("path")))
+        else:
+            front = cut(found.select("root", F.col("child").alias("node")).distinct())
+        levels.append(front)
+    return levels
+
+
+def first_visits(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, path, depth) of every node that a root reaches, from links (parent, link_index, child) by_parent, without circles, and roots (root, node).
+
+    path sorts like the depth-first order in which first visits count, and depth
+    is the number of links of that first visit. As long as all nodes lie within
+    SHALLOW links, each level is one join of the level above with its links, and
+    a path is a short string: links are shuffled once, with their paths.
+    """
+    levels = _levels(links, roots, True)
+    if levels is None:
+        return _first_visits_deep(links, roots)
+    best = reduce(DataFrame.union, levels).groupBy("root", "node").agg(F.min("path").alias("path"))
+    return best.select("root", "node", "path", F.length(F.translate("path", "0123456789ABCDEF", "")).cast("long").alias("depth"))
+
+
 def depth_first(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, path, place, depth) of every node that a root reaches, from links (parent, link_index, child) without circles and roots (root, node).
+    """(root, node, place, depth) of every node that a root reaches, from links (parent, link_index, child) without circles and roots (root, node).
 
     place is the node's in the depth-first order in which first visits count,
-    path sorts like it, and depth is the number of links of that first visit.
+    depth as in first_visits. No task orders all nodes of a root.
+    """
+    return ordered(by_parent(links), roots)
+
+
+def ordered(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """As depth_first, from links by_parent."""
+    return places_within(first_visits(links, roots), ["root"], ["path"]).select("root", "node", "place", "depth")
+
+
+def _first_visits_deep(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """As first_visits, however deep the graph is.
+
     Heads are the roots' nodes and those that several parents or none link to; all
     other nodes hang below one head in a tree, which preorder orders however
     deep it is. What is left are the links between heads: as many rounds
-    as heads follow one another on a path. No task orders all nodes of a root.
+    as heads follow one another on a path.
     """
     edges = cut(links.groupBy("parent", "child").agg(F.min("link_index").cast("long").alias("link_index")))
     shared = edges.groupBy("child").agg(F.count("*").alias("n")).where("n > 1").select(F.col("child").alias("node"))
     unlinked = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
     heads = cut(shared.union(roots.select("node")).union(unlinked).distinct())
-    ordered = preorder(_items(edges, heads))
-    at = ordered.where("item = top").select("node", F.col("top").alias("to"))
-    between = cut(ordered.where("leaf").join(at, "node").select("top", "rank", "level", "to"))
+    order = preorder(_items(edges, heads))
+    at = order.where("item = top").select("node", F.col("top").alias("to"))
+    between = cut(order.where("leaf").join(at, "node").select("top", "rank", "level", "to"))
     begun = roots.join(at.withColumnRenamed("to", "top"), "node").select("root", "top").distinct()
-    reached = _between_heads(between, begun, heads.count())
-    inside = ordered.where("NOT leaf").select("top", "node", "rank", "level")
-    rows = reached.join(inside, "top").select("root", "node", F.array_append("path", F.col("rank")).alias("path"), (F.col("depth") + F.col("level")).alias("depth"))
-    return places_within(rows, ["root"], ["path"]).select("root", "node", "path", "place", "depth")
+    met = _between_heads(between, begun, heads.count())
+    inside = order.where("NOT leaf").select("top", "node", "rank", "level")
+    return met.join(inside, "top").select("root", "node", F.array_append("path", F.col("rank")).alias("path"), (F.col("depth") + F.col("level")).alias("depth"))

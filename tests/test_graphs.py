@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stowage.plans import graphs
 from stowage.plans.graphs import depth_first
 
 
@@ -56,3 +57,26 @@ def test_one_parent_of_most(spark, many_tasks):
 def test_nothing_and_circles(spark):
     assert order(spark, [], [("r", "r")]) == {("r", "r", 0, 0)}
     assert order(spark, [("a", 0, "b")], []) == set()
+
+
+def layered(rng, width, depth):
+    """Links of layers, shared below, some over two layers, with numbers of one to sixteen hex digits."""
+    numbers = [0, 9, 10, 15, 16, 17, 255, 256, 4095, 4096, 1 << 40, (1 << 63) - 1, -1, -17]
+    links = []
+    for at in range(depth):
+        for p in range(width):
+            below = [(at + 1 + (at + 2 <= depth and rng.random() < 0.3), rng.randrange(width)) for _ in range(rng.choice([0, 2, 5]))]
+            links += [(f"v{at}.{p}", i, f"v{a}.{c}") for i, (a, c) in zip(rng.sample(numbers, len(below)), below)]
+    return links, [(f"r{p}", f"v0.{p}") for p in range(width)] + [("again", "v0.1"), ("below", "v2.3")]
+
+
+@pytest.mark.parametrize("shallow", [0, 3, 4])
+def test_both_ways_give_one_order(spark, many_tasks, monkeypatch, shallow):
+    monkeypatch.setattr(graphs, "SHALLOW", shallow)  # graphs of four layers: trees, trees, and a level at a time
+    links, roots = layered(random.Random(shallow), 12, 4)
+    want = plain(links, roots)
+    assert order(spark, links, roots) == want and max(depth for *_, depth in want) > 2
+    kept = graphs.by_parent(spark.createDataFrame(links, "parent string, link_index long, child string"))
+    begun = spark.createDataFrame(roots, "root string, node string")
+    assert {(r.root, r.node, r.depth) for r in graphs.first_visits(kept, begun).collect()} == {(r, v, depth) for r, v, _, depth in want}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("links_")]

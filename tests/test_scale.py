@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stowage import fixtures as fx
 from stowage.operators import joins, merkle, windows
 from stowage.plans.graphs import depth_first
 from stowage.plans.primitives import cut
+from stowage.queries import QUERIES
 
 
 @pytest.fixture
@@ -89,3 +91,11 @@ def test_shallow_trees_take_few_rounds(spark, moved):
         place += 1
         stack += [(c, depth + 1) for c in range(min(n - 1, node * 10 + 10), node * 10, -1)]
     assert not got
+
+
+@pytest.mark.parametrize("name", ["dg5_dag_stats"])
+def test_block_graph_queries_move_links_few_times(spark, moved, sf_dir, name):
+    links = fx.links(spark, sf_dir).count()
+    moved()
+    QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    assert moved() < 9 * links
