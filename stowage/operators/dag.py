@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..plans.graphs import by_parent, first_visits, ordered
+from ..plans.graphs import by_parent, first_visits, ordered, reached
 from ..registry import query
 from .joins import verify_blocks
 
@@ -50,7 +50,7 @@ def missing_blocks(order: DataFrame, blocks: DataFrame) -> DataFrame:
 @query("dg4_missing_blocks", f"{_PATHS} SELECT root, count(*) AS missing FROM p WHERE node NOT IN (SELECT node FROM blocks) AND node <> root GROUP BY root")
 def dg4(spark, d):
     links, roots = _graph(spark, d)
-    return missing_blocks(first_visits(links, roots).where("node <> root"), fx.blocks(spark, d, links))
+    return missing_blocks(reached(links, roots).where("node <> root"), fx.blocks(spark, d, links))
 
 
 def dag_stats(order: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -155,6 +155,12 @@ def _levels(links: DataFrame, roots: DataFrame, paths: bool) -> list[DataFrame]
     return levels
 
 
+def reached(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) of every node that a root reaches, from links by_parent and roots as first_visits has them."""
+    levels = _levels(links, roots, False)
+    return _first_visits_deep(links, roots).select("root", "node") if levels is None else reduce(DataFrame.union, levels).distinct()
+
+
 def first_visits(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, path, depth) of every node that a root reaches, from links (parent, link_index, child) by_parent, without circles, and roots (root, node).
 

@@ -78,5 +78,6 @@ def test_both_ways_give_one_order(spark, many_tasks, monkeypatch, shallow):
     assert order(spark, links, roots) == want and max(depth for *_, depth in want) > 2
     kept = graphs.by_parent(spark.createDataFrame(links, "parent string, link_index long, child string"))
     begun = spark.createDataFrame(roots, "root string, node string")
+    assert sorted(map(tuple, graphs.reached(kept, begun).collect())) == sorted((r, v) for r, v, _, _ in want)
     assert {(r.root, r.node, r.depth) for r in graphs.first_visits(kept, begun).collect()} == {(r, v, depth) for r, v, _, depth in want}
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("links_")]
