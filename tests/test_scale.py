@@ -93,7 +93,7 @@ def test_shallow_trees_take_few_rounds(spark, moved):
     assert not got
 
 
-@pytest.mark.parametrize("name", ["dg4_missing_blocks", "dg5_dag_stats"])
+@pytest.mark.parametrize("name", ["dg3_dag_order", "dg4_missing_blocks", "dg5_dag_stats"])
 def test_block_graph_queries_move_links_few_times(spark, moved, sf_dir, name):
     links = fx.links(spark, sf_dir).count()
     moved()
